@@ -39,6 +39,15 @@ def _strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def unfold(df: DataFrame, structs: Column) -> DataFrame:
+    """One row per non-null struct of an array.
+
+    The outer generator keeps the optimizer from deriving an "array is not
+    empty" filter, which would evaluate the whole array a second time per row.
+    """
+    return df.select(F.explode_outer(structs).alias("item")).filter("item IS NOT NULL").select("item.*")
+
+
 def _tags(*pairs) -> Column:
     """Array of the tags whose condition holds."""
     return F.filter(F.array(*[F.when(cond, F.lit(tag)) for cond, tag in pairs]), lambda t: t.isNotNull())
@@ -205,7 +214,7 @@ def crime_edges(records: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
              F.coalesce(F.col("block_uses") > 1, F.lit(False)) & (F.col("risk") >= 75), F.col("block") != ""),
         make(5, case, ref("beat", "beat"), "OCCURRED_IN_BEAT", 99, F.lit(False), F.col("beat") != ""),
     )
-    return rows.select(F.inline(F.filter(edges, lambda e: e.isNotNull())))
+    return unfold(rows, edges)
 
 
 def build_crime_graph(records: DataFrame, digits: int = rules.ID_HEX) -> EvidenceGraph:
@@ -241,7 +250,7 @@ def mentions(observed: DataFrame) -> DataFrame:
     """One row per (record, role) that names an entity."""
     flat = observed.select(
         "seq", "identifier", "observed_at", "risk", "digest", "channel", "community",
-        F.posexplode("roles").alias("role", "match"),
+        F.posexplode_outer("roles").alias("role", "match"),
     ).filter(F.col("match").isNotNull())
     return flat.select(
         "seq", "role", "identifier", "observed_at", "risk", "digest", "channel", "community",
@@ -309,7 +318,7 @@ def actor_edges(observed: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
             F.concat(F.lit("e"), "seq", F.lit(f"-a{n}")), a, b, label, 96, F.col("risk") >= 80, F.col("identifier"),
             F.col("digest"), F.col("channel"), F.col("observed_at"),
         )))
-    return observed.select(F.inline(F.filter(F.array(*links), lambda e: e.isNotNull())))
+    return unfold(observed, F.array(*links))
 
 
 def build_multisource_graph(records: DataFrame, digits: int = rules.ID_HEX) -> EvidenceGraph:
@@ -349,13 +358,13 @@ def simple_typed_graph(records: DataFrame) -> EvidenceGraph:
         ref("beat", "POLICE_BEAT", F.concat(F.lit("Beat "), "beat")).alias("beat"),
     )
     columns = ("case", "suspect", "vehicle", "crime", "location", "beat")
-    nodes = parts.select(F.explode(F.array(*columns)).alias("n")).filter("n IS NOT NULL").select("n.*").distinct()
+    nodes = unfold(parts, F.array(*columns)).distinct()
     pairs = (("case", "suspect", "PERPETRATED_BY"), ("suspect", "vehicle", "DRIVES_VEHICLE"), ("case", "crime", "OFFENSE_TYPE"),
              ("case", "location", "OCCURRED_AT"), ("case", "beat", "OCCURRED_IN_BEAT"))
     links = F.array(*[F.struct(F.least(f"{a}.id", f"{b}.id").alias("source"), F.greatest(f"{a}.id", f"{b}.id").alias("target"),
                                F.lit(label).alias("relationship"),
                                (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("both")) for a, b, label in pairs])
-    edges = parts.select(F.inline(links)).filter("both").groupBy("source", "target").agg(F.min("relationship").alias("relationship"))
+    edges = unfold(parts, links).filter("both").groupBy("source", "target").agg(F.min("relationship").alias("relationship"))
     return EvidenceGraph(nodes, edges)
 
 
