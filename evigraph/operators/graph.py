@@ -21,10 +21,15 @@ EDGE_COLUMNS = (
 
 @dataclass(frozen=True)
 class EvidenceGraph:
-    """Two DataFrames.  Edges are directed, several may join the same pair."""
+    """Two DataFrames.  Edges are directed, several may join the same pair.
+
+    ``closed`` says that every edge endpoint is known to be a node, so that the
+    endpoint check (two semi joins) can be left out.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    closed: bool = False
 
     def restrict(self, nodes: DataFrame) -> EvidenceGraph:
         """The subgraph induced by ``nodes``."""
@@ -32,7 +37,7 @@ class EvidenceGraph:
         edges = self.edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(
             ids.select(F.col("id").alias("target")), "target", "left_semi"
         )
-        return EvidenceGraph(nodes, edges.select(*self.edges.columns))
+        return EvidenceGraph(nodes, edges.select(*self.edges.columns), True)
 
 
 def _strings() -> Column:
@@ -218,7 +223,7 @@ def crime_edges(records: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
 
 
 def build_crime_graph(records: DataFrame, digits: int = rules.ID_HEX) -> EvidenceGraph:
-    return EvidenceGraph(crime_nodes(records, digits), crime_edges(records, digits))
+    return EvidenceGraph(crime_nodes(records, digits), crime_edges(records, digits), True)
 
 
 # -- multi-source records ---------------------------------------------------
@@ -326,7 +331,7 @@ def build_multisource_graph(records: DataFrame, digits: int = rules.ID_HEX) -> E
     mentioned = mentions(observed)
     nodes = event_nodes(observed, digits).unionByName(entity_nodes(mentioned, digits))
     edges = mention_edges(mentioned, digits).unionByName(actor_edges(observed, digits))
-    return EvidenceGraph(nodes, edges)
+    return EvidenceGraph(nodes, edges, True)
 
 
 def detect_schema(records: DataFrame) -> str:
@@ -399,4 +404,4 @@ def apply_protection(g: EvidenceGraph) -> EvidenceGraph:
     """Drop protected people and every edge that touches them, ahead of ranking or models."""
     hidden = g.nodes.filter(F.col("type") == "protected_person").select("id")
     edges = g.edges.join(hidden, g.edges.source == hidden.id, "left_anti").join(hidden, g.edges.target == hidden.id, "left_anti")
-    return EvidenceGraph(g.nodes.filter(F.col("type") != "protected_person"), edges)
+    return EvidenceGraph(g.nodes.filter(F.col("type") != "protected_person"), edges, g.closed)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 
 def with_(*parts: str) -> str:
+    """A statement from CTE lists and a final select; a select may open with further CTEs after a comma."""
     return "WITH RECURSIVE " + ",\n".join(parts[:-1]) + "\n" + parts[-1]
 
 
