@@ -237,12 +237,12 @@ def observations(records: DataFrame) -> DataFrame:
         F.coalesce(S.first_alias(n, rules.RECORD_ID_ALIASES)["value"], (F.col("seq") + 1).cast("string")).alias("identifier"),
         F.coalesce(S.first_alias(n, rules.KIND_ALIASES)["value"], F.lit("source record")).alias("kind"),
         S.first_alias(n, rules.GRAPH_TIME_ALIASES)["value"].alias("observed_at"),
-        S.generic_risk(F.col("fields"), n).alias("risk"),
+        S.event_time(n).alias("event_ts"), S.generic_risk(F.col("fields"), n).alias("risk"),
         S.record_digest(F.col("fields")).alias("digest"),
         F.array(*[S.first_alias(n, aliases) for *_, aliases in rules.ROLES]).alias("roles"),
     )
     return base.select(
-        "seq", "fields", "identifier", "kind", "observed_at", "risk", "digest", "roles",
+        "seq", "fields", "identifier", "kind", "observed_at", "event_ts", "risk", "digest", "roles",
         S.source_channel(n, F.col("identifier")).alias("channel"), S.bucket(F.col("identifier")).alias("community"),
     )
 
@@ -254,11 +254,11 @@ def _role_value(position: Column, index: int) -> Column:
 def mentions(observed: DataFrame) -> DataFrame:
     """One row per (record, role) that names an entity."""
     flat = observed.select(
-        "seq", "identifier", "observed_at", "risk", "digest", "channel", "community",
+        "seq", "identifier", "observed_at", "event_ts", "risk", "digest", "channel", "community",
         F.posexplode_outer("roles").alias("role", "match"),
     ).filter(F.col("match").isNotNull())
     return flat.select(
-        "seq", "role", "identifier", "observed_at", "risk", "digest", "channel", "community",
+        "seq", "role", "identifier", "observed_at", "event_ts", "risk", "digest", "channel", "community",
         _role_value(F.col("role"), 0).alias("type"), _role_value(F.col("role"), 1).alias("relation"),
         F.col("match.alias").alias("alias"), S.collapse(F.col("match.value")).alias("name"),
         S.entity_key(F.col("match.value")).alias("key"),
@@ -310,20 +310,26 @@ def mention_edges(mentioned: DataFrame, digits: int = rules.ID_HEX) -> DataFrame
     ).alias("edge")).select("edge.*")
 
 
-def actor_edges(observed: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
-    """Phone to phone and account to account, without self loops."""
+def actor_links(digits: int = rules.ID_HEX) -> Column:
+    """Array of the direct actor edges of one observation, null where a rule does not apply."""
     position = {role[1]: i for i, role in enumerate(rules.ROLES)}
     links = []
     for n, (label, source_role, source_aliases, target_role, target_aliases) in enumerate(rules.ACTOR_LINKS):
         source, target = (F.element_at("roles", position[r] + 1) for r in (source_role, target_role))
         entity = F.lit(rules.ROLES[position[source_role]][0])
-        a, b = (entity_id(entity, S.entity_key(m["value"]), digits) for m in (source, target))
-        applies = source["alias"].isin(*source_aliases) & target["alias"].isin(*target_aliases) & (a != b)
+        keys = [S.entity_key(m["value"]) for m in (source, target)]
+        a, b = (entity_id(entity, key, digits) for key in keys)
+        applies = source["alias"].isin(*source_aliases) & target["alias"].isin(*target_aliases) & (keys[0] != keys[1])
         links.append(F.when(applies, _edge(
             F.concat(F.lit("e"), "seq", F.lit(f"-a{n}")), a, b, label, 96, F.col("risk") >= 80, F.col("identifier"),
             F.col("digest"), F.col("channel"), F.col("observed_at"),
         )))
-    return unfold(observed, F.array(*links))
+    return F.array(*links)
+
+
+def actor_edges(observed: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
+    """Phone to phone and account to account, without self loops."""
+    return unfold(observed, actor_links(digits))
 
 
 def build_multisource_graph(records: DataFrame, digits: int = rules.ID_HEX) -> EvidenceGraph:

@@ -36,11 +36,11 @@ EVENT_FIELDS = {
                    f" WHEN {_WATCH} THEN 'field note' ELSE 'public post' END",
     "caller_name": f"CASE WHEN {_CALL} THEN {_SUBJECT} END",
     "caller_number": f"CASE WHEN {_CALL} THEN concat('PH-', user_id) END",
-    "callee_number": f"CASE WHEN {_CALL} THEN concat('PH-', k) END",
+    "callee_number": f"CASE WHEN {_CALL} THEN concat('PH-', k % 10) END",
     "tower_location": f"CASE WHEN {_CALL} THEN {_PLACE} END",
     "sender_name": f"CASE WHEN {_TRANSFER} THEN {_SUBJECT} END",
     "source_account": f"CASE WHEN {_TRANSFER} THEN concat('AC-', user_id) END",
-    "destination_account": f"CASE WHEN {_TRANSFER} THEN concat('AC-', k) END",
+    "destination_account": f"CASE WHEN {_TRANSFER} THEN concat('AC-', user_id - user_id % 150 + (user_id % 150 + 15 * (k % 10)) % 150) END",
     "amount": f"CASE WHEN {_TRANSFER} THEN concat('INR ', CAST(floor(value * 10000) AS BIGINT)) END",
     "vehicle_plate": f"CASE WHEN {_PLATE} THEN concat('VP-', k) END",
     "person_name": f"CASE WHEN {_PLATE} THEN {_SUBJECT} END",

@@ -110,11 +110,11 @@ ev AS (
       WHEN 'error' THEN 'field note' ELSE 'public post' END AS record_type,
     CASE WHEN event_type = 'click' THEN 'Subject ' || user_id END AS caller_name,
     CASE WHEN event_type = 'click' THEN 'PH-' || user_id END AS caller_number,
-    CASE WHEN event_type = 'click' THEN 'PH-' || k END AS callee_number,
+    CASE WHEN event_type = 'click' THEN 'PH-' || (k % 10) END AS callee_number,
     CASE WHEN event_type = 'click' THEN 'S' || (k % 20) || ' Gate ' || (k % 3) END AS tower_location,
     CASE WHEN event_type = 'purchase' THEN 'Subject ' || user_id END AS sender_name,
     CASE WHEN event_type = 'purchase' THEN 'AC-' || user_id END AS source_account,
-    CASE WHEN event_type = 'purchase' THEN 'AC-' || k END AS destination_account,
+    CASE WHEN event_type = 'purchase' THEN 'AC-' || (user_id - user_id % 150 + (user_id % 150 + 15 * (k % 10)) % 150) END AS destination_account,
     CASE WHEN event_type = 'purchase' THEN 'INR ' || CAST(floor(value * 10000) AS BIGINT) END AS amount,
     CASE WHEN event_type = 'view' THEN 'VP-' || k END AS vehicle_plate,
     CASE WHEN event_type = 'view' THEN 'Subject ' || user_id END AS person_name,

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import explore as X
 from evigraph.operators import metrics as M
-from evigraph.operators.ranking import rank_by, top_k_per_group
+from evigraph.operators.graph import star_graph
+from evigraph.operators.ranking import top_k_per_group
 from evigraph.plans import evidence as E
-from evigraph.plans.oracle_base import CRIME, CRIME_ADJ, EVENTS, MULTI, STAR, with_
+from evigraph.plans.oracle_base import CRIME, CRIME_ADJ, EVENTS, MULTI, with_
 from evigraph.plans.registry import query
 
 MADJ = """madj AS (SELECT DISTINCT * FROM (SELECT source AS node, target AS nbr FROM medges UNION ALL SELECT target, source FROM medges))"""
@@ -215,13 +216,14 @@ def f07_ego_network(spark, sf_dir):
     return X.ego_network(g, X.default_focus(g))
 
 
-@query("j01_valid_edges", with_(STAR, """
-SELECT 'valid' AS status, e.label, count(*) AS n FROM sedges e WHERE source NOT LIKE 'customer:%7' AND target NOT LIKE 'customer:%7' GROUP BY 2
-UNION ALL SELECT 'dangling', e.label, count(*) FROM sedges e WHERE source LIKE 'customer:%7' OR target LIKE 'customer:%7' GROUP BY 2"""))
+@query("j01_valid_edges", """
+SELECT CASE WHEN l.doc_id IS NULL THEN 'dangling' ELSE 'valid' END AS status, d.lang, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1, 2""")
 def j01_valid_edges(spark, sf_dir):
-    g = E.star_graph(spark, sf_dir)
-    # customers whose key ends in 7 are missing from the node table, as after a partial load
-    partial = type(g)(g.nodes.filter(~F.col("id").rlike("^customer:.*7$")), g.edges)
-    valid, dangling = M.validate_endpoints(partial)
-    return valid.select(F.lit("valid").alias("status"), "label").unionByName(
-        dangling.select(F.lit("dangling").alias("status"), "label")).groupBy("status", "label").agg(F.count(F.lit(1)).alias("n"))
+    # documents point to their label row; labels cover only some of them
+    tables = {"documents": E.table(spark, sf_dir, "documents").select("doc_id", "lang"), "labels": E.table(spark, sf_dir, "labels")}
+    g = star_graph(tables, (("documents", "doc_id", "lang", "event", "0"), ("labels", "doc_id", "quality", "crime", "0")),
+                   (("documents", "doc_id", "doc_id", "labels", "HAS_LABEL", None),))
+    valid, dangling = M.validate_endpoints(g)
+    edges = valid.select(F.lit("valid").alias("status"), "source").unionByName(dangling.select(F.lit("dangling").alias("status"), "source"))
+    return edges.join(g.nodes.select(F.col("id").alias("source"), F.col("name").alias("lang")), "source").groupBy("status", "lang").agg(
+        F.count(F.lit(1)).alias("n"))
