@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import rules
 from evigraph.functions import scalars as S
+from evigraph.session import cut
 
 NODE_COLUMNS = (
     "id", "name", "type", "risk", "confidence", "community", "description", "location", "last_seen", "aliases", "tags",
@@ -31,6 +32,10 @@ class EvidenceGraph:
     edges: DataFrame
     closed: bool = False
 
+    def staged(self) -> EvidenceGraph:
+        """Both tables written once, for operators that read the graph several times."""
+        return EvidenceGraph(cut(self.nodes, "nodes"), cut(self.edges, "edges"), self.closed)
+
     def restrict(self, nodes: DataFrame) -> EvidenceGraph:
         """The subgraph induced by ``nodes``."""
         ids = nodes.select("id")
@@ -392,7 +397,7 @@ def star_graph(tables, nodes, edges) -> EvidenceGraph:
         ))
     for name, key, foreign, target, label, observed in edges:
         row = F.concat_ws(":", F.lit(name), key)
-        fields = F.create_map(F.lit(foreign), F.col(foreign).cast("string"), F.lit(key), F.col(key).cast("string"))
+        fields = F.create_map(*[x for c in sorted({foreign, key}) for x in (F.lit(c), F.col(c).cast("string"))])
         edge_parts.append(tables[name].filter(F.col(foreign).isNotNull()).select(_edge(
             F.concat_ws(":", row, F.lit(foreign)), row, F.concat_ws(":", F.lit(target), foreign), label, 95, F.lit(False),
             row, S.record_digest(fields), F.lit("TABLE"),

@@ -17,6 +17,7 @@ from evigraph.functions import rules
 from evigraph.functions import scalars as S
 from evigraph.operators import graph as G
 from evigraph.operators.metrics import adjacency, edges_of
+from evigraph.session import cut
 
 MICROS = 1_000_000
 
@@ -39,6 +40,11 @@ def pattern_rows(records: DataFrame) -> DataFrame:
     return rows.withColumn("channel", S.source_channel(n, F.col("rid"))).drop("n")
 
 
+def staged_rows(records: DataFrame) -> DataFrame:
+    """``pattern_rows`` written once; five detectors read it, each its own columns."""
+    return cut(pattern_rows(records), "pattern-rows")
+
+
 def window_counts(df: DataFrame, keys: list[str], at: str, width: int, distinct_col: str | None = None,
                   distinct_values: tuple[str, ...] = ()) -> DataFrame:
     """For every distinct position ``at`` (BIGINT): rows in [at, at + width], their last position and value mask.
@@ -299,7 +305,7 @@ def emergence(records: DataFrame) -> DataFrame:
     One pass over first-seen days and running sums; nothing is rebuilt per day.
     The final window holds one row per calendar day.
     """
-    rows = pattern_rows(records)
+    rows = staged_rows(records)
     observed = G.observations(records).filter("event_ts IS NOT NULL").withColumn("day", F.to_date("event_ts"))
     mentioned = G.mentions(observed).withColumn("day", F.to_date("event_ts"))
     count = F.count(F.lit(1))
@@ -419,7 +425,7 @@ def validate_fusion(records: DataFrame, expected_patterns: DataFrame, expected_c
 
     ``expected_patterns`` has column id, ``expected_channels`` has channel and n.
     """
-    rows = pattern_rows(records)
+    rows = staged_rows(records)
     g = G.build_multisource_graph(records)
     channels = rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
     classified = channels.agg(F.sum(F.when(F.col("channel") != "OTHER", F.col("n")).otherwise(0)).alias("got"), F.sum("n").alias("wanted")).select(

@@ -40,6 +40,10 @@ def _rows(spark, sf_dir):
     return P.pattern_rows(E.event_records(spark, sf_dir))
 
 
+def _staged(spark, sf_dir):
+    return P.staged_rows(E.event_records(spark, sf_dir))
+
+
 @query("w01_densest_window", densest("(SELECT event_id AS seq, user_id, ts AS tt FROM events)", "user_id", 30, 2))
 def w01_densest_window(spark, sf_dir):
     events = E.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id", "ts")
@@ -128,13 +132,13 @@ SELECT pattern_id AS id, CASE WHEN pattern_id IN ('circular-fund-flow', 'cross-s
   count(*) AS n_evidence, list_sort(list(DISTINCT channel)) AS source_types, min(CAST(timestamp AS TIMESTAMP)) AS time_start, max(CAST(timestamp AS TIMESTAMP)) AS time_end
 FROM evidence JOIN ev USING (seq) GROUP BY 1"""))
 def w07_patterns(spark, sf_dir):
-    return P.detect_patterns(_rows(spark, sf_dir)).select("id", "severity", "confidence", "n_evidence", "source_types", "time_start", "time_end")
+    return P.detect_patterns(_staged(spark, sf_dir)).select("id", "severity", "confidence", "n_evidence", "source_types", "time_start", "time_end")
 
 
 @query("w07_evidence", with_(*_ALL[:3], PLACES, CONVERGE, NAMES, ROUTES, OBSERVED, _EVIDENCE, """
 SELECT pattern_id, identifier AS rid, channel, digest, CAST(timestamp AS TIMESTAMP) AS ts FROM evidence JOIN obs USING (seq)"""))
 def w07_evidence(spark, sf_dir):
-    return P.pattern_evidence(_rows(spark, sf_dir))
+    return P.pattern_evidence(_staged(spark, sf_dir))
 
 
 _DAYS = """days AS (SELECT CAST(ts AS DATE) AS day, count(*) AS new_records, list(DISTINCT channel) AS ch FROM ev GROUP BY 1),
@@ -146,9 +150,9 @@ firsts AS (
   UNION ALL SELECT 'rapid-split-transfer', min(CAST(tt AS DATE)) FROM (SELECT tt, tt - lag(tt) OVER (PARTITION BY source, target ORDER BY tt) AS gap FROM moves) WHERE gap <= INTERVAL 45 MINUTE
   UNION ALL SELECT 'cross-source-convergence', min(CAST(tt AS DATE)) FROM (SELECT tt, len(list_distinct(list(channel) OVER (PARTITION BY anchor ORDER BY tt RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW))) AS k FROM places) WHERE k >= 3
   UNION ALL SELECT 'cross-channel-bridge', CAST(min(t) AS DATE) FROM (SELECT key, list_sort(list(t))[4] AS t FROM (SELECT key, channel, min(tt) AS t FROM names GROUP BY 1, 2) GROUP BY 1)),
-asof AS (SELECT d.day, r.source, r.target, min(m.tt) AS lo, max(m.tt) AS hi FROM days d JOIN moves m ON CAST(m.tt AS DATE) <= d.day JOIN routes r ON r.source = m.source AND r.target = m.target
+hist AS (SELECT d.day, r.source, r.target, min(m.tt) AS lo, max(m.tt) AS hi FROM days d JOIN moves m ON CAST(m.tt AS DATE) <= d.day JOIN routes r ON r.source = m.source AND r.target = m.target
   WHERE EXISTS (SELECT 1 FROM tri WHERE ready - lo <= INTERVAL 48 HOUR AND ((a = r.source AND b = r.target) OR (b = r.source AND c = r.target) OR (c = r.source AND a = r.target))) GROUP BY ALL),
-cyc AS (SELECT DISTINCT x.day FROM (SELECT * FROM tri WHERE ready - lo <= INTERVAL 48 HOUR) t JOIN asof x ON x.source = a AND x.target = b JOIN asof y ON y.day = x.day AND y.source = b AND y.target = c JOIN asof z ON z.day = x.day AND z.source = c AND z.target = a
+cyc AS (SELECT DISTINCT x.day FROM (SELECT * FROM tri WHERE ready - lo <= INTERVAL 48 HOUR) t JOIN hist x ON x.source = a AND x.target = b JOIN hist y ON y.day = x.day AND y.source = b AND y.target = c JOIN hist z ON z.day = x.day AND z.source = c AND z.target = a
   WHERE greatest(x.hi, y.hi, z.hi) - least(x.lo, y.lo, z.lo) <= INTERVAL 48 HOUR),
 pat AS (SELECT day, list_sort(list(p)) AS patterns FROM (SELECT d.day, f.p FROM days d JOIN firsts f ON f.day <= d.day UNION ALL SELECT day, 'circular-fund-flow' FROM cyc) GROUP BY 1),
 res AS (SELECT d.day, new_records, sum(new_records) OVER o AS cumulative_records, sum(coalesce(nd.k, 0)) OVER o AS cumulative_nodes, sum(coalesce(ed.k, 0)) OVER o AS cumulative_edges,
@@ -165,7 +169,7 @@ def w08_emergence(spark, sf_dir):
 
 
 @query("u01_new_patterns", with_(*_EMERGE, """
-SELECT day, patterns, list_sort(list_filter(patterns, x -> NOT list_contains(before, x))) AS new_patterns
+SELECT day, patterns, list_sort(list_filter(patterns, lambda x: NOT list_contains(before, x))) AS new_patterns
 FROM (SELECT day, patterns, coalesce(lag(patterns) OVER (ORDER BY day), []) AS before FROM res)"""))
 def u01_new_patterns(spark, sf_dir):
     return P.emergence(E.event_records(spark, sf_dir)).select("day", "patterns", F.array_sort("new_patterns").alias("new_patterns"))
@@ -183,7 +187,7 @@ SELECT 'motif-' || m.person AS id, CASE WHEN gap <= 90 THEN 'rapid-repeat' ELSE
   name || ': ' || cases || ' linked incidents' AS title, m.person, cases, communities, coalesce(locations, 0) AS locations, gap AS minimum_gap_days,
   time_start, time_end, least(p.confidence, cc) AS confidence FROM m JOIN cnodes p ON p.id = m.person LEFT JOIN g USING (person) LEFT JOIN sp USING (person)"""))
 def w09_motifs(spark, sf_dir):
-    return P.person_motifs(E.crime_graph(spark, sf_dir))
+    return P.person_motifs(E.crime_graph(spark, sf_dir).staged())
 
 
 @query("w10_area", with_(CRIME, """top AS (SELECT target, count(*) AS cases FROM cedges WHERE label = 'OCCURRED_IN_BEAT' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
@@ -191,7 +195,7 @@ dom AS (SELECT n.name AS dominant, count(*) AS k FROM top JOIN cedges b ON b.tar
 SELECT 'motif-concentration-' || top.target AS id, 'area-concentration' AS type, 'high' AS severity, name || ': ' || cases || ' incident concentration' AS title, cases,
   dominant, k AS dominant_cases, confidence FROM top JOIN cnodes ON id = top.target, dom"""))
 def w10_area(spark, sf_dir):
-    return P.area_motif(E.crime_graph(spark, sf_dir))
+    return P.area_motif(E.crime_graph(spark, sf_dir).staged())
 
 
 @query("w13_validation", with_(MULTI, PAIRS, MOVES, PLACES, CONVERGE, NAMES, ROUTES, _EVIDENCE, """
