@@ -96,11 +96,13 @@ def normalise_keys(fields: Column) -> Column:
 
 
 def first_alias(norm: Column, aliases) -> Column:
-    """First alias with a non-blank value, as struct(alias, value); null when none."""
-    return F.coalesce(*[
-        F.when(F.trim(norm[a]) != "", F.struct(F.lit(a).alias("alias"), F.trim(norm[a]).alias("value")))
-        for a in aliases
-    ])
+    """First alias with a non-blank value, as struct(alias, value); null when none.
+
+    One small lambda over the alias list: spelling every alias out as its own
+    branch makes generated code so large that compiling it outweighs running it.
+    """
+    tried = F.transform(F.lit(list(aliases)), lambda a: F.struct(a.alias("alias"), F.trim(norm[a]).alias("value")))
+    return F.get(F.filter(tried, lambda x: x["value"] != ""), F.lit(0))
 
 
 def record_id(norm: Column, seq: Column) -> Column:

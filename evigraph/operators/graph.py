@@ -121,8 +121,8 @@ def _node(kind: str, key: Column, name: Column, entity_type: str, risk: Column,
     ]
 
 
-def crime_nodes(records: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
-    rows = crime_rows(records)
+def crime_nodes(rows: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
+    """Nodes from ``crime_rows``."""
     kept = F.col("case_number") != ""
     order = F.when(kept, F.col("seq"))  # null orderings lose, so counted rows without a case never write attributes
     total = F.count(F.lit(1))
@@ -198,8 +198,8 @@ def _edge(edge_id: Column, source: Column, target: Column, label, confidence, an
     )
 
 
-def crime_edges(records: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
-    rows = crime_rows(records)
+def crime_edges(rows: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
+    """Edges from ``crime_rows``."""
     subjects = repeat_counts(rows.filter(F.col("suspect") != ""), ["suspect"], "subject_uses")
     blocks = repeat_counts(rows.filter(F.col("block") != ""), ["block"], "block_uses")
     rows = rows.filter(F.col("case_number") != "").join(subjects, "suspect", "left").join(blocks, "block", "left")
@@ -228,7 +228,13 @@ def crime_edges(records: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
 
 
 def build_crime_graph(records: DataFrame, digits: int = rules.ID_HEX) -> EvidenceGraph:
-    return EvidenceGraph(crime_nodes(records, digits), crime_edges(records, digits), True)
+    """Graph of crime-schema records.
+
+    The typed rows are written once: six kinds of nodes and two counts read
+    them, each its own columns, and none repeats the extraction.
+    """
+    rows = cut(crime_rows(records), "crime-rows")
+    return EvidenceGraph(crime_nodes(rows, digits), crime_edges(rows, digits), True)
 
 
 # -- multi-source records ---------------------------------------------------
@@ -243,11 +249,11 @@ def observations(records: DataFrame) -> DataFrame:
         F.coalesce(S.first_alias(n, rules.KIND_ALIASES)["value"], F.lit("source record")).alias("kind"),
         S.first_alias(n, rules.GRAPH_TIME_ALIASES)["value"].alias("observed_at"),
         S.event_time(n).alias("event_ts"), S.generic_risk(F.col("fields"), n).alias("risk"),
-        S.record_digest(F.col("fields")).alias("digest"),
+        S.record_digest(F.col("fields")).alias("digest"), S.describe_fields(F.col("fields")).alias("description"),
         F.array(*[S.first_alias(n, aliases) for *_, aliases in rules.ROLES]).alias("roles"),
     )
     return base.select(
-        "seq", "fields", "identifier", "kind", "observed_at", "event_ts", "risk", "digest", "roles",
+        "seq", "identifier", "kind", "observed_at", "event_ts", "risk", "digest", "description", "roles",
         S.source_channel(n, F.col("identifier")).alias("channel"), S.bucket(F.col("identifier")).alias("community"),
     )
 
@@ -294,7 +300,7 @@ def entity_nodes(mentioned: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
 def event_nodes(observed: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
     """A repeated identifier is one event; the last record in source order describes it."""
     last = observed.groupBy("identifier").agg(F.max_by(F.struct(
-        "kind", "risk", "observed_at", "community", "channel", S.describe_fields(F.col("fields")).alias("description"),
+        "kind", "risk", "observed_at", "community", "channel", "description",
     ), "seq").alias("last")).select("identifier", "last.*")
     return last.select(*_node(
         "record", F.col("identifier"), F.concat(F.initcap("kind"), F.lit(" "), "identifier"), "event", F.col("risk"), digits,
@@ -338,7 +344,12 @@ def actor_edges(observed: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
 
 
 def build_multisource_graph(records: DataFrame, digits: int = rules.ID_HEX) -> EvidenceGraph:
-    observed = observations(records)
+    """Graph of multi-channel records.
+
+    Observations are written once; nodes, counts and edges read their columns
+    from there instead of matching aliases and hashing again.
+    """
+    observed = cut(observations(records), "observations")
     mentioned = mentions(observed)
     nodes = event_nodes(observed, digits).unionByName(entity_nodes(mentioned, digits))
     edges = mention_edges(mentioned, digits).unionByName(actor_edges(observed, digits))

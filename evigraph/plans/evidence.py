@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.operators import graph
-from evigraph.session import tune
+from evigraph.session import spread, tune
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,7 @@ def records_of(df: DataFrame, seq: str, columns) -> DataFrame:
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    events = spread(table(spark, sf_dir, "events")).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     return event_rows_of(events)
 
 
@@ -103,7 +103,7 @@ INCIDENT_FIELDS = {
 
 
 def incident_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     return orders.selectExpr("o_orderkey AS seq", *[f"{sql} AS `{name}`" for name, sql in INCIDENT_FIELDS.items()])
 
 
