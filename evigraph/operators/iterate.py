@@ -109,8 +109,7 @@ def connection_paths(g: EvidenceGraph, pairs: DataFrame, max_hops: int = 8) -> t
     both = F.array(F.struct(F.col("source").alias("node"), F.col("target").alias("nbr"), F.lit(True).alias("forward")),
                    F.struct(F.col("target").alias("node"), F.col("source").alias("nbr"), F.lit(False).alias("forward")))
     hops = e.select(F.col("id").alias("edge_id"), "confidence", cost.alias("w"), F.explode(both).alias("h")).select("edge_id", "confidence", "w", "h.*")
-    hops = cut(hops.filter("node <> nbr").groupBy("node", "nbr").agg(F.min(F.struct("w", "edge_id", "confidence", "forward")).alias("e"))
-               .select("node", "nbr", "e.*"), "hops")
+    hops = hops.filter("node <> nbr")  # parallel edges are settled per label below, so the graph itself is never shuffled for them
     asked = cut(pairs.select("pair_id", "source", "target"), "pairs")
     layer = asked.select("pair_id", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("cost"), F.lit(0).alias("hop"),
                          *[F.lit(None).cast(t).alias(n) for n, t in (("prev", "string"), ("edge_id", "string"), ("confidence", "int"), ("forward", "boolean"))])
