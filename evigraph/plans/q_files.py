@@ -190,7 +190,7 @@ def s02_json_records(spark, sf_dir):
     docs = rows.groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(F.struct(*rows.columns)).alias("records"))).alias("value"))
     docs.select("value").repartition(4).write.option("lineSep", "\n").text(path)
     split = scratch_path(spark, "json-docs")
-    spark.read.text(path).repartition(25, "value").write.partitionBy().text(split)
+    spark.read.text(path).repartition(25, "value").write.text(split)
     records = R.read_json_lines(spark, _flatten_documents(spark, split), key="c_custkey")
     return _customer_fields(records)
 
@@ -230,9 +230,6 @@ def s04_xml_records(spark, sf_dir):
     return _customer_fields(R.read_xml_records(spark, path, "record", key="c_custkey"))
 
 
-_TRIPLES = """tr AS (
-  SELECT 'c' AS k, case_number AS v FROM inc UNION ALL SELECT 'cn', case_number FROM inc UNION ALL SELECT 'dt', case_number FROM inc UNION ALL SELECT 'yr', case_number FROM inc
-  UNION ALL SELECT 'ar', case_number FROM inc UNION ALL SELECT 'dm', case_number FROM inc)"""
 _TRIPLE_COUNTS = """SELECT CAST(
   6 * count(DISTINCT case_number)
   + 10 * count(DISTINCT case_number) + count(DISTINCT case_number) FILTER (suspect_name <> '')
