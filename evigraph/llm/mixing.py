@@ -45,9 +45,14 @@ def words(text: Column) -> Column:
     return F.length(F.regexp_replace(gapless, r"[\x20\x09-\x0D]++", "")).cast("long")
 
 
+def drawn_key(*parts: Column) -> Column:
+    """A number of 52 bits from the MD5 of the parts, the same in every engine."""
+    return F.conv(F.substr(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), F.lit(1), F.lit(13)), 16, 10).cast("long")
+
+
 def unit_hash(*parts: Column) -> Column:
     """A double in [0, 1) from a hash."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(2.0**53)
+    return drawn_key(*parts) / F.lit(2.0**52)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, repeats: float = 3.0) -> DataFrame:
@@ -122,7 +127,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, repeats: float = 3.0, shards: int = 16, seed: int = 11) -> DataFrame:
     """``df`` with ``size``, ``source_size``, ``target`` and ``copies``: array<struct<shard, pass, place>>, one entry per time the mix takes the row."""
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ADDED]
-    spot = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+    spot = drawn_key(F.lit(seed), F.col(key), F.col(text))
     own = df.select(*kept, F.col(source).alias("__source"), spot.alias("__spot"), words(F.col(text)).alias("size"))
     # fine blocks first: they hold all that the plan needs to know about the rows
     fine = cut(own.groupBy(F.col("__source").alias("source"), F.pmod(F.col("__spot"), F.lit(BLOCKS)).cast("int").alias("fine")).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")), "mix-fine")
@@ -134,7 +139,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     coarse = fine.join(sources.select("source", "rank", "blocks", "full", "rest"), fine["source"].eqNullSafe(sources["source"])).select("rank", "full", "rest", block("fine", "blocks").alias("block"), fine["words"])
     coarse = coarse.groupBy("rank", "full", "rest", "block").agg(F.sum("words").alias("words"))
     # the last pass: whole blocks in permuted order while they fit, the next one in part
-    permuted = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed), F.lit("block"), "rank", "block"), "block")
+    permuted = Window.partitionBy("rank").orderBy(drawn_key(F.lit(seed), F.lit("block"), F.col("rank"), F.col("block")), "block")
     laid = cut(coarse.withColumn("until", F.sum("words").over(permuted)).withColumn("room", F.greatest(F.lit(0), F.col("rest") - (F.col("until") - F.col("words")))), "mix-blocks")
     passes = F.when((F.col("room") > 0) & (F.col("words") > 0), F.sequence(F.lit(0), F.col("full"))).otherwise(F.when(F.col("full") > 0, F.sequence(F.lit(0), F.col("full") - 1)))
     units = laid.where("words > 0").select("rank", "block", F.explode(passes).alias("pass"), (F.col("words") <= F.col("room")).alias("whole"), "room", "full")
@@ -143,7 +148,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     dealt = split_tree(quotas, shards, seed)
     upto = Window.partitionBy("rank").orderBy("shard")
     ranges = dealt.withColumn("until", F.sum("quota").over(upto)).withColumn("from", F.col("until") - F.col("quota"))
-    numbered = units.withColumn("n", F.row_number().over(Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed), F.lit("unit"), "rank", "pass", "block"), "pass", "block")) - 1)
+    numbered = units.withColumn("n", F.row_number().over(Window.partitionBy("rank").orderBy(drawn_key(F.lit(seed), F.lit("unit"), F.col("rank"), F.col("pass"), F.col("block")), "pass", "block")) - 1)
     dealt_units = _in_range(numbered, ranges)
     plan = cut(dealt_units.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "room"))).alias("units")), "mix-plan")
     per_source = sources.select(F.col("source").alias("__s"), "rank", "blocks", F.col("words").alias("source_size"), "target")
@@ -152,12 +157,12 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     part = plan.select(F.col("rank").alias("__rank"), F.col("block").alias("__part"), F.expr("get(filter(units, u -> u.room is not null), 0).room").alias("__room")).where("__room is not null")
     ordered = placed.select("rank", "__block", "__spot", "size").join(part, (F.col("rank") == F.col("__rank")) & (F.col("__block") == F.col("__part"))).where("size > 0")
     alike = ordered.groupBy("rank", "__block", "__spot", "__room").agg(F.sum("size").alias("size"))
-    running = F.sum("size").over(Window.partitionBy("rank", "__block").orderBy(F.xxhash64(F.lit(seed), F.lit("row"), "__spot"), "__spot"))
+    running = F.sum("size").over(Window.partitionBy("rank", "__block").orderBy(drawn_key(F.lit(seed), F.lit("row"), F.col("__spot")), "__spot"))
     fits = cut(alike.withColumn("until", running).where("until <= __room").select(F.col("rank").alias("__r"), F.col("__spot").alias("__fit")), "mix-part")
     joined = (placed.join(plan.select(F.col("rank").alias("__rank"), F.col("block").alias("__b"), "units"), (F.col("rank") == F.col("__rank")) & (F.col("__block") == F.col("__b")), "left")
               .join(fits, (F.col("rank") == F.col("__r")) & (F.col("__spot") == F.col("__fit")), "left"))
     taken = F.filter(F.col("units"), lambda u: u["room"].isNull() | F.col("__fit").isNotNull())
-    copies = F.transform(taken, lambda u: F.struct(u["shard"].alias("shard"), u["pass"].alias("pass"), F.xxhash64(F.lit(seed), u["shard"], u["pass"], F.col("__spot")).alias("place")))
+    copies = F.transform(taken, lambda u: F.struct(u["shard"].alias("shard"), u["pass"].alias("pass"), drawn_key(F.lit(seed), u["shard"], u["pass"], F.col("__spot")).alias("place")))
     none = F.from_json(F.lit("[]"), "array<struct<shard: int, pass: int, place: long>>")
     return joined.select(*kept, "size", "source_size", "target", F.when((F.col("size") > 0) & F.col("units").isNotNull(), copies).otherwise(none).alias("copies"))
 

@@ -1,3 +1,124 @@
-"""Checking SQL of the pipeline operators, for DuckDB over the driver tables."""
+"""Checking SQL of the pipeline operators, for DuckDB over the driver tables.
 
+Written from the contracts with plain regular expressions (no possessive forms), row lists and
+windows; the only values shared with the operators are their published parameters.
+"""
+
+from __future__ import annotations
+
+from evigraph.llm import pii, secrets
+
+WORD = r"[^\x20\x09-\x0D]+"
 ORACLES: dict[str, str] = {}
+
+ORACLES["op2_hamming_topk"] = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN 1 ELSE 0 END) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, list_sum(list_transform(list_zip(q.bits, v.bits), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS distance
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10"""
+
+ORACLES["op3_mix"] = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+                  CAST('0x' || substr(md5(concat_ws('|', 11, doc_id, text)), 1, 13) AS BIGINT) AS spot FROM documents),
+s0 AS (SELECT source, count(*) AS n, sum(size)::BIGINT AS words FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM s0),
+s2 AS (SELECT *, ((rank - 1) % 3 + 1)::DOUBLE AS weight FROM s1),
+s3 AS (SELECT *, row_number() OVER o AS place,
+              (sum(words) OVER () * 1.0::DOUBLE - 3.0::DOUBLE * coalesce(sum(words) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS rate
+       FROM s2 WINDOW o AS (ORDER BY words / weight, rank), b AS (ORDER BY words / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s4 AS (SELECT *, (SELECT min(place) FROM s3 WHERE rate * weight < 3.0 * words) AS stop FROM s3),
+s5 AS (SELECT *, CASE WHEN stop IS NULL OR place < stop THEN 3.0::DOUBLE * words ELSE weight * (SELECT max(rate) FROM s4 WHERE place = stop) END AS target FROM s4),
+s6 AS (SELECT *, least(65536, CAST(ceil(n / 128) AS BIGINT)) AS blocks, CASE WHEN words > 0 THEN CAST(floor(target / words) AS BIGINT) ELSE 0 END AS full_passes FROM s5),
+s7 AS (SELECT *, CAST(floor(target - full_passes * words) AS BIGINT) AS rest FROM s6),
+p AS (SELECT d.*, s7.rank, s7.words AS source_size, s7.target, s7.full_passes, s7.rest, (d.spot % 65536) * s7.blocks // 65536 AS block FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source),
+b0 AS (SELECT rank, block, rest, sum(size)::BIGINT AS words FROM p GROUP BY ALL),
+b1 AS (SELECT *, sum(words) OVER (PARTITION BY rank ORDER BY CAST('0x' || substr(md5(concat_ws('|', 11, 'block', rank, block)), 1, 13) AS BIGINT), block) AS until FROM b0),
+b2 AS (SELECT rank, block, words, greatest(0, rest - (until - words)) AS room FROM b1),
+a AS (SELECT p.rank, p.block, p.spot, any_value(b2.room) AS room, sum(size) AS size FROM p JOIN b2 USING (rank, block) WHERE size > 0 AND room > 0 AND room < words GROUP BY ALL),
+f AS (SELECT rank, block, spot FROM (SELECT *, sum(size) OVER (PARTITION BY rank, block ORDER BY CAST('0x' || substr(md5(concat_ws('|', 11, 'row', spot)), 1, 13) AS BIGINT), spot) AS until FROM a) WHERE until <= room)
+SELECT p.doc_id, p.size::BIGINT AS size, p.source_size, p.target,
+       (p.size * (p.full_passes + CASE WHEN b2.room >= b2.words OR f.spot IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p JOIN b2 USING (rank, block) LEFT JOIN f ON p.rank = f.rank AND p.block = f.block AND p.spot = f.spot"""
+
+
+def found(kind: str, rank: int, pattern: str, passes: str = "true") -> str:
+    """Rows (doc_id, kind, rank, s, e, val, lft, rgt) of leftmost non-overlapping matches."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT * FROM (SELECT doc_id, '{kind}' AS kind, {rank} AS rank,
+  sum(len(gap)) OVER w + sum(len(val)) OVER w - len(val) AS s, sum(len(gap)) OVER w + sum(len(val)) OVER w AS e, val, right(gap, 48) AS lft, left(lead(gap) OVER (PARTITION BY doc_id ORDER BY i), 48) AS rgt
+  FROM (SELECT doc_id, unnest(range(len(gaps))) AS i, unnest(gaps) AS gap, unnest(vals) AS val FROM (SELECT doc_id, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS vals FROM t))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE val IS NOT NULL AND ({passes})"""
+
+
+def listing(counted: tuple[str, ...], alias: str) -> str:
+    """The digest columns of a table of spans."""
+    names = ", ".join(f"'{k}'" for k in counted)
+    text = "kind || ':' || s || ':' || e"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in counted)
+    return f"""SELECT doc_id, {counts}, sha256(coalesce(string_agg({text}, ',' ORDER BY s, rank) FILTER (kind IN ({names})), '')) AS base_sha256,
+coalesce(string_agg({text}, ',' ORDER BY s, rank), '') AS spans FROM (SELECT doc_id, kind, rank, s, e FROM t LEFT JOIN {alias} USING (doc_id)) GROUP BY doc_id"""
+
+
+_T = "t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_terms = "[" + ", ".join(map(str, secrets.TERMS)) + "]"
+_allowed = "|".join(f"(?:{p})" for p in secrets.ALLOWED)
+
+ORACLES["op5_secrets"] = rf"""
+WITH {_T},
+base AS ({found("assign", 0, _ASSIGN, "len(regexp_extract(val, '" + _ASSIGN.replace("'", "''") + "', 2)) >= 8")} UNION ALL {found("access", 1, "AKIA[A-Z0-9]+", "len(val) >= 16")} UNION ALL {found("hex", 2, "[0-9a-f]+", "len(val) >= 32")}),
+runs AS ({found("entropy", 3, "[A-Za-z0-9+/_=-]{20,}", "regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND NOT regexp_matches(val, '" + _allowed + "')")}),
+windows AS (SELECT doc_id, s, val, unnest(range(len(val) - 19)) AS k FROM runs),
+sums AS (SELECT doc_id, s, k, CASE WHEN regexp_matches(val, '^[0-9A-Fa-f]+$') THEN {secrets.limit_sum(3.0)} ELSE {secrets.limit_sum(3.6)} END AS most,
+         list_sum(list_transform(map_values(list_aggregate(string_split(substr(val, k + 1, 20), ''), 'histogram')), lambda c: ({_terms})[c::BIGINT + 1])) AS total FROM windows),
+hot AS (SELECT doc_id, 'entropy' AS kind, 3 AS rank, s + min(k) AS s, s + max(k) + 20 AS e FROM sums WHERE total <= most GROUP BY doc_id, sums.s),
+spans AS (SELECT doc_id, kind, rank, s, e FROM base UNION ALL SELECT * FROM hot)
+{listing(("assign", "access", "hex"), "spans")}"""
+
+_LUHN = "list_sum(list_transform(range(len(digits)), lambda i: CASE WHEN i % 2 = 1 THEN 2 * digits[len(digits) - i]::INT - CASE WHEN digits[len(digits) - i]::INT > 4 THEN 9 ELSE 0 END ELSE digits[len(digits) - i]::INT END)) % 10 = 0"
+_DIGITS = "string_split(regexp_replace(val, '[^0-9]', '', 'g'), '')"
+_IBAN = "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(val, ' ', ''), 5) || substr(replace(val, ' ', ''), 1, 4), ''), lambda c: ascii(c))), lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1"
+
+ORACLES["op8_pii"] = rf"""
+WITH {_T},
+spans AS ({found("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")}
+UNION ALL {found("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(val, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS BIGINT), 0) > 255)) = 0")}
+UNION ALL {found("card", 2, r"[0-9]([\x20-]?[0-9])+", "len(" + _DIGITS + ") BETWEEN 12 AND 19 AND " + _LUHN.replace("digits", _DIGITS))}
+UNION ALL {found("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", "len(" + _DIGITS + ") BETWEEN 9 AND 15")}
+UNION ALL {found("iban", 4, r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", _IBAN + " AND NOT regexp_matches(lft, '[A-Za-z0-9]$') AND NOT regexp_matches(rgt, '^[A-Za-z0-9]')")}
+UNION ALL {found("ssn", 5, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT regexp_matches(val, '^(?:000|666|9)|-00-|-0000$') AND NOT regexp_matches(lft, '[0-9-]$') AND NOT regexp_matches(rgt, '^[0-9-]') AND regexp_matches(lower(lft || ' ' || left(rgt, 24)), '" + pii.WORDS["ssn"] + "')")})
+{listing(pii.BASE, "spans")}"""
+
+ORACLES["op7_chat"] = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+k AS (SELECT *, len(regexp_extract_all(text, '{WORD}')) + 4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+             23 + len(role) + len(text) + len(regexp_replace(role || text, '[^<\[\\]', '', 'g')) AS n FROM c),
+p AS (SELECT *, sum(tokens) OVER w - tokens AS start, sum((tokens > 384)::INT) OVER w AS big FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+q AS (SELECT *, start // 384 + 2 * big - (tokens > 384)::INT AS win, pos = 1 AND role = 'system' AS sys FROM p),
+w AS (SELECT conv_id, win, min(pos) AS p0, min(start) AS s0 FROM q GROUP BY ALL HAVING min(pos) > 1),
+again AS (SELECT w.conv_id, q.n FROM w JOIN q ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND (q.sys OR q.pos BETWEEN w.p0 - 2 AND w.p0 - 1 AND w.s0 - q.start <= 256)),
+f AS (SELECT conv_id, sum(n) AS n FROM (SELECT conv_id, n FROM q UNION ALL SELECT * FROM again) GROUP BY conv_id),
+r AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS whole, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss FROM q GROUP BY conv_id)
+SELECT r.conv_id, n_turns, sha256(whole) AS turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, f.n::BIGINT AS formatted_chars FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id"""
+
+ORACLES["op9_quality"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM t WHERE len(w) > 2),
+h AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM g),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM h) WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+m AS (SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             coalesce(dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words FROM t LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > n_words OR 10 * n_dup_lines > 5 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept FROM m"""
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: ('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[1 + ((CAST('0x' || substr(hex, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31)]), 'string_agg', '') AS payload_digest,
+  CASE WHEN best IS NULL OR page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM q"""

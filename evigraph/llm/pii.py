@@ -24,8 +24,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: Characters that may not touch a span of these kinds.
+TOUCH = {"iban": "[A-Za-z0-9]", "ssn": "[0-9-]"}
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 #: Score of a confirmed span, and the words that raise it.
@@ -75,8 +77,12 @@ def found(df: DataFrame, text: str = "text") -> DataFrame:
     kinds = []
     for rank, kind in enumerate(KINDS):
         pattern, check, screen = _checks()[kind]
-        spans = _scored(matches(F.col("__text"), pattern, check, screen, CONTEXT), kind, rank)
-        kinds.append(spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE))
+        spans = matches(F.col("__text"), pattern, check, screen, CONTEXT)
+        if kind in BASE:
+            kinds.append(_scored(spans, kind, rank))
+            continue
+        apart = F.filter(spans, lambda s: ~s["left"].rlike(TOUCH[kind] + "$") & ~s["right"].rlike("^" + TOUCH[kind]))
+        kinds.append(F.filter(_scored(apart, kind, rank), lambda s: s["score"] >= LEAST_SCORE))
     return df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__text")).select(*kept, F.array_sort(F.concat(*kinds)).alias("pii"))
 
 
