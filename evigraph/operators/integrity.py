@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions import rules
 from evigraph.functions import scalars as S
 from evigraph.operators.ranking import numbered, rank_by
+from evigraph.session import cut
 
 
 def _around() -> tuple[Column, Column]:
@@ -33,10 +34,11 @@ def seal_chain(events: DataFrame, chain: str, order: list[str], block: int = 100
     """Number the events of each chain and link them by SHA-256.
 
     ``events`` has timestamp, actor, action, target (strings) and details (map).
-    A chain is numbered from one and cut into blocks of ``block`` entries.  Inside
-    a block each entry hashes its predecessor; the first entry of a block hashes
-    the genesis value, and ``chain_heads`` links the blocks.  Blocks are folded
-    in parallel, so one very long chain is no single task.
+    A chain is numbered from one and sealed in levels: inside a block of ``block``
+    entries each entry hashes its predecessor and the first one the genesis value;
+    ``chain_roots`` seals the block heads in the same way, level by level, until one
+    root per chain.  Blocks of a level are folded in parallel, so a chain of any
+    length is no single task and every entry is under the root.
     """
     rows = numbered(events, [chain], order, "sequence")
     rows = rows.withColumn("block", F.floor((F.col("sequence") - 1) / block))
@@ -58,38 +60,59 @@ def seal_chain(events: DataFrame, chain: str, order: list[str], block: int = 100
     return flat.select(chain, "block", "z.items.entry.*", previous.alias("previous_hash"), F.col("z.hashes").alias("hash"))
 
 
-def chain_heads(entries: DataFrame, chain: str) -> DataFrame:
-    """One row per block: entries, last hash, and a digest that covers all blocks so far.
+def chain_levels(entries: DataFrame, chain: str, block: int = 1000) -> list[DataFrame]:
+    """Heads of each level as (chain, number, entries, head); the last level has one row per chain.
 
-    The running digest is a hash of order-free sums, so it needs no serial pass
-    over the entries; blocks are a thousandth of them.
+    A head of the next level folds up to ``block`` heads: each step hashes the hash
+    before it, the head's number, its entries and its hash.  The driver reads one
+    number per level.
     """
-    heads = entries.groupBy(chain, "block").agg(F.count(F.lit(1)).alias("entries"), F.max_by("hash", "sequence").alias("head"))
-    run = Window.partitionBy(chain).orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = F.conv(F.substring(F.sha2(F.concat_ws(":", "block", "head"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return heads.withColumn("chain_digest", F.sha2(F.concat_ws(":", F.sum("entries").over(run), F.sum(part).over(run)), 256))
-
-
-def verify_chain(entries: DataFrame, chain: str) -> DataFrame:
-    """Every violated rule of every entry, as (chain, sequence, reason).
-
-    An entry is compared with the entry one number earlier through an equi-join,
-    so verification is parallel within a chain as well.
+    last = entries.groupBy(chain, "sequence", "block").agg(F.min("hash").alias("hash"))  # of repeated entries one counts
+    heads = last.groupBy(chain, F.col("block").alias("number")).agg(F.count(F.lit(1)).alias("entries"), F.max_by("hash", "sequence").alias("head"))
+    levels = [cut(heads, "heads")]
+    while True:
+        step = lambda acc, x: F.sha2(F.concat_ws(":", acc, x["number"].cast("string"), x["entries"].cast("string"), x["head"]), 256)
+        group = levels[-1].groupBy(chain, F.floor(F.col("number") / block).alias("upper")).agg(
+            F.sum("entries").alias("entries"), F.array_sort(F.collect_list(F.struct("number", "entries", "head"))).alias("items"))  # at most ``block`` heads
+        levels.append(cut(group.select(chain, F.col("upper").alias("number"), "entries", F.aggregate("items", F.lit(rules.GENESIS_HASH), step).alias("head")), "heads"))
+        if not levels[-1].agg(F.coalesce(F.max("number"), F.lit(0)).alias("n")).first()["n"]:
+            return levels
+
+
+def chain_roots(entries: DataFrame, chain: str, block: int = 1000) -> DataFrame:
+    """(chain, entries, root): what is stored apart from a sealed chain to verify it later."""
+    return chain_levels(entries, chain, block)[-1].select(chain, "entries", F.col("head").alias("root"))
+
+
+def verify_chain(entries: DataFrame, chain: str, roots: DataFrame | None = None, block: int = 1000) -> DataFrame:
+    """Every violated rule, as (chain, sequence, reason).
+
+    Entries must be numbered 1, 2, 3, ... without gap or repetition; an entry at the
+    start of a block follows the genesis value, any other the entry one number
+    earlier, found through an equi-join, so verification is parallel within a chain
+    as well.  Given stored ``roots`` (from ``chain_roots``), a chain whose own root or
+    number of entries differs, or of which nothing is left, is reported with a null
+    sequence: a lost tail shows only there.
     """
-    count = entries.groupBy(chain, "block", "sequence").agg(F.count(F.lit(1)).alias("copies"), F.first("hash").alias("before"))
-    before = count.select(chain, "block", (F.col("sequence") + 1).alias("sequence"), "before")
-    here = entries.join(count.select(chain, "block", "sequence", "copies"), [chain, "block", "sequence"]).join(
-        before, [chain, "block", "sequence"], "left")
-    first = here.groupBy(chain, "block").agg(F.min("sequence").alias("opening"))
-    here = here.join(first, [chain, "block"])
-    opens = F.col("sequence") == F.col("opening")
+    count = entries.groupBy(chain, "sequence").agg(F.count(F.lit(1)).alias("copies"), F.min("hash").alias("before"))
+    before = count.select(chain, (F.col("sequence") + 1).alias("sequence"), "before")
+    here = entries.join(count.select(chain, "sequence", "copies"), [chain, "sequence"]).join(before, [chain, "sequence"], "left")
+    opens = (F.col("sequence") - 1) % block == 0
     expected = F.when(opens, F.lit(rules.GENESIS_HASH)).otherwise(F.col("before"))
+    gap = (F.col("sequence") != 1) & F.col("before").isNull()
+    misplaced = F.col("block") != F.floor((F.col("sequence") - 1) / block)
     reasons = F.filter(F.array(
-        F.when((F.col("copies") > 1) | (~opens & F.col("before").isNull()), "sequence mismatch"),
+        F.when((F.col("copies") > 1) | gap | misplaced | (F.col("sequence") < 1), "sequence mismatch"),
         F.when(~F.coalesce(F.col("previous_hash") == expected, F.lit(False)), "previous hash mismatch"),
         F.when(F.col("hash") != entry_hash(F.col("previous_hash")), "content hash mismatch"),
     ), lambda r: r.isNotNull())
-    return here.select(chain, "sequence", F.explode_outer(reasons).alias("reason")).filter("reason IS NOT NULL")
+    found = here.select(chain, "sequence", F.explode_outer(reasons).alias("reason")).filter("reason IS NOT NULL")
+    if roots is None:
+        return found
+    now = chain_roots(entries, chain, block).withColumnsRenamed({"entries": "entries_now", "root": "root_now"})
+    same = F.coalesce((F.col("entries") == F.col("entries_now")) & (F.col("root") == F.col("root_now")), F.lit(False))
+    broken = roots.join(now, chain, "full").filter(~same).select(chain, F.lit(None).cast("bigint").alias("sequence"), F.lit("root mismatch").alias("reason"))
+    return found.unionByName(broken)
 
 
 def recent(entries: DataFrame, n: int, order=("sequence",)) -> DataFrame:

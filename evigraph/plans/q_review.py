@@ -256,34 +256,68 @@ def audit_events(spark, sf_dir):
         F.col("event_type").alias("action"), F.concat(F.lit("event-"), "event_id").alias("target"), F.create_map(F.lit("props"), "props").alias("details"), "event_id")
 
 
+BLOCK = 20  # chains of the test tables hold several blocks
+
+
 def sealed(spark, sf_dir):
-    return cut(H.seal_chain(audit_events(spark, sf_dir), "chain", ["timestamp", "event_id"]), "sealed")
+    return cut(H.seal_chain(audit_events(spark, sf_dir), "chain", ["timestamp", "event_id"], BLOCK), "sealed")
 
 
 _CHAIN = """e AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
   'user-' || user_id AS actor, event_type AS action, 'event-' || event_id AS target,
   '{"action":"' || event_type || '","actor":"user-' || user_id || '","details":{"props":"' || replace(props, '"', '\\"') || '"},"previous_hash":"' AS head FROM events),
 b AS (SELECT *, '","sequence":' || sequence || ',"target":"' || target || '","timestamp":"' || timestamp || '"}' AS tail FROM e),
-c AS (SELECT chain, sequence, target, repeat('0', 64) AS previous_hash, sha256(head || repeat('0', 64) || tail) AS hash FROM b WHERE (sequence - 1) % 1000 = 0
-  UNION ALL SELECT b.chain, b.sequence, b.target, c.hash, sha256(b.head || c.hash || b.tail) FROM c JOIN b ON b.chain = c.chain AND b.sequence = c.sequence + 1 AND (b.sequence - 1) % 1000 <> 0)"""
-
-
-@query("h02_sealed_chain", with_(_CHAIN, "SELECT * FROM c"))
+c AS (SELECT chain, sequence, action, target, repeat('0', 64) AS previous_hash, sha256(head || repeat('0', 64) || tail) AS hash FROM b WHERE (sequence - 1) % 20 = 0
+  UNION ALL SELECT b.chain, b.sequence, b.action, b.target, c.hash, sha256(b.head || c.hash || b.tail) FROM c JOIN b ON b.chain = c.chain AND b.sequence = c.sequence + 1 AND (b.sequence - 1) % 20 <> 0)"""
+# levels above the entries: heads of blocks, then heads of groups of 20 heads, as often as a chain needs
+_LEVELS = """h0 AS (SELECT chain, (sequence - 1) // 20 AS number, count(*) AS entries, max_by(hash, sequence) AS head FROM c GROUP BY ALL),
+up AS (SELECT 0 AS level, chain, number, entries, head, entries AS total, sha256(repeat('0', 64) || ':' || number || ':' || entries || ':' || head) AS acc FROM h0 WHERE number % 20 = 0
+  UNION ALL SELECT 0, h0.chain, h0.number, h0.entries, h0.head, up.total + h0.entries, sha256(up.acc || ':' || h0.number || ':' || h0.entries || ':' || h0.head)
+  FROM up JOIN h0 ON h0.chain = up.chain AND h0.number = up.number + 1 AND h0.number % 20 <> 0),
+h1 AS (SELECT chain, number // 20 AS number, max(total) AS entries, max_by(acc, number) AS head FROM up GROUP BY ALL),
+top AS (SELECT chain, number, entries, total, acc FROM (SELECT chain, number, entries, entries AS total, sha256(repeat('0', 64) || ':' || number || ':' || entries || ':' || head) AS acc FROM h1 WHERE number % 20 = 0)
+  UNION ALL SELECT h1.chain, h1.number, h1.entries, top.total + h1.entries, sha256(top.acc || ':' || h1.number || ':' || h1.entries || ':' || h1.head)
+  FROM top JOIN h1 ON h1.chain = top.chain AND h1.number = top.number + 1 AND h1.number % 20 <> 0),
+h2 AS (SELECT chain, max(total) AS entries, max_by(acc, number) AS head FROM top GROUP BY ALL)"""
+
+
+@query("h02_sealed_chain", with_(_CHAIN, "SELECT chain, sequence, target, previous_hash, hash FROM c"))
 def h02_sealed_chain(spark, sf_dir):
-    return H.seal_chain(audit_events(spark, sf_dir), "chain", ["timestamp", "event_id"]).select("chain", "sequence", "target", "previous_hash", "hash")
+    return H.seal_chain(audit_events(spark, sf_dir), "chain", ["timestamp", "event_id"], BLOCK).select("chain", "sequence", "target", "previous_hash", "hash")
 
 
-@query("h02_chain_heads")
+@query("h02_chain_heads", with_(_CHAIN, _LEVELS, """SELECT 0 AS level, chain, number, entries, head FROM h0
+  UNION ALL SELECT 1, chain, number, entries, head FROM h1
+  UNION ALL SELECT 2, chain, 0, entries, head FROM h2 WHERE (SELECT max(number) FROM h1) > 0"""))
 def h02_chain_heads(spark, sf_dir):
-    return H.chain_heads(sealed(spark, sf_dir), "chain")
-
-
-@query("h03_verify", """SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, event_type = 'error' AS tampered FROM events QUALIFY tampered""")
+    """Heads of every level up to the roots (the SQL follows three levels, 8,000 entries a chain)."""
+    levels = [df.select(F.lit(i).alias("level"), "chain", "number", "entries", "head") for i, df in enumerate(H.chain_levels(sealed(spark, sf_dir), "chain", BLOCK))]
+    out = levels[0]
+    for df in levels[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+@query("h03_verify", with_(_CHAIN, """a AS (SELECT chain, CASE WHEN chain % 5 = 2 AND sequence = 3 THEN 4 WHEN chain % 5 = 2 AND sequence = 4 THEN 3 ELSE sequence END AS sequence, sequence AS was,
+    (sequence - 1) // 20 AS block, previous_hash, hash, action = 'error' AS changed FROM c WHERE NOT (chain % 5 = 0 AND sequence BETWEEN 21 AND 40) AND NOT (chain % 5 = 3 AND sequence = 9)),
+t AS (SELECT * FROM a WHERE NOT (chain % 5 = 4 AND sequence > 50) UNION ALL SELECT * FROM a WHERE chain % 5 = 1 AND sequence = 7),
+n AS (SELECT chain, sequence, count(*) AS copies, min(hash) AS hash FROM t GROUP BY ALL),
+v AS (SELECT t.*, n.copies, p.hash AS before FROM t JOIN n USING (chain, sequence) LEFT JOIN n p ON p.chain = t.chain AND p.sequence = t.sequence - 1),
+touched AS (SELECT chain FROM c GROUP BY chain HAVING (chain % 5 = 0 AND max(sequence) > 20) OR (chain % 5 = 3 AND max(sequence) >= 9) OR (chain % 5 = 4 AND max(sequence) > 50) OR (chain % 5 = 2 AND max(sequence) = 4))""", """
+SELECT chain, sequence, 'sequence mismatch' AS reason, count(*) AS n FROM v WHERE copies > 1 OR (sequence > 1 AND before IS NULL) GROUP BY ALL
+UNION ALL SELECT chain, sequence, 'previous hash mismatch', count(*) FROM v WHERE previous_hash IS DISTINCT FROM CASE WHEN (sequence - 1) % 20 = 0 THEN repeat('0', 64) ELSE before END GROUP BY ALL
+UNION ALL SELECT chain, sequence, 'content hash mismatch', count(*) FROM v WHERE changed OR sequence <> was GROUP BY ALL
+UNION ALL SELECT chain, NULL, 'root mismatch', 1 FROM touched"""))
 def h03_verify(spark, sf_dir):
-    """Entries of failed actions are altered after sealing; verification names exactly those."""
+    """After sealing, entries are altered, a whole block, one entry and the tail of a chain removed, one repeated and two swapped."""
     entries = sealed(spark, sf_dir)
+    roots = H.chain_roots(entries, "chain", BLOCK)
+    kind, n = F.col("chain") % 5, F.col("sequence")
     altered = entries.withColumn("target", F.when(F.col("action") == "error", F.concat("target", F.lit("x"))).otherwise(F.col("target")))
-    return H.verify_chain(altered, "chain").groupBy("chain", "sequence").agg((F.min("reason") == "content hash mismatch").alias("tampered"))
+    altered = altered.filter(~((kind == 0) & n.between(21, 40)) & ~((kind == 3) & (n == 9)))
+    altered = altered.withColumn("sequence", F.when((kind == 2) & (n == 3), 4).when((kind == 2) & (n == 4), 3).otherwise(n).cast("bigint"))
+    altered = altered.filter(~((kind == 4) & (n > 50))).unionByName(altered.filter((kind == 1) & (n == 7)))
+    return H.verify_chain(altered, "chain", roots, BLOCK).groupBy("chain", "sequence", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("h04_recent", """SELECT row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rank, event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100""")

@@ -149,12 +149,18 @@ def test_chain_seal_and_tamper(spark):
         assert r.previous_hash == previous
         assert r.hash == hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
         previous = r.hash
-    assert integrity.verify_chain(sealed, "chain").count() == 0
+    roots = integrity.chain_roots(sealed, "chain", block=10)
+    verify = lambda entries: {(r.sequence, r.reason) for r in integrity.verify_chain(entries, "chain", roots, block=10).collect()}
+    assert verify(sealed) == set()
     changed = sealed.withColumn("target", F.when(F.col("sequence") == 4, "other").otherwise(F.col("target")))
-    assert [(r.sequence, r.reason) for r in integrity.verify_chain(changed, "chain").collect()] == [(4, "content hash mismatch")]
-    missing = {(r.sequence, r.reason) for r in integrity.verify_chain(sealed.filter("sequence <> 7"), "chain").collect()}
-    assert missing == {(8, "sequence mismatch"), (8, "previous hash mismatch")}
-    assert integrity.chain_heads(sealed, "chain").count() == 3
+    assert verify(changed) == {(4, "content hash mismatch")}
+    assert verify(sealed.filter("sequence <> 7")) == {(8, "sequence mismatch"), (8, "previous hash mismatch"), (None, "root mismatch")}
+    # whole blocks, at the front, in the middle and at the end
+    assert verify(sealed.filter("sequence > 10")) == {(11, "sequence mismatch"), (None, "root mismatch")}
+    assert verify(sealed.filter("sequence <= 10 or sequence > 20")) == {(21, "sequence mismatch"), (None, "root mismatch")}
+    assert verify(sealed.filter("sequence <= 20")) == verify(sealed.filter("false")) == {(None, "root mismatch")}
+    assert verify(sealed.unionByName(sealed.filter("sequence = 5"))) == {(5, "sequence mismatch")}
+    assert [df.count() for df in integrity.chain_levels(sealed, "chain", block=2)] == [3, 2, 1]
 
 
 def test_hostile_files_and_rows(spark):
