@@ -20,14 +20,21 @@ def node_filter(types=(), min_risk: int = 0, query: str = "") -> Column:
     return keep
 
 
-def page_nodes(g: EvidenceGraph, entity_type: str | None = None, min_risk: int = 0, offset: int = 0, limit: int = 250):
-    """A page in id order, and the total as a one-row frame."""
+def _page(df: DataFrame, after: str | None, limit: int) -> DataFrame:
+    return (df.filter(F.col("id") > after) if after is not None else df).orderBy("id").limit(limit)
+
+
+def page_nodes(g: EvidenceGraph, entity_type: str | None = None, min_risk: int = 0, after: str | None = None, limit: int = 250):
+    """The page that follows the id ``after`` in id order, and the total as a one-row frame.
+
+    A page is found by key, so it costs the same wherever it lies.
+    """
     kept = g.nodes.filter(node_filter([entity_type] if entity_type else (), min_risk))
-    return kept.orderBy("id").offset(offset).limit(limit), kept.agg(F.count(F.lit(1)).alias("total"))
+    return _page(kept, after, limit), kept.agg(F.count(F.lit(1)).alias("total"))
 
 
-def page_edges(g: EvidenceGraph, offset: int = 0, limit: int = 500):
-    return g.edges.orderBy("id").offset(offset).limit(limit), g.edges.agg(F.count(F.lit(1)).alias("total"))
+def page_edges(g: EvidenceGraph, after: str | None = None, limit: int = 500):
+    return _page(g.edges, after, limit), g.edges.agg(F.count(F.lit(1)).alias("total"))
 
 
 def node_detail(g: EvidenceGraph, node_ids: DataFrame) -> DataFrame:

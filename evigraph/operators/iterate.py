@@ -44,11 +44,9 @@ def connected_components(g: EvidenceGraph, max_rounds: int = 100) -> DataFrame:
 
 
 def sample_sources(nodes: DataFrame, sources: int) -> DataFrame:
-    """Evenly spaced ids of the sorted node list; all ids when there are few."""
+    """Evenly spaced ids of the sorted node list; with no more nodes than ``sources`` that is every id."""
     total = nodes.count()
     ids = nodes.select("id")
-    if total <= sources:
-        return ids
     positions = sorted({min(total - 1, int(i * (total / sources))) + 1 for i in range(sources)})
     return numbered(ids, [], ["id"], "n").filter(F.col("n").isin(positions)).select("id")
 
@@ -62,7 +60,7 @@ def sampled_betweenness(g: EvidenceGraph, sources: int = 32, max_depth: int = 10
     adj = cut(adjacency(g).filter("node <> nbr"), "adjacency")
     start = sample_sources(g.nodes, sources).select(F.col("id").alias("src"), F.col("id").alias("node"), F.lit(1.0).alias("sigma"))
     levels = [cut(start, "level")]
-    while len(levels) <= max_depth:
+    for _ in range(max_depth):
         last = levels[-1]
         reached = last.join(adj, "node").groupBy("src", F.col("nbr").alias("node")).agg(F.sum("sigma").alias("sigma"))
         # a neighbour of level d lies on level d-1, d or d+1
@@ -72,6 +70,8 @@ def sampled_betweenness(g: EvidenceGraph, sources: int = 32, max_depth: int = 10
         if fresh.isEmpty():
             break
         levels.append(fresh)
+    else:
+        raise RuntimeError(f"the search did not end within {max_depth} levels")
     deltas = []
     below = None
     for level in reversed(levels[1:]):

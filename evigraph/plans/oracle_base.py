@@ -17,7 +17,7 @@ def stable_id(prefix: str, expr: str, digits: int = 32) -> str:
 
 # -- incident records from orders -------------------------------------------
 
-INCIDENTS = """inc AS (
+INCIDENTS = """inc AS MATERIALIZED (
   SELECT o_orderkey AS seq,
     chr(CAST(65 + (o_orderkey // 26000000) % 26 AS INT)) || chr(CAST(65 + (o_orderkey // 1000000) % 26 AS INT))
       || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS case_number,
@@ -43,7 +43,7 @@ _INC_KEYS = ("arrest", "beat", "block", "case_number", "community_area", "date",
              "fbi_code", "iucr", "location_description", "primary_type", "suspect_name", "vehicle_plate", "ward", "year")
 INC_JSON = "'{' || concat_ws(',', " + ", ".join(f"""'"{k}":"' || {k} || '"'""" for k in _INC_KEYS) + ") || '}'"
 
-RISKS = f"""rec AS (
+RISKS = f"""rec AS MATERIALIZED (
   SELECT *, CASE primary_type WHEN 'HOMICIDE' THEN 95 WHEN 'ROBBERY' THEN 84 WHEN 'BURGLARY' THEN 66 WHEN 'ASSAULT' THEN 64
       WHEN 'THEFT' THEN 46 ELSE 45 END AS base_risk,
     least(99, CASE primary_type WHEN 'HOMICIDE' THEN 95 WHEN 'ROBBERY' THEN 84 WHEN 'BURGLARY' THEN 66 WHEN 'ASSAULT' THEN 64
@@ -51,12 +51,12 @@ RISKS = f"""rec AS (
       + CASE WHEN arrest = 'true' THEN 0 ELSE 4 END + CASE WHEN domestic = 'true' THEN 5 ELSE 0 END) AS risk,
     CAST(district AS INT) % 8 + 1 AS community, sha256({INC_JSON}) AS digest
   FROM inc),
-subj AS (SELECT suspect_name, count(*) AS uses, arg_min(risk, seq) AS risk, arg_min(community, seq) AS community,
+subj AS MATERIALIZED (SELECT suspect_name, count(*) AS uses, arg_min(risk, seq) AS risk, arg_min(community, seq) AS community,
     arg_min(date, seq) AS date FROM rec WHERE suspect_name <> '' GROUP BY 1),
-blk AS (SELECT block, count(*) AS uses, arg_min(risk, seq) AS risk, arg_min(community, seq) AS community,
+blk AS MATERIALIZED (SELECT block, count(*) AS uses, arg_min(risk, seq) AS risk, arg_min(community, seq) AS community,
     arg_min(location_description, seq) AS premise, arg_min(district, seq) AS district FROM rec GROUP BY 1)"""
 
-CNODES = f"""cnodes AS (
+CNODES = f"""cnodes AS MATERIALIZED (
   SELECT {stable_id('case', 'case_number')} AS id, 'Case ' || case_number AS name, 'event' AS type, risk, 96 AS confidence, community,
     upper(primary_type[1]) || lower(primary_type[2:]) || ' — ' || description AS description, block AS location, date AS last_seen,
     concat_ws('|', CASE WHEN arrest = 'true' THEN 'arrest-made' ELSE 'open' END, CASE WHEN domestic = 'true' THEN 'domestic' END) AS tags
@@ -77,7 +77,7 @@ CNODES = f"""cnodes AS (
     arg_max(community, seq), 'Operational area containing ' || count(*) || ' incidents in this dataset.',
     'District ' || arg_max(district, seq), NULL, 'police-beat' FROM rec GROUP BY beat)"""
 
-CEDGES = f"""cedges AS (
+CEDGES = f"""cedges AS MATERIALIZED (
   SELECT 'e' || seq || '-1' AS id, {stable_id('case', 'case_number')} AS source, {stable_id('suspect', 'suspect_name')} AS target,
     'HAS_SUSPECT' AS label, 97 AS confidence, uses > 1 OR r.risk >= 88 AS anomalous, case_number AS record_id, digest, r.date AS observed_at
   FROM rec r JOIN subj USING (suspect_name)
@@ -92,14 +92,14 @@ CEDGES = f"""cedges AS (
 
 CRIME = ",\n".join((INCIDENTS, RISKS, CNODES, CEDGES))
 
-ADJ = """adj AS (SELECT DISTINCT * FROM (SELECT source AS node, target AS nbr FROM cedges UNION ALL SELECT target, source FROM cedges)),
-deg AS (SELECT n.id, count(a.nbr) AS degree FROM cnodes n LEFT JOIN adj a ON a.node = n.id GROUP BY 1)"""
+ADJ = """adj AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT source AS node, target AS nbr FROM cedges UNION ALL SELECT target, source FROM cedges)),
+deg AS MATERIALIZED (SELECT n.id, count(a.nbr) AS degree FROM cnodes n LEFT JOIN adj a ON a.node = n.id GROUP BY 1)"""
 CRIME_ADJ = CRIME + ",\n" + ADJ
 
 # -- multi-channel records from events ---------------------------------------
 
 EVENTS = """ev0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
-ev AS (
+ev AS MATERIALIZED (
   SELECT event_id AS seq, ts,
     CASE WHEN event_type = 'view' THEN 'ANPR-' || event_id WHEN event_type = 'error' THEN 'SURV-' || event_id END AS record_id,
     CASE WHEN event_type = 'click' THEN 'CALL-' || event_id END AS call_id,
@@ -132,14 +132,14 @@ _EV_KEYS = ("amount", "call_id", "callee_number", "caller_name", "caller_number"
             "subject", "timestamp", "tower_location", "transaction_id", "vehicle_plate")
 EV_JSON = "'{' || concat_ws(',', " + ", ".join(f"""'"{k}":"' || {k} || '"'""" for k in _EV_KEYS) + ") || '}'"
 
-OBSERVED = f"""obs AS (
+OBSERVED = f"""obs AS MATERIALIZED (
   SELECT *, sha256({EV_JSON}) AS digest,
     CAST(('0x' || substr(sha1(identifier), 1, 4)) AS INT) % 8 + 1 AS community,
     least(95, 45 + CASE k10 WHEN 0 THEN 20 WHEN 1 THEN 20 ELSE 0 END
       + CASE WHEN amt >= 1000000 THEN 20 WHEN amt >= 100000 THEN 10 ELSE 0 END) AS risk
   FROM (SELECT *, CASE signal WHEN 'suspicious fraud' THEN 0 WHEN 'threat and weapon' THEN 1 ELSE 2 END AS k10,
           TRY_CAST(regexp_replace(amount, '[^0-9.-]', '', 'g') AS DOUBLE) AS amt FROM ev)),
-men AS (
+men AS MATERIALIZED (
   SELECT seq, identifier, timestamp AS observed_at, risk, digest, channel, community, role, type, relation, alias, name, lower(name) AS key FROM (
     SELECT *, 0 AS role, 'protected_person' AS type, 'HAS_PROTECTED_PERSON' AS relation, 'protected_person_id' AS alias, protected_person_id AS name FROM obs
     UNION ALL SELECT *, 1, 'person', 'MENTIONS_PERSON', CASE WHEN person_name IS NOT NULL THEN 'person_name' WHEN subject IS NOT NULL THEN 'subject'
@@ -152,11 +152,11 @@ men AS (
     UNION ALL SELECT *, 8, 'vehicle', 'INVOLVES_VEHICLE', 'vehicle_plate', vehicle_plate FROM obs
     UNION ALL SELECT *, 9, 'location', 'OCCURRED_AT', CASE WHEN location IS NOT NULL THEN 'location' ELSE 'tower_location' END, coalesce(location, tower_location) FROM obs
   ) WHERE name IS NOT NULL),
-ent AS (SELECT type, key, count(*) AS uses, arg_min(name, seq * 16 + role) AS name, arg_min(risk, seq * 16 + role) AS risk,
+ent AS MATERIALIZED (SELECT type, key, count(*) AS uses, arg_min(name, seq * 16 + role) AS name, arg_min(risk, seq * 16 + role) AS risk,
     arg_min(community, seq * 16 + role) AS community, arg_min(observed_at, seq * 16 + role) AS observed_at,
     arg_min(alias, seq * 16 + role) AS alias FROM men GROUP BY 1, 2)"""
 
-MNODES = f"""mnodes AS (
+MNODES = f"""mnodes AS MATERIALIZED (
   SELECT {stable_id('record', 'identifier')} AS id, CASE record_type WHEN 'voice call' THEN 'Voice Call ' WHEN 'transfer' THEN 'Transfer '
       WHEN 'plate read' THEN 'Plate Read ' WHEN 'field note' THEN 'Field Note ' ELSE 'Public Post ' END || identifier AS name, 'event' AS type, risk,
     90 AS confidence, community, timestamp AS last_seen, 'source-observation|generic-schema|source:' || lower(channel) AS tags FROM obs
@@ -164,7 +164,7 @@ MNODES = f"""mnodes AS (
     CAST(CASE type WHEN 'protected_person' THEN 0 ELSE least(95, risk + least(15, 3 * (uses - 1))) END AS INT), 90, community, observed_at,
     CASE WHEN type = 'protected_person' THEN 'privacy-protected|risk-scoring-prohibited' WHEN uses > 1 THEN 'repeat-entity' ELSE 'source-observation' END FROM ent)"""
 
-MEDGES = f"""medges AS (
+MEDGES = f"""medges AS MATERIALIZED (
   SELECT 'e' || seq || '-' || role AS id, {stable_id('record', 'identifier')} AS source, type || '_' || substr(sha1(key), 1, 32) AS target,
     relation AS label, 90 AS confidence, type <> 'protected_person' AND (uses > 2 OR m.risk >= 80) AS anomalous, identifier AS record_id, digest,
     channel, m.observed_at FROM men m JOIN ent USING (type, key)
@@ -177,16 +177,16 @@ MULTI = ",\n".join((EVENTS, OBSERVED, MNODES, MEDGES))
 
 # -- star graph ----------------------------------------------------------------
 
-STAR = """snodes AS (
+STAR = """snodes AS MATERIALIZED (
   SELECT 'region:' || r_regionkey AS id, r_name AS name, 'location' AS type, 0 AS risk, 'region' AS tag FROM region
   UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'location', 0, 'nation' FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, c_name, 'person', CAST(greatest(0, least(99, floor(c_acctbal / 100))) AS INT), 'customer' FROM customer
   UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'organization', CAST(greatest(0, least(99, floor(s_acctbal / 100))) AS INT), 'supplier' FROM supplier
   UNION ALL SELECT 'orders:' || o_orderkey, CAST(o_orderkey AS VARCHAR), 'event', CAST(greatest(0, least(99, floor(o_totalprice / 5000))) AS INT), 'orders' FROM orders),
-sedges AS (
+sedges AS MATERIALIZED (
   SELECT 'nation:' || n_nationkey || ':n_regionkey' AS id, 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'IN_REGION' AS label FROM nation
   UNION ALL SELECT 'customer:' || c_custkey || ':c_nationkey', 'customer:' || c_custkey, 'nation:' || c_nationkey, 'IN_NATION' FROM customer
   UNION ALL SELECT 'supplier:' || s_suppkey || ':s_nationkey', 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'BASED_IN' FROM supplier
   UNION ALL SELECT 'orders:' || o_orderkey || ':o_custkey', 'orders:' || o_orderkey, 'customer:' || o_custkey, 'PLACED_BY' FROM orders),
-sadj AS (SELECT DISTINCT * FROM (SELECT source AS node, target AS nbr FROM sedges UNION ALL SELECT target, source FROM sedges)),
-sdeg AS (SELECT n.id, count(a.nbr) AS degree FROM snodes n LEFT JOIN sadj a ON a.node = n.id GROUP BY 1)"""
+sadj AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT source AS node, target AS nbr FROM sedges UNION ALL SELECT target, source FROM sedges)),
+sdeg AS MATERIALIZED (SELECT n.id, count(a.nbr) AS degree FROM snodes n LEFT JOIN sadj a ON a.node = n.id GROUP BY 1)"""

@@ -141,9 +141,9 @@ def p18_proxy_points(spark, sf_dir):
     return E.table(spark, sf_dir, "customer").select("c_custkey", S.proxy_point(F.col("c_name")).alias("p")).select("c_custkey", "p.*")
 
 
-@query("p19_iri_names", "SELECT page_id, url_encode(replace(trim(url), ' ', '_')) AS iri, nullif(trim(html[1:0]), '') AS blank FROM pages")
+@query("p19_iri_names", "SELECT page_id, url_encode(replace(trim(url), ' ', '_')) AS iri, md5(nullif(trim(html), '')) AS filled FROM pages")
 def p19_iri_names(spark, sf_dir):
-    return E.table(spark, sf_dir, "pages").select("page_id", S.iri_local(F.col("url")).alias("iri"), S.blank_to_null(F.substring("html", 1, 0)).alias("blank"))
+    return E.table(spark, sf_dir, "pages").select("page_id", S.iri_local(F.col("url")).alias("iri"), F.md5(S.blank_to_null(F.col("html"))).alias("filled"))
 
 
 @query("p21_relation_slugs", with_(MULTI, "SELECT DISTINCT label, lower(replace(label, '_', '-')) AS slug FROM medges"))

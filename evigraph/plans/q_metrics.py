@@ -137,14 +137,14 @@ def a17_provenance_coverage(spark, sf_dir):
 @query("w11_timeline", with_(CRIME, """
 SELECT id, CAST(last_seen AS TIMESTAMP) AS occurred_at, split_part(description, ' — ', 1) AS title, description,
   CASE WHEN risk >= 85 THEN 'critical' WHEN risk >= 70 THEN 'high' WHEN risk >= 45 THEN 'medium' ELSE 'low' END AS severity, risk
-FROM cnodes WHERE type = 'event' ORDER BY last_seen DESC, id LIMIT 1000"""))
+FROM cnodes WHERE type = 'event'"""))
 def w11_timeline(spark, sf_dir):
     return M.timeline(E.crime_graph(spark, sf_dir))[0]
 
 
 @query("w11_timeline_entities", with_(CRIME_ADJ, """
-SELECT e.id, a.nbr, n.name, n.risk FROM (SELECT id FROM cnodes WHERE type = 'event' ORDER BY last_seen DESC, id LIMIT 1000) e
-JOIN adj a ON a.node = e.id JOIN cnodes n ON n.id = a.nbr"""))
+SELECT a.node AS id, row_number() OVER (PARTITION BY a.node ORDER BY n.risk DESC, n.name, a.nbr) AS place, a.nbr, n.name, n.risk
+FROM adj a JOIN cnodes n ON n.id = a.nbr WHERE a.node IN (SELECT id FROM cnodes WHERE type = 'event')"""))
 def w11_timeline_entities(spark, sf_dir):
     return M.timeline(E.crime_graph(spark, sf_dir).staged())[1]
 
@@ -171,15 +171,15 @@ def t03_top_per_group(spark, sf_dir):
 
 @query("f01_node_page", with_(CRIME, """
 SELECT id, name, type, risk, (SELECT count(*) FROM cnodes WHERE type = 'person' AND risk >= 90) AS total FROM cnodes
-WHERE type = 'person' AND risk >= 90 ORDER BY id LIMIT 250 OFFSET 20"""))
+WHERE type = 'person' AND risk >= 90 AND id > 'person_2' ORDER BY id LIMIT 250"""))
 def f01_node_page(spark, sf_dir):
-    page, total = X.page_nodes(E.crime_graph(spark, sf_dir), "person", 90, 20, 250)
+    page, total = X.page_nodes(E.crime_graph(spark, sf_dir), "person", 90, "person_2", 250)
     return page.select("id", "name", "type", "risk").join(F.broadcast(total))
 
 
-@query("f02_edge_page", with_(CRIME, "SELECT id, source, target, label, (SELECT count(*) FROM cedges) AS total FROM cedges ORDER BY id LIMIT 500 OFFSET 100"))
+@query("f02_edge_page", with_(CRIME, "SELECT id, source, target, label, (SELECT count(*) FROM cedges) AS total FROM cedges WHERE id > 'e2' ORDER BY id LIMIT 500"))
 def f02_edge_page(spark, sf_dir):
-    page, total = X.page_edges(E.crime_graph(spark, sf_dir), 100, 500)
+    page, total = X.page_edges(E.crime_graph(spark, sf_dir), "e2", 500)
     return page.select("id", "source", "target", "label").join(F.broadcast(total))
 
 

@@ -42,7 +42,7 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and staged tables."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="evigraph-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -60,12 +60,3 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table stored in fewer files than there are cores.
-
-    A table with enough splits passes through without an exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
