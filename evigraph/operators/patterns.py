@@ -81,7 +81,11 @@ def window_counts(df: DataFrame, keys: list[str], at: str, width: int, distinct_
 
 def densest_window(df: DataFrame, keys: list[str], ts: str, width_seconds: int, minimum: int = 1, distinct_col: str | None = None,
                    distinct_values: tuple[str, ...] = (), min_distinct: int = 0, all_windows: bool = False) -> DataFrame:
-    """Per key the window with the most rows, earliest first; every qualifying window if asked."""
+    """Per key the window with the most rows, earliest first; every qualifying window if asked.
+
+    ``first_seq`` is the first row of the key at all, also outside its windows and without a
+    time: keys whose windows tie are ranked by it.
+    """
     micros = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
     counts = window_counts(micros, keys, "_at", width_seconds * MICROS, distinct_col, distinct_values)
     ok = (F.col("n") >= minimum) & (F.bit_count("mask") >= min_distinct)
@@ -91,7 +95,8 @@ def densest_window(df: DataFrame, keys: list[str], ts: str, width_seconds: int,
     if all_windows:
         return kept
     best = F.min(F.struct((-F.col("n")).alias("neg"), "window_start", "window_end", "n_distinct"))
-    return kept.groupBy(*keys).agg(best.alias("b"), F.min("first_seq").alias("first_seq")).select(
+    first = df.groupBy(*keys).agg(F.min("seq").alias("first_seq"))
+    return kept.groupBy(*keys).agg(best.alias("b")).join(first, keys).select(
         *keys, (-F.col("b.neg")).alias("n"), "b.n_distinct", "b.window_start", "b.window_end", "first_seq")
 
 
@@ -197,15 +202,18 @@ def _first(df: DataFrame, *order: Column) -> DataFrame:
 
 
 def pattern_evidence(rows: DataFrame) -> DataFrame:
-    """(pattern_id, rid, channel, digest, ts): the records behind each detected pattern.
+    """(pattern_id, rid, channel, digest, ts, amount, note): the records behind each detected pattern.
 
-    Long form, so the evidence of a pattern may be of any size.
+    Long form, so the evidence of a pattern may be of any size.  Every record counts,
+    also one that repeats an id; only the bridge keeps one record per id, its last.
+    ``note`` names the route of a cycle and the name of a bridge.
     """
     largest = (F.desc("n"), F.asc("first_seq"))
-    columns = ("rid", "channel", "digest", "ts")
+    columns = ("rid", "channel", "digest", "ts", "amount")
 
-    def tagged(df: DataFrame, pattern: str) -> DataFrame:
-        return df.select(F.lit(pattern).alias("pattern_id"), *columns)
+    def tagged(df: DataFrame, pattern: str, note: Column | None = None) -> DataFrame:
+        said = F.lit(None).cast("string") if note is None else note
+        return df.select(F.lit(pattern).alias("pattern_id"), *columns, said.alias("note"))
 
     parts = []
     for pattern, source, windows, keys in (
@@ -217,15 +225,17 @@ def pattern_evidence(rows: DataFrame) -> DataFrame:
     cycle = _first(circular_funds(rows), F.asc("a"), F.asc("b"), F.asc("c"))
     legs = cycle.select(F.explode(F.array(
         F.struct(F.col("a").alias("source"), F.col("b").alias("target")), F.struct(F.col("b").alias("source"), F.col("c").alias("target")),
-        F.struct(F.col("c").alias("source"), F.col("a").alias("target")))).alias("leg")).select("leg.*")  # three rows
-    parts.append(tagged(transfers(rows).join(F.broadcast(legs), ["source", "target"]), "circular-fund-flow"))
-    name = _first(cross_channel_bridge(rows), F.desc("channels"), F.desc("records"), F.desc("key")).select("key")
+        F.struct(F.col("c").alias("source"), F.col("a").alias("target")))).alias("leg"), F.concat_ws(" > ", "a", "b", "c", "a").alias("route")).select("leg.*", "route")  # three rows
+    parts.append(tagged(transfers(rows).join(F.broadcast(legs), ["source", "target"]), "circular-fund-flow", F.col("route")))
+    name = _first(cross_channel_bridge(rows), F.desc("channels"), F.desc("records"), F.desc("key")).select("key", "display")
     bridge = named_rows(rows).join(F.broadcast(name), "key")
-    parts.append(tagged(bridge, "cross-channel-bridge"))
+    last = F.max(F.struct("seq", "channel", "digest", "ts", "display")).alias("last")
+    bridge = bridge.groupBy("rid").agg(last).select("rid", "last.*").withColumn("amount", F.lit(None).cast("double"))
+    parts.append(tagged(bridge, "cross-channel-bridge", F.col("display")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.dropDuplicates(["pattern_id", "rid"])
+    return out
 
 
 def detect_patterns(rows: DataFrame) -> DataFrame:
@@ -239,13 +249,21 @@ def detect_patterns(rows: DataFrame) -> DataFrame:
 
     found = pattern_evidence(rows).groupBy("pattern_id").agg(
         F.count(F.lit(1)).alias("n_evidence"), F.array_sort(F.collect_set("channel")).alias("source_types"),  # at most 7 channels
-        F.min("ts").alias("time_start"), F.max("ts").alias("time_end"), half(1).alias("s1"), half(16).alias("s2"))
+        F.min("ts").alias("time_start"), F.max("ts").alias("time_end"), half(1).alias("s1"), half(16).alias("s2"),
+        F.min("amount").alias("low"), F.max("amount").alias("high"), F.max("note").alias("note"))
+    count, kinds = F.col("n_evidence"), F.size("source_types")
+    said = F.when(F.col("pattern_id") == "communication-burst", F.concat(count, F.lit(" calls between one pair of numbers within half an hour")))
+    said = said.when(F.col("pattern_id") == "rapid-split-transfer", F.concat(
+        count, F.lit(" transfers on one route within 45 minutes, amounts "), F.format_number(F.coalesce("low", F.lit(0.0)), 0), F.lit(" to "), F.format_number(F.coalesce("high", F.lit(0.0)), 0)))
+    said = said.when(F.col("pattern_id") == "circular-fund-flow", F.concat(F.lit("transfers lead back to their origin: "), F.col("note")))
+    said = said.when(F.col("pattern_id") == "cross-source-convergence", F.concat(count, F.lit(" observations of "), kinds, F.lit(" kinds at one place within half an hour")))
+    found = found.withColumn("explanation", said.otherwise(F.concat(F.col("note"), F.lit(" is named in "), kinds, F.lit(" kinds of records"))))
     fixed = F.create_map(*[x for pid, (kind, title, severity, confidence, alternative, action) in rules.PATTERNS.items() for x in (
         F.lit(pid), F.struct(F.lit(kind).alias("type"), F.lit(title).alias("title"), F.lit(severity).alias("severity"),
                              F.lit(confidence).alias("confidence"), F.lit(alternative).alias("alternative"), F.lit(action).alias("analyst_action")))])
-    out = found.select(F.col("pattern_id").alias("id"), fixed[F.col("pattern_id")].alias("p"), "n_evidence", "source_types",
+    out = found.select(F.col("pattern_id").alias("id"), fixed[F.col("pattern_id")].alias("p"), "explanation", "n_evidence", "source_types",
                        "time_start", "time_end", F.concat_ws(":", "n_evidence", "s1", "s2").alias("evidence")).select(
-        "id", "p.*", "n_evidence", "source_types", "time_start", "time_end", "evidence")
+        "id", "p.*", "explanation", "n_evidence", "source_types", "time_start", "time_end", "evidence")
     receipt = S.receipt(F.struct("confidence", "evidence", "id", "severity", "time_end", "time_start", "type"))
     return out.withColumn("receipt", receipt).drop("evidence").orderBy(
         F.desc(S.severity_rank(F.col("severity"))), F.desc("confidence"), "title")

@@ -85,13 +85,13 @@ def n11_traces(spark, sf_dir):
 
 @query("n12_counterfactuals", with_(CRIME, """k AS (
   SELECT n.id, n.type, n.risk, n.tags, n.description, count(e.id) AS cases FROM cnodes n LEFT JOIN (SELECT e.target AS t, e.id FROM cedges e WHERE e.source LIKE 'case_%') e ON e.t = n.id GROUP BY ALL),
-o AS (SELECT id, risk, 'Identity review determines repeated names belong to different people' AS change, least(12, 4 * (cases - 1)) AS pts FROM k WHERE type = 'person' AND cases > 1
-  UNION ALL SELECT id, risk, 'weapon descriptor removed after source correction', 7 FROM k WHERE type = 'event' AND upper(description) LIKE '%HANDGUN%'
-  UNION ALL SELECT id, risk, 'case disposition updated to arrest made', 4 FROM k WHERE type = 'event' AND tags LIKE '%open%'
-  UNION ALL SELECT id, risk, 'domestic marker removed after source correction', 5 FROM k WHERE type = 'event' AND tags LIKE '%domestic%'
-  UNION ALL SELECT id, risk, 'Duplicate incident-location assignments are removed', least(10, 3 * (cases - 1)) FROM k WHERE type = 'location' AND cases > 1)""", """
-SELECT id, change, -pts AS delta, greatest(0, risk - pts) AS risk_after FROM o
-UNION ALL SELECT id, 'No score-changing assumption is encoded for this entity type', 0, risk FROM k WHERE id NOT IN (SELECT id FROM o)"""))
+o AS (SELECT id, risk, 'the name turns out to be shared by several people' AS change, least(12, 4 * (cases - 1)) AS pts FROM k WHERE type = 'person' AND cases > 1
+  UNION ALL SELECT id, risk, 'no weapon was involved', 7 FROM k WHERE type = 'event' AND upper(description) LIKE '%HANDGUN%'
+  UNION ALL SELECT id, risk, 'an arrest was made', 4 FROM k WHERE type = 'event' AND tags LIKE '%open%'
+  UNION ALL SELECT id, risk, 'the case is not domestic', 5 FROM k WHERE type = 'event' AND tags LIKE '%domestic%'
+  UNION ALL SELECT id, risk, 'cases were put at this place twice', least(10, 3 * (cases - 1)) FROM k WHERE type = 'location' AND cases > 1)""", """
+SELECT id, change, -pts AS delta, greatest(0, risk - pts) AS risk_after, CASE WHEN change LIKE 'the name%' THEN 'identifiers that only one person can have, in the original reports' WHEN change LIKE 'cases were%' THEN 'addresses, area borders and repeated case numbers' ELSE 'the source report has the corrected field' END AS required_verification FROM o
+UNION ALL SELECT id, 'no rule changes this score', 0, risk, 'the connected source records' FROM k WHERE id NOT IN (SELECT id FROM o)"""))
 def n12_counterfactuals(spark, sf_dir):
     return Y.counterfactuals(E.crime_graph(spark, sf_dir).staged())
 
@@ -117,19 +117,26 @@ mk AS (SELECT s, k, count(*) AS m FROM r WHERE s IS NOT NULL GROUP BY 1, 2), mv
 cand AS (SELECT r.c, mt.s FROM r JOIN mt USING (t) UNION ALL SELECT r.c, mb.s FROM r JOIN mb USING (b) UNION ALL SELECT r.c, mk.s FROM r JOIN mk USING (k) UNION ALL SELECT r.c, mv.s FROM r JOIN mv USING (v)),
 two AS (SELECT c, s, count(*) AS signals FROM cand GROUP BY 1, 2 HAVING count(*) >= 2)""", """
 SELECT two.c AS "case", two.s AS subject, signals, least(0.99, 1 - exp(-2.2 * (CASE WHEN mt.m > 0 THEN least(0.24, 0.12 + 0.04 * mt.m) ELSE 0 END + CASE WHEN mb.m > 0 THEN least(0.28, 0.14 + 0.05 * mb.m) ELSE 0 END
-  + CASE WHEN mk.m > 0 THEN least(0.38, 0.25 + 0.06 * mk.m) ELSE 0 END + CASE WHEN mv.v IS NOT NULL THEN 0.5 ELSE 0 END))) AS score, 'hypothesis-only' AS status
+  + CASE WHEN mk.m > 0 THEN least(0.38, 0.25 + 0.06 * mk.m) ELSE 0 END + CASE WHEN mv.v IS NOT NULL THEN 0.5 ELSE 0 END))) AS score, 'hypothesis-only' AS status,
+  concat_ws('; ', 'crime_type=' || r.t || ':' || mt.m, 'police_beat=' || r.b || ':' || mb.m, 'location_block=' || r.k || ':' || mk.m, 'vehicle_plate=' || mv.v || ':1') AS said
 FROM two JOIN r ON r.c = two.c LEFT JOIN mt ON mt.s = two.s AND mt.t = r.t LEFT JOIN mb ON mb.s = two.s AND mb.b = r.b LEFT JOIN mk ON mk.s = two.s AND mk.k = r.k
   LEFT JOIN mv ON mv.s = two.s AND mv.v = r.v WHERE r.s IS DISTINCT FROM two.s ORDER BY round(score, 9) DESC, 1, 2 LIMIT 250""")
 
 
 @query("j04_hypotheses", _LEADS)
 def j04_hypotheses(spark, sf_dir):
-    return Y.top_hypotheses(E.incident_records(spark, sf_dir))
+    said = F.array_join(F.transform("said", lambda s: F.concat(s["feature"], F.lit("="), s["value"], F.lit(":"), s["prior_matches"])), "; ")
+    return Y.top_hypotheses(E.incident_records(spark, sf_dir)).withColumn("said", said)
 
 
-@query("j04_hypothesis_classes")
+@query("j04_hypothesis_classes", _LEADS.split("SELECT two.c AS")[0].rstrip() + """,
+lead AS (SELECT two.c, two.s, signals, r.t, r.b, r.k, r.v, coalesce(mt.m, 0) AS m1, coalesce(mb.m, 0) AS m2, coalesce(mk.m, 0) AS m3, CASE WHEN mv.v IS NOT NULL THEN 1 ELSE 0 END AS m4
+  FROM two JOIN r ON r.c = two.c LEFT JOIN mt ON mt.s = two.s AND mt.t = r.t LEFT JOIN mb ON mb.s = two.s AND mb.b = r.b LEFT JOIN mk ON mk.s = two.s AND mk.k = r.k
+  LEFT JOIN mv ON mv.s = two.s AND mv.v = r.v WHERE r.s IS DISTINCT FROM two.s)
+SELECT s AS suspect, t AS primary_type, b AS beat, CASE WHEN m3 + m4 > 0 THEN k END AS block, CASE WHEN m3 + m4 > 0 THEN v END AS vehicle_plate, m1 AS m_primary_type, m2 AS m_beat, m3 AS m_block, m4 AS m_vehicle_plate,
+  signals, CASE WHEN m3 + m4 > 0 THEN 'near' ELSE 'area' END AS kind, count(*) AS cases FROM lead GROUP BY ALL""")
 def j04_hypothesis_classes(spark, sf_dir):
-    return Y.link_hypotheses(E.incident_records(spark, sf_dir))
+    return Y.link_hypotheses(E.incident_records(spark, sf_dir)).drop("score")
 
 
 _ALERTS = CRIME_ADJ + """,
@@ -200,9 +207,9 @@ def m07_scenario(spark, sf_dir):
 _IDENTITY = """o AS (SELECT split_part(lower(suspect_name), ' ', 2) AS surname, substr(lower(suspect_name), 1, 1) AS initial, lower(suspect_name) AS key, nullif(vehicle_plate, '') AS identifier,
   beat AS organization, block AS place, CAST(floor(epoch(CAST(date AS TIMESTAMP)) / 3600) AS BIGINT) AS cell FROM inc WHERE suspect_name <> ''),
 sz AS (SELECT surname, initial, count(DISTINCT key) AS names FROM o GROUP BY 1, 2 HAVING names >= 2),
-si AS (SELECT surname, initial, key, count(*) AS n FROM (SELECT DISTINCT surname, initial, key, identifier FROM o) JOIN (SELECT surname, initial, identifier FROM o WHERE identifier IS NOT NULL GROUP BY ALL HAVING count(DISTINCT key) > 1) USING (surname, initial, identifier) GROUP BY 1, 2, 3),
-so AS (SELECT surname, initial, key, count(*) AS n FROM (SELECT DISTINCT surname, initial, key, organization FROM o) JOIN (SELECT surname, initial, organization FROM o GROUP BY ALL HAVING count(DISTINCT key) > 1) USING (surname, initial, organization) GROUP BY 1, 2, 3),
-ap AS (SELECT surname, initial, key, count(DISTINCT cell) AS n FROM o JOIN (SELECT surname, initial, cell FROM o GROUP BY ALL HAVING count(DISTINCT key) > 1 AND count(DISTINCT place) > 1) USING (surname, initial, cell) GROUP BY 1, 2, 3),
+si AS (SELECT surname, initial, key, count(*) AS n, min(CASE WHEN key = lo THEN hi ELSE lo END) AS w FROM (SELECT DISTINCT surname, initial, key, identifier FROM o) JOIN (SELECT surname, initial, identifier, min(key) AS lo, max(key) AS hi FROM o WHERE identifier IS NOT NULL GROUP BY ALL HAVING count(DISTINCT key) > 1) USING (surname, initial, identifier) GROUP BY 1, 2, 3),
+so AS (SELECT surname, initial, key, count(*) AS n, min(CASE WHEN key = lo THEN hi ELSE lo END) AS w FROM (SELECT DISTINCT surname, initial, key, organization FROM o) JOIN (SELECT surname, initial, organization, min(key) AS lo, max(key) AS hi FROM o GROUP BY ALL HAVING count(DISTINCT key) > 1) USING (surname, initial, organization) GROUP BY 1, 2, 3),
+ap AS (SELECT surname, initial, key, count(DISTINCT cell) AS n, min(CASE WHEN key = lo THEN hi ELSE lo END) AS w FROM o JOIN (SELECT surname, initial, cell, min(key) AS lo, max(key) AS hi FROM o GROUP BY ALL HAVING count(DISTINCT key) > 1 AND count(DISTINCT place) > 1) USING (surname, initial, cell) GROUP BY 1, 2, 3),
 cand AS (SELECT surname, initial, key, count(*) AS records, count(DISTINCT identifier) AS identifiers, any_value(names) AS names FROM o JOIN sz USING (surname, initial) GROUP BY 1, 2, 3)"""
 
 
@@ -214,7 +221,7 @@ def _seen(spark, sf_dir):
 
 
 @query("h07_identity_review", with_(INCIDENTS, _IDENTITY, """
-SELECT surname, initial, key, records, identifiers, names, coalesce(si.n, 0) AS shared_identifiers, coalesce(so.n, 0) AS shared_organizations, coalesce(ap.n, 0) AS apart_cells,
+SELECT surname, initial, key, records, identifiers, names, coalesce(si.n, 0) AS shared_identifiers, coalesce(so.n, 0) AS shared_organizations, coalesce(ap.n, 0) AS apart_cells, si.w AS identifier_with, so.w AS organization_with, ap.w AS apart_from,
   CASE WHEN coalesce(si.n, 0) > 0 THEN 'escalate' ELSE 'keep-separate' END AS recommendation FROM cand LEFT JOIN si USING (surname, initial, key) LEFT JOIN so USING (surname, initial, key) LEFT JOIN ap USING (surname, initial, key)"""))
 def h07_identity_review(spark, sf_dir):
     return Y.identity_review(_seen(spark, sf_dir))
