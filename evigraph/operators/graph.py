@@ -356,16 +356,24 @@ def build_multisource_graph(records: DataFrame, digits: int = rules.ID_HEX) -> E
     return EvidenceGraph(nodes, edges, True)
 
 
-def detect_schema(records: DataFrame) -> str:
-    """The keys of the first record decide, as in a file with one header."""
-    first = records.orderBy("seq").select(F.map_keys("fields").alias("keys")).limit(1).collect()
-    crime = bool(first) and {"case_number", "primary_type"} <= set(first[0]["keys"])
-    return "crime" if crime or not first else "multisource"
+def record_schema() -> Column:
+    """``crime`` or ``multisource``, from the keys of the record itself."""
+    crime = F.map_contains_key("fields", "case_number") & F.map_contains_key("fields", "primary_type")
+    return F.when(F.coalesce(crime, F.lit(False)), "crime").otherwise("multisource")
 
 
 def build_graph(records: DataFrame, schema: str = "auto", digits: int = rules.ID_HEX) -> EvidenceGraph:
-    schema = detect_schema(records) if schema == "auto" else schema
-    return (build_crime_graph if schema == "crime" else build_multisource_graph)(records, digits)
+    """Graph of records of either schema, or of one.
+
+    With ``auto`` every record goes to the builder of its own schema and the two
+    graphs are joined; an entity that both name keeps the attributes of the crime records.
+    """
+    if schema != "auto":
+        return (build_crime_graph if schema == "crime" else build_multisource_graph)(records, digits)
+    parts = [build(records.filter(record_schema() == name), digits) for name, build in (("crime", build_crime_graph), ("multisource", build_multisource_graph))]
+    nodes = parts[0].nodes.withColumn("part", F.lit(0)).unionByName(parts[1].nodes.withColumn("part", F.lit(1)))
+    one = nodes.groupBy("id").agg(F.min_by(F.struct(*[c for c in NODE_COLUMNS if c != "id"]), "part").alias("n")).select("id", "n.*")
+    return EvidenceGraph(one, parts[0].edges.unionByName(parts[1].edges), True)
 
 
 # -- other graph shapes -----------------------------------------------------

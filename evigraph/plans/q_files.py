@@ -182,25 +182,16 @@ def s01_csv_records(spark, sf_dir):
     return _customer_fields(R.read_csv_records(spark, path, key="c_custkey"))
 
 
-@query("s02_json_records", _CUSTOMERS)
+@query("s02_json_records", _CUSTOMERS + " UNION ALL SELECT c_custkey, '{\"c_custkey\": ' || c_custkey || ', ', NULL, 'malformed JSON' FROM customer WHERE c_custkey % 50 = 0")
 def s02_json_records(spark, sf_dir):
+    """Customers as JSON lines, with broken lines among them that must come back in the quarantine table."""
     path = scratch_path(spark, "json")
     rows = _customers(spark, sf_dir)
-    # one document per nation: an object with a records array
-    docs = rows.groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(F.struct(*rows.columns)).alias("records"))).alias("value"))
-    docs.select("value").repartition(4).write.option("lineSep", "\n").text(path)
-    split = scratch_path(spark, "json-docs")
-    spark.read.text(path).repartition(25, "value").write.text(split)
-    records = R.read_json_lines(spark, _flatten_documents(spark, split), key="c_custkey")
-    return _customer_fields(records)
-
-
-def _flatten_documents(spark, path):
-    """Documents, one per line, to one record per line, so that parsing is shared out."""
-    out = scratch_path(spark, "json-lines")
-    rows = spark.read.text(path).select(F.explode_outer(F.from_json(F.get_json_object("value", "$.records"), R.RECORD_LIST)).alias("r"))
-    rows.select(F.to_json("r").alias("value")).write.text(out)
-    return out
+    broken = rows.filter("c_custkey % 50 = 0").select(F.concat(F.lit('{"c_custkey": '), "c_custkey", F.lit(", ")).alias("value"))
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).unionByName(broken).write.text(path)
+    good, bad = R.split_json_lines(spark, path, key="c_custkey")
+    lost = bad.select(F.regexp_extract("text", "([0-9]+)", 1).cast("bigint").alias("seq"), F.col("text").alias("name"), F.lit(None).cast("string").alias("nation"), F.col("reason").alias("segment"))
+    return _customer_fields(good).unionByName(lost)
 
 
 @query("s02_json_document", "SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
@@ -262,22 +253,33 @@ def s05_ontology_summary(spark, sf_dir):
     return R.ontology_summary(spark, path)
 
 
-@query("s06_file_manifest")
+@query("s06_file_manifest", "SELECT 'nation-' || n_nationkey AS name, length(n_name || '|' || n_regionkey) + 1 AS bytes, sha256(n_name || '|' || n_regionkey || chr(10)) AS sha256, CASE WHEN n_regionkey = 1 THEN 'structured evidence' ELSE 'source data' END AS role FROM nation")
 def s06_file_manifest(spark, sf_dir):
-    return R.file_manifest(R.read_files(spark, sf_dir, "*.parquet"), {"orders.parquet": "structured evidence", "documents.parquet": "narrative evidence"})
-
-
-@query("s07_node_link", with_(CRIME, """SELECT type, count(*) AS n FROM (SELECT DISTINCT target, label AS type FROM cedges WHERE label IN ('OCCURRED_IN_BEAT', 'HAS_CRIME_TYPE')) GROUP BY 1"""))
+    """One file per nation; name, size, digest and role of each."""
+    path = scratch_path(spark, "manifest")
+    nation = E.table(spark, sf_dir, "nation")
+    nation.select(F.concat_ws("|", "n_name", "n_regionkey").alias("value"), F.concat(F.lit("nation-"), "n_nationkey").alias("file")).write.partitionBy("file").text(path)
+    files = R.read_files(spark, path, "*.txt").withColumn("path", F.regexp_replace("path", "/file=([^/]*)/.*", "/$1"))
+    # region 1 has few rows by definition of the schema
+    roles = {f"nation-{r['n_nationkey']}": "structured evidence" for r in nation.filter("n_regionkey = 1").collect()}
+    return R.file_manifest(files, roles).drop("modified_at")
+
+
+@query("s07_node_link", with_(CRIME, """b AS (SELECT b.id AS beat, b.name FROM cnodes b WHERE b.tags = 'police-beat'), c AS (SELECT DISTINCT source AS incident, target AS beat FROM cedges WHERE label = 'OCCURRED_IN_BEAT')""", """
+SELECT 'node' AS kind, id, name AS label, type FROM cnodes WHERE id IN (SELECT incident FROM c UNION SELECT beat FROM c)
+UNION ALL SELECT 'edge', incident, beat, 'OCCURRED_IN_BEAT' FROM c"""))
 def s07_node_link(spark, sf_dir):
+    """A node-link document per incident, with the incident, its beat and the edge between them, read back as one graph."""
     path = scratch_path(spark, "node-link")
-    rows = G.crime_rows(E.incident_records(spark, sf_dir))
-    node = F.explode(F.array(F.struct(F.concat(F.lit("Beat "), "beat").alias("id"), F.lit("OCCURRED_IN_BEAT").alias("type")), F.struct(F.col("primary_type").alias("id"), F.lit("HAS_CRIME_TYPE").alias("type"))))
-    nodes = rows.select(node.alias("n")).select("n.*").distinct().withColumn("label", F.col("id"))
-    # one document per type
-    docs = nodes.groupBy("type").agg(F.collect_list(F.struct("id", "label", "type")).alias("nodes")).select(
-        F.to_json(F.struct("nodes", F.array().cast("array<struct<source:string,target:string,relationship:string>>").alias("edges"))).alias("value"), "type")
-    docs.repartition("type").write.partitionBy("type").text(path)
-    return R.read_node_link(spark, path).nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    g = E.crime_graph(spark, sf_dir)
+    beats = g.edges.filter("label = 'OCCURRED_IN_BEAT'").select("source", "target", F.col("label").alias("relationship")).distinct()
+    for end in ("source", "target"):
+        beats = beats.join(g.nodes.select(F.col("id").alias(end), F.struct("id", F.col("name").alias("label"), "type").alias(f"{end}_node")), end)
+    docs = beats.select(F.to_json(F.struct(F.array("source_node", "target_node").alias("nodes"), F.array(F.struct("source", "target", "relationship")).alias("edges"))).alias("value"))
+    docs.write.text(path)
+    found = R.read_node_link(spark, path, lines=True)
+    nodes = found.nodes.distinct().select(F.lit("node").alias("kind"), "id", "label", "type")
+    return nodes.unionByName(found.edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), F.col("target").alias("label"), F.col("relationship").alias("type")))
 
 
 @query("s09_call_generator", """SELECT (SELECT count(*) FROM events) AS records, count(DISTINCT caller) AS callers, count(DISTINCT callee) AS callees, count(DISTINCT tower) AS towers
@@ -298,17 +300,20 @@ def s10_quarantine(spark, sf_dir):
     return out.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s11_source_profile", "SELECT count(*) AS records, 4 AS columns, 'CSV' AS format FROM customer")
+@query("s11_source_profile", "SELECT count(*) AS records, 4 AS columns, 'CSV' AS format, sum(length(c_custkey || ',' || c_name || ',' || c_nationkey || ',' || c_mktsegment) + 1) + 42 AS bytes, true AS sealed FROM customer")
 def s11_source_profile(spark, sf_dir):
     path = scratch_path(spark, "profile")
-    _customers(spark, sf_dir).write.csv(path, header=True)
-    return R.profile_source(R.read_files(spark, path, "*.csv"), R.read_csv_records(spark, path, key="c_custkey")).select("records", "columns", "format")
+    _customers(spark, sf_dir).coalesce(1).write.csv(path, header=True)  # one header line, so that the size is known
+    out = R.profile_source(R.read_files(spark, path, "*.csv"), R.read_csv_records(spark, path, key="c_custkey"))
+    return out.select("records", "columns", "format", "bytes", (F.length("digest") == 64).alias("sealed"))
 
 
-@query("h05_manifest")
+@query("h05_manifest", "SELECT count(*) AS sources, CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes, count(DISTINCT sha256(n_name || chr(10))) AS verified FROM nation")
 def h05_manifest(spark, sf_dir):
-    m = R.file_manifest(R.read_files(spark, sf_dir, "*.parquet"))
-    return m.agg(F.count(F.lit(1)).alias("sources"), F.sum("bytes").alias("bytes"), F.count_if(F.length("sha256") == 64).alias("verified"))
+    path = scratch_path(spark, "manifest")
+    E.table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    m = R.file_manifest(R.read_files(spark, path, "*.txt"))
+    return m.agg(F.count(F.lit(1)).alias("sources"), F.sum("bytes").alias("bytes"), F.count_distinct("sha256").alias("verified"))
 
 
 # -- sinks ---------------------------------------------------------------------------

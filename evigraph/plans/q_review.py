@@ -449,7 +449,7 @@ SELECT count(*) AS records, 100.0 AS completeness, count(DISTINCT case_number) A
 UNION ALL SELECT count(*), 100.0, count(DISTINCT identifier), count(*) - count(DISTINCT identifier), 100.0 * count_if(coalesce(person_name, subject, caller_name, sender_name) IS NOT NULL) / count(*),
   100.0 * count_if(vehicle_plate IS NOT NULL) / count(*), 100.0, 'pass', 'multi-source' FROM ev"""))
 def a08_quality(spark, sf_dir):
-    return B.data_quality(E.incident_records(spark, sf_dir)).unionByName(B.data_quality(E.event_records(spark, sf_dir)))
+    return B.data_quality(E.event_records(spark, sf_dir).unionByName(E.incident_records(spark, sf_dir)))
 
 
 @query("a09_repeat_findings", with_(INCIDENTS, """u AS (SELECT 'repeat-subject-network' AS finding, suspect_name AS name, count(*) AS n FROM inc WHERE suspect_name <> '' GROUP BY 2 HAVING n >= 2

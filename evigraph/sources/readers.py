@@ -11,64 +11,104 @@ from pyspark.sql import types as T
 from evigraph.functions import rules
 from evigraph.functions import scalars as S
 from evigraph.operators.graph import EvidenceGraph
+from evigraph.operators.ranking import numbered
 from evigraph.session import cut
 
 RECORD_LIST = "array<map<string,string>>"
 
 
 def _sequenced(df: DataFrame, key: str | None) -> DataFrame:
-    """Attach the source order: a key of the data, or the scan order written once."""
+    """Attach the source order: a key of the data, or (file, place in the file) as dense numbers.
+
+    Spark packs file splits by size, so the order comes from the file's path, the split's
+    start and the row's place in its split, never from the partition number alone.
+    """
     if key is not None:
-        return df.withColumn("seq", F.col(key).cast("bigint"))
-    return cut(df.withColumn("seq", F.monotonically_increasing_id()), "ordered")
+        return df.drop("_metadata").withColumn("seq", F.col(key).cast("bigint"))
+    kept = [c for c in df.columns if c != "_metadata"]
+    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    return numbered(placed, [], ["_path", "_start", "_row"], "seq").select(*[F.col(f"`{c}`") for c in kept], (F.col("seq") - 1).alias("seq"))
 
 
 def _filled(fields: Column) -> Column:
     return F.transform_values(fields, lambda k, v: F.coalesce(v, F.lit("")))
 
 
-def read_csv_records(spark: SparkSession, path: str, key: str | None = None, limit: int | None = None) -> DataFrame:
-    """CSV with a header; every cell text, missing cells empty, byte-order mark dropped."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', encoding="UTF-8")
-    names = [c.lstrip("﻿") for c in raw.columns]
-    rows = _sequenced(raw.toDF(*names), key)
-    pairs = [x for c in names for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit("")))]
-    out = rows.select("seq", F.create_map(*pairs).alias("fields"))
+def read_csv_records(spark: SparkSession, path: str, key: str | None = None, limit: int | None = None, quoted_lines: bool = True) -> DataFrame:
+    """CSV with a header per file; every cell text, missing cells empty, byte-order mark dropped.
+
+    Columns go by the name in the file's own header, so files may order or name them
+    differently.  ``quoted_lines`` allows line breaks inside quotes, for which Spark reads
+    a file in one task; without it files are split between tasks.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value")
+    heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "row").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files"))
+    parts = []
+    for found in heads.collect():  # one entry per distinct header, with the files Spark has listed anyway
+        raw = spark.read.csv(sorted(found["files"]), header=True, inferSchema=False, quote='"', escape='"', encoding="UTF-8", multiLine=quoted_lines)
+        names = [c.lstrip("\ufeff") for c in raw.columns]
+        pairs = [x for old, new in zip(raw.columns, names, strict=True) for x in (F.lit(new), F.coalesce(F.col(f"`{old}`"), F.lit("")))]
+        parts.append(raw.select(F.create_map(*pairs).alias("fields"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")))
+    if not parts:
+        return spark.createDataFrame([], "seq bigint, fields map<string,string>")
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    if key is not None:
+        out = rows.select(F.col("fields")[key].cast("bigint").alias("seq"), "fields")
+    else:
+        out = numbered(rows, [], ["_path", "_start", "_row"], "seq").select((F.col("seq") - 1).alias("seq"), "fields")
     return out.orderBy("seq").limit(limit) if limit else out
 
 
-def read_json_records(spark: SparkSession, path: str, root: str = "records") -> DataFrame:
-    """JSON documents: a root array, or an object holding the array under ``root``.
+def _split_parsed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    good = rows.filter("fields IS NOT NULL").select("seq", _filled(F.col("fields")).alias("fields"))
+    return good, rows.filter("fields IS NULL").select("seq", "file", F.col("value").alias("text"), F.lit("malformed JSON").alias("reason"))
+
 
-    A document is parsed by one task.  Use ``read_json_lines`` for large data.
+def split_json_records(spark: SparkSession, path: str, root: str = "records") -> tuple[DataFrame, DataFrame]:
+    """JSON documents: a root array, or an object holding the array under ``root``; and what could not be read.
+
+    Returns records and a quarantine table (seq, file, text, reason).  A document is one value,
+    so one task parses it.  Use ``split_json_lines`` for large data.
     """
     docs = spark.read.text(path, wholetext=True)
     listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", f"$.{root}"))
-    rows = docs.select(F.explode_outer(F.from_json(listed, RECORD_LIST)).alias("fields")).filter("fields IS NOT NULL")
-    return _sequenced(rows, None).select("seq", _filled(F.col("fields")).alias("fields"))
+    rows = docs.select(F.col("_metadata.file_path").alias("file"), "value", F.from_json(listed, RECORD_LIST).alias("list"))
+    rows = rows.select("file", F.when(F.col("list").isNull(), F.col("value")).alias("value"), F.posexplode_outer("list").alias("place", "fields")).filter("fields IS NOT NULL OR value IS NOT NULL")
+    return _split_parsed(numbered(rows, [], ["file", "place"], "seq").withColumn("seq", F.col("seq") - 1))
 
 
-def read_json_lines(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """One JSON object per line; files are split between tasks."""
-    rows = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("fields")).filter("fields IS NOT NULL")
+def read_json_records(spark: SparkSession, path: str, root: str = "records") -> DataFrame:
+    return split_json_records(spark, path, root)[0]
+
+
+def split_json_lines(spark: SparkSession, path: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One JSON object per line, files split between tasks; and the lines that are none, as (seq, file, text, reason)."""
+    lines = spark.read.text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), "value", F.from_json("value", "map<string,string>").alias("fields"), "_metadata").filter(F.trim("value") != "")
+    rows = rows.withColumn("fields", F.when(F.size(F.coalesce("fields", F.create_map().cast("map<string,string>"))) > 0, F.col("fields")))
     if key is not None:
-        return rows.select(F.col("fields")[key].cast("bigint").alias("seq"), _filled(F.col("fields")).alias("fields"))
-    return _sequenced(rows, None).select("seq", _filled(F.col("fields")).alias("fields"))
+        return _split_parsed(rows.withColumn("seq", F.col("fields")[key].cast("bigint")))
+    placed = rows.select("file", "value", "fields", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    return _split_parsed(numbered(placed, [], ["file", "_start", "_row"], "seq").withColumn("seq", F.col("seq") - 1))
+
+
+def read_json_lines(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    return split_json_lines(spark, path, key)[0]
 
 
 def read_narratives(spark: SparkSession, path: str, delimiter: str = "---") -> DataFrame:
     """(doc_id, block_idx, text): blocks split on delimiter lines or blank lines.
 
-    Blocks that mention a case number are kept; when none does, all are.  The
-    delimiter is the line separator of the scan, so one large file is shared out.
+    In a file with case numbers only the blocks that mention one are kept; in a file without
+    all are.  The delimiter is the line separator of the scan, so one large file is shared out.
     """
-    chunks = spark.read.text(path, lineSep=f"\n{delimiter}\n").select(F.col("_metadata.file_name").alias("doc_id"), "value")
+    chunks = spark.read.text(path, lineSep=f"\n{delimiter}\n").select(F.col("_metadata.file_name").alias("doc_id"), "value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
     parts = F.filter(F.transform(F.split("value", r"\n\s*" + delimiter + r"\s*\n|\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
-    blocks = chunks.select("doc_id", F.explode_outer(parts).alias("text")).filter("text IS NOT NULL")
-    blocks = cut(blocks.withColumn("block_idx", F.monotonically_increasing_id()), "blocks")
+    blocks = chunks.select("doc_id", "_start", "_row", F.posexplode_outer(parts).alias("_part", "text")).filter("text IS NOT NULL")
+    blocks = cut(numbered(blocks, ["doc_id"], ["_start", "_row", "_part"], "block_idx").select("doc_id", (F.col("block_idx") - 1).alias("block_idx"), "text"), "blocks")
     case = F.col("text").rlike(r"(?i)\bCase Number\b")
-    known = blocks.agg(F.coalesce(F.bool_or(case), F.lit(False)).alias("known"))
-    return blocks.join(F.broadcast(known)).filter(~F.col("known") | case).select("doc_id", "block_idx", "text")
+    known = blocks.groupBy("doc_id").agg(F.coalesce(F.bool_or(case), F.lit(False)).alias("known"))
+    return blocks.join(known, "doc_id").filter(~F.col("known") | case).select("doc_id", "block_idx", "text")
 
 
 def _leaves(column: Column, data_type: T.DataType, name: str):
@@ -94,7 +134,7 @@ def read_xml_records(spark: SparkSession, path: str, row_tag: str, key: str | No
             for name, column in _leaves(F.col(f"`{field.name}`"), field.dataType, field.name):
                 found[name] = column
     pairs = [x for name, column in found.items() for x in (F.lit(name), F.trim(column.cast("string")))]
-    rows = raw.select(F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull() & (v != "")).alias("fields"))
+    rows = raw.select(F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull() & (v != "")).alias("fields"), F.col("_metadata"))
     if key is not None:
         return rows.select(F.col("fields")[key].cast("bigint").alias("seq"), "fields")
     return _sequenced(rows.filter(F.size("fields") > 0), None)
@@ -130,10 +170,13 @@ def file_manifest(files: DataFrame, roles: dict[str, str] | None = None) -> Data
                         F.col("modificationTime").alias("modified_at"), role.alias("role"))
 
 
-def read_node_link(spark: SparkSession, path: str) -> EvidenceGraph:
-    """A node-link document: nodes with id, label, type and edges with source, target, relationship."""
+def read_node_link(spark: SparkSession, path: str, lines: bool = False) -> EvidenceGraph:
+    """Node-link documents: nodes with id, label, type and edges with source, target, relationship.
+
+    A file is one document, or with ``lines`` each line is one, and files are split between tasks.
+    """
     schema = "struct<nodes:array<struct<id:string,label:string,type:string>>,edges:array<struct<source:string,target:string,relationship:string>>>"
-    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
+    docs = spark.read.text(path, wholetext=not lines).select(F.from_json("value", schema).alias("d"))
     nodes = docs.select(F.explode_outer("d.nodes").alias("n")).filter("n IS NOT NULL").select("n.*")
     edges = docs.select(F.explode_outer("d.edges").alias("e")).filter("e IS NOT NULL").select("e.*")
     return EvidenceGraph(nodes, edges)
@@ -167,12 +210,12 @@ def generate_calls(spark: SparkSession, n: int, phone_pool: int = 4000, place_po
 # -- guards ------------------------------------------------------------------------------
 
 def guard_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted files, and rejected ones with the reason."""
+    """Accepted files, and rejected ones with the reason; the whole content is looked at."""
     head = F.hex(F.substring("content", 1, 4))
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    text = F.lower(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"))
+    text = F.lower(F.decode("content", "ISO-8859-1"))
     magic = reduce(lambda a, b: a | b, [head.startswith(m) for m in rules.EXECUTABLE_MAGIC])
-    nul = F.instr(F.decode(F.substring("content", 1, 1_048_576), "ISO-8859-1"), "\u0000") > 0
+    nul = F.instr(F.decode("content", "ISO-8859-1"), "\u0000") > 0
     reason = (F.when(~suffix.isin(*rules.ACCEPTED_SUFFIXES), "unsupported format")
               .when(magic, "executable or archive content").when(nul, "binary content")
               .when((suffix == "xml") & (text.contains("<!doctype") | text.contains("<!entity")), "document type or entity declaration"))
