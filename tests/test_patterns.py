@@ -224,3 +224,21 @@ def test_forward_pass(spark):
     adj = spark.createDataFrame([p for a, b in edges for p in ((a, b), (b, a))], "node string, nbr string")
     got = {r.id: r.probability for r in features.mean_aggregator_scores(f, adj, w).collect()}
     assert got == pytest.approx(want)
+
+
+def test_equal_windows_go_to_the_first_row_of_a_key(spark):
+    """Two equal bursts: the key whose first row comes first wins, even if that row has no time."""
+    rows = [(1, "p", None), (2, "q", "2025-01-01 00:00:00"), (3, "q", "2025-01-01 00:10:00"), (4, "p", "2025-01-02 00:00:00"), (5, "p", "2025-01-02 00:10:00")]
+    df = spark.createDataFrame(rows, "seq long, k string, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    got = {r["k"]: (r["n"], r["first_seq"]) for r in patterns.densest_window(df, ["k"], "ts", 1800, 2).collect()}
+    assert got == {"p": (2, 1), "q": (2, 2)}
+
+
+def test_repeated_ids_leave_the_receipt_stable(spark):
+    rows = RECORDS + [dict(RECORDS[3], amount="1"), dict(RECORDS[8], signal="other")]
+    receipts = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(list(enumerate(rows)), "seq bigint, fields map<string,string>").repartition(parts)
+        receipts.append({r["id"]: (r["receipt"], r["explanation"], r["n_evidence"]) for r in patterns.detect_patterns(patterns.staged_rows(df)).collect()})
+    assert receipts[0] == receipts[1] and receipts[0]
+    assert "amounts 1 to" in receipts[0]["rapid-split-transfer"][1]
