@@ -13,7 +13,8 @@ from evigraph.operators import products as B
 from evigraph.operators import explore as X
 from evigraph.operators import integrity as H
 from evigraph.plans import evidence as E
-from evigraph.plans.oracle_base import CRIME, CRIME_ADJ, EVENTS, INCIDENTS, MULTI, OBSERVED, RISKS, with_
+from evigraph.operators import patterns as P
+from evigraph.plans.oracle_base import CRIME, CRIME_ADJ, EVENTS, INCIDENTS, MEDGES, MULTI, OBSERVED, RISKS, with_
 from evigraph.plans.registry import query
 from evigraph.session import scratch_path, tune
 from evigraph.sinks import exports as K
@@ -448,20 +449,45 @@ def _stream(spark, sf_dir):
     return J.read_table_stream(spark, f"{sf_dir}/events.parquet")
 
 
-@query("x01_stream_ingest", with_(EVENTS, OBSERVED, "SELECT relation, channel, count(*) AS n FROM men GROUP BY 1, 2"))
+@query("x01_stream_ingest", with_(EVENTS, OBSERVED, MEDGES, """SELECT 'mentions' AS part, relation AS kind, channel, count(*) AS n FROM men GROUP BY ALL
+UNION ALL SELECT 'actor_edges', label, channel, count(*) FROM medges WHERE label IN ('CALLED', 'TRANSFERRED_TO') GROUP BY ALL
+UNION ALL SELECT 'accepted', 'record', NULL, count_if(event_id % 100 <> 0) FROM events UNION ALL SELECT 'rejected', 'oversized field', NULL, count_if(event_id % 100 = 0) FROM events"""
+    .replace("FROM men ", "FROM men WHERE seq % 100 <> 0 ").replace("WHERE label IN", "WHERE CAST(regexp_extract(id, 'e([0-9]+)-', 1) AS BIGINT) % 100 <> 0 AND label IN")))
 def x01_stream_ingest(spark, sf_dir):
+    """All four tables of the ingest; every hundredth record has an oversized cell."""
     stream = _stream(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     sink = scratch_path(spark, "ingest")
-    J.stream_ingest(E.records_of(E.event_rows_of(stream), "seq", E.EVENT_FIELDS), sink)
-    return spark.read.parquet(f"{sink}/mentions").groupBy("relation", "channel").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("x02_stream_rate_limit")
+    records = E.records_of(E.event_rows_of(stream), "seq", E.EVENT_FIELDS)
+    big = F.when(F.col("seq") % 100 == 0, F.map_concat("fields", F.create_map(F.lit("attachment"), F.repeat(F.lit("x"), rules.MAX_CELL + 1)))).otherwise(F.col("fields"))
+    J.stream_ingest(records.withColumn("fields", big), sink)
+    count = F.count(F.lit(1)).alias("n")
+    none = F.lit(None).cast("string").alias("channel")
+    read = {name: spark.read.parquet(f"{sink}/{name}") for name in ("mentions", "actor_edges", "accepted", "rejected")}
+    parts = [read["mentions"].groupBy(F.lit("mentions").alias("part"), F.col("relation").alias("kind"), "channel").agg(count),
+             read["actor_edges"].groupBy(F.lit("actor_edges").alias("part"), F.col("label").alias("kind"), F.col("source_types")[0].alias("channel")).agg(count),
+             read["accepted"].groupBy(F.lit("accepted").alias("part"), F.lit("record").alias("kind"), none).agg(count),
+             read["rejected"].groupBy(F.lit("rejected").alias("part"), F.col("reason").alias("kind"), none).agg(count)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("x02_stream_rate_limit", """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+r AS (SELECT user_id, ts, rn, true AS admitted, [t] AS held FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.ts, e.rn, len(list_filter(r.held, lambda h: h >= e.t - 86400000000)) < 3,
+    CASE WHEN len(list_filter(r.held, lambda h: h >= e.t - 86400000000)) < 3 THEN list_append(list_filter(r.held, lambda h: h >= e.t - 86400000000), e.t) ELSE list_filter(r.held, lambda h: h >= e.t - 86400000000) END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id, ts, admitted FROM r WHERE epoch_us(ts) // 1000 < (SELECT epoch_ms(max(ts)) - 86400000 FROM events)""")
 def x02_stream_rate_limit(spark, sf_dir):
-    return J.run_to_table(J.stream_rate_limit(_stream(spark, sf_dir), "user_id", "ts", 3, 3600), "limited")
+    """At most three admitted per day and user; files whose order has nothing to do with time are read in one batch, so none is late."""
+    stream = J.read_table_stream(spark, _files(spark, sf_dir))
+    return J.run_to_table(J.stream_rate_limit(stream, "user_id", "ts", 3, 86_400, "1 day"), "limited")
 
 
-_MINUTES = "(SELECT event_id, event_type, user_id, ts, date_trunc('minute', ts) - to_minutes(CAST(i AS INT)) AS ws FROM events, range(30) t(i))"
+def _files(spark, sf_dir):
+    path = scratch_path(spark, "stream-files")
+    tune(spark)
+    events = E.table(spark, sf_dir, "events")
+    events.repartition(8, F.xxhash64("event_id")).write.parquet(path)
+    return path
 
 
 @query("x02_stream_rate_windows", """SELECT event_type, ws AS window_start, ws + INTERVAL 60 SECOND AS window_end, count(*) AS n FROM (
@@ -471,16 +497,21 @@ def x02_stream_rate_windows(spark, sf_dir):
     return J.run_to_table(J.stream_rate_windows(_stream(spark, sf_dir), "event_type", "ts", 1), "rates")
 
 
-@query("x03_stream_bursts", f"""SELECT user_id, event_type, ws AS window_start, ws + INTERVAL 30 MINUTE AS window_end, count(*) AS n FROM {_MINUTES}
-WHERE ws + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+@query("x03_stream_bursts", with_(EVENTS, """pairs AS (SELECT least(caller_number, callee_number) AS low, greatest(caller_number, callee_number) AS high, CAST(timestamp AS TIMESTAMP) AS tt FROM ev WHERE caller_number IS NOT NULL AND callee_number IS NOT NULL),
+w AS (SELECT DISTINCT low, high, tt AS window_start, max(tt) OVER v AS window_end, count(*) OVER v AS n FROM pairs WINDOW v AS (PARTITION BY low, high ORDER BY tt RANGE BETWEEN CURRENT ROW AND INTERVAL 1 DAY FOLLOWING))""", """
+SELECT low, high, window_start, window_end, n FROM w WHERE n >= 2 AND epoch_ms(window_start) + 86400000 < (SELECT epoch_ms(max(tt)) - 86400000 FROM pairs)"""))
 def x03_stream_bursts(spark, sf_dir):
-    return J.run_to_table(J.stream_bursts(_stream(spark, sf_dir), ["user_id", "event_type"], "ts"), "bursts")
+    """Windows of one day over call pairs: the test calls lie far apart."""
+    stream = J.read_table_stream(spark, _files(spark, sf_dir)).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    calls = E.event_rows_of(stream).select(F.col("caller_number").alias("caller"), F.col("callee_number").alias("callee"), F.to_timestamp("timestamp").alias("ts"))
+    return J.run_to_table(J.stream_bursts(P.call_pairs(calls), ["low", "high"], "ts", 86_400, 2, "1 day"), "bursts")
 
 
-@query("x04_stream_emergence", "SELECT day, count(*) AS new_entities FROM (SELECT user_id, CAST(min(ts) AS DATE) AS day FROM events GROUP BY 1) GROUP BY 1")
+@query("x04_stream_emergence", "SELECT user_id, min(ts) AS first FROM events GROUP BY 1")
 def x04_stream_emergence(spark, sf_dir):
-    first = J.run_to_table(J.stream_emergence(_stream(spark, sf_dir), "user_id", "ts"), "emergence")
-    return first.groupBy("day").agg(F.count(F.lit(1)).alias("new_entities"))
+    """Eight batches whose order has nothing to do with time."""
+    stream = J.read_table_stream(spark, _files(spark, sf_dir), max_files=1)
+    return J.stream_emergence(stream, "user_id", "ts", scratch_path(spark, "first-seen"))
 
 
 @query("x05_stream_dedupe", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -54,9 +54,37 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Entries of a folder in any file system; none if it does not exist."""
+    fs, place = _folder(spark, path)
+    return [f.getPath().toString() for f in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _folder(spark, path)
+    fs.delete(place, True)
+
+
+_staged: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables that operators have staged so far, once their results are written."""
+    count = len(_staged)
+    while _staged:
+        remove(spark, _staged.pop())
+    return count
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once and continue from the written table."""
+    """Write ``df`` once and continue from the written table, until ``drop_staged``."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,13 +1,14 @@
 """Structured Streaming forms of ingest, limiting, burst detection, emergence and deduplication.
 
 Every job takes a streaming DataFrame and returns a started-and-finished or
-running query through the caller's writer; state is bounded by watermarks or by
-the number of distinct entities.
+running query through the caller's writer; state is bounded by watermarks, and first-seen
+times are a stored table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evigraph.operators import graph as G
-from evigraph.session import scratch_path
+from evigraph.session import children, remove, scratch_path
 from evigraph.sources.readers import guard_records
 
 
@@ -54,30 +55,58 @@ def stream_ingest(records: DataFrame, sink: str) -> None:
     query.awaitTermination()
 
 
-def stream_rate_limit(events: DataFrame, key: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
-    """Flag each event as admitted or not: at most ``limit`` admitted per key and sliding window.
+def _buffered(rows: DataFrame, keys: list[str], ts: str, out: str, closes_after: int, decide: Callable) -> DataFrame:
+    """Event-time work per key: rows wait until the watermark has passed them by ``closes_after`` microseconds.
 
-    Only admitted events count, so the decision needs state: the times of the
-    admitted events of the last window, never more than ``limit`` of them.  Rows
-    of a key are taken in arrival order, chunk by chunk.
+    ``decide(closed, waiting, held)`` gets the sorted times that are now closed, those that
+    still wait and the key's memory, and returns columns to emit and the new memory.
+    So neither the order of arrival nor the cut into batches matters.  A key whose rows are all
+    closed and whose memory has run out leaves the state.
     """
-    def admit(_, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+    def work(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, held = (list(x) for x in state.get) if state.exists else ([], [])
         for chunk in chunks:
-            chunk = chunk.sort_values(ts, kind="stable")
-            flags = []
-            for t in chunk[ts].astype("datetime64[us]").astype("int64"):
-                held = [h for h in held if h >= t - seconds * 1_000_000]
-                ok = limit <= 0 or len(held) < limit
-                if ok and limit > 0:
-                    held.append(int(t))
-                flags.append(ok)
-            yield pd.DataFrame({key: chunk[key], ts: chunk[ts], "admitted": flags})
-        state.update((held,))
-
-    rows = events.select(key, F.col(ts).cast("timestamp").alias(ts))
+            waiting += chunk[ts].astype("datetime64[us]").astype("int64").tolist()
+        mark = state.getCurrentWatermarkMs()
+        waiting.sort()
+        n = sum((t + closes_after) // 1000 < mark for t in waiting)
+        closed, waiting = waiting[:n], waiting[n:]
+        columns, held = decide(closed, waiting, held)
+        size = len(next(iter(columns.values())))
+        if size:
+            yield pd.DataFrame({**{k: [v] * size for k, v in zip(keys, key, strict=True)}, **columns})
+        ends = waiting[0] + closes_after if waiting else held[-1] + closes_after if held else None
+        if ends is None or (not waiting and ends // 1000 < mark):
+            state.remove()
+        else:
+            state.update((waiting, held))
+            state.setTimeoutTimestamp(max(ends // 1000, mark + 1))
+
+    return rows.groupBy(*keys).applyInPandasWithState(work, out, "waiting array<bigint>, held array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _stamps(times: list[int]) -> pd.Series:
+    return pd.Series(times, dtype="int64").astype("datetime64[us]")
+
+
+def stream_rate_limit(events: DataFrame, key: str, ts: str, limit: int, seconds: int = 60, watermark: str = "10 minutes") -> DataFrame:
+    """Flag each event as admitted or not: at most ``limit`` admitted per key and sliding window.
+
+    Only admitted events count, so events are taken in event-time order once the watermark
+    has passed them.  The state of a key is what still waits and at most ``limit`` admitted times.
+    """
+    def decide(closed: list[int], waiting: list[int], held: list[int]):
+        flags = []
+        for t in closed:
+            held = [h for h in held if h >= t - seconds * 1_000_000]
+            flags.append(limit <= 0 or len(held) < limit)
+            if flags[-1] and limit > 0:
+                held.append(t)
+        return {ts: _stamps(closed), "admitted": flags}, held
+
+    rows = events.select(key, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, watermark)
     out = f"{key} {rows.schema[key].dataType.simpleString()}, {ts} timestamp, admitted boolean"
-    return rows.groupBy(key).applyInPandasWithState(admit, out, "held array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return _buffered(rows, [key], ts, out, 0, decide)
 
 
 def stream_rate_windows(events: DataFrame, key: str, ts: str, limit: int, watermark: str = "1 minute") -> DataFrame:
@@ -87,17 +116,57 @@ def stream_rate_windows(events: DataFrame, key: str, ts: str, limit: int, waterm
     return counts.select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n")
 
 
-def stream_bursts(rows: DataFrame, keys: list[str], ts: str, width: str = "30 minutes", slide: str = "1 minute",
-                  minimum: int = 2, watermark: str = "10 minutes") -> DataFrame:
-    """Sliding windows with at least ``minimum`` rows per key, emitted once they are closed."""
+def stream_bursts(rows: DataFrame, keys: list[str], ts: str, seconds: int = 1800, minimum: int = 2, watermark: str = "10 minutes") -> DataFrame:
+    """Every window that starts at a row and holds at least ``minimum`` rows of its key, both ends included.
+
+    A window is emitted once the watermark has passed its end; the state of a key is the
+    times of the windows that are still open.
+    """
+    width = seconds * 1_000_000
+
+    def decide(closed: list[int], waiting: list[int], held: list[int]):
+        times = closed + waiting
+        starts, ends, sizes = [], [], []
+        for i, t in enumerate(closed):
+            if i and closed[i - 1] == t:
+                continue
+            inside = bisect_right(times, t + width)
+            if inside - i >= minimum:
+                starts.append(t)
+                ends.append(times[inside - 1])
+                sizes.append(inside - i)
+        return {"window_start": _stamps(starts), "window_end": _stamps(ends), "n": sizes}, []
+
     timed = rows.select(*keys, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, watermark)
-    counts = timed.groupBy(*keys, F.window(ts, width, slide)).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= minimum)
-    return counts.select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n")
+    types = ", ".join(f"{k} {timed.schema[k].dataType.simpleString()}" for k in keys)
+    return _buffered(timed, keys, ts, f"{types}, window_start timestamp, window_end timestamp, n bigint", width, decide)
 
 
-def stream_emergence(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """First arrival of every entity key; state is one row per entity."""
-    return rows.select(key, F.col(ts).cast("timestamp").alias(ts)).dropDuplicates([key]).select(key, F.to_date(ts).alias("day"))
+def stream_emergence(rows: DataFrame, key: str, ts: str, store: str) -> DataFrame:
+    """First-seen table (key, first) of all entities, by event time; late rows move a first time back.
+
+    Each batch merges its earliest times with the stored table into the next version, so no
+    state grows in memory, arrival order does not matter, and a repeated batch writes the same version.
+    """
+    spark = rows.sparkSession
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, first timestamp"
+
+    def versions() -> list[int]:
+        return sorted(int(p.rsplit("/v", 1)[1]) for p in children(spark, store) if "/v" in p)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        known = [v for v in versions() if v < batch_id]
+        fresh = batch.select(key, F.col(ts).cast("timestamp").alias("first"))
+        if known:
+            fresh = fresh.unionByName(spark.read.schema(schema).parquet(f"{store}/v{known[-1]}"))
+        fresh.groupBy(key).agg(F.min("first").alias("first")).write.mode("overwrite").parquet(f"{store}/v{batch_id}")
+        for old in known[:-1]:
+            remove(spark, f"{store}/v{old}")
+
+    query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{store}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    done = versions()
+    return spark.read.schema(schema).parquet(f"{store}/v{done[-1]}") if done else spark.createDataFrame([], schema)
 
 
 def stream_dedupe(rows: DataFrame, key: str, ts: str, watermark: str = "1 day") -> DataFrame:
