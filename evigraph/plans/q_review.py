@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evigraph.functions import rules
 from evigraph.functions import scalars as S
 from evigraph.operators import explore as X
 from evigraph.operators import features as L
@@ -43,34 +45,83 @@ def a04_structure(spark, sf_dir):
     return M.structure_metrics(g, I.connected_components(g))
 
 
-@query("n06_betweenness")
+def brandes_sql(nodes: str, adj: str, sources: int = 32, depth: int = 12) -> str:
+    """CTEs that end in ``between`` (node, score): level by level from the sources, then back."""
+    parts = [f"bn AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS rn, count(*) OVER () AS total FROM {nodes})",
+             f"l0 AS MATERIALIZED (SELECT DISTINCT id AS src, id AS node, 1.0::DOUBLE AS sigma FROM bn, range({sources}) t(i) WHERE rn = least(total - 1, CAST(floor(i * (total / {sources})) AS BIGINT)) + 1)",
+             f"a0 AS MATERIALIZED (SELECT node, nbr FROM {adj} WHERE node <> nbr)"]
+    for d in range(1, depth + 1):
+        seen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM l{o} o WHERE o.src = x.src AND o.node = x.node)" for o in range(max(0, d - 2), d))
+        parts.append(f"l{d} AS MATERIALIZED (SELECT * FROM (SELECT src, nbr AS node, sum(sigma) AS sigma FROM l{d - 1} JOIN a0 USING (node) GROUP BY 1, 2) x WHERE {seen})")
+    parts.append(f"d{depth} AS MATERIALIZED (SELECT src, node, sigma, 0.0::DOUBLE AS delta FROM l{depth})")
+    for d in range(depth - 1, 0, -1):
+        parts.append(f"d{d} AS MATERIALIZED (SELECT l.src, l.node, l.sigma, l.sigma * coalesce(sum((1 + w.delta) / w.sigma), 0) AS delta FROM l{d} l JOIN a0 ON a0.node = l.node LEFT JOIN d{d + 1} w ON w.src = l.src AND w.node = a0.nbr GROUP BY 1, 2, 3)")
+    union = " UNION ALL ".join(f"SELECT node, delta FROM d{d}" for d in range(1, depth + 1))
+    parts.append(f"sums AS (SELECT node, sum(delta) AS s FROM ({union}) GROUP BY 1)")
+    parts.append("between_ AS MATERIALIZED (SELECT id AS node, CASE WHEN (SELECT max(s) FROM sums) > 0 THEN coalesce(s, 0) / (SELECT max(s) FROM sums) ELSE 0 END AS score FROM bn LEFT JOIN sums ON sums.node = bn.id)")
+    return ",\n".join(parts)
+
+
+@query("n06_betweenness", with_(CRIME_ADJ, brandes_sql("cnodes", "adj"), "SELECT node, round(score, 9) AS score FROM between_"))
 def n06_betweenness(spark, sf_dir):
-    return I.sampled_betweenness(E.crime_graph(spark, sf_dir).staged())
+    return I.sampled_betweenness(E.crime_graph(spark, sf_dir).staged()).select("node", F.round("score", 9).alias("score"))
 
 
-@query("n08_influence")
+@query("n08_influence", with_(STAR, brandes_sql("snodes", "sadj"), """top_ AS (SELECT max(degree) AS peak, count(*) AS n FROM sdeg),
+around AS (SELECT a.node, sum(d.degree) AS around FROM sadj a JOIN sdeg d ON d.id = a.nbr GROUP BY 1),
+t AS (SELECT n.id, n.name, n.type, n.risk, d.degree, d.degree / greatest(1, top_.n - 1) AS degree_centrality, least(1.0, (d.degree + coalesce(around, 0) * 0.35) / greatest(1, peak * 2)) AS reach,
+  d.degree / peak AS scaled, score AS betweenness FROM snodes n JOIN sdeg d USING (id) JOIN between_ b ON b.node = n.id LEFT JOIN around ON around.node = n.id, top_)""", """
+SELECT row_number() OVER (ORDER BY score DESC, risk DESC, name, id) AS rank, * FROM (SELECT id, name, type, risk, round(0.45 * scaled + 0.40 * betweenness + 0.15 * reach, 9) AS score, degree, round(degree_centrality, 9) AS degree_centrality,
+  round(betweenness, 9) AS betweenness, round(reach, 9) AS reach FROM t) ORDER BY rank LIMIT 20"""))
 def n08_influence(spark, sf_dir):
     g = E.star_graph(spark, sf_dir).staged()
-    return M.centrality(g, I.sampled_betweenness(g), "influence", 20)
+    top = M.centrality(g, I.sampled_betweenness(g), "influence", 20)
+    return top.select("rank", "id", "name", "type", "risk", "degree", *[F.round(c, 9).alias(c) for c in ("score", "degree_centrality", "betweenness", "reach")])
 
 
 def beat_pairs(g):
-    """Each beat and the beat ten numbers on, where both exist."""
+    """Each beat and the next one in number, the last with the first."""
     beats = g.nodes.filter(F.array_contains("tags", "police-beat")).select("id", F.regexp_extract("name", "([0-9]+)$", 1).cast("int").alias("beat"))
-    later = beats.select(F.col("id").alias("target"), (F.col("beat") - 10).alias("beat"))
-    return beats.join(later, "beat").select(F.col("beat").cast("string").alias("pair_id"), F.col("id").alias("source"), "target")
-
-
-@query("n10_paths")
+    ranked = beats.withColumns({"n": F.row_number().over(Window.orderBy("beat")), "size": F.count(F.lit(1)).over(Window.partitionBy())})  # one row per police beat
+    return ranked.join(ranked.select(F.col("id").alias("target"), (F.when(F.col("n") == 1, F.col("size")).otherwise(F.col("n") - 1)).alias("n")), "n").select(F.col("beat").cast("string").alias("pair_id"), F.col("id").alias("source"), "target")
+
+
+def paths_sql(hops: int) -> str:
+    """CTEs that end in ``goal`` (pair_id, cost, hop, p, steps): cheapest labels hop by hop with the choice rule of the contract."""
+    label = "struct_pack(cost := l.cost + h.w, prev := l.node, edge_id := h.edge_id, confidence := h.confidence, forward := h.forward)"
+    parts = ["""beat_ AS (SELECT id, CAST(regexp_extract(name, '([0-9]+)$', 1) AS INT) AS beat, row_number() OVER (ORDER BY CAST(regexp_extract(name, '([0-9]+)$', 1) AS INT)) AS n, count(*) OVER () AS size FROM cnodes WHERE tags = 'police-beat'),
+asked AS MATERIALIZED (SELECT CAST(a.beat AS VARCHAR) AS pair_id, a.id AS source, b.id AS target FROM beat_ a JOIN beat_ b ON b.n = CASE WHEN a.n = a.size THEN 1 ELSE a.n + 1 END)""",
+             """hops_ AS MATERIALIZED (SELECT id AS edge_id, confidence, 200 - confidence AS w, source AS node, target AS nbr, true AS forward FROM cedges WHERE source <> target
+  UNION ALL SELECT id, confidence, 200 - confidence, target, source, false FROM cedges WHERE source <> target)""",
+             "p0 AS MATERIALIZED (SELECT pair_id, source AS node, 0::BIGINT AS cost, 1.0::DOUBLE AS p, []::STRUCT(step INT, from_id VARCHAR, to_id VARCHAR, edge_id VARCHAR, forward BOOLEAN)[] AS steps, target FROM asked)"]
+    for h in range(1, hops + 1):
+        known = " UNION ALL ".join(f"SELECT pair_id, node, cost FROM p{i}" for i in range(h))
+        parts.append(f"""s{h} AS MATERIALIZED (SELECT l.pair_id, h.nbr AS node, min({label}) AS s, arg_min(struct_pack(p := l.p * h.confidence / 100.0, steps := list_append(l.steps, struct_pack(step := {h}, from_id := l.node, to_id := h.nbr, edge_id := h.edge_id, forward := h.forward))), {label}) AS c, any_value(l.target) AS target
+  FROM p{h - 1} l JOIN hops_ h ON h.node = l.node WHERE l.node <> l.target GROUP BY 1, 2),
+k{h} AS MATERIALIZED (SELECT pair_id, node, min(cost) AS cost FROM ({known}) GROUP BY 1, 2),
+p{h} AS MATERIALIZED (SELECT x.pair_id, x.node, x.s.cost AS cost, x.c.p AS p, x.c.steps AS steps, x.target FROM s{h} x LEFT JOIN k{h} k ON k.pair_id = x.pair_id AND k.node = x.node
+  LEFT JOIN k{h} b ON b.pair_id = x.pair_id AND b.node = x.target WHERE (k.cost IS NULL OR x.s.cost < k.cost) AND (b.cost IS NULL OR x.s.cost < b.cost))""")
+    hits = " UNION ALL ".join(f"SELECT pair_id, cost, {i} AS hop, p, steps FROM p{i} WHERE node = target" for i in range(hops + 1))
+    parts.append(f"goal AS MATERIALIZED (SELECT pair_id, min(struct_pack(cost := cost, hop := hop)) AS g, arg_min(struct_pack(p := p, steps := steps), struct_pack(cost := cost, hop := hop)) AS c FROM ({hits}) GROUP BY 1)")
+    return ",\n".join(parts)
+
+
+_PATHS = (CRIME, paths_sql(4))
+
+
+@query("n10_paths", with_(*_PATHS, """SELECT a.pair_id, source, target, g IS NOT NULL AS found, g.hop AS hops, g.cost / 100.0 AS cost, round(100.0 * c.p, 6) AS path_confidence,
+  CASE WHEN g IS NULL THEN 'no-observed-path' ELSE 'observed-path' END AS epistemic_status FROM asked a LEFT JOIN goal USING (pair_id)"""))
 def n10_paths(spark, sf_dir):
     g = E.crime_graph(spark, sf_dir).staged()
-    return I.connection_paths(g, beat_pairs(g), 6)[0]
+    return I.connection_paths(g, beat_pairs(g), 4)[0].drop("receipt").withColumn("path_confidence", F.round("path_confidence", 6))
 
 
-@query("n10_path_steps")
+@query("n10_path_steps", with_(*_PATHS, """SELECT pair_id, s.step, s.from_id, s.to_id, s.edge_id, CASE WHEN s.forward THEN 'forward' ELSE 'reverse traversal' END AS direction, e.label AS relationship, e.record_id
+FROM (SELECT pair_id, unnest(c.steps) AS s FROM goal) JOIN cedges e ON e.id = s.edge_id"""))
 def n10_path_steps(spark, sf_dir):
     g = E.crime_graph(spark, sf_dir).staged()
-    return I.connection_paths(g, beat_pairs(g), 6)[1]
+    steps = I.connection_paths(g, beat_pairs(g), 4)[1]
+    return steps.select("pair_id", "step", "from_id", "to_id", "edge_id", "direction", "relationship", F.col("evidence_record_ids")[0].alias("record_id"))
 
 
 @query("n11_traces", with_(CRIME, """
@@ -190,12 +241,16 @@ def j06_recovery(spark, sf_dir):
     return Y.evaluate_scenario(g, users, labels, apart)
 
 
-@query("m07_scenario")
+@query("m07_scenario", with_(*_PATHS, """e AS (SELECT DISTINCT suspect_name AS name FROM inc WHERE suspect_name <> ''), people AS (SELECT id, name FROM cnodes WHERE type = 'person')
+""", """SELECT 'entities' AS measure, count_if(name IN (SELECT name FROM cnodes)) AS got, count(*) AS wanted FROM e
+UNION ALL SELECT 'relationships', count(DISTINCT label), count(DISTINCT label) FROM cedges
+UNION ALL SELECT 'kept-apart', count_if(p.id <> (SELECT min_by(id, name) FROM people)), count(*) FROM people p WHERE name <> (SELECT min(name) FROM people)
+UNION ALL SELECT 'paths', count_if(pair_id IN (SELECT pair_id FROM goal)), count(*) FROM asked"""))
 def m07_scenario(spark, sf_dir):
     """Truth recovery plus whether declared paths exist."""
     g = E.crime_graph(spark, sf_dir).staged()
     pairs = beat_pairs(g)
-    paths = I.connection_paths(g, pairs, 6)[0].agg(F.count_if("found").alias("got"), F.count(F.lit(1)).alias("wanted")).select(F.lit("paths").alias("measure"), "got", "wanted")
+    paths = I.connection_paths(g, pairs, 4)[0].agg(F.count_if("found").alias("got"), F.count(F.lit(1)).alias("wanted")).select(F.lit("paths").alias("measure"), "got", "wanted")
     rows = E.incident_rows(spark, sf_dir)
     entities = rows.filter("suspect_name <> ''").select(F.col("suspect_name").alias("name")).distinct()
     labels = g.edges.select("label").distinct()
@@ -378,11 +433,34 @@ def demo_weights():
             "classifier": {"weight": matrix(2, 4, 5), "bias": [0.0, 0.1]}}
 
 
-@query("m03_scores")
+def _linear(rows, columns, bias=None):
+    """One SQL expression per output row."""
+    return [" + ".join([*(f"({w}) * {c}" for w, c in zip(row, columns, strict=True)), *([str(bias[i])] if bias else [])]) for i, row in enumerate(rows)]
+
+
+def _layer(name, source, width, weights):
+    means, own = [f"coalesce(m{i}, 0)" for i in range(width)], [f"f.f{i}" for i in range(width)]
+    out = [f"greatest({a} + {b}, 0) AS f{i}" for i, (a, b) in enumerate(zip(_linear(weights["neighbour"], means, weights["bias"]), _linear(weights["self"], own), strict=True))]
+    average = ", ".join(f"avg(s.f{i}) AS m{i}" for i in range(width))
+    return f"{name} AS MATERIALIZED (SELECT f.id, {', '.join(out)} FROM {source} f LEFT JOIN (SELECT b.node, {average} FROM both_ b JOIN {source} s ON s.id = b.nbr GROUP BY 1) m ON m.node = f.id)"
+
+
+def model_sql() -> str:
+    w = demo_weights()
+    hot = ["type = 'event'", "type = 'person'", "type = 'crime'", "type = 'vehicle'", "type = 'location' AND NOT (tags = 'police-beat' OR name LIKE 'Police Beat %')", "type = 'location' AND (tags = 'police-beat' OR name LIKE 'Police Beat %')"]
+    kinds = dict(zip(("CASE", "SUSPECT", "CRIME_TYPE", "VEHICLE", "LOCATION", "POLICE_BEAT"), hot, strict=True))
+    ones = [f"CASE WHEN {kinds[k]} THEN 1.0::DOUBLE ELSE 0.0 END AS f{i}" for i, k in enumerate(rules.MODEL_TYPES)]
+    z = _linear(w["classifier"]["weight"], [f"f{i}" for i in range(4)], w["classifier"]["bias"])
+    return ",\n".join(("both_ AS MATERIALIZED (SELECT source AS node, target AS nbr FROM cedges UNION ALL SELECT target, source FROM cedges)", "md AS (SELECT node, count(*) AS d FROM both_ GROUP BY 1)",
+                       f"f0 AS MATERIALIZED (SELECT id, {', '.join(ones)}, coalesce(d, 0)::DOUBLE / (SELECT max(d) FROM md) AS f6 FROM cnodes LEFT JOIN md ON md.node = id)",
+                       _layer("f1", "f0", 7, w["layer1"]), _layer("f2", "f1", 4, w["layer2"]), f"z_ AS (SELECT id, 1 / (1 + exp(({z[0]}) - ({z[1]}))) AS p FROM f2)"))
+
+
+@query("m03_scores", with_(CRIME_ADJ, model_sql(), "SELECT id, round(p, 9) AS probability, CASE WHEN p >= 0.5 THEN 'suspicious' ELSE 'normal' END AS derived_label FROM z_"))
 def m03_scores(spark, sf_dir):
     g = E.crime_graph(spark, sf_dir).staged()
     features = cut(L.node_features(g), "features")
-    return L.mean_aggregator_scores(features, M.adjacency(g, multi=True), demo_weights())
+    return L.mean_aggregator_scores(features, M.adjacency(g, multi=True), demo_weights()).withColumn("probability", F.round("probability", 9))
 
 
 @query("m03_layer_mean", with_(CRIME_ADJ, """both_ AS (SELECT source AS node, target AS nbr FROM cedges UNION ALL SELECT target, source FROM cedges)""", """
@@ -401,7 +479,14 @@ def m04_split(spark, sf_dir):
     return L.stratified_split(labels, "label").groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m05_masking")
+@query("m05_masking", with_(CRIME, """lk AS (SELECT e.id AS edge_id, e.target AS id FROM cedges e JOIN cnodes n ON n.id = e.target AND n.type = 'person' JOIN cnodes c ON c.id = e.source AND c.type = 'event'),
+tr AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || edge_id), edge_id) AS n, CAST(round_even(0.2 * count(*) OVER (PARTITION BY seed), 0) AS BIGINT) AS dropped FROM lk, range(1000, 1010) t(seed)),
+af AS (SELECT seed, id, CASE WHEN count(*) >= 2 THEN 1 ELSE 0 END AS pred FROM tr WHERE n > dropped GROUP BY 1, 2),
+lb AS (SELECT n.id, CASE WHEN count(e.id) >= 2 THEN 1 ELSE 0 END AS label FROM cnodes n LEFT JOIN lk e ON e.id = n.id WHERE n.type = 'person' GROUP BY 1),
+bo AS (SELECT seed, label, coalesce(pred, 0) AS pred FROM lb CROSS JOIN range(1000, 1010) t(seed) LEFT JOIN af USING (seed, id)),
+co AS (SELECT seed, count_if(label = 1 AND pred = 1) AS tp, count_if(label = 0 AND pred = 0) AS tn, count_if(label = 0 AND pred = 1) AS fp, count_if(label = 1 AND pred = 0) AS fn FROM bo GROUP BY 1)""", """
+SELECT CAST(seed AS INT) AS seed, tp AS true_positive, tn AS true_negative, fp AS false_positive, fn AS false_negative, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall,
+  CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, (tp + tn) / (tp + tn + fp + fn) AS accuracy, (SELECT any_value(dropped) FROM tr) AS masked_edges FROM co"""))
 def m05_masking(spark, sf_dir):
     return L.masking_stress(E.crime_graph(spark, sf_dir).staged())
 
