@@ -147,7 +147,8 @@ def training_sample(df: DataFrame, text: str, lang: str, key: str, rows: int, lo
     """
     own = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")).where(F.col("lang").isNotNull() & (F.length("text") <= longest))
     totals = own.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
-    share = own.join(totals, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("total") < 2 * rows)
+    # one row per language, of which there are as few as in the model that every worker holds: sent to all, so that other rows' texts stay where they are
+    share = own.join(F.broadcast(totals), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("total") < 2 * rows)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return share.withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "text")
 
