@@ -30,8 +30,10 @@ from evigraph.llm import flat
 
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
-KEPT_WORDS = 400_000
-NEW_CHARS = 1 << 20
+KEPT_WORDS = 150_000
+NEW_CHARS = 1 << 18
+CHUNK_BYTES = 1 << 19
+DECODED_IDS = 1 << 19
 
 
 class Vocabulary:
@@ -219,7 +221,7 @@ class Coder:
 
     def encode(self, texts: pa.Array, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         parts, sizes = [], []
-        for _, part in flat.chunks(texts):
+        for _, part in flat.chunks(texts, CHUNK_BYTES):
             if len(self.known) > KEPT_WORDS:
                 self._forget()
             cut = [self.vocabulary.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in part.to_pylist()]
@@ -257,13 +259,17 @@ def _coder(model: str | None) -> Coder:
     return _coders[path]
 
 
+def _lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
+
+
 def encode(text: Column, model: str | None = None, end: bool = True) -> Column:
     """Ids of a text; ``model`` is the file's path on the workers."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        flat_ids, at = _coder(model).encode(texts, end)
-        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat_ids, pa.int32()))
+        parts = [_lists(*_coder(model).encode(part, end)) for _, part in flat.chunks(texts, CHUNK_BYTES)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return ids(text)
 
@@ -273,14 +279,31 @@ def decode(ids: Column, model: str | None = None) -> Column:
 
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
-        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        values = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int32)
-        return _coder(model).vocabulary.decode(values, np.concatenate([[0], np.cumsum(size)])).cast(pa.string())
+        parts, first = [], 0
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while first < len(lists):  # runs of lists of bounded length, so that the byte positions stay small
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + DECODED_IDS, "right")))
+            part = lists.slice(first, last - first)
+            at = np.concatenate([[0], ends[first:last] - done])
+            parts.append(_coder(model).vocabulary.decode(pc.list_flatten(part).to_numpy(zero_copy_only=False).astype(np.int32), at).cast(pa.string()))
+            first = last
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return texts(ids)
 
 
 def tokenized(df: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
     """Adds ``token_ids`` with the end id, and ``decoded``, the text those ids decode to."""
+
+    @F.arrow_udf("struct<token_ids: array<int>, decoded: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        lists, decoded = [pa.array([], pa.list_(pa.int32()))], [pa.array([], pa.string())]
+        for _, part in flat.chunks(texts, CHUNK_BYTES):
+            ids, at = _coder(model).encode(part)
+            lists.append(_lists(ids, at))
+            decoded.append(_coder(model).vocabulary.decode(ids, at).cast(pa.string()))
+        return pa.StructArray.from_arrays([pa.concat_arrays(lists), pa.concat_arrays(decoded)], ["token_ids", "decoded"])
+
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("token_ids", "decoded")]
-    return df.select(*kept, encode(F.col(text), model).alias("token_ids")).select(*kept, "token_ids", decode(F.col("token_ids"), model).alias("decoded"))
+    return df.select(*kept, both(F.col(text)).alias("__both")).select(*kept, F.col("__both.token_ids").alias("token_ids"), F.col("__both.decoded").alias("decoded"))
