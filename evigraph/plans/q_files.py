@@ -16,7 +16,7 @@ from evigraph.plans import evidence as E
 from evigraph.operators import patterns as P
 from evigraph.plans.oracle_base import CRIME, CRIME_ADJ, EVENTS, INCIDENTS, MEDGES, MULTI, OBSERVED, RISKS, with_
 from evigraph.plans.registry import query
-from evigraph.session import scratch_path, tune
+from evigraph.session import cut, scratch_path, tune
 from evigraph.sinks import exports as K
 from evigraph.sinks import snapshots as N
 from evigraph.sources import readers as R
@@ -319,28 +319,64 @@ def h05_manifest(spark, sf_dir):
 
 # -- sinks ---------------------------------------------------------------------------
 
-@query("k01_graph_json", with_(CRIME, "SELECT type, count(*) AS n, CAST(sum(risk) AS BIGINT) AS risk FROM cnodes GROUP BY 1"))
+@query("k01_graph_json", with_(CRIME, "SELECT 'node' AS kind, id, type AS label, CAST(risk AS VARCHAR) AS a, name AS b FROM cnodes UNION ALL SELECT 'edge', id, label, source, target FROM cedges"))
 def k01_graph_json(spark, sf_dir):
     path = scratch_path(spark, "graph-json")
     g = E.crime_graph(spark, sf_dir)
     K.write_graph_json(g, path)
-    return spark.read.schema(g.nodes.schema).json(f"{path}/nodes").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("risk").alias("risk"))
+    nodes = spark.read.schema(g.nodes.schema).json(f"{path}/nodes").select(F.lit("node").alias("kind"), "id", F.col("type").alias("label"), F.col("risk").cast("string").alias("a"), F.col("name").alias("b"))
+    edges = spark.read.schema(g.edges.schema).json(f"{path}/edges").select(F.lit("edge").alias("kind"), "id", "label", F.col("source").alias("a"), F.col("target").alias("b"))
+    return nodes.unionByName(edges)
 
 
-@query("k02_graphml", with_(CRIME, "SELECT 11 + 2 + (SELECT count(*) FROM cnodes) + (SELECT count(*) FROM cedges) AS lines, (SELECT count(*) FROM cnodes) AS nodes, (SELECT count(*) FROM cedges) AS edges"))
+_XML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query("k02_graphml", with_(CRIME, f"""SELECT 'node' AS kind, id AS a, NULL AS b, {_XML.format('name')} AS label FROM cnodes UNION ALL SELECT 'edge', source, target, {_XML.format('label')} FROM cedges
+UNION ALL SELECT 'other', NULL, NULL, CAST(count(*) AS VARCHAR) FROM range(13)"""))
 def k02_graphml(spark, sf_dir):
+    """Every node and edge line read back with its ends and label, and the number of lines around them."""
     path = scratch_path(spark, "graphml")
     K.write_lines(K.graphml_lines(E.crime_graph(spark, sf_dir).staged()), path)
-    v = F.col("value")
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"), F.count_if(v.startswith("<node ")).alias("nodes"), F.count_if(v.startswith("<edge ")).alias("edges"))
+    v, none = F.col("value"), F.lit(None).cast("string")
+    kind = F.when(v.startswith("<node "), "node").when(v.startswith("<edge "), "edge").otherwise("other")
 
+    def found(pattern: str):
+        return F.nullif(F.regexp_extract("value", pattern, 1), F.lit(""))
 
-@query("k03_stix", with_(MULTI, """SELECT t AS type, count(*) AS n, count_if(p) AS protected FROM (SELECT CASE WHEN type IN ('person', 'protected_person', 'organization') THEN 'identity' WHEN type = 'event' THEN 'incident' ELSE 'x-evigraph-entity' END AS t, type = 'protected_person' AS p FROM mnodes
-  UNION ALL SELECT 'relationship', false FROM medges UNION ALL SELECT 'report', false UNION ALL SELECT 'identity', false) GROUP BY 1"""))
+    rows = spark.read.text(path).withColumn("kind", kind)
+    body = rows.filter("kind <> 'other'").select("kind", F.coalesce(found(' source="([^"]*)"'), found('^<node id="([^"]*)"')).alias("a"), found(' target="([^"]*)"').alias("b"), found('<data key="label">([^<]*)</data>').alias("label"))
+    rest = rows.filter("kind = 'other'").agg(F.count(F.lit(1)).cast("string").alias("label")).select(F.lit("other").alias("kind"), none.alias("a"), none.alias("b"), "label")
+    return body.unionByName(rest)
+
+
+@query("k03_stix", with_(MULTI, """o AS (SELECT CASE WHEN type IN ('person', 'protected_person', 'organization') THEN 'identity' WHEN type = 'event' THEN 'incident' ELSE 'x-evigraph-entity' END AS type, type = 'protected_person' AS p FROM mnodes
+  UNION ALL SELECT 'relationship', false FROM medges), n AS (SELECT CAST(ceil(count(*) / 1000) AS BIGINT) AS leaves, count(*) AS objects FROM o)""", """
+SELECT type, count(*) AS n, count_if(p) AS protected, 0 AS refs FROM (SELECT * FROM o UNION ALL SELECT 'identity', false) GROUP BY type
+UNION ALL SELECT 'report', leaves + CASE WHEN leaves > 1 THEN 1 ELSE 0 END, 0, objects + CASE WHEN leaves > 1 THEN leaves ELSE 0 END FROM n
+UNION ALL SELECT 'missing', 0, 0, 0"""))
 def k03_stix(spark, sf_dir):
-    objects = K.stix_objects(E.event_graph(spark, sf_dir).staged(), "events", "2026-01-01T00:00:00.000Z")
+    """Objects by type, references of all reports, and objects that no report references."""
+    objects = cut(K.stix_objects(E.event_graph(spark, sf_dir).staged(), "events", "2026-01-01T00:00:00.000Z"), "stix")
     masked = F.col("json").contains('"x_evigraph_protected":true') & ~F.col("json").contains("risk_indicator")
-    return objects.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(masked).alias("protected"))
+    refs = F.coalesce(F.from_json(F.get_json_object("json", "$.object_refs"), "array<string>"), F.array().cast("array<string>"))
+    counts = objects.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(masked).alias("protected"), F.sum(F.size(refs)).alias("refs"))
+    named = objects.filter("type = 'report'").select(F.explode(refs).alias("id")).distinct()
+    zero = F.lit(0).cast("bigint")
+    lost = objects.filter("type <> 'report' AND json NOT LIKE '%\"identity_class\":\"system\"%'").join(named, "id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(lost.select(F.lit("missing").alias("type"), "n", zero.alias("protected"), zero.alias("refs")))
+
+
+@query("k03_bundle", with_(MULTI, "SELECT 'bundle' AS type, (SELECT count(*) FROM mnodes) + (SELECT count(*) FROM medges) + 1 AS objects"))
+def k03_bundle(spark, sf_dir):
+    """Every line of the bundle between its frame is an object, all but one behind a comma; reports are left out of the count."""
+    path = scratch_path(spark, "bundle")
+    objects = cut(K.stix_objects(E.event_graph(spark, sf_dir).staged(), "events", "2026-01-01T00:00:00.000Z"), "stix")
+    K.write_lines(K.stix_bundle_lines(objects, "00000000-0000-4000-8000-000000000000"), path)
+    v = F.col("value")
+    rows = spark.read.text(path).filter(~v.startswith('{"type":"bundle"') & (v != "]}")).select(F.get_json_object(F.regexp_replace("value", "^,", ""), "$.type").alias("type"), v.startswith(",").alias("comma"))
+    counted = rows.agg(F.count_if(F.col("type").isNotNull() & (F.col("type") != "report")).alias("objects"), F.count_if(~F.col("comma")).alias("heads"))
+    return counted.filter("heads = 1").select(F.lit("bundle").alias("type"), "objects")
 
 
 @query("k04_csv_exports", """SELECT CASE WHEN regexp_matches(ltrim(v), '^[=+@-]') THEN '''' || v ELSE v END AS cell, seq AS id FROM (SELECT doc_id AS seq, CASE WHEN doc_id % 4 = 0 THEN ' =' ELSE '' END || lang AS v FROM documents)""")
@@ -363,13 +399,16 @@ def k05_geojson(spark, sf_dir):
     return f.select("id", F.get_json_object("json", "$.type").alias("type"), F.get_json_object("json", "$.properties.count").cast("bigint").alias("count"))
 
 
-@query("k07_simple_graph_json", with_(INCIDENTS, """SELECT 'CASE' AS type, count(DISTINCT case_number) AS n FROM inc UNION ALL SELECT 'SUSPECT', count(DISTINCT nullif(suspect_name, '')) FROM inc
-UNION ALL SELECT 'VEHICLE', count(DISTINCT vehicle_plate) FROM inc WHERE suspect_name <> '' AND vehicle_plate <> '' UNION ALL SELECT 'CRIME_TYPE', count(DISTINCT primary_type) FROM inc
-UNION ALL SELECT 'LOCATION', count(DISTINCT block) FROM inc UNION ALL SELECT 'POLICE_BEAT', count(DISTINCT beat) FROM inc"""))
+@query("k07_simple_graph_json", with_(INCIDENTS, """p AS (SELECT case_number AS c, nullif(suspect_name, '') AS s, CASE WHEN suspect_name <> '' THEN nullif(vehicle_plate, '') END AS v, primary_type AS t, block AS l, 'Beat ' || beat AS b FROM inc),
+e AS (SELECT c AS x, s AS y, 'PERPETRATED_BY' AS r FROM p UNION ALL SELECT s, v, 'DRIVES_VEHICLE' FROM p UNION ALL SELECT c, t, 'OFFENSE_TYPE' FROM p UNION ALL SELECT c, l, 'OCCURRED_AT' FROM p UNION ALL SELECT c, b, 'OCCURRED_IN_BEAT' FROM p)""", """
+SELECT 'node' AS kind, id AS a, NULL AS b, type AS label FROM (SELECT c AS id, 'CASE' AS type FROM p UNION SELECT s, 'SUSPECT' FROM p UNION SELECT v, 'VEHICLE' FROM p UNION SELECT t, 'CRIME_TYPE' FROM p UNION SELECT l, 'LOCATION' FROM p UNION SELECT b, 'POLICE_BEAT' FROM p) WHERE id IS NOT NULL
+UNION ALL SELECT 'edge', least(x, y), greatest(x, y), min(r) FROM e WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 2, 3"""))
 def k07_simple_graph_json(spark, sf_dir):
     path = scratch_path(spark, "simple-json")
     K.write_graph_json(G.simple_typed_graph(E.incident_records(spark, sf_dir)), path)
-    return spark.read.schema("id string, type string").json(f"{path}/nodes").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    nodes = spark.read.schema("id string, type string").json(f"{path}/nodes").select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("type").alias("label"))
+    edges = spark.read.schema("source string, target string, relationship string").json(f"{path}/edges")
+    return nodes.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("relationship").alias("label")))
 
 
 @query("k08_extracted_csv", with_(INCIDENTS, f"SELECT {_PARSED} FROM inc"))
