@@ -19,6 +19,7 @@ replace equal ones).
 from __future__ import annotations
 
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +61,7 @@ class Vocabulary:
                     right.append(self.symbol[p[cut:]])
                     made.append(i)
                     ranks.append(rank[p])
-        keys = np.array(left, np.int64) * self.size + np.array(right, np.int64)
-        order = np.argsort(keys)
-        self.pair, self.made, self.rank = keys[order], np.array(made, np.int32)[order], np.array(ranks, np.int32)[order]
+        self._tabulate(np.array(left, np.int64) * self.size + np.array(right, np.int64), np.array(made, np.int32), np.array(ranks, np.int32))
         # pieces that, once made, can join a pair of better rank than their own: one merge at a time
         own = np.full(self.size, -1, np.int64)
         for p, i in normal.items():
@@ -87,6 +86,24 @@ class Vocabulary:
         # line breaks are in no piece of most vocabularies: then they part words too
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+" if "\n" not in "".join(normal) else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
+    def _tabulate(self, keys: np.ndarray, made: np.ndarray, rank: np.ndarray) -> None:
+        """Hash table of the pairs: a pair lies in its slot or in one of the next ``probes`` - 1."""
+        self.bits = max(10, int(len(keys)).bit_length() + 3)
+        self.probes, left = 0, np.arange(len(keys))
+        slots = np.full((1 << self.bits) + 64, -1, np.int64)
+        while len(left):
+            spot = self._slot(keys[left]) + self.probes
+            free = slots[spot] < 0
+            spot, first = np.unique(spot[free], return_index=True)
+            slots[spot] = left[free][first]
+            left = np.setdiff1d(left, slots[spot], assume_unique=True)
+            self.probes += 1
+        self.pair = np.where(slots >= 0, keys[slots], -1)
+        self.made, self.rank = np.where(slots >= 0, made[slots], 0).astype(np.int32), np.where(slots >= 0, rank[slots], NONE).astype(np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * flat.ROOT) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words and the n + 1 offsets."""
         chars = "".join(words)
@@ -133,9 +150,13 @@ class Vocabulary:
         rank, made = np.full(len(sym), NONE), np.zeros(len(sym), np.int32)
         pairs = np.flatnonzero((word[:-1] == word[1:]) & (sym[:-1] >= 0) & (sym[1:] >= 0))
         keys = sym[pairs].astype(np.int64) * self.size + sym[pairs + 1]
-        at = np.minimum(np.searchsorted(self.pair, keys), len(self.pair) - 1)
-        found = self.pair[at] == keys
-        rank[pairs[found]], made[pairs[found]] = self.rank[at[found]], self.made[at[found]]
+        spot = self._slot(keys)
+        for _ in range(self.probes):
+            held = self.pair[spot]
+            found = held == keys
+            rank[pairs[found]], made[pairs[found]] = self.rank[spot[found]], self.made[spot[found]]
+            on = ~found & (held >= 0)
+            pairs, keys, spot = pairs[on], keys[on], spot[on] + 1
         return rank, made
 
     def _bytes(self, word: np.ndarray, sym: np.ndarray, raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,14 +246,17 @@ class Coder:
             if len(self.known) > KEPT_WORDS:
                 self._forget()
             cut = [self.vocabulary.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in part.to_pylist()]
-            new = list({w for words in cut for w in words} - self.known.keys())
+            words = list(chain.from_iterable(cut))
+            which = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+            unknown = np.flatnonzero(which < 0).tolist()
+            new = list({words[i] for i in unknown})
             while new:  # in portions, so that the symbol arrays stay small
                 total, n = 0, 0
                 while n < len(new) and (n == 0 or total < NEW_CHARS):
                     total, n = total + len(new[n]), n + 1
                 self._learn(new[:n])
                 new = new[n:]
-            which = np.array([self.known[w] for words in cut for w in words], np.int64)
+            which[unknown] = [self.known[words[i]] for i in unknown]
             width = np.diff(self.at)[which]
             ids = self.ids[_gather(self.at[which], width)]
             per = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum([len(w) for w in cut])]).astype(np.int64)]
