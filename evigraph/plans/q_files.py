@@ -461,16 +461,58 @@ def k12_catalogue(spark, sf_dir):
     return N.catalogue_state(log).select("id", "created_at", "built_in", "active")
 
 
-@query("b01_briefing", with_(CRIME, """SELECT section, item, value FROM (SELECT 'graph' AS section, 'nodes' AS item, CAST(count(*) AS VARCHAR) AS value FROM cnodes UNION ALL SELECT 'graph', 'edges', CAST(count(*) AS VARCHAR) FROM cedges
-UNION ALL SELECT 'graph', 'high_risk_events', CAST(count(*) AS VARCHAR) FROM cnodes WHERE type = 'event' AND risk >= 85)"""))
+def _notes_sql() -> str:
+    rows = [(f, item, value) for f, (basis, alternatives, action) in rules.FINDING_NOTES.items() for item, value in
+            (("basis", basis), ("next-action", action), *((f"alternative-{i}", t) for i, t in enumerate(alternatives, 1)))]
+    return "notes(finding, item, value) AS (VALUES " + ", ".join(f"('{f}', '{i}', '{v}')" for f, i, v in rows) + ")"
+
+
+def _briefing_sql(nodes: str, edges: str, quality: str, findings: str) -> str:
+    rails = " UNION ALL ".join(f"SELECT 'guardrail', '{i}', '{t}'" for i, t in enumerate(rules.GUARDRAILS, 1))
+    return f"""SELECT section, item, value, '2026-01-01' AS as_of FROM (SELECT 'graph' AS section, 'nodes' AS item, CAST(count(*) AS VARCHAR) AS value FROM {nodes}
+UNION ALL SELECT 'graph', 'edges', CAST(count(*) AS VARCHAR) FROM {edges} UNION ALL SELECT 'graph', 'high_risk_events', CAST(count(*) AS VARCHAR) FROM {nodes} WHERE type = 'event' AND risk >= 85
+UNION ALL {quality}
+UNION ALL SELECT 'finding', finding || ':' || rank, name || ' ' || n FROM ({findings})
+UNION ALL SELECT 'reading', finding || ':' || item, value FROM notes WHERE finding IN (SELECT finding FROM ({findings}))
+UNION ALL SELECT 'provenance', 'sources', '25' UNION ALL SELECT 'provenance', 'verified', '25' UNION ALL SELECT 'provenance', 'active upload: nation', repeat('ab', 32)
+UNION ALL {rails})"""
+
+
+_TOP = "SELECT finding, row_number() OVER (PARTITION BY finding ORDER BY n DESC, name) AS rank, name, n FROM {} QUALIFY rank <= 5"
+
+
+def _quality_sql(schema: str, source: str, rid: str, subject: str, plate: str) -> str:
+    """Item and value of each measure; shares as text in Spark's form of a double."""
+    share = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) || '.0' ELSE CAST({0} AS VARCHAR) END"
+    items = {"records": "CAST(count(*) AS VARCHAR)", "completeness": "max('100.0')", "unique_ids": f"CAST(count(DISTINCT {rid}) AS VARCHAR)", "duplicate_ids": f"CAST(count(*) - count(DISTINCT {rid}) AS VARCHAR)",
+             "subject_coverage": share.format(f"(100.0::DOUBLE * count_if({subject}) / count(*))"), "plate_coverage": share.format(f"(100.0::DOUBLE * count_if({plate}) / count(*))"),
+             "type_coverage": "max('100.0')", "quality_gate": "max('pass')", "schema": f"max('{schema}')"}
+    return " UNION ALL ".join(f"SELECT 'quality', '{schema}:{k}', {v} FROM {source}" for k, v in items.items())
+
+
+def _brief(spark, sf_dir, g, records):
+    path = scratch_path(spark, "manifest")
+    E.table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    upload = spark.range(1).select(F.lit("nation").alias("name"), F.repeat(F.lit("ab"), 32).alias("sha256"))
+    return B.briefing(g.staged(), records, R.file_manifest(R.read_files(spark, path, "*.txt")), "2026-01-01", upload)
+
+
+@query("b01_briefing", with_(CRIME, _notes_sql(), """u AS (SELECT 'repeat-subject-network' AS finding, suspect_name AS name, count(*) AS n FROM inc WHERE suspect_name <> '' GROUP BY 2 HAVING n >= 2
+  UNION ALL SELECT 'beat-concentration', beat, count(*) FROM inc GROUP BY 2 UNION ALL SELECT 'high-severity-cluster', primary_type, count(*) FROM inc GROUP BY 2)""",
+    _briefing_sql("cnodes", "cedges", _quality_sql("crime-record", "inc", "case_number", "suspect_name <> ''", "vehicle_plate <> ''"), _TOP.format("u"))))
 def b01_briefing(spark, sf_dir):
-    out = B.briefing(E.crime_graph(spark, sf_dir).staged(), E.incident_records(spark, sf_dir), R.file_manifest(R.read_files(spark, sf_dir, "*.parquet")), "2026-01-01")
-    return out.filter("section = 'graph'").select("section", "item", "value")
+    """The whole briefing over incident records."""
+    return _brief(spark, sf_dir, E.crime_graph(spark, sf_dir), E.incident_records(spark, sf_dir))
 
 
-@query("b01_full_briefing")
+@query("b01_full_briefing", with_(MULTI, _notes_sql(), """madj AS (SELECT DISTINCT * FROM (SELECT source AS node, target AS nbr FROM medges UNION ALL SELECT target, source FROM medges)),
+u AS (SELECT 'record-type-cluster' AS finding, record_type AS name, count(*) AS n FROM ev GROUP BY 2
+  UNION ALL SELECT CASE WHEN any_value(p.type) = 'person' THEN 'graph-repeat-subject' ELSE 'graph-place-concentration' END, any_value(p.name), count(*) AS n FROM madj JOIN mnodes p ON p.id = node AND p.type IN ('person', 'location') JOIN mnodes e ON e.id = nbr AND e.type = 'event'
+  GROUP BY node HAVING n >= 2 OR any_value(p.type) <> 'person')""",
+    _briefing_sql("mnodes", "medges", _quality_sql("multi-source", "ev", "identifier", "coalesce(person_name, subject, caller_name, sender_name) IS NOT NULL", "vehicle_plate IS NOT NULL"), _TOP.format("u"))))
 def b01_full_briefing(spark, sf_dir):
-    return B.briefing(E.crime_graph(spark, sf_dir).staged(), E.incident_records(spark, sf_dir), R.file_manifest(R.read_files(spark, sf_dir, "*.parquet")), "2026-01-01")
+    """The whole briefing over multi-source records, whose findings come from the graph."""
+    return _brief(spark, sf_dir, E.event_graph(spark, sf_dir), E.event_records(spark, sf_dir))
 
 
 @query("b04_scale_graph", """SELECT count(*) + (SELECT count(DISTINCT p) FROM (SELECT event_id % 4000 AS p FROM events UNION ALL SELECT (event_id * 37 + 11) % 4000 FROM events)) + count(DISTINCT event_id % 256) AS nodes,

@@ -122,7 +122,7 @@ def a12_telemetry(spark, sf_dir):
 
 @query("a16_location_concentration", with_(CRIME_ADJ, """
 SELECT row_number() OVER (ORDER BY degree DESC, risk DESC, name, id) AS rank, id, name, degree AS count, risk, 28 + a / 255.0 * 44 AS x, 14 + b / 255.0 * 70 AS y,
-  42.02 - (b / 255.0 * 70) / 70 * 0.38 AS lat, -87.94 + (a / 255.0 * 44) / 44 * 0.42 AS lng, 'operational-grid proxy; not source GPS' AS coordinate_basis
+  42.02 - (b / 255.0 * 70) / 70 * 0.38 AS lat, -87.94 + (a / 255.0 * 44) / 44 * 0.42 AS lng, 'place in a grid, drawn from the id; no measured position' AS coordinate_basis
 FROM (SELECT n.*, d.degree, CAST(('0x' || substr(sha256(n.id), 1, 2)) AS INT) AS a, CAST(('0x' || substr(sha256(n.id), 3, 2)) AS INT) AS b
   FROM cnodes n JOIN deg d USING (id) WHERE tags = 'police-beat') ORDER BY degree DESC, risk DESC, name, id LIMIT 30"""))
 def a16_location_concentration(spark, sf_dir):

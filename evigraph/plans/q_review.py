@@ -296,8 +296,8 @@ def h08_latest_decision(spark, sf_dir):
 
 
 @query("h09_explanations", with_(_ALERTS, """
-SELECT alert_id AS id, confidence, 'Transparent rule-based risk model with graph structural features.' AS methodology FROM alerts WHERE alert_id = 'derived-repeat-subject'
-UNION ALL SELECT * FROM (SELECT 'beat-concentration', 100, 'direct source aggregation' FROM inc GROUP BY beat ORDER BY count(*) DESC, beat LIMIT 5)"""))
+SELECT alert_id AS id, confidence, 'fixed risk rules and counts of linked nodes' AS methodology FROM alerts WHERE alert_id = 'derived-repeat-subject'
+UNION ALL SELECT * FROM (SELECT 'beat-concentration', 100, 'counts over the records themselves' FROM inc GROUP BY beat ORDER BY count(*) DESC, beat LIMIT 5)"""))
 def h09_explanations(spark, sf_dir):
     out = B.explain(B.generate_alerts(E.crime_graph(spark, sf_dir).staged()), B.repeat_findings(E.incident_records(spark, sf_dir)), ["derived-repeat-subject", "beat-concentration"])
     return out.select("id", "confidence", "methodology")
