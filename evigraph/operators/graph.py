@@ -32,9 +32,12 @@ class EvidenceGraph:
     edges: DataFrame
     closed: bool = False
 
-    def staged(self) -> EvidenceGraph:
-        """Both tables written once, for operators that read the graph several times."""
-        return EvidenceGraph(cut(self.nodes, "nodes"), cut(self.edges, "edges"), self.closed)
+    def staged(self, nodes: tuple[str, ...] = (), edges: tuple[str, ...] = ()) -> EvidenceGraph:
+        """Both tables written once, for operators that read the graph several times.
+
+        Given names keep only those columns, so that others are never computed.
+        """
+        return EvidenceGraph(cut(self.nodes.select(*(nodes or self.nodes.columns)), "nodes"), cut(self.edges.select(*(edges or self.edges.columns)), "edges"), self.closed)
 
     def restrict(self, nodes: DataFrame) -> EvidenceGraph:
         """The subgraph induced by ``nodes``."""
@@ -239,8 +242,12 @@ def build_crime_graph(records: DataFrame, digits: int = rules.ID_HEX) -> Evidenc
 
 # -- multi-source records ---------------------------------------------------
 
-def observations(records: DataFrame) -> DataFrame:
-    """One row per record: identity, kind, time, channel, risk and matched roles."""
+def observations(records: DataFrame, provenance: bool = True) -> DataFrame:
+    """One row per record: identity, kind, time, channel, risk and matched roles.
+
+    Without ``provenance`` digest and description stay null and cost nothing.
+    """
+    unsaid = F.lit(None).cast("string")
     norm = records.select("seq", "fields", S.normalise_keys(F.col("fields")).alias("norm"))
     n = F.col("norm")
     base = norm.select(
@@ -249,7 +256,7 @@ def observations(records: DataFrame) -> DataFrame:
         F.coalesce(S.first_alias(n, rules.KIND_ALIASES)["value"], F.lit("source record")).alias("kind"),
         S.first_alias(n, rules.GRAPH_TIME_ALIASES)["value"].alias("observed_at"),
         S.event_time(n).alias("event_ts"), S.generic_risk(F.col("fields"), n).alias("risk"),
-        S.record_digest(F.col("fields")).alias("digest"), S.describe_fields(F.col("fields")).alias("description"),
+        (S.record_digest(F.col("fields")) if provenance else unsaid).alias("digest"), (S.describe_fields(F.col("fields")) if provenance else unsaid).alias("description"),
         F.array(*[S.first_alias(n, aliases) for *_, aliases in rules.ROLES]).alias("roles"),
     )
     return base.select(
@@ -343,13 +350,14 @@ def actor_edges(observed: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
     return unfold(observed, actor_links(digits))
 
 
-def build_multisource_graph(records: DataFrame, digits: int = rules.ID_HEX) -> EvidenceGraph:
+def build_multisource_graph(records: DataFrame, digits: int = rules.ID_HEX, provenance: bool = True) -> EvidenceGraph:
     """Graph of multi-channel records.
 
     Observations are written once; nodes, counts and edges read their columns
-    from there instead of matching aliases and hashing again.
+    from there instead of matching aliases and hashing again.  ``provenance`` may be
+    left out where only the shape of the graph is asked for.
     """
-    observed = cut(observations(records), "observations")
+    observed = cut(observations(records, provenance), "observations")
     mentioned = mentions(observed)
     nodes = event_nodes(observed, digits).unionByName(entity_nodes(mentioned, digits))
     edges = mention_edges(mentioned, digits).unionByName(actor_edges(observed, digits))

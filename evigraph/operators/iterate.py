@@ -19,28 +19,34 @@ from evigraph.session import cut
 def connected_components(g: EvidenceGraph, max_rounds: int = 100) -> DataFrame:
     """(node, component) with the smallest member id as component.
 
-    Every round hooks each node, and the node it points to, onto the smallest
-    label two steps from a neighbour, then shortens its pointer.  Chains of any
-    length need a logarithmic number of rounds.
+    Nodes are numbered once in id order, so rounds move pairs of BIGINTs and the smallest
+    number of a component is that of its smallest id.  A round turns the edges of each node
+    towards the smallest node around it, first those of larger neighbours, then its own;
+    edges that fall together are dropped, until every node hangs on its component's
+    smallest one.  Chains of any length need a logarithmic number of rounds, and no round
+    gathers the edges of a node in one place.
     """
-    adj = cut(adjacency(g).filter("node <> nbr"), "adjacency")
-    state = cut(g.nodes.select(F.col("id").alias("node"), F.col("id").alias("f")), "components")
+    ids = cut(numbered(g.nodes.select(F.col("id").alias("node")), [], ["node"], "n"), "numbers")
+    ends = edges_of(g).select("source", "target").filter("source <> target")
+    named = lambda end, n: ids.select(F.col("node").alias(end), F.col("n").alias(n))
+    pairs = ends.join(named("source", "a"), "source").join(named("target", "b"), "target")
+    edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "component-edges")
+    before = None
     for _ in range(max_rounds):
-        jump = state.join(state.select(F.col("node").alias("f"), F.col("f").alias("gp")), "f").select("node", "f", "gp")
-        best = adj.join(jump.select(F.col("node").alias("nbr"), "gp"), "nbr").groupBy("node").agg(F.min("gp").alias("m"))
-        seen = jump.join(best, "node", "left")
-        moves = F.array(
-            F.struct(F.col("node").alias("node"), F.least("gp", "m").alias("f"), F.col("f").alias("old")),
-            F.when(F.col("m").isNotNull(), F.struct(F.col("f").alias("node"), F.col("m").alias("f"), F.lit(None).cast("string").alias("old"))),
-        )
-        moved = seen.select(F.explode_outer(moves).alias("x")).filter("x IS NOT NULL").select("x.*")
-        merged = cut(moved.groupBy("node").agg(F.min("f").alias("f"), F.max("old").alias("old")), "components")
-        state = merged.select("node", F.least("f", "old").alias("f"))
-        if merged.filter("f < old").isEmpty():
+        row = edges.agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if (row["k"], row["h"]) == before:
             break
+        before = (row["k"], row["h"])
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        turned = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        down = turned.groupBy("u").agg(F.min("v").alias("m"))
+        rest = turned.join(down, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        edges = cut(rest.union(down.select("u", F.col("m").alias("v"))).distinct(), "component-edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return state.select("node", F.col("f").alias("component"))
+    labelled = ids.join(edges.withColumnsRenamed({"u": "n", "v": "root"}), "n", "left").select("node", F.coalesce("root", "n").alias("n"))
+    return labelled.join(ids.select("n", F.col("node").alias("component")), "n").select("node", "component")
 
 
 def sample_sources(nodes: DataFrame, sources: int) -> DataFrame:

@@ -153,8 +153,8 @@ def crime_graph(spark: SparkSession, sf_dir: str) -> graph.EvidenceGraph:
     return graph.build_crime_graph(incident_records(spark, sf_dir))
 
 
-def event_graph(spark: SparkSession, sf_dir: str) -> graph.EvidenceGraph:
-    return graph.build_multisource_graph(event_records(spark, sf_dir))
+def event_graph(spark: SparkSession, sf_dir: str, provenance: bool = True) -> graph.EvidenceGraph:
+    return graph.build_multisource_graph(event_records(spark, sf_dir), provenance=provenance)
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> graph.EvidenceGraph:

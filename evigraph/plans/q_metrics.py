@@ -21,7 +21,7 @@ SELECT row_number() OVER (ORDER BY degree DESC, risk DESC, name, id) AS rank, id
 FROM (SELECT n.id, n.name, n.type, n.risk, count(a.nbr) AS degree FROM mnodes n LEFT JOIN madj a ON a.node = n.id GROUP BY ALL)
 ORDER BY degree DESC, risk DESC, name, id LIMIT 10"""))
 def n05_degree_top10(spark, sf_dir):
-    g = E.event_graph(spark, sf_dir).staged()
+    g = E.event_graph(spark, sf_dir, provenance=False).staged(("id", "name", "type", "risk"), ("source", "target"))
     return M.rank_entities(g, M.degree_centrality(g), 10).select("rank", "id", "name", "type", "risk", "degree", "score")
 
 
