@@ -63,7 +63,7 @@ def _grams(name: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substr(text, i, F.lit(3))))
 
 
-def write_search_index(g: EvidenceGraph, path: str, buckets: int = 256) -> None:
+def write_search_index(g: EvidenceGraph, path: str, buckets: int = 64) -> None:
     """Names by their runs of three characters: postings in ``buckets`` folders, each sorted by run, and a count per run.
 
     A search then reads one folder's row groups of one run, however many nodes there are.
@@ -75,7 +75,7 @@ def write_search_index(g: EvidenceGraph, path: str, buckets: int = 256) -> None:
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
 
 
-def search_index(spark: SparkSession, path: str, query: str, types=(), min_risk: int = 0, limit: int = 50, buckets: int = 256) -> DataFrame:
+def search_index(spark: SparkSession, path: str, query: str, types=(), min_risk: int = 0, limit: int = 50, buckets: int = 64) -> DataFrame:
     """The rows of ``search`` for a query of three characters or more, from an index.
 
     The rarest run of the query picks the postings; the name itself decides.
@@ -86,7 +86,11 @@ def search_index(spark: SparkSession, path: str, query: str, types=(), min_risk:
         raise ValueError("an indexed search needs three characters or more")
     held = {r["gram"]: r["n"] for r in spark.read.parquet(f"{path}/counts").filter(F.col("gram").isin(grams)).collect()}  # at most the query's runs
     gram = min(grams, key=lambda x: (held.get(x, 0), x))
-    rows = spark.read.parquet(f"{path}/postings").filter((F.col("bucket") == zlib.crc32(gram.encode()) % buckets) & (F.col("gram") == gram))
+    schema = "id string, name string, type string, risk int, gram string"
+    if held.get(gram):
+        rows = spark.read.schema(schema).parquet(f"{path}/postings/bucket={zlib.crc32(gram.encode()) % buckets}").filter(F.col("gram") == gram)
+    else:  # a run that no name has
+        rows = spark.createDataFrame([], schema)
     return rank_by(rows.filter(node_filter(types, min_risk, query)).select("id", "name", "type", "risk"), [F.desc("risk"), F.asc("name"), F.asc("id")], limit)
 
 
