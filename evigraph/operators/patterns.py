@@ -324,13 +324,16 @@ def emergence(records: DataFrame) -> DataFrame:
     The final window holds one row per calendar day.
     """
     rows = staged_rows(records)
-    observed = G.observations(records).filter("event_ts IS NOT NULL").withColumn("day", F.to_date("event_ts"))
+    dated = G.observations(records, provenance=False).filter("event_ts IS NOT NULL").drop("description", "kind")
+    observed = cut(dated.withColumn("day", F.to_date("event_ts")), "dated")  # matched once, read by five counts
     mentioned = G.mentions(observed).withColumn("day", F.to_date("event_ts"))
     count = F.count(F.lit(1))
 
     links = F.aggregate(G.actor_links(), F.lit(0).cast("bigint"), lambda k, e: k + F.when(e.isNull(), 0).otherwise(1))
     per_day = observed.groupBy("day").agg(
-        count.alias("new_records"), F.collect_set("channel").alias("channels"), F.sum(links).alias("links"))  # at most 7 channels
+        count.alias("new_records"), F.sum(links).alias("links"))
+    first_days = observed.groupBy("channel").agg(F.min("day").alias("day"))  # one row per channel, of which there are seven kinds
+    channel_days = first_days.agg(F.map_from_entries(F.collect_list(F.struct("channel", "day"))).alias("channel_days"))
     event_days = observed.groupBy("identifier").agg(F.min("day").alias("day")).groupBy("day").agg(count.alias("k"))
     entity_days = mentioned.groupBy("type", "key").agg(F.min("day").alias("day")).groupBy("day").agg(count.alias("k"))
     node_days = event_days.unionByName(entity_days).groupBy("day").agg(F.sum("k").alias("new_nodes"))
@@ -340,7 +343,7 @@ def emergence(records: DataFrame) -> DataFrame:
 
     days = per_day.join(node_days, "day", "left").join(_cycle_changes(rows), "day", "left")
     started = _first_days(rows).agg(F.map_from_entries(F.collect_list(F.struct("pattern", "day"))).alias("started"))  # four entries
-    days = days.join(F.broadcast(started))
+    days = days.join(F.broadcast(started)).join(F.broadcast(channel_days))
     run = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def total(name: str) -> Column:
@@ -352,7 +355,7 @@ def emergence(records: DataFrame) -> DataFrame:
     out = days.select(
         "day", "new_records", total("new_records").alias("cumulative_records"), total("new_nodes").alias("cumulative_nodes"),
         total("new_edges").alias("cumulative_edges"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("channels").over(run)))).alias("source_types_seen"),
+        F.array_sort(F.map_keys(F.map_filter("channel_days", lambda c, first: first <= F.col("day")))).alias("source_types_seen"),
         F.array_sort(F.filter(F.array(*here), lambda p: p.isNotNull())).alias("patterns"),
     )
     previous = F.coalesce(F.lag("patterns").over(Window.orderBy("day")), F.array().cast("array<string>"))

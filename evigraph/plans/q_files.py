@@ -206,13 +206,12 @@ def s02_json_document(spark, sf_dir):
     return R.read_json_records(spark, path).select(f["n_name"].alias("name"), f["n_regionkey"].alias("region"))
 
 
-@query("s03_narratives", with_(INCIDENTS, "SELECT count(*) AS blocks, count(DISTINCT case_number) AS cases FROM inc"))
+@query("s03_narratives", with_(INCIDENTS, "SELECT case_number, count(*) AS blocks FROM inc GROUP BY 1"))
 def s03_narratives(spark, sf_dir):
     path = scratch_path(spark, "text")
     E.narratives(spark, sf_dir).select("text").write.option("lineSep", "\n---\n").text(path)
     blocks = R.read_narratives(spark, path)
-    return blocks.select(S.extract(F.col("text"), rules.STRICT_PATTERNS["case_number"]).alias("c")).agg(
-        F.count(F.lit(1)).alias("blocks"), F.count_distinct("c").alias("cases"))
+    return blocks.groupBy(S.extract(F.col("text"), rules.STRICT_PATTERNS["case_number"]).alias("case_number")).agg(F.count(F.lit(1)).alias("blocks"))
 
 
 @query("s04_xml_records", _CUSTOMERS)
@@ -222,19 +221,36 @@ def s04_xml_records(spark, sf_dir):
     return _customer_fields(R.read_xml_records(spark, path, "record", key="c_custkey"))
 
 
-_TRIPLE_COUNTS = """SELECT CAST(
-  6 * count(DISTINCT case_number)
-  + 10 * count(DISTINCT case_number) + count(DISTINCT case_number) FILTER (suspect_name <> '')
-  + count(DISTINCT nullif(suspect_name, '')) + count(DISTINCT primary_type) + count(DISTINCT description) + 2 * count(DISTINCT block) + count(DISTINCT location_description) + count(DISTINCT district)
-  + count(DISTINCT beat) + count(DISTINCT ward) + count(DISTINCT community_area) + count(DISTINCT iucr) + count(DISTINCT fbi_code)
-  + 2 * count(DISTINCT vehicle_plate) FILTER (suspect_name <> '' AND vehicle_plate <> '') + count(DISTINCT suspect_name || vehicle_plate) FILTER (suspect_name <> '' AND vehicle_plate <> '') AS BIGINT) AS n FROM inc"""
+def triples_sql() -> str:
+    """Every N-Triples line of the incident records."""
+    def iri(cls, column):
+        return f"'<{K.EXPORT_NAMESPACE}{cls}_' || url_encode(replace(trim({column}), ' ', '_')) || '>'"
 
+    def triple(s, p, o, datatype=None, where="true"):
+        p = p if p.startswith("http") else K.EXPORT_NAMESPACE + p
+        value = o if datatype is None else f"""'"' || replace(replace({o}, '\\', '\\\\'), '"', '\\"') || '"^^<{K.XSD}{datatype}>'"""
+        return f"SELECT {s} || ' <{p}> ' || {value} || ' .' AS line FROM inc WHERE {where}"
 
-@query("k06_triples", with_(INCIDENTS, _TRIPLE_COUNTS))
+    def typed(s, cls, where="true"):
+        return triple(s, K.RDF_TYPE, f"'<{K.EXPORT_NAMESPACE}{cls}>'", where=where)
+
+    incident, suspect, vehicle = iri("CrimeIncident", "case_number"), iri("Suspect", "suspect_name"), iri("Vehicle", "vehicle_plate")
+    parts = [typed(incident, "CrimeIncident"), triple(incident, "hasCaseNumber", "case_number", "string")]
+    for cls, predicate, column in K.RDF_OBJECTS:
+        there = f"{column} <> ''"
+        parts += [typed(iri(cls, column), cls, there), triple(incident, predicate, iri(cls, column), where=there)]
+    parts.append(triple(iri("Location", "block"), "hasLocationBlock", "block", "string"))
+    driven = "suspect_name <> '' AND vehicle_plate <> ''"
+    parts += [typed(vehicle, "Vehicle", driven), triple(suspect, "drivesVehicle", vehicle, where=driven), triple(vehicle, "hasVehiclePlate", "vehicle_plate", "string", driven)]
+    parts += [triple(incident, "hasDateTime", "replace(date, ' ', 'T')", "dateTime"), triple(incident, "hasYear", "year", "integer"), triple(incident, "hasArrest", "arrest", "boolean"), triple(incident, "isDomesticDispute", "domestic", "boolean")]
+    return " UNION ".join(parts)
+
+
+@query("k06_triples", with_(INCIDENTS, triples_sql()))
 def k06_triples(spark, sf_dir):
     path = scratch_path(spark, "triples")
     K.ntriples(K.to_triples(E.incident_records(spark, sf_dir))).write.text(path)
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query("s05_ontology_summary", with_(INCIDENTS, """SELECT 'typed-statements' AS kind, '' AS label, count(*) AS n FROM inc
@@ -435,19 +451,19 @@ def f08_case_scoped_edges(spark, sf_dir):
     return N.load_snapshot(spark, _saved(spark, sf_dir), "ev").edges.select("id", "source", "target", "label")
 
 
-@query("k09_replaced_snapshot", with_(MULTI, "SELECT 'ev' AS investigation_id, count(*) AS n FROM mnodes UNION ALL SELECT 'inc', count(*) FROM mnodes"))
+@query("k09_replaced_snapshot", with_(MULTI, "SELECT 'ev' AS investigation_id, id, name, risk FROM mnodes UNION ALL SELECT 'inc', id, name, risk FROM mnodes"))
 def k09_replaced_snapshot(spark, sf_dir):
     base = _saved(spark, sf_dir)
     records = E.event_records(spark, sf_dir)
     N.save_snapshot(G.build_multisource_graph(records), records, base, "inc")
-    return spark.read.parquet(f"{base}/nodes").groupBy("investigation_id").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{base}/nodes").select("investigation_id", "id", "name", "risk")
 
 
-@query("k10_dropped_snapshot", with_(MULTI, "SELECT 'ev' AS investigation_id, count(*) AS n FROM mnodes"))
+@query("k10_dropped_snapshot", with_(MULTI, "SELECT 'ev' AS investigation_id, id, name, risk FROM mnodes"))
 def k10_dropped_snapshot(spark, sf_dir):
     base = _saved(spark, sf_dir)
     N.drop_snapshot(spark, base, "inc")
-    return spark.read.parquet(f"{base}/nodes").groupBy("investigation_id").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{base}/nodes").select("investigation_id", "id", "name", "risk")
 
 
 @query("k12_catalogue", """WITH e AS (SELECT 'inv-' || user_id AS id, CASE event_type WHEN 'signup' THEN 'save' WHEN 'purchase' THEN 'save' WHEN 'error' THEN 'delete' ELSE 'activate' END AS action, ts FROM events),

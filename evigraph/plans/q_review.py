@@ -473,10 +473,10 @@ def m03_layer_mean(spark, sf_dir):
 
 
 @query("m04_split", with_(CRIME, """l AS (SELECT n.id, CASE WHEN count(e.id) >= 2 THEN 1 ELSE 0 END AS label FROM cnodes n LEFT JOIN cedges e ON e.target = n.id AND e.label = 'HAS_SUSPECT' WHERE type = 'person' GROUP BY 1)""", """
-SELECT label, 'train' AS split, CAST(count(*) - round(count(*) * 0.2) AS BIGINT) AS n FROM l GROUP BY 1 UNION ALL SELECT label, 'validation', CAST(round(count(*) * 0.2) AS BIGINT) FROM l GROUP BY 1 HAVING round(count(*) * 0.2) > 0"""))
+SELECT id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id), id) <= round(0.2 * count(*) OVER (PARTITION BY label)) THEN 'validation' ELSE 'train' END AS split FROM l"""))
 def m04_split(spark, sf_dir):
-    labels = L.proxy_labels(E.crime_graph(spark, sf_dir).staged())
-    return L.stratified_split(labels, "label").groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+    labels = L.proxy_labels(E.crime_graph(spark, sf_dir).staged(("id", "type"), ("source", "target")))
+    return L.stratified_split(labels, "label").select("id", "label", "split")
 
 
 @query("m05_masking", with_(CRIME, """lk AS (SELECT e.id AS edge_id, e.target AS id FROM cedges e JOIN cnodes n ON n.id = e.target AND n.type = 'person' JOIN cnodes c ON c.id = e.source AND c.type = 'event'),
