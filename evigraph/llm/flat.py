@@ -11,14 +11,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 ROOT = np.uint64(0x9E3779B97F4A7C15)  # odd, so its powers are invertible modulo 2**64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers = np.ones(1, np.uint64)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in small batches: their memory then follows a batch, not a partition."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _powers_to(n: int) -> np.ndarray:
     """ROOT**0 .. ROOT**n, grown by doubling and kept for the worker's life."""
     global _powers

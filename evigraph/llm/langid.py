@@ -96,7 +96,7 @@ class Scorer:
             self.held[place], self.cost[place] = new[first], cost[first]
         return out
 
-    def lengths(self, texts: pa.Array, step: int = 1 << 19) -> np.ndarray:
+    def lengths(self, texts: pa.Array, step: int = 1 << 18) -> np.ndarray:
         """(texts, languages) code lengths."""
         k, out = self.model.order, []
         for _, part in flat.chunks(texts):
@@ -161,6 +161,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """
     if not 1 <= order <= 6:
         raise ValueError("order must be 1 to 6: a window of 7 bytes fits the number format")
+    flat.small_batches(df.sparkSession)
     sample = training_sample(df, text, lang, key, rows, longest)
     counted = sample.mapInArrow(lambda batches: _count(batches, order), "lang string, depth int, key long, n long")
     table = counted.groupBy("lang", "depth", "key").agg(F.sum("n").alias("n")).toArrow()
@@ -174,6 +175,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score``, the posterior of the winner under equal priors."""
     if not model.langs:
         return df.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    flat.small_batches(df.sparkSession)
     shared, name = df.sparkSession.sparkContext.broadcast(model), f"m{id(model)}-{np.random.default_rng().integers(1 << 60)}"
 
     @F.arrow_udf("struct<lang: string, score: double>")

@@ -162,6 +162,7 @@ def _verify(table: pa.Table, words: int, threshold: float) -> pa.Table:
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, words: int = 5, trees: int = 24, target: float = 0.999) -> DataFrame:
     """One row per row of ``df``: key, ``digest``, ``class_id`` (least key of the group), ``copies`` (rows with this text), ``n_links`` (other rows with similarity of at least ``threshold``), ``kept`` (this text's least key is ``class_id``)."""
+    flat.small_batches(df.sparkSession)
     depth = prefix_depth(threshold, trees, target)
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     worded = F.coalesce(F.col(text).rlike(HAS_WORD), F.lit(False))

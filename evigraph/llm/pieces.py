@@ -329,5 +329,6 @@ def tokenized(df: DataFrame, text: str = "text", model: str | None = None) -> Da
             decoded.append(_coder(model).vocabulary.decode(ids, at).cast(pa.string()))
         return pa.StructArray.from_arrays([pa.concat_arrays(lists), pa.concat_arrays(decoded)], ["token_ids", "decoded"])
 
+    flat.small_batches(df.sparkSession)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("token_ids", "decoded")]
     return df.select(*kept, both(F.col(text)).alias("__both")).select(*kept, F.col("__both.token_ids").alias("token_ids"), F.col("__both.decoded").alias("decoded"))
