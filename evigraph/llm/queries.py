@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evigraph.llm import chat, langid, mixing, ngram_join, pieces, pii, quality, secrets, topk, warc
 from evigraph.llm.oracles import ORACLES  # noqa: F401
 from evigraph.llm.spans import listed
-from evigraph.session import scratch_path
+from evigraph.session import cut, scratch_path
 
 
 
@@ -101,6 +101,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path)
     captures = warc.assembled(warc.read(spark, path, payloads=False)).select("record_id", "type", "refers_to", "payload_bytes", "payload_digest", F.col("note")["page-id"].cast("long").alias("page_id"), "rows")
+    captures = cut(captures, "captures")  # ids and digests only; a revisit looks up what it refers to
     stored = captures.where("type = 'response'").select(F.col("record_id").alias("stored"), F.col("page_id").alias("stored_page"), F.col("payload_bytes").alias("stored_bytes"), F.col("payload_digest").alias("stored_digest"))
     joined = captures.join(stored, F.col("refers_to") == F.col("stored"), "left")
     own = lambda a, b: F.when(F.col("type") == "revisit", F.col(b)).otherwise(F.col(a)).alias(a)

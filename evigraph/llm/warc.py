@@ -6,7 +6,7 @@ rows of a text table whose line separator is the record separator, so Spark's co
 writers make the (gzip) files and a lost task leaves nothing half written.
 
 Reading: files come through Spark's binary reader, are parsed record by record by their
-``Content-Length`` and give one row per record.  ``assembled`` joins requests and metadata to
+``Content-Length`` and give one row per record.  ``assembled`` joins requests and metadata with
 the record they are concurrent to and emits one nested row per capture.
 
 Defined results: a null html is an empty payload; a null url leaves the target header out; rows with the largest
@@ -130,18 +130,23 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def assembled(records: DataFrame) -> DataFrame:
-    """One row per capture: record_id, type, uri, refers_to, payload_bytes, payload_digest, stated_digest, payload, ``requests`` and ``note`` (map of its metadata fields), ``rows`` (equal captures)."""
-    hub = F.coalesce("concurrent_to", "record_id")
-    main = records.where("type not in ('request', 'metadata', 'malformed')")
-    # copies of a record say the same
-    answers = main.groupBy("record_id").agg(F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("type", "uri", "refers_to", "payload_bytes", "payload_digest", "stated_digest", "payload")])
-    asked = records.where("type = 'request'").select(hub.alias("hub"), F.struct("record_id", "uri", "payload").alias("r")).distinct().groupBy("hub").agg(F.collect_list("r").alias("requests"))
-    notes = records.where("type = 'metadata'").select(hub.alias("hub"), "record_id", F.explode("fields").alias("k", "v")).distinct().groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("notes"))
-    joined = answers.withColumnRenamed("record_id", "hub").join(asked, "hub", "full").join(notes, "hub", "full")
-    return joined.withColumnRenamed("hub", "record_id").withColumn("note", _note_map()).drop("notes").withColumn("rows", F.coalesce("rows", F.lit(1)))
+    """One row per capture: record_id, type, uri, refers_to, payload_bytes, payload_digest, stated_digest, payload, ``requests`` and ``note`` (map of its metadata fields), ``rows`` (equal captures).
+
+    Responses, requests and metadata are joined by one grouping on the id they share (their own
+    or the one they are concurrent to), so every record is parsed and shuffled once.  Copies of a
+    record say the same and count once.
+    """
+    kind = F.col("type")
+    main = ~kind.isin("request", "metadata")
+    parts = ("type", "uri", "refers_to", "payload_bytes", "payload_digest", "stated_digest", "payload")
+    joined = records.where("type <> 'malformed'").groupBy(F.coalesce("concurrent_to", "record_id").alias("hub")).agg(
+        F.max(F.when(main, F.struct(*parts))).alias("answer"), F.count_if(main).alias("n"),
+        F.collect_set(F.when(kind == "request", F.struct("record_id", "uri", "payload"))).alias("requests"),
+        F.array_sort(F.flatten(F.collect_set(F.when(kind == "metadata", F.map_entries("fields"))))).alias("notes"))
+    return joined.select(F.col("hub").alias("record_id"), *[F.col(f"answer.{c}").alias(c) for c in parts], "requests", _note_map().alias("note"), F.greatest("n", F.lit(1)).alias("rows"))
 
 
 def _note_map() -> Column:
     """Metadata fields as a map; of equal names the first value counts."""
-    firsts = F.filter("notes", lambda n, i: (i == 0) | (F.get(F.col("notes"), F.greatest(i - 1, F.lit(0)))["k"] != n["k"]))
+    firsts = F.filter("notes", lambda n, i: (i == 0) | (F.get(F.col("notes"), F.greatest(i - 1, F.lit(0)))["key"] != n["key"]))
     return F.map_from_entries(firsts)
