@@ -62,7 +62,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embeddi
     for a in range(BITS + 1):
         probes = open_.select("query", *names, _places(names, F.col).alias("p")).select("query", *names, "p.part", F.col("p.value").alias("own"), F.explode(_at_distance(a)).alias("mask"))
         probes = probes.select("query", *names, "part", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["part", "value"]).where((nearest == a) & (first == F.col("part")))
+        # the planner can't know how many probes a query makes, so it must not send them to every worker
+        met = probes.join(index.hint("merge"), ["part", "value"]).where((nearest == a) & (first == F.col("part")))
         new = met.select("query", distance.alias("distance"), F.explode("ids").alias("id")).where("id != query")
         ranked = (new if best is None else best.select("query", "distance", "id").union(new)).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= k)
         best = cut(ranked.select("query", "distance", "id", "rank"), "topk-best")
