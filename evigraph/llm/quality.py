@@ -117,9 +117,13 @@ def _timed(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterat
                 yield pa.record_batch({"rule": np.array([k], np.int32), "seconds": np.array([time.thread_time() - began]), "rejected": np.array([n], np.int64)})
 
 
-def estimated_order(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, share: int = 64, rows: int = 2000) -> list[Rule]:
-    """Rules by rejections per second on at most ``rows`` rows out of each ``share``-th by a hash of ``key``."""
-    sample = df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(share)) == 0).select(F.col(text).alias("text")).limit(rows)
+def estimated_order(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, rows: int = 2000) -> list[Rule]:
+    """Rules by rejections per second on about ``rows`` rows, chosen by a hash of ``key`` against the table's size.
+
+    The sampled rows are timed where they lie; per rule two sums come back.
+    """
+    share = max(1, df.count() // rows)
+    sample = df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(share)) == 0).select(F.col(text).alias("text"))
     found = {r["rule"]: r for r in sample.mapInArrow(lambda b: _timed(b, rules), "rule int, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("n")).collect()}
     gain = {k: r["n"] / max(r["s"], 1e-9) for k, r in found.items()}
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-gain.get(k, 0.0), k))]
@@ -152,6 +156,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         parts = [Measures(part) for _, part in flat.chunks(texts)]
         return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(getattr(m, c) for m in parts)])) for c in MEASURED], list(MEASURED))
 
+    flat.small_batches(df.sparkSession)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in MEASURED]
     return df.select(*kept, measure(F.col(text)).alias("__m")).select(*kept, *(F.col(f"__m.{c}").alias(c) for c in MEASURED))
 
@@ -164,5 +169,6 @@ def judged(df: DataFrame, order: list[Rule], text: str = "text") -> DataFrame:
     def first(texts: pa.Array) -> pa.Array:
         return pa.array([names[k] if k >= 0 else None for k in cascade(texts, order)], pa.string())
 
+    flat.small_batches(df.sparkSession)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("failed_rule", "kept")]
     return df.select(*kept, first(F.col(text)).alias("failed_rule")).withColumn("kept", F.col("failed_rule").isNull())

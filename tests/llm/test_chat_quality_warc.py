@@ -65,7 +65,7 @@ def test_quality(spark, clash):
     rnd = random.Random(9)
     rows = ODD + [(100 + i, "".join(rnd.choice(["the ", "cat ", "é\n", "## ", "a\n", f"w{rnd.randrange(500)} "]) for _ in range(rnd.choice([0, 30, 90, 200])))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    order = quality.estimated_order(df, share=1)
+    order = quality.estimated_order(df)
     assert sorted(n for n, _ in order) == sorted(n for n, _ in quality.RULES)
     for rules in (order, order[::-1]):
         for r in quality.judged(quality.measured(df), rules).collect():
