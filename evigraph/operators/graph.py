@@ -145,7 +145,7 @@ def crime_nodes(rows: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
                           uses=total, written=written).filter("written > 0")
     person = people.select(*_node(
         "suspect", F.col("suspect"), F.col("suspect"), "person", _capped(F.col("risk"), F.col("uses"), 4, 12, 99), digits,
-        description=F.concat(F.lit("Named in "), "uses", F.lit(" FIR record(s).")), last_seen=F.col("date"),
+        description=F.concat(F.lit("Named in "), "uses", F.lit(" reports.")), last_seen=F.col("date"),
         tags=_tags((F.col("uses") > 1, "repeat-subject")),
     ))
 
@@ -154,14 +154,14 @@ def crime_nodes(rows: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
     vehicle = plates.join(people.select("suspect", "uses"), "suspect").select(*_node(
         "vehicle", F.col("plate"), F.col("plate"), "vehicle",
         F.least(F.lit(95), _capped(F.col("risk"), F.col("uses"), 4, 12, 99) + 2), digits,
-        description=F.concat(F.lit("Vehicle associated with "), "suspect", F.lit(".")),
+        description=F.concat(F.lit("Vehicle named with "), "suspect", F.lit(".")),
         tags=F.array(F.lit("registered-vehicle")),
     ))
 
     crime = first_writer(rows, ["primary_type"], order, ["community"], uses=total, written=written).filter("written > 0")
     crime = crime.select(*_node(
         "crime", F.col("primary_type"), F.initcap("primary_type"), "crime", S.offence_base(F.col("primary_type")), digits,
-        description=F.concat(F.lit("Ontology crime type present in "), "uses", F.lit(" incidents.")),
+        description=F.concat(F.lit("Offence of "), "uses", F.lit(" incidents.")),
     ))
 
     place = first_writer(rows.filter(F.col("block") != ""), ["block"], order, ["premise", "district", "risk", "community"],
@@ -179,7 +179,7 @@ def crime_nodes(rows: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
     ).filter("written > 0").select("beat", "uses", "risk", "last.*")
     beat = beats.select(*_node(
         "beat", F.col("beat"), F.concat(F.lit("Police Beat "), "beat"), "location", F.col("risk"), digits, confidence=99,
-        description=F.concat(F.lit("Operational area containing "), "uses", F.lit(" incidents in this dataset.")),
+        description=F.concat(F.lit("Police area with "), "uses", F.lit(" incidents.")),
         location=F.concat(F.lit("District "), "district"), tags=F.array(F.lit("police-beat")),
     ))
 
@@ -201,11 +201,18 @@ def _edge(edge_id: Column, source: Column, target: Column, label, confidence, an
     )
 
 
+def _with_counts(rows: DataFrame, counts: DataFrame, column: str) -> DataFrame:
+    """Left join; blank values match nothing, so each goes under a key of its own instead of all to one task."""
+    key = F.when(F.col(column) != "", F.col(column)).otherwise(F.concat(F.lit("\u0000"), F.col("seq").cast("string")))
+    return rows.withColumn("_key", key).join(counts.withColumnRenamed(column, "_key"), "_key", "left").drop("_key")
+
+
 def crime_edges(rows: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
     """Edges from ``crime_rows``."""
     subjects = repeat_counts(rows.filter(F.col("suspect") != ""), ["suspect"], "subject_uses")
     blocks = repeat_counts(rows.filter(F.col("block") != ""), ["block"], "block_uses")
-    rows = rows.filter(F.col("case_number") != "").join(subjects, "suspect", "left").join(blocks, "block", "left")
+    rows = _with_counts(rows.filter(F.col("case_number") != ""), subjects, "suspect")
+    rows = _with_counts(rows, blocks, "block")
 
     def make(n: int, source: Column, target: Column, label: str, confidence: int, anomalous: Column, applies: Column) -> Column:
         edge = _edge(F.concat(F.lit("e"), "seq", F.lit(f"-{n}")), source, target, label, confidence, anomalous,
@@ -296,8 +303,8 @@ def entity_nodes(mentioned: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
         F.when(protected, "Protected Person").otherwise(F.col("name")).alias("name"), "type",
         F.when(protected, 0).otherwise(_capped(F.col("risk"), F.col("uses"), 3, 15, 95)).cast("int").alias("risk"),
         F.lit(90).alias("confidence"), F.col("community").cast("int").alias("community"),
-        F.when(protected, "Identity masked by policy. Protected people are excluded from criminal-risk scoring and influence ranking.")
-        .otherwise(F.concat(F.lit("Observed in "), "uses", F.lit(" source record(s) via field '"), "alias", F.lit("'."))).alias("description"),
+        F.when(protected, "Masked person under protection: never scored, never ranked.")
+        .otherwise(F.concat(F.lit("Observed in "), "uses", F.lit(" records, read from field '"), "alias", F.lit("'."))).alias("description"),
         F.lit(None).cast("string").alias("location"), F.col("observed_at").alias("last_seen"), _strings().alias("aliases"),
         F.when(protected, F.array(F.lit("privacy-protected"), F.lit("risk-scoring-prohibited")))
         .when(F.col("uses") > 1, F.array(F.lit("repeat-entity"))).otherwise(F.array(F.lit("source-observation"))).alias("tags"),

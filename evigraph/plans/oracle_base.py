@@ -62,19 +62,19 @@ CNODES = f"""cnodes AS MATERIALIZED (
     concat_ws('|', CASE WHEN arrest = 'true' THEN 'arrest-made' ELSE 'open' END, CASE WHEN domestic = 'true' THEN 'domestic' END) AS tags
   FROM rec
   UNION ALL SELECT {stable_id('suspect', 'suspect_name')}, suspect_name, 'person', CAST(least(99, risk + least(12, 4 * (uses - 1))) AS INT), 96,
-    community, 'Named in ' || uses || ' FIR record(s).', NULL, date, CASE WHEN uses > 1 THEN 'repeat-subject' ELSE '' END FROM subj
+    community, 'Named in ' || uses || ' reports.', NULL, date, CASE WHEN uses > 1 THEN 'repeat-subject' ELSE '' END FROM subj
   UNION ALL SELECT {stable_id('vehicle', 'vehicle_plate')}, vehicle_plate, 'vehicle',
     CAST(least(95, least(99, v.risk + least(12, 4 * (s.uses - 1))) + 2) AS INT), 96, v.community,
-    'Vehicle associated with ' || suspect_name || '.', NULL, NULL, 'registered-vehicle'
+    'Vehicle named with ' || suspect_name || '.', NULL, NULL, 'registered-vehicle'
   FROM (SELECT vehicle_plate, arg_min(suspect_name, seq) AS suspect_name, arg_min(risk, seq) AS risk, arg_min(community, seq) AS community
         FROM rec WHERE suspect_name <> '' AND vehicle_plate <> '' GROUP BY 1) v JOIN subj s USING (suspect_name)
   UNION ALL SELECT {stable_id('crime', 'primary_type')}, upper(primary_type[1]) || lower(primary_type[2:]), 'crime', min(base_risk), 96,
-    arg_min(community, seq), 'Ontology crime type present in ' || count(*) || ' incidents.', NULL, NULL, '' FROM rec GROUP BY primary_type
+    arg_min(community, seq), 'Offence of ' || count(*) || ' incidents.', NULL, NULL, '' FROM rec GROUP BY primary_type
   UNION ALL SELECT {stable_id('location', 'block')}, block, 'location', CAST(least(96, risk + least(10, 3 * (uses - 1))) AS INT), 96, community,
     CASE premise WHEN 'PARKING LOT' THEN 'Parking Lot' ELSE upper(premise[1]) || lower(premise[2:]) END || ' in District ' || district || '.',
     block, NULL, CASE WHEN uses > 1 THEN 'repeat-location' ELSE '' END FROM blk
   UNION ALL SELECT {stable_id('beat', 'beat')}, 'Police Beat ' || beat, 'location', CAST(round_even(avg(risk), 0) AS INT), 99,
-    arg_max(community, seq), 'Operational area containing ' || count(*) || ' incidents in this dataset.',
+    arg_max(community, seq), 'Police area with ' || count(*) || ' incidents.',
     'District ' || arg_max(district, seq), NULL, 'police-beat' FROM rec GROUP BY beat)"""
 
 CEDGES = f"""cedges AS MATERIALIZED (
