@@ -8,7 +8,8 @@ verified; a query whose k-th verified distance lies within that radius is done.
 round covers everything, so the answer is exact for any data.
 
 A code is taken from its nearest segment only (the first of equals), in the round of that
-distance: it is verified once.  Copies of a code are one index entry; their ids are cut to
+distance: it is verified once, inside the join, and goes on only if it is no farther than the
+k-th so far.  Copies of a code are one index entry; their ids are cut to
 the k + 1 least in two steps (by salt, then by code), so a code that a third of all rows share is no hot group.
 
 Defined results: rows without id or vector are neither indexed nor asked; a null, missing or
@@ -58,17 +59,18 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embeddi
     distance = reduce(lambda a, b: a + b, apart)
     nearest = F.least(*apart) if len(apart) > 1 else apart[0]
     first = reduce(lambda rest, j: F.when(apart[j] == nearest, F.lit(j)).otherwise(rest), reversed(range(len(names))), F.lit(-1))
-    best, open_, m = None, asked, len(names)
+    best, open_, m = None, asked.withColumn("bound", F.lit(len(names) * BITS)), len(names)
     for a in range(BITS + 1):
-        probes = open_.select("query", *names, _places(names, F.col).alias("p")).select("query", *names, "p.part", F.col("p.value").alias("own"), F.explode(_at_distance(a)).alias("mask"))
-        probes = probes.select("query", *names, "part", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = open_.select("query", "bound", *names, _places(names, F.col).alias("p")).select("query", "bound", *names, "p.part", F.col("p.value").alias("own"), F.explode(_at_distance(a)).alias("mask"))
+        probes = probes.select("query", "bound", *names, "part", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         # the planner can't know how many probes a query makes, so it must not send them to every worker
-        met = probes.join(index.hint("merge"), ["part", "value"]).where((nearest == a) & (first == F.col("part")))
+        met = probes.join(index.hint("merge"), ["part", "value"]).where((nearest == a) & (first == F.col("part")) & (distance <= F.col("bound")))
         new = met.select("query", distance.alias("distance"), F.explode("ids").alias("id")).where("id != query")
         ranked = (new if best is None else best.select("query", "distance", "id").union(new)).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= k)
         best = cut(ranked.select("query", "distance", "id", "rank"), "topk-best")
-        done = best.where((F.col("rank") == k) & (F.col("distance") <= m * (a + 1) - 1)).select("query")
-        open_ = asked.join(done, "query", "left_anti")
+        # the k-th verified distance ends a query once covered; until then nothing beyond it is of use
+        kth = best.where(F.col("rank") == k).select("query", F.col("distance").alias("bound"))
+        open_ = asked.join(kth, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(m * BITS))).where(F.col("bound") > m * (a + 1) - 1)
         if open_.isEmpty():
             break
     return best.select(F.col("query").alias("query_id"), "rank", "id", "distance")
