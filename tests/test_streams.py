@@ -1,25 +1,59 @@
-"""The exact limiter against a plain loop, and the driver entry."""
+"""Stream jobs against plain loops in event time, whatever the order of files, and the driver entry."""
 
 import random
 from datetime import datetime, timedelta
 
+from evigraph.session import scratch_path
 from evigraph.streaming import jobs
 
+START = datetime(2025, 1, 1)
 
-def test_rate_limit(spark, tmp_path):
+
+def stream_of(spark, rows, columns, max_files=None):
+    """Rows in several files, in an order that has nothing to do with time."""
+    path = scratch_path(spark, "stream-test")
+    rows = list(rows)
+    random.Random(8).shuffle(rows)
+    spark.createDataFrame(rows, columns).repartition(5).write.parquet(path)
+    return jobs.read_table_stream(spark, path, max_files)
+
+
+def events():
     rng = random.Random(4)
-    rows = sorted((datetime(2025, 1, 1) + timedelta(seconds=rng.randint(0, 900)) + timedelta(microseconds=i), rng.choice(["hot", "hot", "cold"])) for i in range(300))
-    path = str(tmp_path / "events.parquet")
-    spark.createDataFrame([(k, t) for t, k in rows], "k string, ts timestamp").coalesce(1).write.parquet(path)
-    got = {(r.k, r.ts): r.admitted for r in jobs.run_to_table(jobs.stream_rate_limit(jobs.read_table_stream(spark, path), "k", "ts", 4, 60), "limit").collect()}
+    rows = [(rng.choice(["hot", "hot", "cold"]), START + timedelta(seconds=rng.randint(0, 900), microseconds=i)) for i in range(300)]
+    return [*rows, ("end", START + timedelta(hours=5))]  # moves the watermark past all others
+
+
+def test_rate_limit(spark):
+    rows = events()
+    got = {(r.k, r.ts): r.admitted for r in jobs.run_to_table(jobs.stream_rate_limit(stream_of(spark, rows, "k string, ts timestamp"), "k", "ts", 4, 60), "limit").collect()}
     held, want = {}, {}
-    for t, k in rows:
+    for k, t in sorted(rows[:-1], key=lambda r: r[1]):
         recent = [h for h in held.get(k, []) if h >= t - timedelta(seconds=60)]
         want[(k, t)] = len(recent) < 4
         held[k] = recent + [t] if len(recent) < 4 else recent
     assert got == want and not all(want.values())
 
 
+def test_bursts_hold_both_ends(spark):
+    rows = events() + [("pair", START), ("pair", START + timedelta(minutes=30)), ("pair", START + timedelta(minutes=60, microseconds=1)), ("twice", START), ("twice", START)]
+    got = {tuple(r) for r in jobs.run_to_table(jobs.stream_bursts(stream_of(spark, rows, "k string, ts timestamp"), ["k"], "ts", 1800, 2), "bursts").collect()}
+    want = set()
+    for k in {k for k, _ in rows} - {"end"}:
+        times = sorted(t for x, t in rows if x == k)
+        for t in set(times):
+            inside = [u for u in times if t <= u <= t + timedelta(minutes=30)]
+            if len(inside) >= 2:
+                want.add((k, t, max(inside), len(inside)))
+    assert got == want and ("pair", START, START + timedelta(minutes=30), 2) in want
+
+
+def test_first_seen_does_not_depend_on_arrival(spark):
+    rows = events()
+    got = {r.k: r.first for r in jobs.stream_emergence(stream_of(spark, rows, "k string, ts timestamp", 1), "k", "ts", scratch_path(spark, "first-test")).collect()}
+    assert got == {k: min(t for x, t in rows if x == k) for k, _ in rows}
+
+
 def test_entry(spark):
     import __spark_entry__ as driver
 
