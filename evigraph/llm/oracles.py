@@ -122,3 +122,15 @@ SELECT page_id, strlen(html) AS payload_bytes,
   list_aggregate(list_transform(range(32), lambda i: ('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[1 + ((CAST('0x' || substr(hex, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31)]), 'string_agg', '') AS payload_digest,
   CASE WHEN best IS NULL OR page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN best END AS refers_to
 FROM q"""
+
+ORACLES["op6_near_duplicates"] = rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+sz AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pairs AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT x, y FROM pairs JOIN sz a ON a.doc_id = x JOIN sz b ON b.doc_id = y WHERE 10 * c >= 8 * (a.n + b.n - c)),
+reach AS (SELECT doc_id AS d, doc_id AS root FROM documents UNION SELECT link.y, reach.root FROM reach JOIN link ON link.x = reach.d),
+least AS (SELECT d, min(root) AS class_id FROM reach GROUP BY 1),
+links AS (SELECT x, count(*) AS n FROM link GROUP BY 1)
+SELECT w.doc_id, class_id, CASE WHEN len(w.w) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY w.text) END AS copies, coalesce(links.n, 0) AS n_links
+FROM w JOIN least ON least.d = w.doc_id LEFT JOIN links ON links.x = w.doc_id"""
