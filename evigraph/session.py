@@ -8,8 +8,10 @@ adaptive execution needs to choose its joins.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,18 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine, or on one with the same folders, import the package from where the driver did.
+
+    Elsewhere the package is installed or shipped with ``spark.submit.pyFiles``; this adds nothing then.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    held = spark.sparkContext.environment
+    paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        held["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and staged tables."""
     root = spark.conf.get("spark.checkpoint.dir", None)

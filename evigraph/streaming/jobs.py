@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evigraph.operators import graph as G
-from evigraph.session import children, remove, scratch_path
+from evigraph.session import children, remove, scratch_path, share_package
 from evigraph.sources.readers import guard_records
 
 
@@ -82,6 +82,7 @@ def _buffered(rows: DataFrame, keys: list[str], ts: str, out: str, closes_after:
             state.update((waiting, held))
             state.setTimeoutTimestamp(max(ends // 1000, mark + 1))
 
+    share_package(rows.sparkSession)
     return rows.groupBy(*keys).applyInPandasWithState(work, out, "waiting array<bigint>, held array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
