@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
+from evigraph.session import share_package
+
 CHUNK_BYTES = 1 << 20
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 ROOT = np.uint64(0x9E3779B97F4A7C15)  # odd, so its powers are invertible modulo 2**64
@@ -23,6 +25,7 @@ _powers = np.ones(1, np.uint64)
 
 def small_batches(spark: SparkSession) -> None:
     """Hand texts to Python workers in small batches: their memory then follows a batch, not a partition."""
+    share_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.session import share_package
+
 SEPARATOR = "\r\n\r\n"
 HEADER_END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -110,6 +112,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    share_package(spark)
     schema = to_arrow_schema(StructType.fromDDL(RECORD))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
