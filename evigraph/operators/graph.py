@@ -78,8 +78,8 @@ def repeat_counts(df: DataFrame, keys, name: str = "uses") -> DataFrame:
 
 # -- crime records ----------------------------------------------------------
 
-def crime_rows(records: DataFrame) -> DataFrame:
-    """Typed view of crime-schema records, with risk, bucket and digest."""
+def crime_rows(records: DataFrame, provenance: bool = True) -> DataFrame:
+    """Typed view of crime-schema records, with risk, bucket and (with ``provenance``) digest."""
     f = F.col("fields")
 
     def text(name: str, default: str = "") -> Column:
@@ -94,7 +94,7 @@ def crime_rows(records: DataFrame) -> DataFrame:
         F.coalesce(f["location_description"], F.lit("Unknown premise")).alias("premise"),
         text("district", "0").alias("district"), text("beat").alias("beat"),
         S.blank_to_null(f["date"]).alias("date"), f["arrest"].alias("arrest"), f["domestic"].alias("domestic"),
-        S.record_digest(f).alias("digest"),
+        (S.record_digest(f) if provenance else F.lit(None).cast("string")).alias("digest"),
     )
     return typed.withColumns({
         "risk": S.offence_risk(F.col("primary_type"), F.col("description"), F.col("arrest"), F.col("domestic")),
@@ -237,13 +237,13 @@ def crime_edges(rows: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
     return unfold(rows, edges)
 
 
-def build_crime_graph(records: DataFrame, digits: int = rules.ID_HEX) -> EvidenceGraph:
+def build_crime_graph(records: DataFrame, digits: int = rules.ID_HEX, provenance: bool = True) -> EvidenceGraph:
     """Graph of crime-schema records.
 
     The typed rows are written once: six kinds of nodes and two counts read
     them, each its own columns, and none repeats the extraction.
     """
-    rows = cut(crime_rows(records), "crime-rows")
+    rows = cut(crime_rows(records, provenance), "crime-rows")
     return EvidenceGraph(crime_nodes(rows, digits), crime_edges(rows, digits), True)
 
 

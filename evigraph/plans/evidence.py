@@ -153,6 +153,14 @@ def crime_graph(spark: SparkSession, sf_dir: str) -> graph.EvidenceGraph:
     return graph.build_crime_graph(incident_records(spark, sf_dir))
 
 
+SHAPE = ("id", "source", "target", "label")
+
+
+def crime_shape(spark: SparkSession, sf_dir: str) -> graph.EvidenceGraph:
+    """The incident graph staged without provenance, for questions about its shape."""
+    return graph.build_crime_graph(incident_records(spark, sf_dir), provenance=False).staged(edges=SHAPE)
+
+
 def event_graph(spark: SparkSession, sf_dir: str, provenance: bool = True) -> graph.EvidenceGraph:
     return graph.build_multisource_graph(event_records(spark, sf_dir), provenance=provenance)
 

@@ -411,7 +411,7 @@ def k04_risk_report(spark, sf_dir):
 
 @query("k05_geojson", with_(CRIME_ADJ, """SELECT id, 'Feature' AS type, degree AS count FROM cnodes JOIN deg USING (id) WHERE tags = 'police-beat' ORDER BY degree DESC, risk DESC, name, id LIMIT 30"""))
 def k05_geojson(spark, sf_dir):
-    f = K.geojson_features(M.location_concentration(E.crime_graph(spark, sf_dir).staged()))
+    f = K.geojson_features(M.location_concentration(E.crime_shape(spark, sf_dir)))
     return f.select("id", F.get_json_object("json", "$.type").alias("type"), F.get_json_object("json", "$.properties.count").cast("bigint").alias("count"))
 
 

@@ -35,7 +35,7 @@ SELECT (SELECT count_if(a.community = b.community) / count(*) FROM cedges e JOIN
   - (SELECT sum(d * d) FROM (SELECT sum(degree) AS d FROM deg JOIN cnodes USING (id) GROUP BY community))
     / (4.0 * (SELECT count(*) FROM cedges) * (SELECT count(*) FROM cedges)) AS modularity"""))
 def n03_modularity(spark, sf_dir):
-    return M.modularity(E.crime_graph(spark, sf_dir).staged())
+    return M.modularity(E.crime_shape(spark, sf_dir))
 
 
 _DENSITY = """SELECT (SELECT count(*) FROM cnodes) AS nodes, (SELECT count(*) FROM cedges) AS edges,
@@ -46,7 +46,7 @@ _DENSITY = """SELECT (SELECT count(*) FROM cnodes) AS nodes, (SELECT count(*) FR
 
 @query("n04_density", with_(CRIME_ADJ, _DENSITY))
 def n04_density(spark, sf_dir):
-    return M.density(E.crime_graph(spark, sf_dir).staged())
+    return M.density(E.crime_shape(spark, sf_dir))
 
 
 _REACH = """SELECT d.id, least(1.0, (d.degree + 0.35 * coalesce(s.around, 0)) / (2.0 * (SELECT max(degree) FROM deg))) AS reach
@@ -55,14 +55,14 @@ FROM deg d LEFT JOIN (SELECT node, sum(degree) AS around FROM adj JOIN deg ON de
 
 @query("n07_reach", with_(CRIME_ADJ, _REACH))
 def n07_reach(spark, sf_dir):
-    return M.local_topology(E.crime_graph(spark, sf_dir).staged()).select("id", "reach")
+    return M.local_topology(E.crime_shape(spark, sf_dir)).select("id", "reach")
 
 
 @query("n09_key_individuals", with_(CRIME_ADJ, f"reach AS ({_REACH})", """
 SELECT row_number() OVER (ORDER BY reach DESC, risk DESC, name, id) AS rank, id, name, type, risk, reach AS score FROM reach JOIN cnodes USING (id)
 WHERE type = 'person' ORDER BY reach DESC, risk DESC, name, id LIMIT 20"""))
 def n09_key_individuals(spark, sf_dir):
-    return M.key_individuals(E.crime_graph(spark, sf_dir).staged(), metric="reach").select("rank", "id", "name", "type", "risk", "score")
+    return M.key_individuals(E.crime_shape(spark, sf_dir), metric="reach").select("rank", "id", "name", "type", "risk", "score")
 
 
 @query("n13_case_neighbours", with_(CRIME, "SELECT target AS id, count(*) AS case_neighbours FROM cedges WHERE label = 'HAS_SUSPECT' GROUP BY 1"))
@@ -90,7 +90,7 @@ def a03_degree_distribution(spark, sf_dir):
 SELECT community, count(*) AS size, avg(risk) AS average_risk, list(id ORDER BY rn) FILTER (rn <= 5) AS top_entities
 FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY risk DESC, id) AS rn FROM cnodes) GROUP BY 1"""))
 def a05_communities(spark, sf_dir):
-    return M.community_rollup(E.crime_graph(spark, sf_dir).staged())
+    return M.community_rollup(E.crime_shape(spark, sf_dir))
 
 
 @query("a06_risk_trend", with_(CRIME, """
@@ -126,7 +126,7 @@ SELECT row_number() OVER (ORDER BY degree DESC, risk DESC, name, id) AS rank, id
 FROM (SELECT n.*, d.degree, CAST(('0x' || substr(sha256(n.id), 1, 2)) AS INT) AS a, CAST(('0x' || substr(sha256(n.id), 3, 2)) AS INT) AS b
   FROM cnodes n JOIN deg d USING (id) WHERE tags = 'police-beat') ORDER BY degree DESC, risk DESC, name, id LIMIT 30"""))
 def a16_location_concentration(spark, sf_dir):
-    return M.location_concentration(E.crime_graph(spark, sf_dir).staged())
+    return M.location_concentration(E.crime_shape(spark, sf_dir))
 
 
 @query("a17_provenance_coverage", with_(MULTI, "SELECT count(*) AS edges, count_if(record_id <> '' AND digest <> '' AND channel <> '') AS covered, 100.0 * count_if(record_id <> '' AND digest <> '' AND channel <> '') / count(*) AS coverage FROM medges"))
@@ -146,14 +146,14 @@ def w11_timeline(spark, sf_dir):
 SELECT a.node AS id, row_number() OVER (PARTITION BY a.node ORDER BY n.risk DESC, n.name, a.nbr) AS place, a.nbr, n.name, n.risk
 FROM adj a JOIN cnodes n ON n.id = a.nbr WHERE a.node IN (SELECT id FROM cnodes WHERE type = 'event')"""))
 def w11_timeline_entities(spark, sf_dir):
-    return M.timeline(E.crime_graph(spark, sf_dir).staged())[1]
+    return M.timeline(E.crime_shape(spark, sf_dir))[1]
 
 
 @query("w12_rank", with_(CRIME_ADJ, """
 SELECT row_number() OVER (ORDER BY degree DESC, risk DESC, name, id) AS rank, id, name, degree FROM deg JOIN cnodes USING (id)
 ORDER BY degree DESC, risk DESC, name, id LIMIT 50"""))
 def w12_rank(spark, sf_dir):
-    g = E.crime_graph(spark, sf_dir).staged()
+    g = E.crime_shape(spark, sf_dir)
     return M.rank_entities(g, M.simple_degrees(g), 50, score="degree").select("rank", "id", "name", "degree")
 
 
@@ -223,7 +223,7 @@ SELECT id, 0 AS hop FROM focus UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT i
 
 @query("f07_ego_network", with_(CRIME_ADJ, _EGO))
 def f07_ego_network(spark, sf_dir):
-    g = E.crime_graph(spark, sf_dir).staged()
+    g = E.crime_shape(spark, sf_dir)
     return X.ego_network(g, X.default_focus(g))
 
 

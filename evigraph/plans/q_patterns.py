@@ -187,7 +187,7 @@ SELECT 'motif-' || m.person AS id, CASE WHEN gap <= 90 THEN 'rapid-repeat' ELSE
   name || ': ' || cases || ' linked incidents' AS title, m.person, cases, communities, coalesce(locations, 0) AS locations, gap AS minimum_gap_days,
   time_start, time_end, least(p.confidence, cc) AS confidence FROM m JOIN cnodes p ON p.id = m.person LEFT JOIN g USING (person) LEFT JOIN sp USING (person)"""))
 def w09_motifs(spark, sf_dir):
-    return P.person_motifs(E.crime_graph(spark, sf_dir).staged())
+    return P.person_motifs(E.crime_shape(spark, sf_dir))
 
 
 @query("w10_area", with_(CRIME, """top AS (SELECT target, count(*) AS cases FROM cedges WHERE label = 'OCCURRED_IN_BEAT' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
@@ -195,7 +195,7 @@ dom AS (SELECT n.name AS dominant, count(*) AS k FROM top JOIN cedges b ON b.tar
 SELECT 'motif-concentration-' || top.target AS id, 'area-concentration' AS type, 'high' AS severity, name || ': ' || cases || ' incident concentration' AS title, cases,
   dominant, k AS dominant_cases, confidence FROM top JOIN cnodes ON id = top.target, dom"""))
 def w10_area(spark, sf_dir):
-    return P.area_motif(E.crime_graph(spark, sf_dir).staged())
+    return P.area_motif(E.crime_shape(spark, sf_dir))
 
 
 @query("w13_validation", with_(MULTI, PAIRS, MOVES, PLACES, CONVERGE, NAMES, ROUTES, _EVIDENCE, """

@@ -64,7 +64,7 @@ def brandes_sql(nodes: str, adj: str, sources: int = 32, depth: int = 12) -> str
 
 @query("n06_betweenness", with_(CRIME_ADJ, brandes_sql("cnodes", "adj"), "SELECT node, round(score, 9) AS score FROM between_"))
 def n06_betweenness(spark, sf_dir):
-    return I.sampled_betweenness(E.crime_graph(spark, sf_dir).staged()).select("node", F.round("score", 9).alias("score"))
+    return I.sampled_betweenness(E.crime_shape(spark, sf_dir)).select("node", F.round("score", 9).alias("score"))
 
 
 @query("n08_influence", with_(STAR, brandes_sql("snodes", "sadj"), """top_ AS (SELECT max(degree) AS peak, count(*) AS n FROM sdeg),
@@ -144,7 +144,7 @@ o AS (SELECT id, risk, 'the name turns out to be shared by several people' AS ch
 SELECT id, change, -pts AS delta, greatest(0, risk - pts) AS risk_after, CASE WHEN change LIKE 'the name%' THEN 'identifiers that only one person can have, in the original reports' WHEN change LIKE 'cases were%' THEN 'addresses, area borders and repeated case numbers' ELSE 'the source report has the corrected field' END AS required_verification FROM o
 UNION ALL SELECT id, 'no rule changes this score', 0, risk, 'the connected source records' FROM k WHERE id NOT IN (SELECT id FROM o)"""))
 def n12_counterfactuals(spark, sf_dir):
-    return Y.counterfactuals(E.crime_graph(spark, sf_dir).staged())
+    return Y.counterfactuals(E.crime_shape(spark, sf_dir))
 
 
 @query("j02_predictions", with_(CRIME, """pred AS (SELECT o_orderkey, case_number AS node1, CASE WHEN o_orderkey % 2 = 0 THEN c_name ELSE suspect_name END AS node2, o_totalprice / 500000 AS p
@@ -201,7 +201,7 @@ alerts AS (SELECT alert_id, id AS entity_id, confidence, CASE alert_id WHEN 'der
 
 @query("t02_alerts", with_(_ALERTS, "SELECT alert_id, entity_id, confidence, severity FROM alerts"))
 def t02_alerts(spark, sf_dir):
-    return B.generate_alerts(E.crime_graph(spark, sf_dir).staged()).select("alert_id", "entity_id", "confidence", "severity")
+    return B.generate_alerts(E.crime_shape(spark, sf_dir)).select("alert_id", "entity_id", "confidence", "severity")
 
 
 def _acknowledged(spark, sf_dir):
@@ -214,14 +214,14 @@ def _acknowledged(spark, sf_dir):
 SELECT alert_id, entity_id, severity, (alert_id = 'derived-vehicle-link' AND EXISTS (SELECT 1 FROM conversations WHERE role = 'user'))
   OR (alert_id = 'derived-repeat-subject' AND EXISTS (SELECT 1 FROM conversations WHERE role = 'assistant')) AS acknowledged FROM alerts"""))
 def j05_acknowledged(spark, sf_dir):
-    alerts = B.with_acknowledgement(B.generate_alerts(E.crime_graph(spark, sf_dir).staged()), _acknowledged(spark, sf_dir))
+    alerts = B.with_acknowledgement(B.generate_alerts(E.crime_shape(spark, sf_dir)), _acknowledged(spark, sf_dir))
     return alerts.select("alert_id", "entity_id", "severity", "acknowledged")
 
 
 @query("f06_filtered_alerts", with_(_ALERTS, """
 SELECT alert_id, severity, entity_id FROM alerts WHERE severity IN ('critical', 'high') AND NOT (alert_id = 'derived-repeat-subject' AND EXISTS (SELECT 1 FROM conversations WHERE role = 'assistant'))"""))
 def f06_filtered_alerts(spark, sf_dir):
-    alerts = B.with_acknowledgement(B.generate_alerts(E.crime_graph(spark, sf_dir).staged()), _acknowledged(spark, sf_dir))
+    alerts = B.with_acknowledgement(B.generate_alerts(E.crime_shape(spark, sf_dir)), _acknowledged(spark, sf_dir))
     return X.filter_alerts(alerts, False, ("critical", "high"), "C").select("alert_id", "severity", "entity_id")
 
 
@@ -299,7 +299,7 @@ def h08_latest_decision(spark, sf_dir):
 SELECT alert_id AS id, confidence, 'fixed risk rules and counts of linked nodes' AS methodology FROM alerts WHERE alert_id = 'derived-repeat-subject'
 UNION ALL SELECT * FROM (SELECT 'beat-concentration', 100, 'counts over the records themselves' FROM inc GROUP BY beat ORDER BY count(*) DESC, beat LIMIT 5)"""))
 def h09_explanations(spark, sf_dir):
-    out = B.explain(B.generate_alerts(E.crime_graph(spark, sf_dir).staged()), B.repeat_findings(E.incident_records(spark, sf_dir)), ["derived-repeat-subject", "beat-concentration"])
+    out = B.explain(B.generate_alerts(E.crime_shape(spark, sf_dir)), B.repeat_findings(E.incident_records(spark, sf_dir)), ["derived-repeat-subject", "beat-concentration"])
     return out.select("id", "confidence", "methodology")
 
 
@@ -458,7 +458,7 @@ def model_sql() -> str:
 
 @query("m03_scores", with_(CRIME_ADJ, model_sql(), "SELECT id, round(p, 9) AS probability, CASE WHEN p >= 0.5 THEN 'suspicious' ELSE 'normal' END AS derived_label FROM z_"))
 def m03_scores(spark, sf_dir):
-    g = E.crime_graph(spark, sf_dir).staged()
+    g = E.crime_shape(spark, sf_dir)
     features = cut(L.node_features(g), "features")
     return L.mean_aggregator_scores(features, M.adjacency(g, multi=True), demo_weights()).withColumn("probability", F.round("probability", 9))
 
@@ -466,7 +466,7 @@ def m03_scores(spark, sf_dir):
 @query("m03_layer_mean", with_(CRIME_ADJ, """both_ AS (SELECT source AS node, target AS nbr FROM cedges UNION ALL SELECT target, source FROM cedges)""", """
 SELECT n.id, greatest(0.0, 0.5 * coalesce(avg(m.risk), 0) - 0.25 * n.risk + 1) AS value FROM cnodes n LEFT JOIN both_ b ON b.node = n.id LEFT JOIN cnodes m ON m.id = b.nbr GROUP BY n.id, n.risk"""))
 def m03_layer_mean(spark, sf_dir):
-    g = E.crime_graph(spark, sf_dir).staged()
+    g = E.crime_shape(spark, sf_dir)
     values = g.nodes.select("id", F.array(F.col("risk").cast("double")).alias("features"))
     layer = L.mean_layer(values, M.adjacency(g, multi=True), 1, {"neighbour": [[0.5]], "self": [[-0.25]], "bias": [1.0]})
     return layer.select("id", F.col("features")[0].alias("value"))
@@ -488,7 +488,7 @@ co AS (SELECT seed, count_if(label = 1 AND pred = 1) AS tp, count_if(label = 0 A
 SELECT CAST(seed AS INT) AS seed, tp AS true_positive, tn AS true_negative, fp AS false_positive, fn AS false_negative, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall,
   CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, (tp + tn) / (tp + tn + fp + fn) AS accuracy, (SELECT any_value(dropped) FROM tr) AS masked_edges FROM co"""))
 def m05_masking(spark, sf_dir):
-    return L.masking_stress(E.crime_graph(spark, sf_dir).staged())
+    return L.masking_stress(E.crime_shape(spark, sf_dir))
 
 
 @query("m06_baselines", """WITH r AS (SELECT quality AS label, d.n_chars >= 2000 AS a, l.toxic = 0 AS b FROM labels l JOIN documents d USING (doc_id)), f AS (
