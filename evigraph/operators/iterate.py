@@ -49,22 +49,22 @@ def connected_components(g: EvidenceGraph, max_rounds: int = 100) -> DataFrame:
     return labelled.join(ids.select("n", F.col("node").alias("component")), "n").select("node", "component")
 
 
-def sample_sources(nodes: DataFrame, sources: int) -> DataFrame:
-    """Evenly spaced ids of the sorted node list; with no more nodes than ``sources`` that is every id."""
-    total = nodes.count()
-    ids = nodes.select("id")
-    positions = sorted({min(total - 1, int(i * (total / sources))) + 1 for i in range(sources)})
-    return numbered(ids, [], ["id"], "n").filter(F.col("n").isin(positions)).select("id")
+def sample_positions(total: int, sources: int) -> list[int]:
+    """Evenly spaced places, from one, in a list of ``total``; with no more entries than ``sources`` every place."""
+    return sorted({min(total - 1, int(i * (total / sources))) + 1 for i in range(sources)}) if total else []
 
 
 def sampled_betweenness(g: EvidenceGraph, sources: int = 32, max_depth: int = 10_000) -> DataFrame:
     """(node, score): dependency sums over a fixed source sample, largest score one.
 
     All sources advance together, one level per round; state rows are keyed by
-    (source, node).
+    (source, node), both as numbers in id order.
     """
-    adj = cut(adjacency(g).filter("node <> nbr"), "adjacency")
-    start = sample_sources(g.nodes, sources).select(F.col("id").alias("src"), F.col("id").alias("node"), F.lit(1.0).alias("sigma"))
+    ids = cut(numbered(g.nodes.select("id"), [], ["id"], "n"), "numbers")
+    named = lambda end: ids.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"))
+    pairs = adjacency(g).filter("node <> nbr").join(named("node"), "node").join(named("nbr"), "nbr")
+    adj = cut(pairs.select(F.col("node_n").alias("node"), F.col("nbr_n").alias("nbr")), "adjacency")
+    start = ids.filter(F.col("n").isin(sample_positions(ids.count(), sources))).select(F.col("n").alias("src"), F.col("n").alias("node"), F.lit(1.0).alias("sigma"))
     levels = [cut(start, "level")]
     for _ in range(max_depth):
         last = levels[-1]
@@ -90,15 +90,14 @@ def sampled_betweenness(g: EvidenceGraph, sources: int = 32, max_depth: int = 10
                 "src", "node", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta"))
         below = cut(here, "delta")
         deltas.append(below.select("node", "delta"))
-    ids = g.nodes.select(F.col("id").alias("node"))
     if not deltas:
-        return ids.withColumn("score", F.lit(0.0))
+        return ids.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
     total = deltas[0]
     for d in deltas[1:]:
         total = total.unionByName(d)
     sums = cut(total.groupBy("node").agg(F.sum("delta").alias("sum")), "scores")
     peak = sums.agg(F.max("sum").alias("peak"))
-    scaled = ids.join(sums, "node", "left").join(F.broadcast(peak))
+    scaled = ids.join(sums.withColumnRenamed("node", "n"), "n", "left").withColumnRenamed("id", "node").join(F.broadcast(peak))
     return scaled.select("node", F.when(F.col("peak") > 0, F.coalesce("sum", F.lit(0.0)) / F.col("peak")).otherwise(0.0).alias("score"))
 
 
