@@ -4,8 +4,9 @@
    stops at ``repeats`` times its source's size, and the excess goes to the others by weight
    until none is above.
 2. The rows of a source lie in blocks by a hash of key and text.  Permuted by another hash
-   the blocks form passes over the source: full passes, then whole blocks of the last
-   pass while their words fit, then the rows of one more block in hash order, while they fit.
+   the blocks form passes over the source: full passes, then a last pass over blocks and, inside
+   a block, rows in hash order, which takes every row that fits into what the rows before it left.
+   So a source stays below its target by less than the smallest row that the last pass left out.
    Each (source, pass, block) is a unit; a source's number of units is its quota.
 3. A binary tree deals the quotas out to shards.  At each node the units of each source that go
    left are one draw from the multivariate hypergeometric distribution: source after source, a
@@ -15,7 +16,8 @@
 4. A source's units, permuted again, go to its shards by prefix sums.  In its shard a row's
    place is a hash of shard, pass and row.
 
-Work on rows is one aggregation to blocks and one join with the units; all else is on
+Work on texts is one aggregation to blocks, one list of the sizes behind the whole blocks of
+the last pass and one join with the units; all else is on those sizes, on
 blocks (at most ``BLOCKS`` per source) or on sources times shards.  Built-in functions only;
 all draws are hashes of ``seed``, so reruns agree.
 
@@ -137,36 +139,67 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
                   .withColumn("rest", F.floor(F.col("target") - F.col("full") * F.col("words")).cast("long")), "mix-sources")
     block = lambda fine, blocks: F.expr(f"cast({fine} as bigint) * {blocks} div {BLOCKS}").cast("int")
     coarse = fine.join(sources.select("source", "rank", "blocks", "full", "rest"), fine["source"].eqNullSafe(sources["source"])).select("rank", "full", "rest", block("fine", "blocks").alias("block"), fine["words"])
-    coarse = coarse.groupBy("rank", "full", "rest", "block").agg(F.sum("words").alias("words"))
-    # the last pass: whole blocks in permuted order while they fit, the next one in part
-    permuted = Window.partitionBy("rank").orderBy(drawn_key(F.lit(seed), F.lit("block"), F.col("rank"), F.col("block")), "block")
-    laid = cut(coarse.withColumn("until", F.sum("words").over(permuted)).withColumn("room", F.greatest(F.lit(0), F.col("rest") - (F.col("until") - F.col("words")))), "mix-blocks")
-    passes = F.when((F.col("room") > 0) & (F.col("words") > 0), F.sequence(F.lit(0), F.col("full"))).otherwise(F.when(F.col("full") > 0, F.sequence(F.lit(0), F.col("full") - 1)))
-    units = laid.where("words > 0").select("rank", "block", F.explode(passes).alias("pass"), (F.col("words") <= F.col("room")).alias("whole"), "room", "full")
-    units = units.select("rank", "block", "pass", F.when((F.col("pass") == F.col("full")) & ~F.col("whole"), F.col("room")).alias("room"))
+    coarse = coarse.groupBy("rank", "full", "rest", "block").agg(F.sum("words").alias("words")).withColumn("turn", drawn_key(F.lit(seed), F.lit("block"), F.col("rank"), F.col("block")))
+    # the last pass: whole blocks in permuted order up to the first that does not fit, behind it row by row
+    permuted = Window.partitionBy("rank").orderBy("turn", "block")
+    laid = cut(coarse.withColumn("until", F.sum("words").over(permuted)), "mix-blocks")
+    over = laid.where("until > rest").groupBy("rank").agg(F.min(F.struct("turn", "block", (F.col("rest") - F.col("until") + F.col("words")).alias("rem"))).alias("at"))
+    start = cut(over.select("rank", F.col("at.turn").alias("from_turn"), F.col("at.block").alias("from_block"), F.lit(-1).cast("long").alias("from_draw"), F.lit(-1).cast("long").alias("from_spot"), F.col("at.rem").alias("rem")), "mix-start")
+    per_source = sources.select(F.col("source").alias("__s"), "rank", "blocks", F.col("words").alias("source_size"), "target")
+    placed = own.join(per_source, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__block", block("pmod(__spot, " + str(BLOCKS) + ")", "blocks"))
+    behind = placed.select("rank", F.col("__block").alias("block"), F.col("__spot").alias("spot"), "size").join(start, "rank").where("size > 0 and size <= rem")
+    behind = behind.withColumn("turn", drawn_key(F.lit(seed), F.lit("block"), F.col("rank"), F.col("block"))).where("turn > from_turn or (turn = from_turn and block >= from_block)")
+    alike = behind.groupBy("rank", "turn", "block", "spot").agg(F.sum("size").alias("size")).withColumn("draw", drawn_key(F.lit(seed), F.lit("row"), F.col("spot")))
+    part = cut(_first_fit(cut(alike, "mix-behind"), start).groupBy("rank", "block").agg(F.sum("size").alias("part"), F.collect_list("spot").alias("fit")), "mix-part")
+    laid = laid.where("words > 0").join(part, ["rank", "block"], "left").withColumn("last", (F.col("until") <= F.col("rest")) | F.col("part").isNotNull())
+    passes = F.when(F.col("last"), F.sequence(F.lit(0), F.col("full"))).otherwise(F.when(F.col("full") > 0, F.sequence(F.lit(0), F.col("full") - 1)))
+    # spots of a block that the last pass takes in part
+    fit = F.when(F.col("part") < F.col("words"), F.col("fit"))
+    units = laid.select("rank", "block", "full", fit.alias("fit"), F.explode(passes).alias("pass"))
+    units = units.select("rank", "block", "pass", F.when(F.col("pass") == F.col("full"), F.col("fit")).alias("fit"))
     quotas = units.groupBy("rank").agg(F.count(F.lit(1)).alias("quota"))
     dealt = split_tree(quotas, shards, seed)
     upto = Window.partitionBy("rank").orderBy("shard")
     ranges = dealt.withColumn("until", F.sum("quota").over(upto)).withColumn("from", F.col("until") - F.col("quota"))
     numbered = units.withColumn("n", F.row_number().over(Window.partitionBy("rank").orderBy(drawn_key(F.lit(seed), F.lit("unit"), F.col("rank"), F.col("pass"), F.col("block")), "pass", "block")) - 1)
     dealt_units = _in_range(numbered, ranges)
-    plan = cut(dealt_units.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "room"))).alias("units")), "mix-plan")
-    per_source = sources.select(F.col("source").alias("__s"), "rank", "blocks", F.col("words").alias("source_size"), "target")
-    placed = own.join(per_source, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__block", block("pmod(__spot, " + str(BLOCKS) + ")", "blocks"))
-    # rows of the blocks taken in part, in hash order
-    part = plan.select(F.col("rank").alias("__rank"), F.col("block").alias("__part"), F.expr("get(filter(units, u -> u.room is not null), 0).room").alias("__room")).where("__room is not null")
-    ordered = placed.select("rank", "__block", "__spot", "size").join(part, (F.col("rank") == F.col("__rank")) & (F.col("__block") == F.col("__part"))).where("size > 0")
-    alike = ordered.groupBy("rank", "__block", "__spot", "__room").agg(F.sum("size").alias("size"))
-    running = F.sum("size").over(Window.partitionBy("rank", "__block").orderBy(drawn_key(F.lit(seed), F.lit("row"), F.col("__spot")), "__spot"))
-    fits = cut(alike.withColumn("until", running).where("until <= __room").select(F.col("rank").alias("__r"), F.col("__spot").alias("__fit")), "mix-part")
-    joined = (placed.join(plan.select(F.col("rank").alias("__rank"), F.col("block").alias("__b"), "units"), (F.col("rank") == F.col("__rank")) & (F.col("__block") == F.col("__b")), "left")
-              .join(fits, (F.col("rank") == F.col("__r")) & (F.col("__spot") == F.col("__fit")), "left"))
-    taken = F.filter(F.col("units"), lambda u: u["room"].isNull() | F.col("__fit").isNotNull())
+    plan = cut(dealt_units.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "fit"))).alias("units")), "mix-plan")
+    joined = placed.join(plan.select(F.col("rank").alias("__rank"), F.col("block").alias("__b"), "units"), (F.col("rank") == F.col("__rank")) & (F.col("__block") == F.col("__b")), "left")
+    taken = F.filter(F.col("units"), lambda u: u["fit"].isNull() | F.array_contains(u["fit"], F.col("__spot")))
     copies = F.transform(taken, lambda u: F.struct(u["shard"].alias("shard"), u["pass"].alias("pass"), drawn_key(F.lit(seed), u["shard"], u["pass"], F.col("__spot")).alias("place")))
     none = F.from_json(F.lit("[]"), "array<struct<shard: int, pass: int, place: long>>")
     return joined.select(*kept, "size", "source_size", "target", F.when((F.col("size") > 0) & F.col("units").isNotNull(), copies).otherwise(none).alias("copies"))
 
 
+def _first_fit(rows: DataFrame, start: DataFrame) -> DataFrame:
+    """Of ``rows`` (rank, turn, block, draw, spot, size) those that a walk in this order takes, if from ``start`` on it takes every row that fits into ``rem``.
+
+    A round takes all rows that could fit up to the first that does not, and that row and what
+    remains before it start the next round.  So a row is taken if it fits into the rest of the last
+    start up to it; what blocks a round exceeds the rest of its own start.  What remains falls from round
+    to round by a random share, so rounds are few.
+    """
+    starts, at = [start], start
+    behind = "size <= rem and (turn > from_turn or turn = from_turn and (block > from_block or block = from_block and (draw > from_draw or draw = from_draw and spot >= from_spot)))"
+    while True:
+        near = rows.join(at, "rank").where(behind)
+        blocks = near.groupBy("rank", "turn", "block", "rem").agg(F.sum("size").alias("words")).withColumn("until", F.sum("words").over(Window.partitionBy("rank").orderBy("turn", "block")))
+        over = blocks.where("until > rem").groupBy("rank").agg(F.min(F.struct("turn", "block", (F.col("rem") - F.col("until") + F.col("words")).alias("room"))).alias("b")).select(F.col("rank").alias("r"), "b")
+        inside = near.join(over, (F.col("rank") == F.col("r")) & (F.col("turn") == F.col("b.turn")) & (F.col("block") == F.col("b.block")))
+        inside = inside.withColumn("until", F.sum("size").over(Window.partitionBy("rank").orderBy("draw", "spot"))).where(F.col("until") > F.col("b.room"))
+        stop = inside.groupBy("rank").agg(F.min(F.struct("draw", "spot", "turn", "block", (F.col("b.room") - F.col("until") + F.col("size")).alias("rem"))).alias("s"))
+        at = cut(stop.select("rank", *[F.col(f"s.{c}").alias(f"from_{c}") for c in ("turn", "block", "draw", "spot")], "s.rem"), "mix-stop")
+        if at.isEmpty():
+            break
+        starts.append(at)
+    walk = starts[0].select("rank", F.struct("from_turn", "from_block", "from_draw", "from_spot", "rem").alias("s"))
+    for more in starts[1:]:
+        walk = walk.unionByName(more.select("rank", F.struct("from_turn", "from_block", "from_draw", "from_spot", "rem").alias("s")))
+    walk = cut(walk.groupBy("rank").agg(F.array_sort(F.collect_list("s")).alias("starts")), "mix-walk")
+    before = "turn > s.from_turn or turn = s.from_turn and (block > s.from_block or block = s.from_block and (draw > s.from_draw or draw = s.from_draw and spot >= s.from_spot))"
+    return rows.join(walk, "rank").where(f"size <= element_at(filter(starts, s -> {before}), -1).rem").select(*rows.columns)
+
+
 def _in_range(numbered: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each unit's shard: a source's shards are few, so they travel as one array per source and are searched by prefix sum."""
     steps = ranges.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("from", "until", "shard"))).alias("steps"))

@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -85,3 +87,30 @@ def test_odd_rows(spark, clash):
     assert alike[0] == alike[1]
     assert mixing.mix(clash.limit(0)).count() == 0
     assert mixing.rows_of(mixing.mix(clash)).columns.count("value") == 1
+
+
+def test_a_long_document_blocks_nothing(spark):
+    """Each source has one document as long as all others together; the last pass is a plain walk in hash order."""
+    rng = random.Random(3)
+    one = [*(rng.randint(1, 40) for _ in range(700)), 14_000]
+    sizes = {(s, i): n for s in range(6) for i, n in enumerate(one)}
+    rows = [(1000 * s + i, "w " * n, f"s{s}") for (s, i), n in sizes.items()]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=3).collect()
+    number = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+    for s in range(6):
+        own = [r for r in got if r["source"] == f"s{s}"]
+        total, target = sum(r["size"] for r in own), own[0]["target"]
+        full, want = int(target // total), {}
+        rest, blocks, rank = int(target - full * total), -(-len(own) // mixing.BLOCK_ROWS), s + 1
+
+        def turn(r):
+            spot = number(11, r["doc_id"], r["text"])
+            block = spot % mixing.BLOCKS * blocks // mixing.BLOCKS
+            return number(11, "block", rank, block), block, number(11, "row", spot), spot
+
+        for r in sorted(own, key=turn):
+            want[r["doc_id"]] = full + (r["size"] <= rest)
+            rest -= r["size"] if r["size"] <= rest else 0
+        assert {r["doc_id"]: len(r["copies"]) for r in own} == want
+        short = target - sum(r["size"] * len(r["copies"]) for r in own)
+        assert 0 <= short <= 0.005 * target and short < 1 + min(r["size"] for r in own if len(r["copies"]) == full)
