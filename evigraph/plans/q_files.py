@@ -576,7 +576,7 @@ SELECT user_id, ts, admitted FROM r WHERE epoch_us(ts) // 1000 < (SELECT epoch_m
 def x02_stream_rate_limit(spark, sf_dir):
     """At most three admitted per day and user; files whose order has nothing to do with time are read in one batch, so none is late."""
     stream = J.read_table_stream(spark, _files(spark, sf_dir))
-    return J.run_to_table(J.stream_rate_limit(stream, "user_id", "ts", 3, 86_400, "1 day"), "limited")
+    return J.run_finite(stream, ["user_id"], "ts", lambda rows: J.stream_rate_limit(rows, "user_id", "ts", 3, 86_400, "1 day"), "limited")
 
 
 def _files(spark, sf_dir):
@@ -601,7 +601,7 @@ def x03_stream_bursts(spark, sf_dir):
     """Windows of one day over call pairs: the test calls lie far apart."""
     stream = J.read_table_stream(spark, _files(spark, sf_dir)).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     calls = E.event_rows_of(stream).select(F.col("caller_number").alias("caller"), F.col("callee_number").alias("callee"), F.to_timestamp("timestamp").alias("ts"))
-    return J.run_to_table(J.stream_bursts(P.call_pairs(calls), ["low", "high"], "ts", 86_400, 2, "1 day"), "bursts")
+    return J.run_finite(P.call_pairs(calls), ["low", "high"], "ts", lambda rows: J.stream_bursts(rows, ["low", "high"], "ts", 86_400, 2, "1 day"), "bursts")
 
 
 @query("x04_stream_emergence", "SELECT user_id, min(ts) AS first FROM events GROUP BY 1")

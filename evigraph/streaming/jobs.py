@@ -19,6 +19,9 @@ from evigraph.operators import graph as G
 from evigraph.session import children, remove, scratch_path, share_package
 from evigraph.sources.readers import guard_records
 
+#: The time of the closing row, in the last year that fits the nanoseconds Python workers get.
+END = "2262-01-01 00:00:00"
+
 
 def read_table_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The parquet table ``path``, a folder or one file, as a stream of new files."""
@@ -30,11 +33,32 @@ def read_table_stream(spark: SparkSession, path: str, max_files: int | None = No
 
 def run_to_table(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
     """Process what is available into a parquet table and return that table."""
-    spark = stream.sparkSession
-    path = scratch_path(spark, tag)
+    path = scratch_path(stream.sparkSession, tag)
+    _run(stream, path, mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
+
+
+def _run(stream: DataFrame, path: str, mode: str = "append") -> None:
     query = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data")
              .option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def run_finite(rows: DataFrame, keys: list[str], ts: str, job: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+    """``job`` over a stream that ends: what it writes once every row is closed.
+
+    After all rows a second run of the same query reads one closing row without a key, which moves the
+    watermark past all of them; it stays in the state itself, so nothing is written for it.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, tag)
+    own = rows.select(*keys, F.col(ts).cast("timestamp").alias(ts))
+    spark.createDataFrame([], own.schema).write.parquet(f"{path}/end")
+    stream = job(own.unionByName(spark.readStream.schema(own.schema).parquet(f"{path}/end")))
+    _run(stream, path)
+    last = spark.range(1).select(*[F.lit(None).cast(own.schema[k].dataType).alias(k) for k in keys], F.lit(END).cast("timestamp").alias(ts))
+    last.write.mode("append").parquet(f"{path}/end")
+    _run(stream, path)
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 

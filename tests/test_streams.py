@@ -48,6 +48,15 @@ def test_bursts_hold_both_ends(spark):
     assert got == want and ("pair", START, START + timedelta(minutes=30), 2) in want
 
 
+def test_a_finite_stream_is_decided_to_its_end(spark):
+    rows = [*events()[:-1], (None, START + timedelta(minutes=15)), (None, START + timedelta(minutes=15))]
+    limited = jobs.run_finite(stream_of(spark, rows, "k string, ts timestamp"), ["k"], "ts", lambda s: jobs.stream_rate_limit(s, "k", "ts", 4, 60), "limit-end").collect()
+    assert sorted((str(r.k), r.ts) for r in limited) == sorted((str(k), t) for k, t in rows)
+    bursts = jobs.run_finite(stream_of(spark, rows, "k string, ts timestamp"), ["k"], "ts", lambda s: jobs.stream_bursts(s, ["k"], "ts", 1800, 2), "bursts-end").collect()
+    last = {k: sorted(t for x, t in rows if x == k)[-2:] for k in ("hot", "cold", None)}
+    assert {(r.k, r.window_start, r.window_end, r.n) for r in bursts} >= {(k, *t, 2) for k, t in last.items()}
+
+
 def test_first_seen_does_not_depend_on_arrival(spark):
     rows = events()
     got = {r.k: r.first for r in jobs.stream_emergence(stream_of(spark, rows, "k string, ts timestamp", 1), "k", "ts", scratch_path(spark, "first-test")).collect()}
