@@ -1,3 +1,5 @@
+import zlib
+
 import duckdb
 import pytest
 from conftest import SF
@@ -36,6 +38,14 @@ def test_stages(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(kept["pieces"])
 
 
+def test_short_clean_texts_stay(spark):
+    long = "one text in three languages that no model can tell apart"
+    learned = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 != 2][:24]
+    rows = [(i, long, lang) for i, lang in zip(learned, ["aa", "bb", "cc"] * 8, strict=True)] + [(100, "OK", "aa"), (101, "Li", None), (102, "12 34", "aa"), (103, "", "bb"), (104, None, "cc")]
+    kept = corpus_pipeline.language_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == [100, 101, *learned]
+
+
 def test_queries_against_their_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "conversations"):
