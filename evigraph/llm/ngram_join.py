@@ -1,13 +1,14 @@
-"""Near duplicates by word n-gram Jaccard similarity: a MinHash LSH forest, then exact verification.
+"""Near duplicates by word n-gram Jaccard similarity: banded MinHash LSH, then exact verification.
 
 1. Texts that are equal byte for byte form one class; its copies are never compared.
-2. Every class gets ``trees`` signatures.  A signature is a path of min-hashes over the
-   class's word shingles; the paths of one tree, sorted, form a prefix trie.
-3. Matches start at the longest prefixes and shorten them until a pair at the
-   threshold meets in some trie with the target probability (``prefix_depth``).  A shorter
-   prefix matches whatever a longer one did, so only the trie nodes of that depth are kept,
-   as hashes of the prefix.
-4. Classes that meet in a node are linked to the node's least class.  The components of these
+2. Every class gets ``trees`` signatures (bands), each a hash of ``depth`` min-hashes over the
+   class's word shingles.
+3. This is banding in place of an LSH forest: no paths are sorted and no prefix is matched or
+   shortened on the data.  ``prefix_depth`` works out one depth for all from the threshold: the
+   deepest at which a pair at the threshold meets in some band with the target
+   probability.  A forest that shortens down to that depth for every class finds the same pairs, as
+   a shorter prefix matches whatever a longer one did; all candidates are verified in any case.
+4. Classes that meet in a band are linked to the least class there.  The components of these
    links are the candidate groups; each class's text goes to its group once.
 5. Inside a group all pairs are verified exactly, by products of blocks of the
    class-by-shingle incidence matrix.  A group larger than a block is dealt out as pairs of
