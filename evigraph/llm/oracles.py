@@ -159,3 +159,15 @@ c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h
 p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN len(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(mid) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLES["op11_suffix_dedup"] = """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5_number(array_slice(b, i + 1, i + 100)) AS h FROM (SELECT doc_id, b, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+e AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true)::INT AS fresh FROM r),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM e),
+s AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, z AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM s UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY 1),
+t AS (SELECT doc_id, n, b, coalesce(removed, 0) AS removed, coalesce(spans, 0) AS spans FROM d LEFT JOIN (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM s GROUP BY 1) USING (doc_id)),
+x AS (SELECT doc_id, string_agg(hex(array_slice(b, a + 1, coalesce(z, n))), '' ORDER BY a) AS h FROM k JOIN d USING (doc_id) WHERE a < coalesce(z, n) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, removed::BIGINT AS n_removed, spans AS n_spans, sha256(CASE WHEN removed = 0 THEN b ELSE unhex(coalesce(x.h, '')) END) AS kept_sha256 FROM t LEFT JOIN x USING (doc_id)"""

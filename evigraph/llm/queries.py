@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import chat, divergence, fim, langid, mixing, ngram_join, pieces, pii, quality, secrets, topk, warc
+from evigraph.llm import chat, divergence, fim, langid, mixing, ngram_join, pieces, pii, quality, secrets, suffixes, topk, warc
 from evigraph.llm.oracles import ORACLES  # noqa: F401
 from evigraph.llm.spans import listed
 from evigraph.session import cut, scratch_path
@@ -108,6 +108,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("page_id", own("payload_bytes", "stored_bytes"), own("payload_digest", "stored_digest"), F.col("type").alias("record_type"), F.col("stored_page").alias("refers_to"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("n")).drop("n")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 100-byte strings that start earlier somewhere."""
+    left = suffixes.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergences between the sources of each language, and the terms that set each source apart."""
     return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
@@ -126,4 +132,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_hamming_topk, op3_mix, op4_pieces, op5_secrets, op6_near_duplicates, op7_chat, op8_pii, op9_quality, op10_warc, op12_source_divergence, op13_fill_in_middle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_hamming_topk, op3_mix, op4_pieces, op5_secrets, op6_near_duplicates, op7_chat, op8_pii, op9_quality, op10_warc, op11_suffix_dedup, op12_source_divergence, op13_fill_in_middle, pipeline)}

@@ -52,7 +52,7 @@ def test_queries_against_their_sql(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     names = [n for n in queries if n.startswith("op") and n in oracles]
-    assert len(names) == 10
+    assert len(names) == 11
     for n in names:
         got = queries[n](spark, SF)
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles[n]})").fetchall()
