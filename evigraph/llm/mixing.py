@@ -3,23 +3,23 @@
 1. Every source gets a target number of words: weights share ``share`` of all words, a target
    stops at ``repeats`` times its source's size, and the excess goes to the others by weight
    until none is above.
-2. The rows of a source lie in blocks by a hash of key and text.  Permuted by another hash
-   the blocks form passes over the source: full passes, then a last pass over blocks and, inside
-   a block, rows in hash order, which takes every row that fits into what the rows before it left.
-   So a source stays below its target by less than the smallest row that the last pass left out.
+2. The rows of a source lie in blocks by a hash of key and text.  A source is passed over as often as its
+   target holds it whole; a last pass takes the rest.  Permuted by another hash, its rows that could fit at all are
+   taken up to the first that does not; what is then left is filled with the smallest rows behind it, in
+   order of size.  So a source stays below its target by less than the smallest row left out.
    Each (source, pass, block) is a unit; a source's number of units is its quota.
 3. A binary tree deals the quotas out to shards.  At each node the units of each source that go
    left are one draw from the multivariate hypergeometric distribution: source after source, a
-   hypergeometric draw by inversion, summed outwards over all values within nine
+   hypergeometric draw by inversion over all values within nine
    standard deviations of the mean (beyond lies less than a double can tell).  Every shard
    gets its exact share of all units, and every unit goes to one shard.
 4. A source's units, permuted again, go to its shards by prefix sums.  In its shard a row's
    place is a hash of shard, pass and row.
 
-Work on texts is one aggregation to blocks, one list of the sizes behind the whole blocks of
-the last pass and one join with the units; all else is on those sizes, on
-blocks (at most ``BLOCKS`` per source) or on sources times shards.  Built-in functions only;
-all draws are hashes of ``seed``, so reruns agree.
+Texts are read once for their sizes and once for the result.  All between is on one narrow row per different
+row (hash and size), on blocks (at most ``BLOCKS`` per source), on sources, or on sources times
+shards; running sums over rows are running sums over blocks and inside a block.  The number of steps is
+fixed, and the tree is one plan.  Built-in functions only; all draws are hashes of ``seed``, so reruns agree.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a
 source of its own and sorts last; equal rows are taken alike; an empty table gives no rows; other
@@ -38,6 +38,7 @@ from evigraph.session import cut
 
 BLOCKS, BLOCK_ROWS = 65_536, 128
 UNITS_ARRAY = "array<struct<rank: int, quota: long>>"
+COPIES = "array<struct<shard: int, pass: int, place: long>>"
 ADDED = ("size", "source_size", "target", "copies")
 
 
@@ -81,123 +82,102 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
     low, high = F.greatest(F.lit(0).cast("long"), drawn + good - total), F.least(good, drawn)
     mean = drawn * good / F.greatest(total, F.lit(1))
     spread = F.ceil(9 * F.sqrt(mean * (1 - good / F.greatest(total, F.lit(1))) + 1)).cast("long")
-    mid = F.least(high, F.greatest(low, F.round(mean).cast("long")))
-    a, b = F.greatest(low, mid - spread), F.least(high, mid + spread)
-    # weights relative to the middle value, upwards and downwards
-    up = lambda k: (good - k + 1) * (drawn - k + 1) / (k * (total - good - drawn + k))
-    down = lambda k: (k + 1) * (total - good - drawn + k + 1) / ((good - k) * (drawn - k))
-    zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
-    add = lambda f: lambda s, k: F.struct((s["w"] * f(k)).alias("w"), (s["sum"] + s["w"] * f(k)).alias("sum"))
-    upper = F.when(b > mid, F.sequence(mid + 1, F.greatest(b, mid + 1))).otherwise(F.slice(F.array(mid), 1, 0))
-    lower = F.when(a < mid, F.sequence(mid - 1, F.least(a, mid - 1), F.lit(-1).cast("long"))).otherwise(F.slice(F.array(mid), 1, 0))
-    mass = 1.0 + F.aggregate(upper, zero, add(up), lambda s: s["sum"]) + F.aggregate(lower, zero, add(down), lambda s: s["sum"])
-    # walk: middle, then all above, then all below, until the mass reaches u
-    goal = u * mass
-    walk = lambda f: lambda s, k: F.struct((s["w"] * f(k)).alias("w"), (s["sum"] + s["w"] * f(k)).alias("sum"), F.when(s["k"].isNull() & (s["sum"] + s["w"] * f(k) > goal), k).otherwise(s["k"]).alias("k"))
-    first = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), F.when(goal < 1.0, mid).alias("k"))
-    above = F.aggregate(upper, first, walk(up))
-    again = F.struct(F.lit(1.0).alias("w"), above["sum"].alias("sum"), above["k"].alias("k"))
-    return F.coalesce(F.aggregate(lower, again, walk(down))["k"], a)
+    mid = F.round(mean).cast("long")
+    box = F.array(F.struct(F.greatest(low, mid - spread).alias("a"), F.least(high, mid + spread).alias("b")))  # worked out once, for all steps
+
+    def inverted(range_: Column) -> Column:
+        a, b = range_["a"], range_["b"]
+        ks = F.when(b > a, F.sequence(a + 1, F.greatest(b, a + 1))).otherwise(F.slice(F.array(a), 1, 0))
+        # weights relative to the least value, and their running sums
+        grow = lambda s, k: F.struct((s["w"] * ((good - k + 1) * (drawn - k + 1) / (k * (total - good - drawn + k)))).alias("w"), s["sum"].alias("sum"))
+        add = lambda s, k: (lambda t: F.struct(t["w"].alias("w"), (s["sum"] + t["w"]).alias("sum")))(grow(s, k))
+        one = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"))
+        goal = u * F.aggregate(ks, one, add, lambda s: s["sum"])
+        first = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), a.alias("k"), goal.alias("goal"))
+        walk = lambda s, k: (lambda t: F.struct(t["w"].alias("w"), t["sum"].alias("sum"), F.when(s["sum"] <= s["goal"], k).otherwise(s["k"]).alias("k"), s["goal"].alias("goal")))(add(s, k))
+        return F.aggregate(ks, first, walk, lambda s: s["k"])
+
+    return F.element_at(F.transform(box, inverted), 1)
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(shard, rank, quota) from one row per source (rank, quota).
+    """(shard, rank, quota) from one row per source (rank, quota), as one plan: a level is one step from nodes to their children.
 
-    A node holds one entry per source; node n's children are 2n and 2n + 1.
+    A node holds one entry per source.
     """
     depth = math.ceil(math.log2(shards)) if shards > 1 else 0
     nodes = quotas.agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col("quota")))).alias("parts")).select(F.lit(0).alias("low"), F.lit(shards).alias("high"), "parts")
+    low, high, width = F.col("low"), F.col("high"), F.col("high") - F.col("low")
+    total = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["quota"])
+    # units before the boundary of the shards, so that every shard gets floor or ceil of its share
+    drawn = F.when(width > 1, F.expr("total * half div (high - low)")).otherwise(F.col("total"))
+
+    def deal(acc: Column, p: Column) -> Column:
+        took = hypergeometric(acc["total"], p["quota"], acc["drawn"], unit_hash(F.lit(seed), low, high, p["rank"]))
+        step = F.transform(F.array(took), lambda t: F.struct((acc["total"] - p["quota"]).alias("total"), (acc["drawn"] - t).alias("drawn"), F.concat(acc["out"], F.array(F.struct(p["rank"].alias("rank"), t.alias("quota")))).alias("out")))
+        return F.element_at(step, 1)
+
+    start = F.struct(F.col("total").alias("total"), F.col("drawn").alias("drawn"), F.from_json(F.lit("[]"), UNITS_ARRAY).alias("out"))
+    left = F.aggregate("parts", start, deal, lambda acc: acc["out"])
+    right = lambda x: F.zip_with("parts", x, lambda p, q: F.struct(p["rank"].alias("rank"), (p["quota"] - q["quota"]).alias("quota")))
+    node = lambda a, b, parts: F.struct(a.alias("low"), b.alias("high"), parts.alias("parts"))
+    sides = F.flatten(F.transform(F.array(left), lambda x: F.array(node(low, low + F.col("half"), x), node(low + F.col("half"), high, right(x)))))
     for _ in range(depth):
-        width = F.col("high") - F.col("low")
-        sized = nodes.withColumn("half", F.ceil(width / 2).cast("int")).withColumn("total", F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["quota"]))
-        # units before the boundary of the shards, so that every shard gets floor or ceil of its share
-        sized = sized.withColumn("drawn", F.when(width > 1, F.expr("total * half div (high - low)")).otherwise(F.col("total")))
-
-        def deal(acc: Column, p: Column) -> Column:
-            took = hypergeometric(acc["total"], p["quota"], acc["drawn"], unit_hash(F.lit(seed), F.col("low"), F.col("high"), p["rank"]))
-            one = F.array(F.struct(p["rank"].alias("rank"), took.alias("quota")))
-            return F.struct((acc["total"] - p["quota"]).alias("total"), (acc["drawn"] - took).alias("drawn"), F.concat(acc["out"], one).alias("out"))
-
-        start = F.struct(F.col("total").alias("total"), F.col("drawn").alias("drawn"), F.from_json(F.lit("[]"), UNITS_ARRAY).alias("out"))
-        dealt = sized.withColumn("left", F.aggregate("parts", start, deal, lambda acc: acc["out"]))
-        right = F.zip_with("parts", "left", lambda p, q: F.struct(p["rank"].alias("rank"), (p["quota"] - q["quota"]).alias("quota")))
-        sides = F.array(F.struct(F.col("low").alias("low"), (F.col("low") + F.col("half")).alias("high"), F.col("left").alias("parts")), F.struct((F.col("low") + F.col("half")).alias("low"), F.col("high").alias("high"), right.alias("parts")))
-        nodes = cut(dealt.select(F.explode(sides).alias("n")).select("n.low", "n.high", "n.parts").where("high > low"), "mix-tree")
+        sized = nodes.select("*", F.ceil(width / 2).cast("int").alias("half"), total.alias("total")).withColumn("drawn", drawn)
+        nodes = sized.select(F.explode(sides).alias("n")).select("n.low", "n.high", "n.parts").where("high > low")
     return nodes.select(F.col("low").alias("shard"), F.explode("parts").alias("p")).select("shard", "p.rank", "p.quota").where("quota > 0")
 
 
+def _running(rows: DataFrame, weight: Column, seed: int) -> DataFrame:
+    """``rows`` (rank, block, spot) with ``until``: the sum of ``weight`` up to each in permuted order of blocks and, in a block, of rows."""
+    weighed = rows.withColumn("weight", weight)
+    order = Window.partitionBy("rank").orderBy(drawn_key(F.lit(seed), F.lit("block"), F.col("rank"), F.col("block")), "block")
+    blocks = weighed.groupBy("rank", "block").agg(F.sum("weight").alias("all")).withColumn("ahead", F.sum("all").over(order) - F.col("all")).drop("all")
+    inside = Window.partitionBy("rank", "block").orderBy(drawn_key(F.lit(seed), F.lit("row"), F.col("spot")), "spot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return weighed.join(blocks, ["rank", "block"]).withColumn("until", F.col("ahead") + F.sum("weight").over(inside)).drop("weight", "ahead")
+
+
+def last_pass(rows: DataFrame, rests: DataFrame, seed: int) -> DataFrame:
+    """Of ``rows`` (rank, block, spot, words) those that the last pass takes, given ``rest`` per rank."""
+    walked = cut(_running(rows.join(rests, "rank").where("words > 0 and words <= rest"), F.col("words"), seed), "mix-walk")
+    left = walked.groupBy("rank", "rest").agg((F.col("rest") - F.coalesce(F.sum(F.when(F.col("until") <= F.col("rest"), F.col("words"))), F.lit(0))).alias("rem")).drop("rest")
+    behind = walked.where("until > rest").join(left, "rank").where("words <= rem")
+    sizes = behind.groupBy("rank", "words", "rem").agg(F.sum("words").alias("all")).withColumn("upto", F.sum("all").over(Window.partitionBy("rank").orderBy("words")))
+    # the first size of which not all rows fit, and how many of it do
+    stop = sizes.where("upto > rem").groupBy("rank").agg(F.min(F.struct("words", F.expr("(rem - upto + all) div words").alias("number"))).alias("s")).select("rank", F.col("s.words").alias("size"), F.col("s.number").alias("number"))
+    stop = cut(left.join(stop, "rank", "left"), "mix-stop")
+    small = behind.drop("rem").join(stop, "rank").where("size is null or words < size").select("rank", "block", "spot")
+    equal = _running(behind.drop("rem", "until").join(stop, "rank").where("words = size and number > 0"), F.lit(1), seed).where("until <= number").select("rank", "block", "spot")
+    return walked.where("until <= rest").select("rank", "block", "spot").unionByName(small).unionByName(equal)
+
+
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, repeats: float = 3.0, shards: int = 16, seed: int = 11) -> DataFrame:
     """``df`` with ``size``, ``source_size``, ``target`` and ``copies``: array<struct<shard, pass, place>>, one entry per time the mix takes the row."""
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ADDED]
     spot = drawn_key(F.lit(seed), F.col(key), F.col(text))
     own = df.select(*kept, F.col(source).alias("__source"), spot.alias("__spot"), words(F.col(text)).alias("size"))
-    # fine blocks first: they hold all that the plan needs to know about the rows
-    fine = cut(own.groupBy(F.col("__source").alias("source"), F.pmod(F.col("__spot"), F.lit(BLOCKS)).cast("int").alias("fine")).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")), "mix-fine")
-    sources = cut(targets(fine.groupBy("source").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words")), weights, share, repeats)
+    # all that the plan needs to know about the rows; equal ones as one
+    narrow = cut(own.groupBy(F.col("__source").alias("source"), F.col("__spot").alias("spot")).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")), "mix-rows")
+    sources = cut(targets(narrow.groupBy("source").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words")), weights, share, repeats)
                   .withColumn("blocks", F.least(F.lit(BLOCKS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int"))
                   .withColumn("full", F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words"))).otherwise(0).cast("int"))
                   .withColumn("rest", F.floor(F.col("target") - F.col("full") * F.col("words")).cast("long")), "mix-sources")
-    block = lambda fine, blocks: F.expr(f"cast({fine} as bigint) * {blocks} div {BLOCKS}").cast("int")
-    coarse = fine.join(sources.select("source", "rank", "blocks", "full", "rest"), fine["source"].eqNullSafe(sources["source"])).select("rank", "full", "rest", block("fine", "blocks").alias("block"), fine["words"])
-    coarse = coarse.groupBy("rank", "full", "rest", "block").agg(F.sum("words").alias("words")).withColumn("turn", drawn_key(F.lit(seed), F.lit("block"), F.col("rank"), F.col("block")))
-    # the last pass: whole blocks in permuted order up to the first that does not fit, behind it row by row
-    permuted = Window.partitionBy("rank").orderBy("turn", "block")
-    laid = cut(coarse.withColumn("until", F.sum("words").over(permuted)), "mix-blocks")
-    over = laid.where("until > rest").groupBy("rank").agg(F.min(F.struct("turn", "block", (F.col("rest") - F.col("until") + F.col("words")).alias("rem"))).alias("at"))
-    start = cut(over.select("rank", F.col("at.turn").alias("from_turn"), F.col("at.block").alias("from_block"), F.lit(-1).cast("long").alias("from_draw"), F.lit(-1).cast("long").alias("from_spot"), F.col("at.rem").alias("rem")), "mix-start")
-    per_source = sources.select(F.col("source").alias("__s"), "rank", "blocks", F.col("words").alias("source_size"), "target")
-    placed = own.join(per_source, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__block", block("pmod(__spot, " + str(BLOCKS) + ")", "blocks"))
-    behind = placed.select("rank", F.col("__block").alias("block"), F.col("__spot").alias("spot"), "size").join(start, "rank").where("size > 0 and size <= rem")
-    behind = behind.withColumn("turn", drawn_key(F.lit(seed), F.lit("block"), F.col("rank"), F.col("block"))).where("turn > from_turn or (turn = from_turn and block >= from_block)")
-    alike = behind.groupBy("rank", "turn", "block", "spot").agg(F.sum("size").alias("size")).withColumn("draw", drawn_key(F.lit(seed), F.lit("row"), F.col("spot")))
-    part = cut(_first_fit(cut(alike, "mix-behind"), start).groupBy("rank", "block").agg(F.sum("size").alias("part"), F.collect_list("spot").alias("fit")), "mix-part")
-    laid = laid.where("words > 0").join(part, ["rank", "block"], "left").withColumn("last", (F.col("until") <= F.col("rest")) | F.col("part").isNotNull())
-    passes = F.when(F.col("last"), F.sequence(F.lit(0), F.col("full"))).otherwise(F.when(F.col("full") > 0, F.sequence(F.lit(0), F.col("full") - 1)))
-    # spots of a block that the last pass takes in part
-    fit = F.when(F.col("part") < F.col("words"), F.col("fit"))
-    units = laid.select("rank", "block", "full", fit.alias("fit"), F.explode(passes).alias("pass"))
-    units = units.select("rank", "block", "pass", F.when(F.col("pass") == F.col("full"), F.col("fit")).alias("fit"))
-    quotas = units.groupBy("rank").agg(F.count(F.lit(1)).alias("quota"))
-    dealt = split_tree(quotas, shards, seed)
-    upto = Window.partitionBy("rank").orderBy("shard")
-    ranges = dealt.withColumn("until", F.sum("quota").over(upto)).withColumn("from", F.col("until") - F.col("quota"))
+    block = F.expr(f"cast(pmod(spot, {BLOCKS}) * blocks div {BLOCKS} as int)").alias("block")
+    placed = narrow.join(sources.select(F.col("source").alias("s"), "rank", "blocks"), F.col("source").eqNullSafe(F.col("s"))).select("rank", block, "spot", "words")
+    last = cut(last_pass(placed, sources.select("rank", "rest"), seed), "mix-last")
+    whole = placed.where("words > 0").select("rank", "block").distinct().join(sources.select("rank", "full"), "rank").where("full > 0").select("rank", "block", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("pass"))
+    units = cut(whole.unionByName(last.select("rank", "block").distinct().join(sources.select("rank", F.col("full").alias("pass")), "rank").select("rank", "block", "pass")), "mix-units")
+    dealt = split_tree(units.groupBy("rank").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
+    ranges = dealt.withColumn("until", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard"))).withColumn("from", F.col("until") - F.col("quota"))
     numbered = units.withColumn("n", F.row_number().over(Window.partitionBy("rank").orderBy(drawn_key(F.lit(seed), F.lit("unit"), F.col("rank"), F.col("pass"), F.col("block")), "pass", "block")) - 1)
-    dealt_units = _in_range(numbered, ranges)
-    plan = cut(dealt_units.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "fit"))).alias("units")), "mix-plan")
-    joined = placed.join(plan.select(F.col("rank").alias("__rank"), F.col("block").alias("__b"), "units"), (F.col("rank") == F.col("__rank")) & (F.col("__block") == F.col("__b")), "left")
-    taken = F.filter(F.col("units"), lambda u: u["fit"].isNull() | F.array_contains(u["fit"], F.col("__spot")))
+    plan = cut(_in_range(numbered, ranges).groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("units")), "mix-plan")
+    per_source = sources.select(F.col("source").alias("__s"), F.col("rank").alias("__rank"), "blocks", F.col("words").alias("source_size"), "target", "full")
+    rows = own.join(per_source, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__block", F.expr(f"cast(pmod(__spot, {BLOCKS}) * blocks div {BLOCKS} as int)"))
+    rows = rows.join(plan.withColumnsRenamed({"rank": "__r", "block": "__b"}), (F.col("__rank") == F.col("__r")) & (F.col("__block") == F.col("__b")), "left")
+    rows = rows.join(last.select(F.col("rank").alias("__lr"), F.col("spot").alias("__ls")), (F.col("__rank") == F.col("__lr")) & (F.col("__spot") == F.col("__ls")), "left")
+    taken = F.filter(F.col("units"), lambda u: (u["pass"] < F.col("full")) | F.col("__ls").isNotNull())
     copies = F.transform(taken, lambda u: F.struct(u["shard"].alias("shard"), u["pass"].alias("pass"), drawn_key(F.lit(seed), u["shard"], u["pass"], F.col("__spot")).alias("place")))
-    none = F.from_json(F.lit("[]"), "array<struct<shard: int, pass: int, place: long>>")
-    return joined.select(*kept, "size", "source_size", "target", F.when((F.col("size") > 0) & F.col("units").isNotNull(), copies).otherwise(none).alias("copies"))
-
-
-def _first_fit(rows: DataFrame, start: DataFrame) -> DataFrame:
-    """Of ``rows`` (rank, turn, block, draw, spot, size) those that a walk in this order takes, if from ``start`` on it takes every row that fits into ``rem``.
-
-    A round takes all rows that could fit up to the first that does not, and that row and what
-    remains before it start the next round.  So a row is taken if it fits into the rest of the last
-    start up to it; what blocks a round exceeds the rest of its own start.  What remains falls from round
-    to round by a random share, so rounds are few.
-    """
-    starts, at = [start], start
-    behind = "size <= rem and (turn > from_turn or turn = from_turn and (block > from_block or block = from_block and (draw > from_draw or draw = from_draw and spot >= from_spot)))"
-    while True:
-        near = rows.join(at, "rank").where(behind)
-        blocks = near.groupBy("rank", "turn", "block", "rem").agg(F.sum("size").alias("words")).withColumn("until", F.sum("words").over(Window.partitionBy("rank").orderBy("turn", "block")))
-        over = blocks.where("until > rem").groupBy("rank").agg(F.min(F.struct("turn", "block", (F.col("rem") - F.col("until") + F.col("words")).alias("room"))).alias("b")).select(F.col("rank").alias("r"), "b")
-        inside = near.join(over, (F.col("rank") == F.col("r")) & (F.col("turn") == F.col("b.turn")) & (F.col("block") == F.col("b.block")))
-        inside = inside.withColumn("until", F.sum("size").over(Window.partitionBy("rank").orderBy("draw", "spot"))).where(F.col("until") > F.col("b.room"))
-        stop = inside.groupBy("rank").agg(F.min(F.struct("draw", "spot", "turn", "block", (F.col("b.room") - F.col("until") + F.col("size")).alias("rem"))).alias("s"))
-        at = cut(stop.select("rank", *[F.col(f"s.{c}").alias(f"from_{c}") for c in ("turn", "block", "draw", "spot")], "s.rem"), "mix-stop")
-        if at.isEmpty():
-            break
-        starts.append(at)
-    walk = starts[0].select("rank", F.struct("from_turn", "from_block", "from_draw", "from_spot", "rem").alias("s"))
-    for more in starts[1:]:
-        walk = walk.unionByName(more.select("rank", F.struct("from_turn", "from_block", "from_draw", "from_spot", "rem").alias("s")))
-    walk = cut(walk.groupBy("rank").agg(F.array_sort(F.collect_list("s")).alias("starts")), "mix-walk")
-    before = "turn > s.from_turn or turn = s.from_turn and (block > s.from_block or block = s.from_block and (draw > s.from_draw or draw = s.from_draw and spot >= s.from_spot))"
-    return rows.join(walk, "rank").where(f"size <= element_at(filter(starts, s -> {before}), -1).rem").select(*rows.columns)
+    return rows.select(*kept, "size", "source_size", "target", F.when((F.col("size") > 0) & F.col("units").isNotNull(), copies).otherwise(F.from_json(F.lit("[]"), COPIES)).alias("copies"))
 
 
 def _in_range(numbered: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -207,6 +187,7 @@ def _in_range(numbered: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def rows_of(mixed: DataFrame) -> DataFrame:
-    """The mix itself: one row per copy, in its shard's order; every shard is one partition value."""
+    """The mix itself, one row per copy: a shard's rows lie together, in order of their places."""
     columns = [F.col(f"`{c}`") for c in mixed.columns if c not in ADDED]
-    return mixed.select(*columns, F.explode("copies").alias("__c")).select(*columns, F.col("__c.shard").alias("shard"), F.col("__c.place").alias("place"))
+    rows = mixed.select(*columns, F.explode("copies").alias("__c")).select(*columns, F.col("__c.shard").alias("shard"), F.col("__c.place").alias("place"))
+    return rows.repartition("shard").sortWithinPartitions("shard", "place")

@@ -18,8 +18,13 @@ d AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, list_sum(list_transform(l
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10"""
 
+def _key(parts: str) -> str:
+    """A number of 52 bits from the MD5 of the parts."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {parts})), 1, 13) AS BIGINT)"
+
+
 ORACLES["op3_mix"] = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
                   CAST('0x' || substr(md5(concat_ws('|', 11, doc_id, text)), 1, 13) AS BIGINT) AS spot FROM documents),
 s0 AS (SELECT source, count(*) AS n, sum(size)::BIGINT AS words FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM s0),
@@ -31,15 +36,36 @@ s4 AS (SELECT *, (SELECT min(place) FROM s3 WHERE rate * weight < 3.0 * words) A
 s5 AS (SELECT *, CASE WHEN stop IS NULL OR place < stop THEN 3.0::DOUBLE * words ELSE weight * (SELECT max(rate) FROM s4 WHERE place = stop) END AS target FROM s4),
 s6 AS (SELECT *, least(65536, CAST(ceil(n / 128) AS BIGINT)) AS blocks, CASE WHEN words > 0 THEN CAST(floor(target / words) AS BIGINT) ELSE 0 END AS full_passes FROM s5),
 s7 AS (SELECT *, CAST(floor(target - full_passes * words) AS BIGINT) AS rest FROM s6),
-p AS (SELECT d.*, s7.rank, s7.words AS source_size, s7.target, s7.full_passes, s7.rest, (d.spot % 65536) * s7.blocks // 65536 AS block FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source),
-b0 AS (SELECT rank, block, rest, sum(size)::BIGINT AS words FROM p GROUP BY ALL),
-b1 AS (SELECT *, sum(words) OVER (PARTITION BY rank ORDER BY CAST('0x' || substr(md5(concat_ws('|', 11, 'block', rank, block)), 1, 13) AS BIGINT), block) AS until FROM b0),
-b2 AS (SELECT rank, block, words, greatest(0, rest - (until - words)) AS room FROM b1),
-a AS (SELECT p.rank, p.block, p.spot, any_value(b2.room) AS room, sum(size) AS size FROM p JOIN b2 USING (rank, block) WHERE size > 0 AND room > 0 AND room < words GROUP BY ALL),
-f AS (SELECT rank, block, spot FROM (SELECT *, sum(size) OVER (PARTITION BY rank, block ORDER BY CAST('0x' || substr(md5(concat_ws('|', 11, 'row', spot)), 1, 13) AS BIGINT), spot) AS until FROM a) WHERE until <= room)
-SELECT p.doc_id, p.size::BIGINT AS size, p.source_size, p.target,
-       (p.size * (p.full_passes + CASE WHEN b2.room >= b2.words OR f.spot IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p JOIN b2 USING (rank, block) LEFT JOIN f ON p.rank = f.rank AND p.block = f.block AND p.spot = f.spot"""
+p AS MATERIALIZED (SELECT d.*, s7.rank, s7.words AS source_size, s7.target, s7.full_passes, s7.rest, (d.spot % 65536) * s7.blocks // 65536 AS block FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source),
+-- the last pass: in permuted order up to the first row that does not fit, then the smallest behind it
+a AS (SELECT *, {_key("11, 'block', rank, block")} AS turn, {_key("11, 'row', spot")} AS draw FROM (SELECT rank, rest, block, spot, sum(size)::BIGINT AS size FROM p GROUP BY ALL) WHERE size BETWEEN 1 AND rest),
+u AS (SELECT *, sum(size) OVER (PARTITION BY rank ORDER BY turn, block, draw, spot) AS until FROM a),
+m AS (SELECT rank, rest - coalesce(sum(size) FILTER (until <= rest), 0) AS rem FROM u GROUP BY rank, rest),
+v AS (SELECT u.*, rem, sum(size) OVER (PARTITION BY rank ORDER BY size, turn, block, draw, spot) AS upto FROM u JOIN m USING (rank) WHERE until > rest AND size <= rem),
+f AS MATERIALIZED (SELECT rank, block, spot FROM u WHERE until <= rest UNION ALL SELECT rank, block, spot FROM v WHERE upto <= rem),
+-- units, and their tree: at (low, high) source after source draws a number of the units that go left
+n AS MATERIALIZED (SELECT DISTINCT rank, block, unnest(range(full_passes)) AS pass FROM p WHERE size > 0 UNION ALL SELECT DISTINCT rank, block, full_passes FROM f JOIN (SELECT DISTINCT rank, full_passes FROM p) USING (rank)),
+q AS MATERIALIZED (SELECT list(coalesce(c, 0) ORDER BY rank) AS q FROM s7 LEFT JOIN (SELECT rank, count(*) AS c FROM n GROUP BY 1) USING (rank)),
+tree AS (SELECT 0 AS low, 16 AS high, q, 1 AS i, list_sum(q)::BIGINT AS total, (list_sum(q) * 8 // 16)::BIGINT AS drawn, []::BIGINT[] AS lft FROM q
+  UNION ALL SELECT * FROM (
+    SELECT low, high, q, i + 1, total - q[i], drawn - took, list_append(lft, took) FROM (
+      SELECT *, a + least(b - a, len(list_filter(range(1, len(w) + 1), lambda j: list_sum(w[1:j]) <= list_sum(w) * {_key("11, low, high, i")} / 4503599627370496))) AS took FROM (
+        SELECT *, list_transform(range(a, b + 1), lambda k: exp(lgamma(mid + 1) - lgamma(k + 1) + lgamma(q[i] - mid + 1) - lgamma(q[i] - k + 1) + lgamma(drawn - mid + 1) - lgamma(drawn - k + 1) + lgamma(total - q[i] - drawn + mid + 1) - lgamma(total - q[i] - drawn + k + 1))) AS w FROM (
+          SELECT *, greatest(low_k, round(mean)::BIGINT - spread) AS a, least(high_k, round(mean)::BIGINT + spread) AS b, least(high_k, greatest(low_k, round(mean)::BIGINT)) AS mid FROM (
+            SELECT *, greatest(0, drawn + q[i] - total) AS low_k, least(q[i], drawn) AS high_k, drawn * q[i] / greatest(total, 1) AS mean, ceil(9 * sqrt(drawn * q[i] / greatest(total, 1) * (1 - q[i] / greatest(total, 1)) + 1))::BIGINT AS spread
+            FROM tree WHERE i <= len(q) AND high - low > 1))))
+    UNION ALL
+    SELECT l, h, list_transform(range(1, len(q) + 1), lambda j: x[j]), 1, list_sum(x)::BIGINT, CASE WHEN h - l > 1 THEN list_sum(x)::BIGINT * ((h - l + 1) // 2) // (h - l) ELSE list_sum(x)::BIGINT END, []::BIGINT[] FROM (
+      SELECT low AS l, low + (high - low + 1) // 2 AS h, lft AS x, q FROM tree WHERE i > len(q) AND high - low > 1
+      UNION ALL SELECT low + (high - low + 1) // 2, high, list_transform(range(1, len(q) + 1), lambda j: q[j] - lft[j]), q FROM tree WHERE i > len(q) AND high - low > 1))),
+leaf AS (SELECT low AS shard, generate_subscripts(q, 1) AS rank, unnest(q) AS quota FROM tree WHERE high - low = 1),
+rng AS (SELECT *, sum(quota) OVER (PARTITION BY rank ORDER BY shard) AS until FROM leaf),
+num AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY {_key("11, 'unit', rank, pass, block")}, pass, block) AS k FROM n),
+unit AS (SELECT num.rank, block, pass, shard FROM num JOIN rng ON num.rank = rng.rank AND k > until - quota AND k <= until),
+t AS (SELECT p.doc_id, p.size, source_size, target, p.text_no, CASE WHEN p.size > 0 THEN full_passes + (f.spot IS NOT NULL)::INT ELSE 0 END AS times,
+             string_agg(shard || ':' || pass || ':' || {_key("11, shard, pass, p.spot")}, ',' ORDER BY pass) FILTER (p.size > 0 AND (pass < full_passes OR f.spot IS NOT NULL)) AS places
+      FROM (SELECT *, row_number() OVER () AS text_no FROM p) p LEFT JOIN f ON p.rank = f.rank AND p.spot = f.spot LEFT JOIN unit ON unit.rank = p.rank AND unit.block = p.block GROUP BY ALL)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * times)::BIGINT AS taken, md5(coalesce(places, '')) AS places_md5 FROM t"""
 
 
 def found(kind: str, rank: int, pattern: str, passes: str = "true") -> str:

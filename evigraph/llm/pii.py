@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.spans import matches
+from evigraph.llm.spans import bind, matches, parts, running
 
 # A match can start only where a run of its first class starts or the last match ended, so the
 # start is tied to that; what cannot be given back is possessive.  Same matches as the plain forms.
@@ -89,23 +89,42 @@ def found(df: DataFrame, text: str = "text") -> DataFrame:
 def masked(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every span of its text replaced by ``[KIND]``; overlapping spans become one, named by the first."""
     spans = found(df.select(*[F.col(f"`{c}`") for c in df.columns]), text)
+    own = F.col(text)
+    clean = F.when(F.size("pii") == 0, own).otherwise(bind(F.col("pii"), lambda found_: bind(_merged(found_), lambda merged: _replaced(own, merged))))
+    return spans.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        apart = (F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["end"] <= s["start"])
-        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when(apart, F.concat(acc, F.array(one))).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider)))
 
-    merged = F.aggregate(F.col("pii"), F.from_json(F.lit("[]"), "array<struct<start: long, end: long, kind: string>>"), merge)
-    own = F.col(text)
-    rest = own.substr((F.element_at(F.col("__merged"), -1)["end"] + 1).cast("int"), F.length(own))
-    clean = F.when(F.size("pii") == 0, own).otherwise(F.concat(F.array_join(F.col("__pieces"), ""), rest))
-    staged = spans.withColumn("__merged", merged).withColumn("__pieces", F.transform(F.col("__merged"), lambda s, i: F.concat(
-        own.substr((_before(i) + 1).cast("int"), (s["start"] - _before(i)).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-    return staged.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+def _merged(spans: Column) -> Column:
+    """array<struct<start, end, kind>>: spans that overlap as one, named by the first."""
+    upto = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    ahead = F.concat(F.array(F.lit(0).cast("long")), F.slice(upto, F.lit(1), F.greatest(F.size(upto) - 1, F.lit(0))))  # ends before each span
+    rows = F.arrays_zip(spans.alias("span"), ahead.alias("ahead"), upto.alias("upto"))
+
+    def joined(all_: Column) -> Column:
+        first = F.filter(all_, lambda x: x["span"]["start"] >= x["ahead"])
+        # a group ends where the next begins
+        next_ = F.concat(F.slice(F.transform(first, lambda x: x["ahead"]), F.lit(2), F.size(first)), F.array(F.element_at(all_, -1)["upto"]))
+        return F.zip_with(first, next_, lambda x, end: F.struct(x["span"]["start"].alias("start"), end.alias("end"), x["span"]["kind"].alias("kind")))
+
+    return bind(rows, joined)
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with ``[KIND]`` for each span.  Finding a place in a text reads what is before it, so the text is cut into parts first."""
+    def part(own: Column, begin: Column) -> Column:
+        at = lambda x: (x - begin).cast("int")
+        piece = F.substr(text, (begin + 1).cast("int"), at(F.element_at(own, -1)["end"]))
+
+        def pieces(local: Column) -> Column:
+            before = F.concat(F.array(begin), F.transform(own, lambda s: s["end"]))
+            marked = F.zip_with(own, F.slice(before, F.lit(1), F.size(own)), lambda s, b: F.concat(F.substr(local, at(b) + 1, (s["start"] - b).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.array_join(marked, "")
+
+        return bind(piece, pieces)
 
+    def cut(all_: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(all_, lambda p: F.element_at(p, -1)["end"]))
+        done = F.zip_with(all_, F.slice(begins, F.lit(1), F.size(all_)), part)
+        return F.concat(F.array_join(done, ""), F.substr(text, (F.element_at(begins, -1) + 1).cast("int"), F.length(text)))
 
-def _before(i: Column) -> Column:
-    """End of the merged span before number i."""
-    return F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at(F.col("__merged"), F.greatest(i, F.lit(1)))["end"])
+    return bind(parts(spans), cut)

@@ -34,9 +34,10 @@ def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes from every document."""
+    """Words that the mix takes from every document, and a digest of where its shards place them."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.size("copies")).alias("taken"))
+    places = F.array_join(F.transform("copies", lambda c: F.concat_ws(":", c["shard"], c["pass"], c["place"])), ",")
+    return mixed.select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.size("copies")).alias("taken"), F.md5(places.cast("binary")).alias("places_md5"))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def test_odd_rows(spark, clash):
 
 
 def test_a_long_document_blocks_nothing(spark):
-    """Each source has one document as long as all others together; the last pass is a plain walk in hash order."""
+    """Each source has one document as long as all others together; the last pass takes rows in hash order up to the first that does not fit, then the smallest behind it."""
     rng = random.Random(3)
     one = [*(rng.randint(1, 40) for _ in range(700)), 14_000]
     sizes = {(s, i): n for s in range(6) for i, n in enumerate(one)}
@@ -108,9 +108,39 @@ def test_a_long_document_blocks_nothing(spark):
             block = spot % mixing.BLOCKS * blocks // mixing.BLOCKS
             return number(11, "block", rank, block), block, number(11, "row", spot), spot
 
-        for r in sorted(own, key=turn):
-            want[r["doc_id"]] = full + (r["size"] <= rest)
-            rest -= r["size"] if r["size"] <= rest else 0
+        could, behind = [r for r in sorted(own, key=turn) if r["size"] <= rest], []
+        for r in own:
+            want[r["doc_id"]] = full
+        while could and could[0]["size"] <= rest:
+            rest -= could[0]["size"]
+            want[could.pop(0)["doc_id"]] += 1
+        behind = sorted((r for r in could if r["size"] <= rest), key=lambda r: (r["size"], turn(r)))
+        while behind and behind[0]["size"] <= rest:
+            rest -= behind[0]["size"]
+            want[behind.pop(0)["doc_id"]] += 1
         assert {r["doc_id"]: len(r["copies"]) for r in own} == want
         short = target - sum(r["size"] * len(r["copies"]) for r in own)
         assert 0 <= short <= 0.005 * target and short < 1 + min(r["size"] for r in own if len(r["copies"]) == full)
+
+
+def test_the_mix_lies_by_shard_and_place(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, shards=4)
+    rows = mixing.rows_of(mixed).select("doc_id", "shard", "place", F.spark_partition_id().alias("part")).collect()
+    want = sorted((c["shard"], c["place"], r["doc_id"]) for r in mixed.collect() for c in r["copies"])
+    assert sorted((r["shard"], r["place"], r["doc_id"]) for r in rows) == want
+    for part in {r["part"] for r in rows}:
+        own = [(r["shard"], r["place"]) for r in rows if r["part"] == part]
+        assert own == sorted(own)
+    assert len({(r["shard"], r["part"]) for r in rows}) == len({r["shard"] for r in rows}) == 4
+
+
+def test_one_size_fills_from_the_front(spark):
+    """Rows of one size behind the first that does not fit are taken in hash order, as many as fit."""
+    rows = [(i, "w " * (7 if i % 2 else 11), "a") for i in range(900)] + [(2000 + i, "w " * 50, "b") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        short = own[0]["target"] - sum(r["size"] * len(r["copies"]) for r in own)
+        full = min(len(r["copies"]) for r in own)
+        assert 0 <= short < 1 + min((r["size"] for r in own if len(r["copies"]) == full), default=10**9)
