@@ -140,21 +140,22 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
 
 
 def training_sample(df: DataFrame, text: str, lang: str, key: str, rows: int, longest: int) -> DataFrame:
-    """At most ``rows`` rows of each language, chosen by a hash of ``key``, none over ``longest`` characters.
+    """At most ``rows`` rows of each language, chosen by a hash of key and text; of a longer text one stretch of ``longest`` characters at a place drawn by the hash.
 
     Counts come first, so only a share of each language that is expected to hold
     twice ``rows`` reaches the ranking.
     """
-    own = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")).where(F.col("lang").isNotNull() & (F.length("text") <= longest))
+    own = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     totals = own.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
     # one row per language, of which there are as few as in the model that every worker holds: sent to all, so that other rows' texts stay where they are
     share = own.join(F.broadcast(totals), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("total") < 2 * rows)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return share.withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "text")
+    begin = F.pmod(F.col("h"), F.greatest(F.length("text") - longest + 1, F.lit(1))).cast("int") + 1
+    return share.withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", F.substr("text", begin, F.lit(longest)).alias("text"))
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 4, rows: int = 256, longest: int = 20_000) -> Model:
-    """Fit on a bounded sample: ``rows`` texts per language of up to ``longest`` characters each.
+    """Fit on a bounded sample: ``rows`` texts per language, ``longest`` characters of each at most.  Every language with a labelled text is learned.
 
     The counts are summed by Spark; what comes to the driver is bounded by the
     sample, not by ``df``.

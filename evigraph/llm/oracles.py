@@ -89,12 +89,12 @@ coalesce(string_agg({text}, ',' ORDER BY s, rank), '') AS spans FROM (SELECT doc
 _T = "t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _terms = "[" + ", ".join(map(str, secrets.TERMS)) + "]"
-_allowed = "|".join(f"(?:{p})" for p in secrets.ALLOWED)
+_known = f"regexp_replace(val, '{secrets.KNOWN}', '', 'g')"
 
 ORACLES["op5_secrets"] = rf"""
 WITH {_T},
 base AS ({found("assign", 0, _ASSIGN, "len(regexp_extract(val, '" + _ASSIGN.replace("'", "''") + "', 2)) >= 8")} UNION ALL {found("access", 1, "AKIA[A-Z0-9]+", "len(val) >= 16")} UNION ALL {found("hex", 2, "[0-9a-f]+", "len(val) >= 32")}),
-runs AS ({found("entropy", 3, "[A-Za-z0-9+/_=-]{20,}", "regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND NOT regexp_matches(val, '" + _allowed + "')")}),
+runs AS ({found("entropy", 3, "[A-Za-z0-9+/_=-]{20,}", "regexp_matches(" + _known + ", '[0-9]') AND regexp_matches(" + _known + ", '[A-Za-z]') AND len(" + _known + ") >= 20")}),
 windows AS (SELECT doc_id, s, val, unnest(range(len(val) - 19)) AS k FROM runs),
 sums AS (SELECT doc_id, s, k, CASE WHEN regexp_matches(val, '^[0-9A-Fa-f]+$') THEN {secrets.limit_sum(3.0)} ELSE {secrets.limit_sum(3.6)} END AS most,
          list_sum(list_transform(map_values(list_aggregate(string_split(substr(val, k + 1, 20), ''), 'histogram')), lambda c: ({_terms})[c::BIGINT + 1])) AS total FROM windows),
@@ -112,7 +112,7 @@ spans AS ({found("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
 UNION ALL {found("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(val, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS BIGINT), 0) > 255)) = 0")}
 UNION ALL {found("card", 2, r"[0-9]([\x20-]?[0-9])+", "len(" + _DIGITS + ") BETWEEN 12 AND 19 AND " + _LUHN.replace("digits", _DIGITS))}
 UNION ALL {found("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", "len(" + _DIGITS + ") BETWEEN 9 AND 15")}
-UNION ALL {found("iban", 4, r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", _IBAN + " AND NOT regexp_matches(lft, '[A-Za-z0-9]$') AND NOT regexp_matches(rgt, '^[A-Za-z0-9]')")}
+UNION ALL {found("iban", 4, pii.IBAN, _IBAN + " AND NOT regexp_matches(lft, '[A-Za-z0-9]$') AND NOT regexp_matches(rgt, '^[A-Za-z0-9]')")}
 UNION ALL {found("ssn", 5, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT regexp_matches(val, '^(?:000|666|9)|-00-|-0000$') AND NOT regexp_matches(lft, '[0-9-]$') AND NOT regexp_matches(rgt, '^[0-9-]') AND regexp_matches(lower(lft || ' ' || left(rgt, 24)), '" + pii.WORDS["ssn"] + "')")})
 {listing(pii.BASE, "spans")}"""
 
@@ -121,10 +121,12 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 k AS (SELECT *, len(regexp_extract_all(text, '{WORD}')) + 4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
              23 + len(role) + len(text) + len(regexp_replace(role || text, '[^<\[\\]', '', 'g')) AS n FROM c),
-p AS (SELECT *, sum(tokens) OVER w - tokens AS start, sum((tokens > 384)::INT) OVER w AS big FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
-q AS (SELECT *, start // 384 + 2 * big - (tokens > 384)::INT AS win, pos = 1 AND role = 'system' AS sys FROM p),
-w AS (SELECT conv_id, win, min(pos) AS p0, min(start) AS s0 FROM q GROUP BY ALL HAVING min(pos) > 1),
-again AS (SELECT w.conv_id, q.n FROM w JOIN q ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND (q.sys OR q.pos BETWEEN w.p0 - 2 AND w.p0 - 1 AND w.s0 - q.start <= 256)),
+h AS (SELECT *, coalesce(max(CASE WHEN pos = 1 AND role = 'system' AND tokens <= 512 THEN tokens END) OVER (PARTITION BY conv_id), 0) AS head FROM k),
+x AS (SELECT *, (768 - head) // 2 AS st FROM h),
+p AS (SELECT *, sum(tokens) OVER w - tokens AS start, sum((tokens > st)::INT) OVER w AS big FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+q AS (SELECT *, start // st + 2 * big - (tokens > st)::INT AS win, pos = 1 AND head > 0 AS sys FROM p),
+w AS (SELECT conv_id, win, min(pos) AS p0, min(start) AS s0, least(256, 1024 - max(head) - sum(tokens)) AS room FROM q GROUP BY ALL HAVING min(pos) > 1),
+again AS (SELECT w.conv_id, q.n FROM w JOIN q ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND (q.sys OR q.pos BETWEEN w.p0 - 2 AND w.p0 - 1 AND w.s0 - q.start <= w.room)),
 f AS (SELECT conv_id, sum(n) AS n FROM (SELECT conv_id, n FROM q UNION ALL SELECT * FROM again) GROUP BY conv_id),
 r AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS whole, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss FROM q GROUP BY conv_id)
 SELECT r.conv_id, n_turns, sha256(whole) AS turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, f.n::BIGINT AS formatted_chars FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id"""

@@ -24,7 +24,14 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+# Length of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+#: A country decides how many characters follow, so capitals behind a number are not taken for a part of it.
+IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 #: Characters that may not touch a span of these kinds.
 TOUCH = {"iban": "[A-Za-z0-9]", "ssn": "[0-9-]"}
@@ -62,7 +69,7 @@ def _checks() -> dict:
     card = lambda v: F.when(F.length(_digits(v)).between(12, 19), luhn(_digits(v))).otherwise(False)
     phone = lambda v: F.length(_digits(v)).between(9, 15)
     ssn = lambda v: ~v.rlike("^(?:000|666|9)|-00-|-0000$")
-    return {"email": (EMAIL, None, "@"), "ip": (IP, small, r"[0-9]\.[0-9]"), "card": (CARD, card, r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": (PHONE, phone, r"\+[0-9]"), "iban": (IBAN, mod97, None), "ssn": (SSN, ssn, None)}
+    return {"email": (EMAIL, None, "@"), "ip": (IP, small, r"[0-9]\.[0-9]"), "card": (CARD, card, r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": (PHONE, phone, r"\+[0-9]"), "iban": ("(?=[A-Z]{2}[0-9]{2})" + IBAN, mod97, "[A-Z]{2}[0-9]{2}"), "ssn": (SSN, ssn, None)}
 
 
 def _scored(spans: Column, kind: str, rank: int) -> Column:

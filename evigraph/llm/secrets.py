@@ -5,8 +5,9 @@ a letter is a candidate.  A window of 20 characters slides over it; the counts o
 window's characters change by one in and one out per step, and with them the sum of
 count * log2(count), so each step costs the same however long the window is.  A candidate's class
 (hexadecimal, or any key character) sets the entropy limit; the span runs from the first
-to the last window that reaches it.  Candidates that an allow-list knows (identifiers,
-dates, running alphabets, placeholders) add nothing.  Base spans stay whatever the list says.
+to the last window that reaches it.  An allow-list (identifiers, dates, running alphabets, placeholders)
+is held against the parts between separators: a candidate counts only if enough is left without the parts it
+knows, so a listed word in a path hides no key behind it.  Base spans stay whatever the list says.
 
 Sums are integers (millionths of a bit), so limits are compared exactly.  Built-in
 functions only.  Defined results: null counts as empty; empty texts and texts without
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.spans import listed, matches, tagged
+from evigraph.llm.spans import bind, matches, tagged
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"  # 16 or more characters of AKIA[A-Z0-9]+: runs are maximal, so the bound can stand in the pattern
@@ -32,12 +33,13 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Bits per character that a window must reach: class pattern, limit.
 CLASSES = (("^[0-9A-Fa-f]+$", 3.0), ("", 3.6))
-ALLOWED = (
-    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"(?i)abcdefgh|01234567|12345678|qwertyui",
-    r"(?i)example|placeholder|changeme|xxxxxx|dummy|your_|lorem",
-)
+#: Parts of candidates that are known not to be secret: identifiers, dates, and what holds a listed word or run between separators.
+KNOWN = "|".join((
+    "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
+    "[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    "[A-Za-z0-9]*(?i:abcdefgh|01234567|12345678|qwertyui|example|placeholder|changeme|xxxxxx|dummy|lorem)[A-Za-z0-9]*",
+    "(?i:your)_",
+))
 SCALE = 1_000_000
 TERMS = [round(c * math.log2(c) * SCALE) if c else 0 for c in range(WINDOW + 2)]
 
@@ -74,8 +76,8 @@ def entropy_range(value: Column) -> Column:
 def entropy_spans(text: Column) -> Column:
     """Spans of high entropy that the allow-list does not know."""
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    allowed = lambda v: v.rlike("|".join(f"(?:{p})" for p in ALLOWED))
-    candidates = matches(text, CANDIDATE, lambda v: mixed(v) & ~allowed(v))
+    unknown = lambda v: F.regexp_replace(v, KNOWN, "")
+    candidates = matches(text, CANDIDATE, lambda v: mixed(v) & bind(unknown(v), lambda rest: mixed(rest) & (F.length(rest) >= WINDOW)))
     ranged = F.transform(candidates, lambda s: F.struct(s["start"].alias("start"), entropy_range(s["value"]).alias("r")))
     return F.transform(F.filter(ranged, lambda s: s["r"]["last"] > 0), lambda s: F.struct((s["start"] + s["r"]["first"] - WINDOW).alias("start"), (s["start"] + s["r"]["last"]).alias("end")))
 

@@ -83,3 +83,13 @@ def test_sample_is_bounded(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("lang"))
     got = {r["lang"]: r["count"] for r in langid.training_sample(df, "text", "lang", "doc_id", 50, 100).groupBy("lang").count().collect()}
     assert got == {"hot": 50, "cold": 50}
+
+
+def test_every_labelled_language_is_learned(spark):
+    """Texts beyond the bound of characters and rows without an id leave no language out."""
+    rows = [(i, "kurze saetze hier", "de") for i in range(300)] + [(1000 + i, f"{i} the long text goes on " * 2000, "en") for i in range(5)] + [(None, f"un texte sans numero {i}", "fr") for i in range(1500)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en", "fr"]
+    sample = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", 256, 20_000)
+    got = {r["lang"]: (r["n"], r["longest"]) for r in sample.groupBy("lang").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest")).collect()}
+    assert got["de"][0] == got["fr"][0] == 256 and got["en"] == (5, 20_000)
