@@ -141,6 +141,7 @@ def last_pass(rows: DataFrame, rests: DataFrame, seed: int) -> DataFrame:
     """Of ``rows`` (rank, block, spot, words) those that the last pass takes, given ``rest`` per rank."""
     walked = cut(_running(rows.join(rests, "rank").where("words > 0 and words <= rest"), F.col("words"), seed), "mix-walk")
     left = walked.groupBy("rank", "rest").agg((F.col("rest") - F.coalesce(F.sum(F.when(F.col("until") <= F.col("rest"), F.col("words"))), F.lit(0))).alias("rem")).drop("rest")
+    left = cut(left, "mix-left")  # its size is known then: small tables are sent to the rows
     behind = walked.where("until > rest").join(left, "rank").where("words <= rem")
     sizes = behind.groupBy("rank", "words", "rem").agg(F.sum("words").alias("all")).withColumn("upto", F.sum("all").over(Window.partitionBy("rank").orderBy("words")))
     # the first size of which not all rows fit, and how many of it do
