@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from evigraph.llm import flat
 from evigraph.session import cut
 
-SLICE_BYTES, LONG_TERM = 8 << 20, 64
+SLICE_BYTES, LONG_TERM = 4 << 20, 64
 TILE, SHARD_ROWS, BLOCK = 128, 500_000, 2048
 SCALE, FLOOR = 1_000_000_000, 2
 COUNTED = "lang string, source string, term string, n long, docs long"
