@@ -7,11 +7,10 @@ times are a stored table.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -79,59 +78,49 @@ def stream_ingest(records: DataFrame, sink: str) -> None:
     query.awaitTermination()
 
 
-def _buffered(rows: DataFrame, keys: list[str], ts: str, out: str, closes_after: int, decide: Callable) -> DataFrame:
-    """Event-time work per key: rows wait until the watermark has passed them by ``closes_after`` microseconds.
+def stream_time_cells(events: DataFrame, key: str, ts: str, watermark: str = "10 minutes", cell: str = "10 minutes") -> DataFrame:
+    """(key, at, times): the sorted times of each key and time cell, once the watermark has passed the cell; built-in functions only."""
+    rows = events.select(key, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, watermark)
+    cells = rows.groupBy(key, F.window(ts, cell).alias("cell")).agg(F.sort_array(F.collect_list(F.unix_micros(ts))).alias("times"))
+    return cells.select(key, F.window_time("cell").alias("at"), "times")
 
-    ``decide(closed, waiting, held)`` gets the sorted times that are now closed, those that
-    still wait and the key's memory, and returns columns to emit and the new memory.
-    So neither the order of arrival nor the cut into batches matters.  A key whose rows are all
-    closed and whose memory has run out leaves the state.
-    """
-    def work(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, held = (list(x) for x in state.get) if state.exists else ([], [])
-        for chunk in chunks:
-            waiting += chunk[ts].astype("datetime64[us]").astype("int64").tolist()
-        mark = state.getCurrentWatermarkMs()
-        waiting.sort()
-        n = sum((t + closes_after) // 1000 < mark for t in waiting)
-        closed, waiting = waiting[:n], waiting[n:]
-        columns, held = decide(closed, waiting, held)
-        size = len(next(iter(columns.values())))
-        if size:
-            yield pd.DataFrame({**{k: [v] * size for k, v in zip(keys, key, strict=True)}, **columns})
-        ends = waiting[0] + closes_after if waiting else held[-1] + closes_after if held else None
-        if ends is None or (not waiting and ends // 1000 < mark):
-            state.remove()
-        else:
-            state.update((waiting, held))
-            state.setTimeoutTimestamp(max(ends // 1000, mark + 1))
-
-    share_package(rows.sparkSession)
-    return rows.groupBy(*keys).applyInPandasWithState(work, out, "waiting array<bigint>, held array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _stamps(times: list[int]) -> pd.Series:
-    return pd.Series(times, dtype="int64").astype("datetime64[us]")
-
-
-def stream_rate_limit(events: DataFrame, key: str, ts: str, limit: int, seconds: int = 60, watermark: str = "10 minutes") -> DataFrame:
-    """Flag each event as admitted or not: at most ``limit`` admitted per key and sliding window.
 
-    Only admitted events count, so events are taken in event-time order once the watermark
-    has passed them.  The state of a key is what still waits and at most ``limit`` admitted times.
-    """
-    def decide(closed: list[int], waiting: list[int], held: list[int]):
-        flags = []
-        for t in closed:
-            held = [h for h in held if h >= t - seconds * 1_000_000]
+def stream_limited(cells: DataFrame, key: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
+    """Flag each time of a stream of closed cells, which come in order; the state of a key is its last ``limit`` admitted times at most."""
+    span = seconds * 1_000_000
+
+    def decide(name: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        times, flags = [t for part in sorted([int(t) for t in part] for chunk in chunks for part in chunk["times"]) for t in part], []
+        for t in times:
+            held = [h for h in held if h >= t - span]
             flags.append(limit <= 0 or len(held) < limit)
             if flags[-1] and limit > 0:
                 held.append(t)
-        return {ts: _stamps(closed), "admitted": flags}, held
+        state.update((held,))
+        yield pd.DataFrame({key: [name[0]] * len(times), ts: pd.Series(times, dtype="int64").astype("datetime64[us]"), "admitted": flags})
 
-    rows = events.select(key, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, watermark)
-    out = f"{key} {rows.schema[key].dataType.simpleString()}, {ts} timestamp, admitted boolean"
-    return _buffered(rows, [key], ts, out, 0, decide)
+    share_package(cells.sparkSession)
+    out = f"{key} {cells.schema[key].dataType.simpleString()}, {ts} timestamp, admitted boolean"
+    return cells.select(key, "times").groupBy(key).applyInPandasWithState(decide, out, "held array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_rate_limit(events: DataFrame, key: str, ts: str, limit: int, seconds: int = 60, watermark: str = "10 minutes", cell: str = "10 minutes", finite: bool = False) -> DataFrame:
+    """Flag each event as admitted or not: at most ``limit`` admitted per key and sliding window.
+
+    Only admitted events count, so events are taken in event-time order once the watermark
+    has passed them.  One query gathers them in time cells, one state value per key and cell, and appends closed cells to a
+    table; a second one reads that table in the order in which cells closed and decides.  So no state value grows with
+    the rows of a key, and neither the order of arrival nor the cut into batches matters.  ``finite``
+    closes every cell at the end of the stream.
+    """
+    cells = lambda rows: stream_time_cells(rows, key, ts, watermark, cell)
+    closed = run_finite(events, [key], ts, cells, "cells") if finite else run_to_table(cells(events), "cells")
+    folder = closed.inputFiles()[0].rsplit("/", 1)[0] if not closed.isEmpty() else None
+    if folder is None:
+        return closed.select(key, F.col("at").alias(ts), F.lit(True).alias("admitted")).where("false")
+    stream = events.sparkSession.readStream.schema(closed.schema).parquet(folder)
+    return run_to_table(stream_limited(stream, key, ts, limit, seconds), "limited")
 
 
 def stream_rate_windows(events: DataFrame, key: str, ts: str, limit: int, watermark: str = "1 minute") -> DataFrame:
@@ -141,30 +130,34 @@ def stream_rate_windows(events: DataFrame, key: str, ts: str, limit: int, waterm
     return counts.select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n")
 
 
+def _last_at_most(times: Column, value: Column) -> Column:
+    """Place of the last entry of a sorted array that is not above ``value``, by halving."""
+    bits = F.ceil(F.log2(F.size(times) + 1)).cast("int")
+
+    def halve(acc: Column, step: Column) -> Column:
+        probe = acc + F.pow(F.lit(2), bits - 1 - step).cast("int")
+        return F.when((probe <= F.size(times)) & (F.get(times, probe - 1) <= value), probe).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(bits - 1, F.lit(0))), F.lit(0), halve)
+
+
 def stream_bursts(rows: DataFrame, keys: list[str], ts: str, seconds: int = 1800, minimum: int = 2, watermark: str = "10 minutes") -> DataFrame:
     """Every window that starts at a row and holds at least ``minimum`` rows of its key, both ends included.
 
-    A window is emitted once the watermark has passed its end; the state of a key is the
-    times of the windows that are still open.
+    Time is cut into cells as wide as the window.  Two neighbouring cells hold all windows that start in the first, so
+    one sliding aggregate over pairs of cells keeps a key's times, one state value per key and pair of cells, and
+    emits its windows once the watermark has passed both.  Built-in functions only.
     """
     width = seconds * 1_000_000
-
-    def decide(closed: list[int], waiting: list[int], held: list[int]):
-        times = closed + waiting
-        starts, ends, sizes = [], [], []
-        for i, t in enumerate(closed):
-            if i and closed[i - 1] == t:
-                continue
-            inside = bisect_right(times, t + width)
-            if inside - i >= minimum:
-                starts.append(t)
-                ends.append(times[inside - 1])
-                sizes.append(inside - i)
-        return {"window_start": _stamps(starts), "window_end": _stamps(ends), "n": sizes}, []
-
     timed = rows.select(*keys, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, watermark)
-    types = ", ".join(f"{k} {timed.schema[k].dataType.simpleString()}" for k in keys)
-    return _buffered(timed, keys, ts, f"{types}, window_start timestamp, window_end timestamp, n bigint", width, decide)
+    pairs = timed.groupBy(*keys, F.window(ts, f"{2 * seconds} seconds", f"{seconds} seconds").alias("cells")).agg(F.sort_array(F.collect_list(F.unix_micros(ts))).alias("times"))
+    middle = F.unix_micros(F.col("cells.start")) + width
+    places = F.filter(F.sequence(F.lit(1), F.size("times")), lambda i: (F.get("times", i - 1) < middle) & ((i == 1) | (F.get("times", F.greatest(i - 2, F.lit(0))) < F.get("times", i - 1))))
+    found = F.transform(places, lambda i: F.struct(i.alias("first"), _last_at_most(F.col("times"), F.get("times", i - 1) + width).alias("last")))
+    many = F.filter(found, lambda w: w["last"] - w["first"] + 1 >= minimum)
+    windows = pairs.select(*keys, "times", F.explode(many).alias("w"))
+    at = lambda c: F.timestamp_micros(F.get("times", F.col(f"w.{c}") - 1))
+    return windows.select(*keys, at("first").alias("window_start"), at("last").alias("window_end"), (F.col("w.last") - F.col("w.first") + 1).cast("bigint").alias("n"))
 
 
 def stream_emergence(rows: DataFrame, key: str, ts: str, store: str) -> DataFrame:

@@ -26,7 +26,7 @@ def events():
 
 def test_rate_limit(spark):
     rows = events()
-    got = {(r.k, r.ts): r.admitted for r in jobs.run_to_table(jobs.stream_rate_limit(stream_of(spark, rows, "k string, ts timestamp"), "k", "ts", 4, 60), "limit").collect()}
+    got = {(r.k, r.ts): r.admitted for r in jobs.run_rate_limit(stream_of(spark, rows, "k string, ts timestamp"), "k", "ts", 4, 60).collect()}
     held, want = {}, {}
     for k, t in sorted(rows[:-1], key=lambda r: r[1]):
         recent = [h for h in held.get(k, []) if h >= t - timedelta(seconds=60)]
@@ -48,9 +48,27 @@ def test_bursts_hold_both_ends(spark):
     assert got == want and ("pair", START, START + timedelta(minutes=30), 2) in want
 
 
+def test_batches_in_order_of_time_decide_the_same(spark):
+    """A stream in seven batches, each later than the one before, with a watermark that closes cells in between."""
+    rows, path = sorted(events()[:-1], key=lambda r: r[1]), scratch_path(spark, "stream-test")
+    for i in range(7):
+        spark.createDataFrame(rows[43 * i : 43 * (i + 1)], "k string, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    read = lambda: jobs.read_table_stream(spark, path, 1)
+    limited = jobs.run_rate_limit(read(), "k", "ts", 4, 60, "5 seconds", "20 seconds", finite=True).collect()
+    held, want = {}, {}
+    for k, t in rows:
+        recent = [h for h in held.get(k, []) if h >= t - timedelta(seconds=60)]
+        want[(k, t)] = len(recent) < 4
+        held[k] = recent + [t] if len(recent) < 4 else recent
+    assert {(r.k, r.ts): r.admitted for r in limited} == want and len(limited) == len(rows)
+    bursts = jobs.run_finite(read(), ["k"], "ts", lambda s: jobs.stream_bursts(s, ["k"], "ts", 40, 3, "5 seconds"), "bursts-batches").collect()
+    wide = {(k, t): [u for x, u in rows if x == k and t <= u <= t + timedelta(seconds=40)] for k, t in rows}
+    assert sorted((r.k, r.window_start, r.window_end, r.n) for r in bursts) == sorted((k, t, max(u), len(u)) for (k, t), u in wide.items() if len(u) >= 3)
+
+
 def test_a_finite_stream_is_decided_to_its_end(spark):
     rows = [*events()[:-1], (None, START + timedelta(minutes=15)), (None, START + timedelta(minutes=15))]
-    limited = jobs.run_finite(stream_of(spark, rows, "k string, ts timestamp"), ["k"], "ts", lambda s: jobs.stream_rate_limit(s, "k", "ts", 4, 60), "limit-end").collect()
+    limited = jobs.run_rate_limit(stream_of(spark, rows, "k string, ts timestamp"), "k", "ts", 4, 60, finite=True).collect()
     assert sorted((str(r.k), r.ts) for r in limited) == sorted((str(k), t) for k, t in rows)
     bursts = jobs.run_finite(stream_of(spark, rows, "k string, ts timestamp"), ["k"], "ts", lambda s: jobs.stream_bursts(s, ["k"], "ts", 1800, 2), "bursts-end").collect()
     last = {k: sorted(t for x, t in rows if x == k)[-2:] for k in ("hot", "cold", None)}
