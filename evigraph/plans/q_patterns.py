@@ -175,25 +175,29 @@ def u01_new_patterns(spark, sf_dir):
     return P.emergence(E.event_records(spark, sf_dir)).select("day", "patterns", F.array_sort("new_patterns").alias("new_patterns"))
 
 
-_MOTIFS = """l AS (SELECT e.target AS person, e.source AS c, CAST(n.last_seen AS TIMESTAMP) AS ts, n.community, n.confidence FROM cedges e JOIN cnodes n ON n.id = e.source WHERE label = 'HAS_SUSPECT'),
-g AS (SELECT person, min((epoch_us(ts) - epoch_us(prev)) // 86400000000) AS gap FROM (SELECT person, ts, lag(ts) OVER (PARTITION BY person ORDER BY ts) AS prev FROM l) WHERE prev IS NOT NULL GROUP BY 1),
-sp AS (SELECT person, count(DISTINCT o.target) AS locations FROM l JOIN cedges o ON o.source = l.c AND o.label = 'OCCURRED_AT' GROUP BY 1),
-m AS (SELECT person, count(*) AS cases, count(DISTINCT community) AS communities, min(confidence) AS cc, min(ts) AS time_start, max(ts) AS time_end FROM l GROUP BY 1 HAVING cases >= 2)"""
+_MOTIFS = """nm AS MATERIALIZED (SELECT id, name, type, community, confidence, CAST(last_seen AS TIMESTAMP) AS ts FROM cnodes WHERE type IN ('event', 'person')),
+le AS MATERIALIZED (SELECT source, target, label FROM cedges WHERE label IN ('HAS_SUSPECT', 'OCCURRED_AT')),
+l AS MATERIALIZED (SELECT e.target AS person, e.source AS c, n.ts, n.community, n.confidence FROM le e JOIN nm n ON n.id = e.source WHERE label = 'HAS_SUSPECT'),
+g AS MATERIALIZED (SELECT person, min((epoch_us(ts) - epoch_us(prev)) // 86400000000) AS gap FROM (SELECT person, ts, lag(ts) OVER (PARTITION BY person ORDER BY ts) AS prev FROM l) WHERE prev IS NOT NULL GROUP BY 1),
+sp AS MATERIALIZED (SELECT person, count(DISTINCT o.target) AS locations FROM l JOIN le o ON o.source = l.c AND o.label = 'OCCURRED_AT' GROUP BY 1),
+m AS MATERIALIZED (SELECT person, count(*) AS cases, count(DISTINCT community) AS communities, min(confidence) AS cc, min(ts) AS time_start, max(ts) AS time_end FROM l GROUP BY 1 HAVING cases >= 2)"""
 
 
 @query("w09_motifs", with_(CRIME, _MOTIFS, """
 SELECT 'motif-' || m.person AS id, CASE WHEN gap <= 90 THEN 'rapid-repeat' ELSE 'repeat-subject' END AS type,
   CASE WHEN cases >= 3 AND coalesce(gap, 999) <= 30 THEN 'critical' WHEN cases >= 3 THEN 'high' ELSE 'medium' END AS severity,
   name || ': ' || cases || ' linked incidents' AS title, m.person, cases, communities, coalesce(locations, 0) AS locations, gap AS minimum_gap_days,
-  time_start, time_end, least(p.confidence, cc) AS confidence FROM m JOIN cnodes p ON p.id = m.person LEFT JOIN g USING (person) LEFT JOIN sp USING (person)"""))
+  time_start, time_end, least(p.confidence, cc) AS confidence FROM m JOIN nm p ON p.id = m.person LEFT JOIN g USING (person) LEFT JOIN sp USING (person)"""))
 def w09_motifs(spark, sf_dir):
     return P.person_motifs(E.crime_shape(spark, sf_dir))
 
 
-@query("w10_area", with_(CRIME, """top AS (SELECT target, count(*) AS cases FROM cedges WHERE label = 'OCCURRED_IN_BEAT' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
-dom AS (SELECT n.name AS dominant, count(*) AS k FROM top JOIN cedges b ON b.target = top.target JOIN cedges x ON x.source = b.source AND x.label = 'HAS_CRIME_TYPE' JOIN cnodes n ON n.id = x.target GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)""", """
+@query("w10_area", with_(CRIME, """nm AS MATERIALIZED (SELECT id, name, confidence FROM cnodes WHERE type IN ('location', 'crime')),
+le AS MATERIALIZED (SELECT source, target, label FROM cedges WHERE label IN ('OCCURRED_IN_BEAT', 'HAS_CRIME_TYPE')),
+top AS MATERIALIZED (SELECT target, count(*) AS cases FROM le WHERE label = 'OCCURRED_IN_BEAT' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+dom AS MATERIALIZED (SELECT n.name AS dominant, count(*) AS k FROM top JOIN le b ON b.target = top.target JOIN le x ON x.source = b.source AND x.label = 'HAS_CRIME_TYPE' JOIN nm n ON n.id = x.target GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)""", """
 SELECT 'motif-concentration-' || top.target AS id, 'area-concentration' AS type, 'high' AS severity, name || ': ' || cases || ' incident concentration' AS title, cases,
-  dominant, k AS dominant_cases, confidence FROM top JOIN cnodes ON id = top.target, dom"""))
+  dominant, k AS dominant_cases, confidence FROM top JOIN nm ON id = top.target, dom"""))
 def w10_area(spark, sf_dir):
     return P.area_motif(E.crime_shape(spark, sf_dir))
 

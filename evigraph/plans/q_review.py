@@ -87,37 +87,46 @@ def beat_pairs(g):
 
 
 def paths_sql(hops: int) -> str:
-    """CTEs that end in ``goal`` (pair_id, cost, hop, p, steps): cheapest labels hop by hop with the choice rule of the contract."""
-    label = "struct_pack(cost := l.cost + h.w, prev := l.node, edge_id := h.edge_id, confidence := h.confidence, forward := h.forward)"
-    parts = ["""beat_ AS (SELECT id, CAST(regexp_extract(name, '([0-9]+)$', 1) AS INT) AS beat, row_number() OVER (ORDER BY CAST(regexp_extract(name, '([0-9]+)$', 1) AS INT)) AS n, count(*) OVER () AS size FROM cnodes WHERE tags = 'police-beat'),
-asked AS MATERIALIZED (SELECT CAST(a.beat AS VARCHAR) AS pair_id, a.id AS source, b.id AS target FROM beat_ a JOIN beat_ b ON b.n = CASE WHEN a.n = a.size THEN 1 ELSE a.n + 1 END)""",
-             """hops_ AS MATERIALIZED (SELECT id AS edge_id, confidence, 200 - confidence AS w, source AS node, target AS nbr, true AS forward FROM cedges WHERE source <> target
-  UNION ALL SELECT id, confidence, 200 - confidence, target, source, false FROM cedges WHERE source <> target)""",
-             "p0 AS MATERIALIZED (SELECT pair_id, source AS node, 0::BIGINT AS cost, 1.0::DOUBLE AS p, []::STRUCT(step INT, from_id VARCHAR, to_id VARCHAR, edge_id VARCHAR, forward BOOLEAN)[] AS steps, target FROM asked)"]
+    """CTEs that end in ``goal`` (pair_id, cost, hop) and ``steps`` (pair_id, step, from_id, to_id, edge_id, confidence, forward): cheapest labels hop by hop with the choice rule of the contract.
+
+    Nodes and edges are numbered in the order of their ids, so that labels are numbers.
+    """
+    label = "struct_pack(cost := l.cost + h.w, prev := l.node, edge := h.edge, confidence := h.confidence, forward := h.forward)"
+    parts = ["nn_ AS MATERIALIZED (SELECT id, name, tags, row_number() OVER (ORDER BY id) AS i FROM cnodes)",
+             """beat_ AS MATERIALIZED (SELECT i, CAST(regexp_extract(name, '([0-9]+)$', 1) AS INT) AS beat, row_number() OVER (ORDER BY CAST(regexp_extract(name, '([0-9]+)$', 1) AS INT)) AS n, count(*) OVER () AS size FROM nn_ WHERE tags = 'police-beat'),
+asked AS MATERIALIZED (SELECT CAST(a.beat AS VARCHAR) AS pair_id, a.i AS source, b.i AS target FROM beat_ a JOIN beat_ b ON b.n = CASE WHEN a.n = a.size THEN 1 ELSE a.n + 1 END)""",
+             """ee_ AS MATERIALIZED (SELECT e.id, row_number() OVER (ORDER BY e.id) AS edge, confidence, a.i AS source, b.i AS target FROM cedges e JOIN nn_ a ON a.id = e.source JOIN nn_ b ON b.id = e.target WHERE e.source <> e.target),
+hops_ AS MATERIALIZED (SELECT edge, confidence, 200 - confidence AS w, source AS node, target AS nbr, true AS forward FROM ee_ UNION ALL SELECT edge, confidence, 200 - confidence, target, source, false FROM ee_)""",
+             "p0 AS MATERIALIZED (SELECT pair_id, source AS node, 0::BIGINT AS cost, NULL::BIGINT AS prev, NULL::BIGINT AS edge, NULL::INT AS confidence, NULL::BOOLEAN AS forward, target FROM asked)"]
     for h in range(1, hops + 1):
         known = " UNION ALL ".join(f"SELECT pair_id, node, cost FROM p{i}" for i in range(h))
-        parts.append(f"""s{h} AS MATERIALIZED (SELECT l.pair_id, h.nbr AS node, min({label}) AS s, arg_min(struct_pack(p := l.p * h.confidence / 100.0, steps := list_append(l.steps, struct_pack(step := {h}, from_id := l.node, to_id := h.nbr, edge_id := h.edge_id, forward := h.forward))), {label}) AS c, any_value(l.target) AS target
-  FROM p{h - 1} l JOIN hops_ h ON h.node = l.node WHERE l.node <> l.target GROUP BY 1, 2),
+        parts.append(f"""s{h} AS MATERIALIZED (SELECT l.pair_id, h.nbr AS node, min({label}) AS s, any_value(l.target) AS target FROM p{h - 1} l JOIN hops_ h ON h.node = l.node WHERE l.node <> l.target GROUP BY 1, 2),
 k{h} AS MATERIALIZED (SELECT pair_id, node, min(cost) AS cost FROM ({known}) GROUP BY 1, 2),
-p{h} AS MATERIALIZED (SELECT x.pair_id, x.node, x.s.cost AS cost, x.c.p AS p, x.c.steps AS steps, x.target FROM s{h} x LEFT JOIN k{h} k ON k.pair_id = x.pair_id AND k.node = x.node
+p{h} AS MATERIALIZED (SELECT x.pair_id, x.node, x.s.cost AS cost, x.s.prev AS prev, x.s.edge AS edge, x.s.confidence AS confidence, x.s.forward AS forward, x.target FROM s{h} x LEFT JOIN k{h} k ON k.pair_id = x.pair_id AND k.node = x.node
   LEFT JOIN k{h} b ON b.pair_id = x.pair_id AND b.node = x.target WHERE (k.cost IS NULL OR x.s.cost < k.cost) AND (b.cost IS NULL OR x.s.cost < b.cost))""")
-    hits = " UNION ALL ".join(f"SELECT pair_id, cost, {i} AS hop, p, steps FROM p{i} WHERE node = target" for i in range(hops + 1))
-    parts.append(f"goal AS MATERIALIZED (SELECT pair_id, min(struct_pack(cost := cost, hop := hop)) AS g, arg_min(struct_pack(p := p, steps := steps), struct_pack(cost := cost, hop := hop)) AS c FROM ({hits}) GROUP BY 1)")
+    hits = " UNION ALL ".join(f"SELECT pair_id, cost, {i} AS hop, target FROM p{i} WHERE node = target" for i in range(hops + 1))
+    parts.append(f"goal AS MATERIALIZED (SELECT pair_id, min(struct_pack(cost := cost, hop := hop)) AS g, any_value(target) AS target FROM ({hits}) GROUP BY 1)")
+    # back from the goal: a label of one hop names the node of the hop before
+    for h in range(hops, 0, -1):
+        after = f" UNION ALL SELECT pair_id, prev FROM w{h + 1}" if h < hops else ""
+        parts.append(f"w{h} AS MATERIALIZED (SELECT p.* FROM (SELECT pair_id, target AS node FROM goal WHERE g.hop = {h}{after}) c JOIN p{h} p ON p.pair_id = c.pair_id AND p.node = c.node)")
+    steps = " UNION ALL ".join(f"SELECT {h} AS step, * FROM w{h}" for h in range(1, hops + 1))
+    parts.append(f"""steps AS MATERIALIZED (SELECT pair_id, step, a.id AS from_id, b.id AS to_id, e.id AS edge_id, s.confidence, forward FROM ({steps}) s JOIN nn_ a ON a.i = s.prev JOIN nn_ b ON b.i = s.node JOIN ee_ e ON e.edge = s.edge)""")
     return ",\n".join(parts)
 
 
 _PATHS = (CRIME, paths_sql(4))
 
 
-@query("n10_paths", with_(*_PATHS, """SELECT a.pair_id, source, target, g IS NOT NULL AS found, g.hop AS hops, g.cost / 100.0 AS cost, round(100.0 * c.p, 6) AS path_confidence,
-  CASE WHEN g IS NULL THEN 'no-observed-path' ELSE 'observed-path' END AS epistemic_status FROM asked a LEFT JOIN goal USING (pair_id)"""))
+@query("n10_paths", with_(*_PATHS, """SELECT a.pair_id, x.id AS source, y.id AS target, g IS NOT NULL AS found, g.hop AS hops, g.cost / 100.0 AS cost, CASE WHEN g IS NOT NULL THEN round(100.0 * coalesce(p, 1), 6) END AS path_confidence,
+  CASE WHEN g IS NULL THEN 'no-observed-path' ELSE 'observed-path' END AS epistemic_status FROM asked a JOIN nn_ x ON x.i = a.source JOIN nn_ y ON y.i = a.target LEFT JOIN goal USING (pair_id)
+LEFT JOIN (SELECT pair_id, product(confidence / 100.0) AS p FROM steps GROUP BY 1) USING (pair_id)"""))
 def n10_paths(spark, sf_dir):
     g = E.crime_graph(spark, sf_dir).staged()
     return I.connection_paths(g, beat_pairs(g), 4)[0].drop("receipt").withColumn("path_confidence", F.round("path_confidence", 6))
 
 
-@query("n10_path_steps", with_(*_PATHS, """SELECT pair_id, s.step, s.from_id, s.to_id, s.edge_id, CASE WHEN s.forward THEN 'forward' ELSE 'reverse traversal' END AS direction, e.label AS relationship, e.record_id
-FROM (SELECT pair_id, unnest(c.steps) AS s FROM goal) JOIN cedges e ON e.id = s.edge_id"""))
+@query("n10_path_steps", with_(*_PATHS, """SELECT pair_id, step, from_id, to_id, edge_id, CASE WHEN forward THEN 'forward' ELSE 'reverse traversal' END AS direction, e.label AS relationship, e.record_id FROM steps JOIN cedges e ON e.id = edge_id"""))
 def n10_path_steps(spark, sf_dir):
     g = E.crime_graph(spark, sf_dir).staged()
     steps = I.connection_paths(g, beat_pairs(g), 4)[1]
@@ -147,10 +156,11 @@ def n12_counterfactuals(spark, sf_dir):
     return Y.counterfactuals(E.crime_shape(spark, sf_dir))
 
 
-@query("j02_predictions", with_(CRIME, """pred AS (SELECT o_orderkey, case_number AS node1, CASE WHEN o_orderkey % 2 = 0 THEN c_name ELSE suspect_name END AS node2, o_totalprice / 500000 AS p
+@query("j02_predictions", with_(CRIME, """nm AS MATERIALIZED (SELECT id, name, type FROM cnodes),
+pred AS MATERIALIZED (SELECT o_orderkey, case_number AS node1, CASE WHEN o_orderkey % 2 = 0 THEN c_name ELSE suspect_name END AS node2, o_totalprice / 500000 AS p
   FROM inc JOIN orders ON o_orderkey = seq JOIN customer ON c_custkey = o_custkey WHERE suspect_name <> '')""", """
 SELECT node1, node2, a.id AS source_id, a.type AS source_type, coalesce(b.id, node2) AS target_id, coalesce(b.type, 'person') AS target_type, p AS link_probability, p >= 0.5 AS predicted_link
-FROM pred JOIN cnodes a ON a.name = 'Case ' || node1 LEFT JOIN cnodes b ON b.name = node2"""))
+FROM pred JOIN nm a ON a.name = 'Case ' || node1 LEFT JOIN nm b ON b.name = node2"""))
 def j02_predictions(spark, sf_dir):
     rows = E.incident_rows(spark, sf_dir).select("seq", "case_number", "suspect_name").filter("suspect_name <> ''")
     orders = E.table(spark, sf_dir, "orders").join(E.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
