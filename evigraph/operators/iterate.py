@@ -6,6 +6,8 @@ and a lost executor never restarts the loop.  Only counters reach the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from evigraph.operators.metrics import adjacency, edges_of
 from evigraph.operators.ranking import numbered
 from evigraph.session import cut
 
+#: The cost of an edge of full confidence, in hundredths.
+LEAST_COST = 100
+
 
 def connected_components(g: EvidenceGraph, max_rounds: int = 100) -> DataFrame:
     """(node, component) with the smallest member id as component.
@@ -106,8 +111,10 @@ def connection_paths(g: EvidenceGraph, pairs: DataFrame, max_hops: int = 8) -> t
 
     An edge costs 1 + (100 - confidence) / 100.  Returns one summary row per pair
     and one row per step.  Labels are kept per hop, so a cheap long route never
-    hides a legal short one; once a pair is reached, labels that cannot beat it
-    are dropped.
+    hides a legal short one.  What cannot end in a better path is dropped: labels whose cost and one more
+    edge reach the cost that the pair has already, and at the last two hops, which are searched from the other end, all
+    labels but those next to the target, then those at it.  All that is dropped is no part
+    of a path that counts, so labels and choices stay as they were.
     """
     e = edges_of(g)
     cost = (F.lit(200) - F.col("confidence")).cast("bigint")  # in hundredths, so sums are exact
@@ -119,22 +126,25 @@ def connection_paths(g: EvidenceGraph, pairs: DataFrame, max_hops: int = 8) -> t
     layer = asked.select("pair_id", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("cost"), F.lit(0).alias("hop"),
                          *[F.lit(None).cast(t).alias(n) for n, t in (("prev", "string"), ("edge_id", "string"), ("confidence", "int"), ("forward", "boolean"))])
     layers = [cut(layer, "layer")]
-    best = layers[0].select("pair_id", "node", "cost")
     targets = asked.select("pair_id", F.col("target").alias("node"))
+    around = asked.join(hops.select(F.col("node").alias("target"), F.col("nbr").alias("node")), "target").select("pair_id", "node").unionByName(targets).distinct()
     for hop in range(1, max_hops + 1):
+        best = reduce(DataFrame.unionByName, [x.select("pair_id", "node", "cost") for x in layers]).groupBy("pair_id", "node").agg(F.min("cost").alias("cost"))
         bound = best.join(targets, ["pair_id", "node"]).select("pair_id", F.col("cost").alias("bound"))
-        open_labels = layers[-1].join(targets, ["pair_id", "node"], "left_anti").select("pair_id", "node", "cost")
-        step = open_labels.join(hops, "node").select("pair_id", F.col("nbr").alias("node"), (F.col("cost") + F.col("w")).alias("cost"),
-                                                     F.col("node").alias("prev"), "edge_id", "confidence", "forward")
-        step = step.join(bound, "pair_id", "left").filter(F.col("bound").isNull() | (F.col("cost") < F.col("bound")))
+        open_labels = layers[-1].join(targets, ["pair_id", "node"], "left_anti").join(bound, "pair_id", "left")
+        open_labels = open_labels.filter(F.col("bound").isNull() | (F.col("cost") + LEAST_COST < F.col("bound")))
+        step = open_labels.select("pair_id", "node", "cost", "bound").join(hops, "node").select("pair_id", F.col("nbr").alias("node"), (F.col("cost") + F.col("w")).alias("cost"),
+                                                                                                F.col("node").alias("prev"), "edge_id", "confidence", "forward", "bound")
+        step = step.filter(F.col("bound").isNull() | (F.col("cost") < F.col("bound"))).drop("bound")
+        if max_hops - hop < 2:
+            step = step.join(targets if hop == max_hops else around, ["pair_id", "node"], "left_semi")
         step = step.groupBy("pair_id", "node").agg(F.min(F.struct("cost", "prev", "edge_id", "confidence", "forward")).alias("s")).select("pair_id", "node", "s.*")
         old = best.select("pair_id", "node", F.col("cost").alias("known"))
         fresh = step.join(old, ["pair_id", "node"], "left").filter(F.col("known").isNull() | (F.col("cost") < F.col("known"))).drop("known")
         fresh = cut(fresh.withColumn("hop", F.lit(hop)), "layer")
-        if fresh.isEmpty():
+        if hop < max_hops and fresh.isEmpty():
             break
         layers.append(fresh)
-        best = cut(best.unionByName(fresh.select("pair_id", "node", "cost")).groupBy("pair_id", "node").agg(F.min("cost").alias("cost")), "best")
     hits = None
     for layer in layers:
         hit = layer.join(targets, ["pair_id", "node"]).select("pair_id", "node", "cost", "hop")
