@@ -30,7 +30,12 @@ def entry_hash(previous: Column) -> Column:
     return F.sha2(F.concat(before, previous, after), 256)
 
 
-def seal_chain(events: DataFrame, chain: str, order: list[str], block: int = 1000) -> DataFrame:
+def chain_tails(entries: DataFrame, chain: str) -> DataFrame:
+    """(chain, last, tail): number and hash of the last entry of each chain, all that an append needs to know."""
+    return entries.groupBy(chain).agg(F.max("sequence").alias("last"), F.max_by("hash", "sequence").alias("tail"))
+
+
+def seal_chain(events: DataFrame, chain: str, order: list[str], block: int = 1000, tails: DataFrame | None = None) -> DataFrame:
     """Number the events of each chain and link them by SHA-256.
 
     ``events`` has timestamp, actor, action, target (strings) and details (map).
@@ -39,24 +44,36 @@ def seal_chain(events: DataFrame, chain: str, order: list[str], block: int = 100
     ``chain_roots`` seals the block heads in the same way, level by level, until one
     root per chain.  Blocks of a level are folded in parallel, so a chain of any
     length is no single task and every entry is under the root.
+
+    With ``tails`` (from ``chain_tails``) the events are appended to sealed chains: they go on from the last number,
+    and in an unfinished block from its last hash, so nothing that was sealed is read or hashed
+    again.  Sealing in batches gives the entries of sealing once, if each batch comes behind the one before
+    in the given order.
     """
     rows = numbered(events, [chain], order, "sequence")
+    if tails is None:
+        rows = rows.withColumn("opened", F.lit(rules.GENESIS_HASH))
+    else:
+        held = tails.select(F.col(chain).alias("_chain"), "last", "tail")
+        rows = rows.join(held, F.col(chain).eqNullSafe(F.col("_chain")), "left").withColumn("sequence", F.col("sequence") + F.coalesce("last", F.lit(0)))
+        goes_on = F.floor((F.col("sequence") - 1) / block) == F.floor((F.col("last") - 1) / block)
+        rows = rows.withColumn("opened", F.when(F.coalesce(goes_on, F.lit(False)), F.col("tail")).otherwise(rules.GENESIS_HASH)).drop("_chain", "last", "tail")
     rows = rows.withColumn("block", F.floor((F.col("sequence") - 1) / block))
     entry = F.struct("sequence", "timestamp", "actor", "action", "target", "details", *[c for c in order if c != "timestamp"])
     # the text around the previous hash is fixed per entry, so the fold only concatenates and hashes
     before, after = _around()
     rows = rows.withColumns({"entry": entry, "before": before, "after": after})
-    folded = rows.groupBy(chain, "block").agg(F.array_sort(
+    folded = rows.groupBy(chain, "block", "opened").agg(F.array_sort(
         F.collect_list(F.struct("sequence", "entry", "before", "after")), lambda a, b: (a["sequence"] - b["sequence"]).cast("int")).alias("items"))  # at most ``block`` rows
-    start = F.struct(F.lit(rules.GENESIS_HASH).alias("last"), F.array().cast("array<string>").alias("hashes"))
+    start = F.struct(F.col("opened").alias("last"), F.array().cast("array<string>").alias("hashes"))
 
     def link(acc: Column, item: Column) -> Column:
         h = F.sha2(F.concat(item["before"], acc["last"], item["after"]), 256)
         return F.struct(h.alias("last"), F.concat(acc["hashes"], F.array(h)).alias("hashes"))
 
     hashes = folded.withColumn("hashes", F.aggregate("items", start, link, lambda acc: acc["hashes"]))
-    flat = hashes.select(chain, "block", F.posexplode_outer(F.arrays_zip("items", "hashes")).alias("pos", "z"), "hashes")
-    previous = F.when(F.col("pos") == 0, F.lit(rules.GENESIS_HASH)).otherwise(F.get("hashes", F.col("pos") - 1))
+    flat = hashes.select(chain, "block", "opened", F.posexplode_outer(F.arrays_zip("items", "hashes")).alias("pos", "z"), "hashes")
+    previous = F.when(F.col("pos") == 0, F.col("opened")).otherwise(F.get("hashes", F.col("pos") - 1))
     return flat.select(chain, "block", "z.items.entry.*", previous.alias("previous_hash"), F.col("z.hashes").alias("hash"))
 
 
@@ -70,13 +87,42 @@ def chain_levels(entries: DataFrame, chain: str, block: int = 1000) -> list[Data
     last = entries.groupBy(chain, "sequence", "block").agg(F.min("hash").alias("hash"))  # of repeated entries one counts
     heads = last.groupBy(chain, F.col("block").alias("number")).agg(F.count(F.lit(1)).alias("entries"), F.max_by("hash", "sequence").alias("head"))
     levels = [cut(heads, "heads")]
-    while True:
-        step = lambda acc, x: F.sha2(F.concat_ws(":", acc, x["number"].cast("string"), x["entries"].cast("string"), x["head"]), 256)
-        group = levels[-1].groupBy(chain, F.floor(F.col("number") / block).alias("upper")).agg(
-            F.sum("entries").alias("entries"), F.array_sort(F.collect_list(F.struct("number", "entries", "head"))).alias("items"))  # at most ``block`` heads
-        levels.append(cut(group.select(chain, F.col("upper").alias("number"), "entries", F.aggregate("items", F.lit(rules.GENESIS_HASH), step).alias("head")), "heads"))
-        if not levels[-1].agg(F.coalesce(F.max("number"), F.lit(0)).alias("n")).first()["n"]:
-            return levels
+    while len(levels) < 2 or _tall(levels[-1]):
+        levels.append(cut(_upper(levels[-1], chain, block), "heads"))
+    return levels
+
+
+def _tall(level: DataFrame) -> bool:
+    return level.agg(F.coalesce(F.max("number"), F.lit(0)).alias("n")).first()["n"] > 0
+
+
+def _upper(level: DataFrame, chain: str, block: int) -> DataFrame:
+    """Heads of the next level over all given heads."""
+    step = lambda acc, x: F.sha2(F.concat_ws(":", acc, x["number"].cast("string"), x["entries"].cast("string"), x["head"]), 256)
+    group = level.groupBy(chain, F.floor(F.col("number") / block).alias("upper")).agg(
+        F.sum("entries").alias("entries"), F.array_sort(F.collect_list(F.struct("number", "entries", "head"))).alias("items"))  # at most ``block`` heads
+    return group.select(chain, F.col("upper").alias("number"), "entries", F.aggregate("items", F.lit(rules.GENESIS_HASH), step).alias("head"))
+
+
+def append_levels(levels: list[DataFrame], fresh: DataFrame, chain: str, block: int = 1000) -> list[DataFrame]:
+    """The levels of ``chain_levels`` once the newly sealed entries ``fresh`` are appended.
+
+    Of each level only the heads over new entries are folded again, each from the at most ``block`` heads
+    below it; all others are taken as they are stored.
+    """
+    new = fresh.groupBy(chain, F.col("block").alias("number")).agg(F.count(F.lit(1)).alias("more"), F.max_by("hash", "sequence").alias("new_head"))
+    same = lambda a, b: a[chain].eqNullSafe(b[chain]) & (a["number"] == b["number"])
+    stored = levels[0]
+    joined = new.join(stored, same(new, stored), "left").select(new[chain], new["number"], (F.coalesce(stored["entries"], F.lit(0)) + F.col("more")).alias("entries"), F.col("new_head").alias("head"))
+    touched = cut(joined, "heads")
+    out = [cut(stored.join(touched, same(stored, touched), "left_anti").unionByName(touched), "heads")]
+    while len(out) < 2 or _tall(out[-1]):
+        stored = levels[len(out)] if len(out) < len(levels) else None
+        above = touched.select(F.col(chain).alias("_chain"), F.floor(F.col("number") / block).alias("_upper")).distinct()
+        below = out[-1] if stored is None else out[-1].join(above, F.col(chain).eqNullSafe(F.col("_chain")) & (F.floor(F.col("number") / block) == F.col("_upper")), "left_semi")
+        touched = cut(_upper(below, chain, block), "heads")
+        out.append(touched if stored is None else cut(stored.join(touched, same(stored, touched), "left_anti").unionByName(touched), "heads"))
+    return out
 
 
 def chain_roots(entries: DataFrame, chain: str, block: int = 1000) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import rules
@@ -370,6 +372,43 @@ def h02_chain_heads(spark, sf_dir):
     return out
 
 
+def _in_batches(spark, sf_dir):
+    """The audit events in three batches, each later than the one before."""
+    events = audit_events(spark, sf_dir)
+    at = F.unix_micros(F.to_timestamp("timestamp"))
+    ends = events.agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    part = F.least(F.floor(3 * (at - F.col("low")) / (F.col("high") - F.col("low") + 1)), F.lit(2))
+    parted = cut(events.join(F.broadcast(ends)).withColumn("part", part).drop("low", "high"), "audit-parts")
+    return [parted.where(F.col("part") == i).drop("part") for i in range(3)]
+
+
+def _appended(spark, sf_dir):
+    """Entries and levels of the chains, sealed in three batches."""
+    first, *later = _in_batches(spark, sf_dir)
+    entries = cut(H.seal_chain(first, "chain", ["timestamp", "event_id"], BLOCK), "sealed")
+    levels = H.chain_levels(entries, "chain", BLOCK)
+    for events in later:
+        fresh = cut(H.seal_chain(events, "chain", ["timestamp", "event_id"], BLOCK, H.chain_tails(entries, "chain")), "sealed")
+        levels = H.append_levels(levels, fresh, "chain", BLOCK)
+        entries = entries.unionByName(fresh)
+    return entries, levels
+
+
+@query("h02_appended_chain", with_(_CHAIN, "SELECT chain, sequence, target, previous_hash, hash FROM c"))
+def h02_appended_chain(spark, sf_dir):
+    """Sealed in three batches, the chains are those of sealing once."""
+    return _appended(spark, sf_dir)[0].select("chain", "sequence", "target", "previous_hash", "hash")
+
+
+@query("h02_appended_heads", with_(_CHAIN, _LEVELS, """SELECT 0 AS level, chain, number, entries, head FROM h0
+  UNION ALL SELECT 1, chain, number, entries, head FROM h1
+  UNION ALL SELECT 2, chain, 0, entries, head FROM h2 WHERE (SELECT max(number) FROM h1) > 0"""))
+def h02_appended_heads(spark, sf_dir):
+    """Heads of every level after three batches."""
+    levels = [df.select(F.lit(i).alias("level"), "chain", "number", "entries", "head") for i, df in enumerate(_appended(spark, sf_dir)[1])]
+    return reduce(DataFrame.unionByName, levels)
+
+
 @query("h03_verify", with_(_CHAIN, """a AS (SELECT chain, CASE WHEN chain % 5 = 2 AND sequence = 3 THEN 4 WHEN chain % 5 = 2 AND sequence = 4 THEN 3 ELSE sequence END AS sequence, sequence AS was,
     (sequence - 1) // 20 AS block, previous_hash, hash, action = 'error' AS changed FROM c WHERE NOT (chain % 5 = 0 AND sequence BETWEEN 21 AND 40) AND NOT (chain % 5 = 3 AND sequence = 9)),
 t AS (SELECT * FROM a WHERE NOT (chain % 5 = 4 AND sequence > 50) UNION ALL SELECT * FROM a WHERE chain % 5 = 1 AND sequence = 7),

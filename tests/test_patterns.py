@@ -163,6 +163,25 @@ def test_chain_seal_and_tamper(spark):
     assert [df.count() for df in integrity.chain_levels(sealed, "chain", block=2)] == [3, 2, 1]
 
 
+def test_appending_to_a_chain_is_sealing_once(spark):
+    """Batches that end inside a block, at its end and with a chain that begins late; blocks of 3 make the levels grow."""
+    events = spark.createDataFrame([(c, f"2025-01-01T00:00:{i:02d}", "ana", "export", f"t{i}", {"n": str(i)}, i) for c, low in (("c1", 0), ("c2", 11), (None, 5)) for i in range(low, 40)],
+                                   "chain string, timestamp string, actor string, action string, target string, details map<string,string>, id int")
+    once = integrity.seal_chain(events, "chain", ["timestamp", "id"], block=3)
+    entries, levels = None, None
+    for low, high in ((0, 2), (2, 9), (9, 10), (10, 40)):
+        part = events.filter(f"id >= {low} and id < {high}")
+        fresh = integrity.seal_chain(part, "chain", ["timestamp", "id"], 3, None if entries is None else integrity.chain_tails(entries, "chain")).cache()
+        levels = integrity.chain_levels(fresh, "chain", 3) if levels is None else integrity.append_levels(levels, fresh, "chain", 3)
+        entries = fresh if entries is None else entries.unionByName(fresh)
+    plain = lambda df: sorted((str(r.chain), r.sequence, r.block, r.target, r.previous_hash, r.hash) for r in df.collect())
+    assert plain(entries) == plain(once)
+    want = integrity.chain_levels(once, "chain", 3)
+    rows = lambda dfs: [sorted((str(r.chain), r.number, r.entries, r["head"]) for r in df.collect()) for df in dfs]
+    assert rows(levels) == rows(want) and len(want) == 4
+    assert integrity.verify_chain(entries.filter("chain is not null"), "chain", integrity.chain_roots(once, "chain", 3).filter("chain is not null"), 3).isEmpty()
+
+
 def test_hostile_files_and_rows(spark):
     files = spark.createDataFrame([("/x/a.csv", bytearray(b"MZ\x90")), ("/x/b.csv", bytearray(b"a\x00b")), ("/x/c.xml", bytearray(b"<!DOCTYPE x><a/>")),
                                    ("/x/d.exe", bytearray(b"hi")), ("/x/e.csv", bytearray(b"a,b\n1,2\n"))], "path string, content binary")
