@@ -294,11 +294,31 @@ def entity_id(entity_type: Column, key: Column, digits: int) -> Column:
     return F.concat(entity_type, F.lit("_"), F.substring(F.sha1(F.encode(key, "utf-8")), 1, digits))
 
 
-def entity_nodes(mentioned: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
+#: Columns of the partial rows below, from which nodes are made once all parts of a key are merged.
+ENTITY_PARTS = "type string, key string, uses bigint, place bigint, name string, risk int, community int, observed_at string, alias string"
+EVENT_PARTS = "identifier string, seq bigint, kind string, risk int, observed_at string, community int, channel string, description string"
+_ENTITY_ATTRS = ("name", "risk", "community", "observed_at", "alias")
+_EVENT_ATTRS = ("kind", "risk", "observed_at", "community", "channel", "description")
+
+
+def _as(df: DataFrame, schema: str) -> DataFrame:
+    return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in (c.split(" ") for c in schema.split(", "))])
+
+
+def entity_parts(mentioned: DataFrame) -> DataFrame:
+    """One row per mention, ready for ``merged_entities``."""
+    return _as(mentioned.withColumns({"uses": F.lit(1), "place": F.col("seq") * 16 + F.col("role")}), ENTITY_PARTS)
+
+
+def merged_entities(parts: DataFrame) -> DataFrame:
+    """Parts of the same entity in one row: uses add up, the first mention in source order names it.  Merges of merges are the same."""
+    one = first_writer(parts, ["type", "key"], F.col("place"), _ENTITY_ATTRS, uses=F.sum("uses"), place=F.min("place"))
+    return _as(one, ENTITY_PARTS)
+
+
+def entity_nodes_of(merged: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
     protected = F.col("type") == "protected_person"
-    one = first_writer(mentioned, ["type", "key"], F.col("seq") * 16 + F.col("role"),
-                       ["name", "risk", "community", "observed_at", "alias"], uses=F.count(F.lit(1)))
-    return one.select(
+    return merged.select(
         entity_id(F.col("type"), F.col("key"), digits).alias("id"),
         F.when(protected, "Protected Person").otherwise(F.col("name")).alias("name"), "type",
         F.when(protected, 0).otherwise(_capped(F.col("risk"), F.col("uses"), 3, 15, 95)).cast("int").alias("risk"),
@@ -311,12 +331,23 @@ def entity_nodes(mentioned: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
     )
 
 
-def event_nodes(observed: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
-    """A repeated identifier is one event; the last record in source order describes it."""
-    last = observed.groupBy("identifier").agg(F.max_by(F.struct(
-        "kind", "risk", "observed_at", "community", "channel", "description",
-    ), "seq").alias("last")).select("identifier", "last.*")
-    return last.select(*_node(
+def entity_nodes(mentioned: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
+    one = first_writer(mentioned, ["type", "key"], F.col("seq") * 16 + F.col("role"), _ENTITY_ATTRS, uses=F.count(F.lit(1)))
+    return entity_nodes_of(one, digits)
+
+
+def event_parts(observed: DataFrame) -> DataFrame:
+    return _as(observed, EVENT_PARTS)
+
+
+def merged_events(parts: DataFrame) -> DataFrame:
+    """Parts of the same event in one row: the last record in source order describes it."""
+    last = parts.groupBy("identifier").agg(F.max_by(F.struct(*_EVENT_ATTRS), "seq").alias("last"), F.max("seq").alias("seq"))
+    return _as(last.select("identifier", "seq", "last.*"), EVENT_PARTS)
+
+
+def event_nodes_of(merged: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
+    return merged.select(*_node(
         "record", F.col("identifier"), F.concat(F.initcap("kind"), F.lit(" "), "identifier"), "event", F.col("risk"), digits,
         confidence=90, description=F.coalesce(F.nullif(F.col("description"), F.lit("")), F.lit("Structured source record")),
         last_seen=F.col("observed_at"),
@@ -324,6 +355,12 @@ def event_nodes(observed: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
     ))
 
 
+def event_nodes(observed: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
+    """A repeated identifier is one event; the last record in source order describes it."""
+    last = observed.groupBy("identifier").agg(F.max_by(F.struct(*_EVENT_ATTRS), "seq").alias("last")).select("identifier", "last.*")
+    return event_nodes_of(last, digits)
+
+
 def mention_edges(mentioned: DataFrame, digits: int = rules.ID_HEX) -> DataFrame:
     uses = repeat_counts(mentioned, ["type", "key"])
     rows = mentioned.join(uses, ["type", "key"])

@@ -567,6 +567,25 @@ def x01_stream_ingest(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query("x01_stream_nodes", with_(MULTI, "SELECT id, name, type, risk, community, last_seen, tags FROM mnodes"))
+def x01_stream_nodes(spark, sf_dir):
+    """Nodes over all eight batches, whose order has nothing to do with the source order."""
+    return _ingested(spark, sf_dir).nodes.select("id", "name", "type", "risk", "community", "last_seen", F.array_join("tags", "|").alias("tags"))
+
+
+@query("x01_stream_edges", with_(MULTI, "SELECT id, source, target, label, anomalous FROM medges"))
+def x01_stream_edges(spark, sf_dir):
+    return _ingested(spark, sf_dir, 4).edges.select("id", "source", "target", "label", "anomalous")
+
+
+def _ingested(spark, sf_dir, max_files=1):
+    stream = J.read_table_stream(spark, _files(spark, sf_dir), max_files)
+    keyed = stream.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    sink = scratch_path(spark, "ingest")
+    J.stream_ingest(E.records_of(E.event_rows_of(keyed), "seq", E.EVENT_FIELDS), sink)
+    return J.ingested_graph(spark, sink)
+
+
 @query("x02_stream_rate_limit", """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
 r AS (SELECT user_id, ts, rn, true AS admitted, [t] AS held FROM e WHERE rn = 1
   UNION ALL SELECT e.user_id, e.ts, e.rn, len(list_filter(r.held, lambda h: h >= e.t - 86400000000)) < 3,

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evigraph.operators import graph as G
-from evigraph.session import children, remove, scratch_path, share_package
+from evigraph.session import scratch_path, share_package
 from evigraph.sources.readers import guard_records
+from evigraph.streaming.store import add_batch, stored
 
 #: The time of the closing row, in the last year that fits the nanoseconds Python workers get.
 END = "2262-01-01 00:00:00"
@@ -64,20 +65,43 @@ def run_finite(rows: DataFrame, keys: list[str], ts: str, job: Callable[[DataFra
 def stream_ingest(records: DataFrame, sink: str) -> None:
     """Micro-batches of records to accepted, rejected, mention and edge tables.
 
-    A batch writes its own ``batch`` partition, so a repeated batch replaces
-    itself and the tables hold each record once.
+    A batch writes its own ``batch`` folder, so a repeated batch replaces
+    itself and the tables hold each record once.  It also adds what it knows of events and entities to
+    two run stores, from which ``ingested_graph`` reads nodes over all batches.
     """
+    spark = records.sparkSession
+
+    def put(df: DataFrame, name: str, batch_id: int) -> DataFrame:
+        """The rows of a batch as written; what is derived from them reads the table and not the batch again."""
+        path = f"{sink}/{name}/batch={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         accepted, rejected = guard_records(batch)
-        observed = G.observations(accepted)
-        mentioned = G.mentions(observed)
-        for name, df in (("accepted", accepted), ("rejected", rejected), ("mentions", mentioned), ("actor_edges", G.actor_edges(observed))):
-            df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{sink}/{name}")
+        put(rejected, "rejected", batch_id)
+        observed = put(G.observations(put(accepted, "accepted", batch_id)), "observed", batch_id)
+        mentioned = put(G.mentions(observed), "mentions", batch_id)
+        put(G.actor_edges(observed), "actor_edges", batch_id)
+        add_batch(G.event_parts(observed), f"{sink}/events", batch_id, G.merged_events)
+        add_batch(G.entity_parts(mentioned), f"{sink}/entities", batch_id, G.merged_entities)
 
     query = records.writeStream.foreachBatch(write).option("checkpointLocation", f"{sink}/log").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def ingested_graph(spark: SparkSession, sink: str) -> G.EvidenceGraph:
+    """The graph of all records ingested into ``sink``, equal to that of one batch over them.
+
+    Nodes come from the merged parts: the first record names an entity and the last one describes an event, in source
+    order and not in order of arrival.  Use counts go over all batches, and so do the edges that depend on them.
+    """
+    nodes = G.event_nodes_of(stored(spark, f"{sink}/events", G.merged_events, G.EVENT_PARTS)).unionByName(
+        G.entity_nodes_of(stored(spark, f"{sink}/entities", G.merged_entities, G.ENTITY_PARTS)))
+    read = lambda name: spark.read.parquet(f"{sink}/{name}").drop("batch")
+    return G.EvidenceGraph(nodes, G.mention_edges(read("mentions")).unionByName(read("actor_edges")), True)
+
+
 def stream_time_cells(events: DataFrame, key: str, ts: str, watermark: str = "10 minutes", cell: str = "10 minutes") -> DataFrame:
     """(key, at, times): the sorted times of each key and time cell, once the watermark has passed the cell; built-in functions only."""
     rows = events.select(key, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, watermark)
@@ -163,28 +187,21 @@ def stream_bursts(rows: DataFrame, keys: list[str], ts: str, seconds: int = 1800
 def stream_emergence(rows: DataFrame, key: str, ts: str, store: str) -> DataFrame:
     """First-seen table (key, first) of all entities, by event time; late rows move a first time back.
 
-    Each batch merges its earliest times with the stored table into the next version, so no
-    state grows in memory, arrival order does not matter, and a repeated batch writes the same version.
+    Each batch adds its own earliest times to a run store, so no state grows in memory, arrival order
+    does not matter, a repeated batch replaces itself and no batch rewrites the table.
     """
     spark = rows.sparkSession
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, first timestamp"
 
-    def versions() -> list[int]:
-        return sorted(int(p.rsplit("/v", 1)[1]) for p in children(spark, store) if "/v" in p)
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy(key).agg(F.min("first").alias("first"))
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        known = [v for v in versions() if v < batch_id]
-        fresh = batch.select(key, F.col(ts).cast("timestamp").alias("first"))
-        if known:
-            fresh = fresh.unionByName(spark.read.schema(schema).parquet(f"{store}/v{known[-1]}"))
-        fresh.groupBy(key).agg(F.min("first").alias("first")).write.mode("overwrite").parquet(f"{store}/v{batch_id}")
-        for old in known[:-1]:
-            remove(spark, f"{store}/v{old}")
+    def add(batch: DataFrame, batch_id: int) -> None:
+        add_batch(batch.select(key, F.col(ts).cast("timestamp").alias("first")), f"{store}/runs", batch_id, merge)
 
-    query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{store}/log").trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{store}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    done = versions()
-    return spark.read.schema(schema).parquet(f"{store}/v{done[-1]}") if done else spark.createDataFrame([], schema)
+    return stored(spark, f"{store}/runs", merge, schema)
 
 
 def stream_dedupe(rows: DataFrame, key: str, ts: str, watermark: str = "1 day") -> DataFrame:

@@ -3,8 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
-from evigraph.session import scratch_path
-from evigraph.streaming import jobs
+from pyspark.sql import functions as F
+
+from evigraph.operators import graph
+from evigraph.session import remove, scratch_path
+from evigraph.streaming import jobs, store
 
 START = datetime(2025, 1, 1)
 
@@ -81,6 +84,44 @@ def test_first_seen_does_not_depend_on_arrival(spark):
     assert got == {k: min(t for x, t in rows if x == k) for k, _ in rows}
 
 
+def first_times(parts):
+    return parts.groupBy("k").agg(F.min("t").alias("t"))
+
+
+def test_run_store_merges_by_levels_and_survives_a_crash(spark):
+    """Twenty batches: a logarithm of runs, each batch once; an incomplete run and inputs of a finished one are left out."""
+    path, schema = scratch_path(spark, "store-test"), "k int, t int"
+    for b in range(20):
+        store.add_batch(spark.createDataFrame([(b % 3, 100 - b), (7, b)], schema), path, b, first_times)
+    assert store.live_runs(spark, path) == [(0, 15), (16, 16), (17, 17), (18, 18), (19, 19)]
+    want = {7: 0, **{k: 100 - max(b for b in range(20) if b % 3 == k) for k in range(3)}}
+    read = lambda: {r.k: r.t for r in store.stored(spark, path, first_times, schema).collect()}
+    assert read() == want
+    store.add_batch(spark.createDataFrame([(1 % 3, 81), (7, 19)], schema), path, 19, first_times)  # repeated
+    spark.createDataFrame([(7, -5)], schema).write.parquet(f"{path}/r16-19")  # merged, but its marker was not written
+    remove(spark, f"{path}/r16-19/_SUCCESS")
+    assert read() == {**want, 1: 81}
+    store.add_batch(spark.createDataFrame([(9, 9)], schema), path, 20, first_times)
+    assert read() == {**want, 1: 81, 9: 9} and store.live_runs(spark, path) == [(0, 15), (16, 19), (20, 20)]
+    spark.createDataFrame([(7, -5)], schema).write.parquet(f"{path}/r17-17")  # an input that was not deleted yet
+    assert read() == {**want, 1: 81, 9: 9}
+    assert store.stored(spark, scratch_path(spark, "no-store"), first_times, schema).count() == 0
+
+
+def test_ingested_graph_is_that_of_one_batch(spark):
+    """Entities and events whose first and last records arrive in other batches than their source order says."""
+    rng = random.Random(6)
+    rows = [(i, {"call_id": f"CALL-{i // 2}", "caller_name": rng.choice(["Ana  Lee", "ana lee", "Bo"]), "caller_number": str(rng.randrange(6)),
+                 "callee_number": str(rng.randrange(6)), "timestamp": f"2025-01-01 10:{i % 60:02d}:00"}) for i in range(80)]
+    records = spark.createDataFrame(rows, "seq bigint, fields map<string,string>")
+    sink = scratch_path(spark, "ingest-test")
+    jobs.stream_ingest(stream_of(spark, rows, "seq bigint, fields map<string,string>", 1), sink)
+    got, want = jobs.ingested_graph(spark, sink), graph.build_multisource_graph(records)
+    rows_of = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert rows_of(got.nodes.select(*want.nodes.columns)) == rows_of(want.nodes)
+    assert rows_of(got.edges.select(*want.edges.columns)) == rows_of(want.edges)
+
+
 def test_entry(spark):
     import __spark_entry__ as driver
 
