@@ -456,14 +456,25 @@ def k09_replaced_snapshot(spark, sf_dir):
     base = _saved(spark, sf_dir)
     records = E.event_records(spark, sf_dir)
     N.save_snapshot(G.build_multisource_graph(records), records, base, "inc")
-    return spark.read.parquet(f"{base}/nodes").select("investigation_id", "id", "name", "risk")
+    return N.all_snapshots(spark, base, "nodes").select("investigation_id", "id", "name", "risk")
+
+
+@query("k09_earlier_version", with_(CRIME, "SELECT id, name, type, risk FROM cnodes"))
+def k09_earlier_version(spark, sf_dir):
+    """A second save stops before its commit, a third one commits: the first version stays readable under its number."""
+    base = _saved(spark, sf_dir)
+    records = E.event_records(spark, sf_dir)
+    g = G.build_multisource_graph(records)
+    N.write_version(g, records, base, "inc")
+    N.save_snapshot(g, records, base, "inc")
+    return N.load_snapshot(spark, base, "inc", number=N.snapshot_versions(spark, base, "inc")[0]).nodes.select("id", "name", "type", "risk")
 
 
 @query("k10_dropped_snapshot", with_(MULTI, "SELECT 'ev' AS investigation_id, id, name, risk FROM mnodes"))
 def k10_dropped_snapshot(spark, sf_dir):
     base = _saved(spark, sf_dir)
     N.drop_snapshot(spark, base, "inc")
-    return spark.read.parquet(f"{base}/nodes").select("investigation_id", "id", "name", "risk")
+    return N.all_snapshots(spark, base, "nodes").select("investigation_id", "id", "name", "risk")
 
 
 @query("k12_catalogue", """WITH e AS (SELECT 'inv-' || user_id AS id, CASE event_type WHEN 'signup' THEN 'save' WHEN 'purchase' THEN 'save' WHEN 'error' THEN 'delete' ELSE 'activate' END AS action, ts FROM events),

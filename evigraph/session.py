@@ -28,8 +28,6 @@ RUNTIME_SETTINGS = {
     # HotSpot never compiles methods above 8000 bytes: wide projections run
     # faster as several smaller generated methods
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # only affects saves of one investigation, see sinks.snapshots
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -84,6 +82,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def put_marker(spark: SparkSession, path: str) -> None:
+    """Create an empty file that must not exist yet, and the folders above it."""
+    fs, place = _folder(spark, path)
+    fs.create(place, False).close()
+
+
 _staged: list[str] = []
 
 

@@ -8,6 +8,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
+from evigraph import session
 from evigraph.functions import rules
 from evigraph.operators import graph, hypotheses, products
 from evigraph.session import scratch_path
@@ -109,7 +110,35 @@ def test_snapshots_replace_and_drop(spark, records):
     snapshots.save_snapshot(g, records, base, "two")
     assert before < snapshots.load_snapshot(spark, base, "two").nodes.count() == g.nodes.count()
     snapshots.drop_snapshot(spark, base, "one")
-    assert [r[0] for r in spark.read.parquet(f"{base}/nodes").select("investigation_id").distinct().collect()] == ["two"]
+    assert [r[0] for r in snapshots.all_snapshots(spark, base, "nodes").select("investigation_id").distinct().collect()] == ["two"]
+
+
+def test_a_save_is_one_commit(spark, records, monkeypatch):
+    """A writer that fails at any table, or before its commit, changes nothing that a reader sees."""
+    base, name = scratch_path(spark, "snapshot-test"), "case 007/äö=1"
+    few = records.filter("seq < 10")
+    small, large = graph.build_crime_graph(few).staged(), graph.build_crime_graph(records).staged()
+    seen = lambda: [snapshots.load_snapshot(spark, base, name).nodes.count(), snapshots.load_snapshot(spark, base, name).edges.count(), snapshots.load_records(spark, base, name).count()]
+    assert snapshots.save_snapshot(small, few, base, name) == 1
+    before = seen()
+    for broken in (graph.EvidenceGraph(large.nodes, large.edges.withColumn("id", F.raise_error(F.lit("lost")).cast("string"))), large):
+        rows = records if broken is large else few
+        with monkeypatch.context() as m, pytest.raises(Exception, match="lost"):
+            m.setattr(snapshots, "put_marker", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+            snapshots.save_snapshot(broken, rows, base, name)
+        assert seen() == before and snapshots.snapshot_versions(spark, base, name) == [1]
+    held = snapshots.load_snapshot(spark, base, name)
+    assert snapshots.save_snapshot(large, records, base, name) == 2
+    assert held.nodes.count() == before[0] and seen()[2] == records.count() and seen()[0] == large.nodes.count()
+    assert snapshots.load_snapshot(spark, base, name, number=1).edges.count() == before[1]
+    assert snapshots.snapshot_ids(spark, base) == [name] and snapshots.load_snapshot(spark, base, "other", default_id=name).nodes.count() == large.nodes.count()
+    assert snapshots.expire_versions(spark, base, name) == 1 and snapshots.snapshot_versions(spark, base, name) == [2]
+    folders = [len(session.children(spark, f"{base}/{t}/{snapshots._folder(name)}")) for t in snapshots.TABLES]
+    assert folders == [1, 1, 1] and seen()[0] == large.nodes.count()
+    snapshots.drop_snapshot(spark, base, name)
+    assert not snapshots.snapshot_exists(spark, base, name) and snapshots.all_snapshots(spark, base, "nodes") is None
+    with pytest.raises(LookupError):
+        snapshots.load_snapshot(spark, base, name)
 
 
 def test_node_link_documents_by_line(spark):
