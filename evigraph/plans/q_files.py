@@ -20,6 +20,7 @@ from evigraph.session import cut, scratch_path, tune
 from evigraph.sinks import exports as K
 from evigraph.sinks import snapshots as N
 from evigraph.sources import readers as R
+from evigraph.sources import scans as C
 from evigraph.streaming import jobs as J
 
 # -- scalars --------------------------------------------------------------------------
@@ -317,6 +318,35 @@ def s10_quarantine(spark, sf_dir):
     return out.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _tree_sql(block: int, levels: int) -> str:
+    """The tree digest in SQL: each level hashes ``block`` entries, a single entry stays as it is."""
+    steps = [f"""t{i} AS (SELECT source, n // {block} AS n, CASE WHEN first(c) = 1 THEN first(h) ELSE sha256(string_agg(h, '' ORDER BY n)) END AS h, count(*) OVER (PARTITION BY source) AS c
+  FROM t{i - 1} GROUP BY source, n // {block})""" for i in range(1, levels + 1)]
+    return ", ".join(steps)
+
+
+@query("s10_guarded_sources", f"""WITH l AS (SELECT coalesce(source, 'none') AS source, doc_id, regexp_replace(coalesce(text, ''), '[\r\n]', ' ', 'g') || CASE WHEN doc_id % 97 = 0 THEN chr(0) ELSE '' END AS line FROM documents),
+t0 AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, sha256(line) AS h, count(*) OVER (PARTITION BY source) AS c FROM l),
+{_tree_sql(16, 5)},
+s AS (SELECT source, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, count(*) AS lines, bool_or(doc_id % 97 = 0) AS nul FROM l GROUP BY 1)
+SELECT source, bytes, lines, sha256(bytes || ':' || lines || ':' || h) AS digest, CASE WHEN nul THEN 'binary content' END AS reason FROM s JOIN t5 USING (source)""")
+def s10_guarded_sources(spark, sf_dir):
+    """Every text as a line of its source, each source in several files; every 97th line holds a zero byte."""
+    tune(spark)
+    path = scratch_path(spark, "sources")
+    line = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " "), F.when(F.col("doc_id") % 97 == 0, "\0").otherwise(""))
+    docs = E.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), line.alias("value"))
+    laid = docs.repartitionByRange(8, "source", "doc_id").sortWithinPartitions("source", "doc_id")
+    laid.select("source", "value").write.option("lineSep", "\n").partitionBy("source").text(path)
+    named = F.url_decode(F.regexp_extract("file", "/source=([^/]*)/", 1))
+    return C.source_digests(spark, path, named, block=16)
+
+
+@query("s10_source_limit", "SELECT source, count(*) AS records, CASE WHEN count(*) > 100 THEN 'too many records' END AS reason FROM documents GROUP BY 1")
+def s10_source_limit(spark, sf_dir):
+    return C.guard_source_records(E.table(spark, sf_dir, "documents"), "source", 100)
+
+
 @query("s11_source_profile", "SELECT count(*) AS records, 4 AS columns, 'CSV' AS format, sum(length(c_custkey || ',' || c_name || ',' || c_nationkey || ',' || c_mktsegment) + 1) + 42 AS bytes, true AS sealed FROM customer")
 def s11_source_profile(spark, sf_dir):
     path = scratch_path(spark, "profile")

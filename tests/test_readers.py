@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import graph, products
 from evigraph.session import scratch_path
-from evigraph.sources import readers
+from evigraph.sources import readers, scans
 
 
 def folder(spark, files):
@@ -68,6 +68,41 @@ def test_guards_read_whole_files(spark):
     assert {r["path"]: r["reason"] for r in rejected.collect()} == {"/x/a.csv": "binary content", "/x/b.xml": "document type or entity declaration"}
 
 
+def test_scans_share_files_out_and_equal_plain_digests(spark):
+    """Files cut into ranges of 8 KB against hashes of their whole contents; odd endings, marks, empty and forbidden files."""
+    import hashlib
+
+    block, sha = 4, lambda b: hashlib.sha256(b).hexdigest()
+    long = b"".join(b"line %d \xff\xfe\r\n" % i for i in range(3000))
+    pad = b"x" * 30_000 + b"\n"
+    contents = {"a.csv": long, "b.csv": long[:-1], "c.txt": "\ufeffMZ one".encode(), "d.txt": b"", "e.txt": b"\n\n", "f.json": b"MZ" + pad, "g.txt": pad * 3 + b"\0", "h.xml": pad + b"<!Entity y>", "i.exe": b"x", "j.txt": b"<!doctype html>\n"}
+    path = folder(spark, {})
+    for name, data in contents.items():
+        with open(os.path.join(path, name), "wb") as f:
+            f.write(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        assert scans.read_lines(spark, path).rdd.getNumPartitions() > 20
+        got = {r["source"].rsplit("/", 1)[1]: r for r in scans.source_digests(spark, path, block=block).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+    def digest(data):
+        lines = data.removeprefix(b"\xef\xbb\xbf").split(b"\n")
+        lines = lines[:-1] if lines[-1] == b"" else lines
+        level = [sha(x) for x in lines]
+        while len(level) > 1:
+            level = [sha("".join(level[i : i + block]).encode()) for i in range(0, len(level), block)]
+        return len(lines), sha(f"{len(data)}:{len(lines)}:{level[0] if level else sha(b'')}".encode())
+
+    assert contents.pop("d.txt") == b""
+    assert {n: (r["lines"], r["digest"]) for n, r in got.items()} == {n: digest(d) for n, d in contents.items()}
+    assert {n: r["bytes"] for n, r in got.items()} == {n: len(d) for n, d in contents.items()}
+    assert {n: r["reason"] for n, r in got.items() if r["reason"]} == {
+        "f.json": "executable or archive content", "g.txt": "binary content", "h.xml": "document type or entity declaration", "i.exe": "unsupported format"}
+
+
 def test_mixed_records_go_to_their_own_builder(spark):
     rows = [(0, {"call_id": "CALL-1", "caller_name": "Ana Lee", "caller_number": "1", "callee_number": "2"}),
             (1, {"case_number": "AA000001", "primary_type": "THEFT", "suspect_name": "Ana Lee", "beat": "0101", "block": "X", "district": "1", "description": "d"})]
