@@ -190,3 +190,14 @@ sedges AS MATERIALIZED (
   UNION ALL SELECT 'orders:' || o_orderkey || ':o_custkey', 'orders:' || o_orderkey, 'customer:' || o_custkey, 'PLACED_BY' FROM orders),
 sadj AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT source AS node, target AS nbr FROM sedges UNION ALL SELECT target, source FROM sedges)),
 sdeg AS MATERIALIZED (SELECT n.id, count(a.nbr) AS degree FROM snodes n LEFT JOIN sadj a ON a.node = n.id GROUP BY 1)"""
+
+TRADE = STAR + """,
+lines AS MATERIALIZED (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS k, l_orderkey AS o, l_partkey AS p, l_suppkey AS s,
+  sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, min(l_shipdate) AS shipped FROM lineitem GROUP BY ALL),
+tnodes AS MATERIALIZED (SELECT id, name, type, risk FROM snodes
+  UNION ALL SELECT 'part:' || p_partkey, p_name, 'item', CAST(greatest(0, least(99, floor(p_retailprice / 100))) AS INT) FROM part
+  UNION ALL SELECT 'lineitem:' || k, k, 'event', CAST(greatest(0, least(99, floor(cents / 10000000))) AS INT) FROM lines),
+tedges AS MATERIALIZED (SELECT id, source, target, label FROM sedges
+  UNION ALL SELECT 'lineitem:' || k || ':l_orderkey', 'lineitem:' || k, 'orders:' || o, 'LINE_OF' FROM lines
+  UNION ALL SELECT 'lineitem:' || k || ':l_partkey', 'lineitem:' || k, 'part:' || p, 'DELIVERS' FROM lines
+  UNION ALL SELECT 'lineitem:' || k || ':l_suppkey', 'lineitem:' || k, 'supplier:' || s, 'SUPPLIED_BY' FROM lines)"""

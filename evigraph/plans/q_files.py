@@ -413,6 +413,34 @@ def k03_stix(spark, sf_dir):
     return counts.unionByName(lost.select(F.lit("missing").alias("type"), "n", zero.alias("protected"), zero.alias("refs")))
 
 
+@query("k03_stix_entities", with_(MULTI, """SELECT id AS node, CASE WHEN type IN ('person', 'protected_person', 'organization') THEN 'identity' WHEN type = 'event' THEN 'incident' ELSE 'x-evigraph-entity' END AS type,
+  name, CASE WHEN type <> 'protected_person' THEN risk END AS risk, CASE WHEN type <> 'protected_person' THEN tags END AS tags, CASE WHEN type <> 'protected_person' THEN last_seen END AS last_seen, type = 'protected_person' AS masked FROM mnodes"""))
+def k03_stix_entities(spark, sf_dir):
+    """Every entity as read back from its JSON: protected people carry no risk, tag or time."""
+    o = _stix_bodies(spark, sf_dir).filter(~F.col("type").isin("relationship", "report") & F.col("o.external_references").isNotNull())
+    return o.select(F.col("o.external_references")[0]["external_id"].alias("node"), "type", "o.name", F.col("o.x_evigraph_risk_indicator").alias("risk"), F.array_join("o.x_evigraph_tags", "|").alias("tags"),
+                    F.col("o.x_evigraph_last_seen").alias("last_seen"), F.coalesce(F.col("o.x_evigraph_handling") == "protected-person-masked", F.lit(False)).alias("masked"))
+
+
+@query("k03_stix_relations", with_(MULTI, "SELECT id AS edge, source, target, lower(replace(label, '_', '-')) AS type, anomalous, record_id AS record, digest, channel, observed_at FROM medges"))
+def k03_stix_relations(spark, sf_dir):
+    """Every relationship as read back from its JSON, with its references followed to the nodes they name."""
+    o = cut(_stix_bodies(spark, sf_dir), "stix-bodies")
+    named = lambda end: o.filter("o.external_references IS NOT NULL").select(F.col("o.id").alias(f"{end}_ref"), F.col("o.external_references")[0]["external_id"].alias(end))
+    r = o.filter("type = 'relationship'").select("o.*").join(named("source"), "source_ref", "left").join(named("target"), "target_ref", "left")
+    one = lambda c: F.array_join(f"x_evigraph_{c}", "|")
+    return r.select(F.col("x_evigraph_source_edge_id").alias("edge"), "source", "target", F.col("relationship_type").alias("type"), F.col("x_evigraph_anomalous").alias("anomalous"),
+                    one("evidence_record_ids").alias("record"), one("evidence_sha256").alias("digest"), one("source_channels").alias("channel"), F.col("x_evigraph_observed_at").alias("observed_at"))
+
+
+def _stix_bodies(spark, sf_dir):
+    objects = K.stix_objects(E.event_graph(spark, sf_dir).staged(), "events", "2026-01-01T00:00:00.000Z")
+    body = """id string, name string, external_references array<struct<external_id:string>>, relationship_type string, source_ref string, target_ref string, x_evigraph_handling string,
+      x_evigraph_risk_indicator int, x_evigraph_tags array<string>, x_evigraph_last_seen string, x_evigraph_source_edge_id string, x_evigraph_anomalous boolean, x_evigraph_evidence_record_ids array<string>,
+      x_evigraph_evidence_sha256 array<string>, x_evigraph_source_channels array<string>, x_evigraph_observed_at string"""
+    return objects.select("type", F.from_json("json", body).alias("o"))
+
+
 @query("k03_bundle", with_(MULTI, "SELECT 'bundle' AS type, (SELECT count(*) FROM mnodes) + (SELECT count(*) FROM medges) + 1 AS objects"))
 def k03_bundle(spark, sf_dir):
     """Every line of the bundle between its frame is an object, all but one behind a comma; reports are left out of the count."""

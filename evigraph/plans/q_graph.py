@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evigraph.operators import graph as G
+from evigraph.operators import metrics as M
 from evigraph.plans import evidence as E
-from evigraph.plans.oracle_base import CRIME, EVENTS, INCIDENTS, MULTI, OBSERVED, RISKS, STAR, with_
+from evigraph.plans.oracle_base import CRIME, EVENTS, INCIDENTS, MULTI, OBSERVED, RISKS, STAR, TRADE, with_
 from evigraph.plans.registry import query
 
 
@@ -136,3 +137,23 @@ def g11_star_edges(spark, sf_dir):
 @query("g11_star_nodes", with_(STAR, "SELECT id, name, type, risk FROM snodes"))
 def g11_star_nodes(spark, sf_dir):
     return E.star_graph(spark, sf_dir).nodes.select("id", "name", "type", "risk")
+
+
+@query("g11_trade_nodes", with_(TRADE, "SELECT id, name, type, risk FROM tnodes"))
+def g11_trade_nodes(spark, sf_dir):
+    return E.trade_graph(spark, sf_dir).nodes.select("id", "name", "type", "risk")
+
+
+@query("g11_trade_edges", with_(TRADE, "SELECT id, source, target, label FROM tedges"))
+def g11_trade_edges(spark, sf_dir):
+    return E.trade_graph(spark, sf_dir).edges.select("id", "source", "target", "label")
+
+
+@query("g11_trade_degrees", with_(TRADE, """adj AS (SELECT DISTINCT * FROM (SELECT source AS node, target AS nbr FROM tedges UNION ALL SELECT target, source FROM tedges))
+SELECT id, type, (SELECT count(*) FROM adj WHERE node = id) AS degree FROM tnodes WHERE type IN ('item', 'organization')"""))
+def g11_trade_degrees(spark, sf_dir):
+    """Order lines per part, and order lines and nations per supplier: graph operators work on any such mapping."""
+    g = E.trade_graph(spark, sf_dir)
+    kept = g.nodes.filter(F.col("type").isin("item", "organization")).select("id", "type")
+    degrees = M.adjacency(g).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return kept.join(degrees.withColumnRenamed("node", "id"), "id", "left").select("id", "type", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
