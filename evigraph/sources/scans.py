@@ -67,13 +67,12 @@ def tree_digests(lines: DataFrame, source: Column | None = None, block: int = 10
     level = cut(numbered(leaves, ["source"], ["file", "start", "row"], "n").select("source", "n", "h"), "leaves")
     totals = level.groupBy("source").agg(F.max("n").alias("lines"))
     most = totals.agg(F.max("lines")).first()[0] or 0
-    level = level.join(totals.withColumnRenamed("lines", "left"), "source")
     while most > 1:
         place = F.floor((F.col("n") - 1) / block)
-        nodes = level.groupBy("source", "left", place.alias("place")).agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("items"))
+        nodes = level.groupBy("source", place.alias("place")).agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("items"))
         joined = F.sha2(F.array_join(F.transform("items", lambda i: F.lower(F.hex(i["h"]))), ""), 256)
-        h = F.when(F.col("left") == 1, F.col("items")[0]["h"]).otherwise(F.unhex(joined))
-        level = nodes.select("source", (F.col("place") + 1).alias("n"), h.alias("h"), F.ceil(F.col("left") / block).cast("bigint").alias("left"))
+        alone = (F.col("place") == 0) & (F.size("items") == 1)  # a first node of one entry is all there is
+        level = nodes.select("source", (F.col("place") + 1).alias("n"), F.when(alone, F.col("items")[0]["h"]).otherwise(F.unhex(joined)).alias("h"))
         most = -(-most // block)
     return totals.join(level.select("source", F.lower(F.hex("h")).alias("root")), "source")
 
