@@ -1,20 +1,21 @@
-"""Near duplicates by word n-gram Jaccard similarity: banded MinHash LSH, then exact verification.
+"""Near duplicates by word n-gram Jaccard similarity: MinHash LSH forest, then exact verification.
 
 1. Texts that are equal byte for byte form one class; its copies are never compared.
-2. Every class gets ``trees`` signatures (bands), each a hash of ``depth`` min-hashes over the
-   class's word shingles.
-3. This is banding in place of an LSH forest: no paths are sorted and no prefix is matched or
-   shortened on the data.  ``prefix_depth`` works out one depth for all from the threshold: the
-   deepest at which a pair at the threshold meets in some band with the target
-   probability.  A forest that shortens down to that depth for every class finds the same pairs, as
-   a shorter prefix matches whatever a longer one did; all candidates are verified in any case.
-4. Classes that meet in a band are linked to the least class there.  The components of these
-   links are the candidate groups; each class's text goes to its group once.
-5. Inside a group all pairs are verified exactly, by products of blocks of the
+2. Every class has one path in each of ``trees`` prefix trees: ``LONGEST`` labels, each one byte of
+   a min-hash over the class's word shingles, packed into a long whose order is that of the tree.
+3. The paths of all trees are sorted by ranges.  What a path shares with its neighbours is the
+   longest prefix it matches anywhere; paths that match no prefix of the shortest length go.
+4. Trie nodes are counted at every matched depth.  All trees start at the longest prefix;
+   the tree where one label less adds the fewest pairs for the recall it gains is shortened
+   first, until a pair at the threshold meets in some tree with the target probability.
+   So crowded trees keep long prefixes and the others make up for them.
+5. Classes of a node at its tree's depth are linked to the least class there.  The components
+   of these links are the candidate groups; each class's text goes to its group once.
+6. Inside a group all pairs are verified exactly, by products of blocks of the
    class-by-shingle incidence matrix.  A group larger than a block is dealt out as pairs of
    blocks.  Pairs are never written: a task returns, per class, its number of links
    and the least class it is connected to within the task.
-6. The components of verified links are the near-duplicate groups.
+7. The components of verified links are the near-duplicate groups.
 
 Defined results: a text without a word (null and empty too) is a group of its own without
 links; a text of fewer than ``words`` words has one shingle, all its words; ties are
@@ -23,6 +24,9 @@ settled by the smallest id; repeated rows count as copies; an empty table gives
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,17 +37,37 @@ from evigraph.llm.components import connected
 from evigraph.session import cut
 
 BLOCK_CLASSES, BLOCK_SHINGLES, BIN_SHINGLES, COLUMNS = 512, 400_000, 100_000, 4096
+LONGEST = 8  # labels of a path, a byte each
 HAS_WORD = r"[^\x20\x09-\x0D]"
+LEAF = "cid long, tree int, path long, matched int"
 
 
-def prefix_depth(threshold: float, trees: int, target: float, longest: int = 16) -> int:
-    """Shorten the prefix until pairs at the threshold meet with probability ``target``."""
+def prefix_depth(threshold: float, trees: int, target: float, longest: int = LONGEST) -> int:
+    """Longest prefix that is enough in all trees: pairs at the threshold meet with probability ``target``."""
     depth = longest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
         depth -= 1
     return depth
 
 
+def tree_depths(pairs: dict[tuple[int, int], float], threshold: float, trees: int, target: float, shortest: int) -> list[int]:
+    """Prefix length of every tree, shortened from ``LONGEST`` one label at a time until the target recall.
+
+    ``pairs`` holds the pairs that meet per (tree, depth).  The next label is taken off the tree that
+    adds the fewest pairs per gain in the logarithm of the pairs missed; ties fall to the first tree.
+    """
+    depth = [LONGEST] * trees
+
+    def price(tree: int) -> tuple[float, int]:
+        now = depth[tree]
+        added = pairs.get((tree, now - 1), 0) - pairs.get((tree, now), 0)
+        return added / (math.log1p(-(threshold**now)) - math.log1p(-(threshold ** (now - 1)))), tree
+
+    while 1 - math.prod(1 - threshold**d for d in depth) < target and max(depth) > shortest:
+        depth[min((t for t in range(trees) if depth[t] > shortest), key=price)] -= 1
+    return depth
+
+
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of all texts, and n + 1 offsets."""
     buf, offsets = flat.flat(texts)
@@ -68,7 +92,7 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: pa.Array, words: int, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the depth-long prefix in each tree (texts x trees), and the number of shingles."""
+    """Path of ``depth`` labels in each tree (texts x trees), first label highest, and the number of shingles."""
     rng = np.random.default_rng(20240607)
     factor, offset = (rng.integers(0, 2**64, (trees, depth), np.uint64) for _ in range(2))
     factor |= np.uint64(1)
@@ -80,25 +104,68 @@ def signatures(texts: pa.Array, words: int, trees: int, depth: int) -> tuple[np.
         out = np.zeros((len(part), trees), np.uint64)
         if len(own):
             for t in range(trees):
-                path = np.full(len(own), t + 1, np.uint64)
                 for d in range(depth):
-                    path = path * flat.ROOT + np.minimum.reduceat((hashes ^ offset[t, d]) * factor[t, d], at[:-1][own])
-                out[own, t] = flat.mix(path)
+                    label = flat.mix(np.minimum.reduceat((hashes ^ offset[t, d]) * factor[t, d], at[:-1][own])) >> np.uint64(56)
+                    out[own, t] |= label << np.uint64(56 - 8 * d)
         keys.append(out)
         sizes.append(size)
     return np.concatenate(keys), np.concatenate(sizes)
 
 
-def _signature(text: Column, words: int, trees: int, depth: int) -> Column:
-    @F.arrow_udf("struct<size: long, nodes: array<long>>")
+def _signature(text: Column, words: int, trees: int) -> Column:
+    @F.arrow_udf("struct<size: long, paths: array<long>>")
     def sign(texts: pa.Array) -> pa.Array:
-        keys, sizes = signatures(texts, words, trees, depth)
-        nodes = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * trees), pa.array(keys.reshape(-1).view(np.int64)))
-        return pa.StructArray.from_arrays([pa.array(sizes), nodes], ["size", "nodes"])
+        keys, sizes = signatures(texts, words, trees, LONGEST)
+        paths = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * trees), pa.array(keys.reshape(-1).view(np.int64)))
+        return pa.StructArray.from_arrays([pa.array(sizes), paths], ["size", "paths"])
 
     return sign(text)
 
 
+def shared_labels(tree: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Labels that each sorted path shares with the next one."""
+    differ = path[1:].view(np.uint64) ^ path[:-1].view(np.uint64)
+    labels = sum((differ >> np.uint64(64 - 8 * k) == 0).astype(np.int32) for k in range(1, LONGEST)) + (differ == 0)
+    return np.where(tree[1:] == tree[:-1], labels, 0).astype(np.int32)
+
+
+def matches(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
+    """Leaves of a sorted slice whose longest match has at least ``shortest`` labels.
+
+    What the first and last leaf share with other slices is unknown here; they count as full matches.
+    """
+    tree, path, cid, up = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.int32(LONGEST)
+
+    def leaves(rows: slice, matched: np.ndarray) -> pa.RecordBatch:
+        own = matched >= shortest
+        return pa.RecordBatch.from_arrays([pa.array(cid[rows][own]), pa.array(tree[rows][own]), pa.array(path[rows][own]), pa.array(matched[own])], ["cid", "tree", "path", "matched"])
+
+    for batch in batches:
+        if batch.num_rows:
+            tree, path, cid = (np.concatenate([held, batch.column(name).to_numpy()]) for held, name in ((tree, "tree"), (path, "path"), (cid, "cid")))
+            near = shared_labels(tree, path)
+            above = np.append(up, near).astype(np.int32)
+            yield leaves(slice(0, len(near)), np.maximum(above[:-1], near))
+            tree, path, cid, up = tree[-1:], path[-1:], cid[-1:], above[-1]
+    yield leaves(slice(0, len(cid)), np.full(len(cid), LONGEST, np.int32))
+
+
+def meetings(classes: DataFrame, threshold: float, trees: int, target: float) -> DataFrame:
+    """Links (u, v) of classes (cid, paths) to the least class of each node they meet others in."""
+    shortest = max(1, prefix_depth(threshold, trees, target) - 1)
+    places = classes.select("cid", F.posexplode("paths").alias("tree", "path")).repartitionByRange("tree", "path", "cid").sortWithinPartitions("tree", "path", "cid")
+    leaves = cut(places.select("cid", "tree", "path").mapInArrow(lambda batches: matches(batches, shortest), LEAF), "ngram-leaves")
+    prefix = F.expr(f"shiftrightunsigned(path, 8 * ({LONGEST} - depth))").alias("prefix")
+    at_depths = leaves.select("cid", "tree", "path", F.explode(F.sequence(F.lit(shortest), F.col("matched"))).alias("depth"))
+    nodes = cut(at_depths.groupBy("tree", "depth", prefix).agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "ngram-nodes")
+    pairs = nodes.groupBy("tree", "depth").agg(F.sum(F.col("n") * (F.col("n") - 1.0) / 2).alias("pairs")).collect()  # trees x depths at most
+    depths = tree_depths({(r["tree"], r["depth"]): r["pairs"] for r in pairs}, threshold, trees, target, shortest)
+    chosen = F.element_at(F.lit(depths), F.col("tree") + 1)
+    own = leaves.withColumn("depth", chosen).where("matched >= depth").select("cid", "tree", prefix)
+    least = nodes.where(F.col("depth") == chosen).select("tree", "prefix", "least")
+    return own.join(least, ["tree", "prefix"]).where("cid != least").select(F.col("cid").alias("u"), F.col("least").alias("v")).distinct()
+
+
 def verified(sets: np.ndarray, at: np.ndarray, side: np.ndarray, threshold: float) -> np.ndarray:
     """Boolean matrix of the links between texts given by sorted distinct shingles; sides 0 and 1 are only compared with each other."""
     n, size = len(at) - 1, np.diff(at)
@@ -164,19 +231,14 @@ def _verify(table: pa.Table, words: int, threshold: float) -> pa.Table:
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, words: int = 5, trees: int = 24, target: float = 0.999) -> DataFrame:
     """One row per row of ``df``: key, ``digest``, ``class_id`` (least key of the group), ``copies`` (rows with this text), ``n_links`` (other rows with similarity of at least ``threshold``), ``kept`` (this text's least key is ``class_id``)."""
     flat.small_batches(df.sparkSession)
-    depth = prefix_depth(threshold, trees, target)
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     worded = F.coalesce(F.col(text).rlike(HAS_WORD), F.lit(False))
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), digest.alias("digest"), worded.alias("worded"))
-    signed = rows.where("worded").select("key", "digest", _signature(F.col("text"), words, trees, depth).alias("s"))
+    signed = rows.where("worded").select("key", "digest", _signature(F.col("text"), words, trees).alias("s"))
     classes = cut(signed.groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("s").alias("s"))
-                  .select("digest", F.xxhash64("digest").alias("cid"), "rep", "copies", F.col("s.size").alias("size"), F.col("s.nodes").alias("nodes")), "ngram-classes")
-    # trie nodes of the final depth, and links to the least class of each
-    places = classes.select("cid", F.explode("nodes").alias("node"))
-    shared = places.groupBy("node").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "least")
-    meets = places.join(shared, "node").where("cid != least").select(F.col("cid").alias("u"), F.col("least").alias("v")).distinct()
-    groups = connected(meets, "ngram-candidates").withColumnsRenamed({"node": "cid", "label": "grp"})
-    members = cut(classes.drop("nodes").join(groups, "cid"), "ngram-members")
+                  .select("digest", F.xxhash64("digest").alias("cid"), "rep", "copies", F.col("s.size").alias("size"), F.col("s.paths").alias("paths")), "ngram-classes")
+    groups = connected(meetings(classes, threshold, trees, target), "ngram-candidates").withColumnsRenamed({"node": "cid", "label": "grp"})
+    members = cut(classes.drop("paths").join(groups, "cid"), "ngram-members")
     total = members.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     bins = total // BIN_SHINGLES + 1
     sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))

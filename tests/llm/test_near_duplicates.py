@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -80,10 +81,35 @@ def test_odd_texts(spark, odd, clash):
     assert texts.count("é") == 1 and texts.count(None) == 1 and texts.count("no id here at all") == 1
 
 
-def test_prefix_is_shortened_to_the_target():
+def recall(depths):
+    return 1 - np.prod([1 - 0.8**d for d in depths])
+
+
+def test_prefixes_are_shortened_to_the_target():
     for trees, target in ((24, 0.999), (8, 0.9)):
         depth = ngram_join.prefix_depth(0.8, trees, target)
-        assert 1 - (1 - 0.8**depth) ** trees >= target > 1 - (1 - 0.8 ** (depth + 1)) ** trees
+        assert recall([depth] * trees) >= target > recall([depth + 1] * trees)
+    crowded = {(t, d): (1000 if t < 12 else 1) * 10 ** (8 - d) for t in range(24) for d in range(4, 9)}
+    depths = ngram_join.tree_depths(crowded, 0.8, 24, 0.999, 5)
+    assert recall(depths) >= 0.999 and max(depths[12:]) < min(depths[:12])
+    assert recall(ngram_join.tree_depths({}, 0.8, 24, 0.999, 5)) >= 0.999
+    assert ngram_join.tree_depths({}, 0.8, 2, 0.999, 1) == [1, 1]
+
+
+def test_matches_of_sorted_paths_in_any_batches():
+    rnd = random.Random(8)
+    paths = sorted((rnd.randrange(3), int.from_bytes(bytes(rnd.choice(b"ab") for _ in range(8)), "big"), i) for i in range(200))
+    want = {}
+    for t, p, i in paths:
+        same = [8 - ((p ^ q).bit_length() + 7) // 8 for u, q, j in paths if u == t and j != i]
+        want[i] = max(same)
+    for size in (1, 7, 200):
+        parts = [paths[a : a + size] for a in range(0, len(paths), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[2] for r in x], pa.int64()), pa.array([r[0] for r in x], pa.int32()), pa.array([r[1] for r in x], pa.int64())], ["cid", "tree", "path"]) for x in parts]
+        got = {c: m for b in ngram_join.matches(iter(batches), 5) for c, m in zip(b["cid"].to_pylist(), b["matched"].to_pylist(), strict=True)}
+        edges = {paths[0][2], paths[-1][2]}
+        assert got == {i: (8 if i in edges else m) for i, m in want.items() if m >= 5 or i in edges}
+    assert [b.num_rows for b in ngram_join.matches(iter([]), 5)] == [0]
 
 
 def test_components_of_paths_stars_and_rings(spark):
@@ -98,8 +124,6 @@ def test_components_of_paths_stars_and_rings(spark):
 
 
 def test_signatures_do_not_depend_on_batches():
-    import pyarrow as pa
-
     texts = [f"one two three four five six seven {i}" for i in range(50)] + ["", "a"]
     whole = ngram_join.signatures(pa.array(texts), 5, 4, 3)[0]
     assert np.array_equal(whole, np.concatenate([ngram_join.signatures(pa.array([t]), 5, 4, 3)[0] for t in texts]))
