@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 from evigraph.session import cut
 
 BLOCKS, BLOCK_ROWS = 65_536, 128
+RUN = 4096  # places of a shard that lie together
 UNITS_ARRAY = "array<struct<rank: int, quota: long>>"
 COPIES = "array<struct<shard: int, pass: int, place: long>>"
 ADDED = ("size", "source_size", "target", "copies")
@@ -188,7 +189,7 @@ def _in_range(numbered: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def rows_of(mixed: DataFrame) -> DataFrame:
-    """The mix itself, one row per copy: a shard's rows lie together, in order of their places."""
+    """The mix itself, one row per copy, in order of places: runs of ``RUN`` places of a shard lie together, as a shard grows with the mix."""
     columns = [F.col(f"`{c}`") for c in mixed.columns if c not in ADDED]
     rows = mixed.select(*columns, F.explode("copies").alias("__c")).select(*columns, F.col("__c.shard").alias("shard"), F.col("__c.place").alias("place"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "place")
+    return rows.repartition("shard", F.floor(F.col("place") / RUN)).sortWithinPartitions("shard", "place")

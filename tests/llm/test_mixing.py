@@ -135,6 +135,18 @@ def test_the_mix_lies_by_shard_and_place(spark):
     assert len({(r["shard"], r["part"]) for r in rows}) == len({r["shard"] for r in rows}) == 4
 
 
+def test_a_large_shard_is_dealt_out_in_runs_of_places(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 16)
+    mixed = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source"), shards=2)
+    rows = mixing.rows_of(mixed).select("doc_id", "shard", "place", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r["shard"], r["place"], r["doc_id"]) for r in rows) == sorted((c["shard"], c["place"], r["doc_id"]) for r in mixed.collect() for c in r["copies"])
+    runs = {(r["shard"], r["place"] // 16) for r in rows}
+    assert len({(r["shard"], r["place"] // 16, r["part"]) for r in rows}) == len(runs) > 4
+    for part in {r["part"] for r in rows}:
+        own = [(r["shard"], r["place"]) for r in rows if r["part"] == part]
+        assert own == sorted(own)
+
+
 def test_one_size_fills_from_the_front(spark):
     """Rows of one size behind the first that does not fit are taken in hash order, as many as fit."""
     rows = [(i, "w " * (7 if i % 2 else 11), "a") for i in range(900)] + [(2000 + i, "w " * 50, "b") for i in range(300)]
